@@ -109,6 +109,11 @@ def clip(c, lo: float, hi: float) -> Column:
     return F.when(col(c).isNotNull(), F.least(F.greatest(col(c), F.lit(float(lo))), F.lit(float(hi))))
 
 
+def stable_round(c, digits: int) -> Column:
+    """Rounding of an aggregate that does not depend on the order in which Spark summed it."""
+    return F.round(F.round(col(c), digits + 6), digits)
+
+
 def annualise(c, periods: int = 12) -> Column:
     return col(c) * F.sqrt(F.lit(float(periods)))
 

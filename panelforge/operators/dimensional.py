@@ -45,32 +45,35 @@ def scd2_merge(dim: DataFrame, snapshot: DataFrame, key: str, tracked: list[str]
     attrs = [c for c in snapshot.columns if c != key]
     cols = [sk, key, *attrs, "valid_from", "valid_to", "is_current"]
     day, end = F.lit(as_of).cast("date"), F.lit(fv.OPEN_END).cast("date")
-    history = dim.filter(~F.col("is_current"))
-    current = dim.filter("is_current")
+    history = dim.filter(~F.col("is_current")).select(*cols)
+    known = history.select(F.col(key).alias("_h")).distinct()
     incoming = snapshot.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_n_{c}") for c in attrs])
-    pair = current.join(incoming, current[key] == incoming["_key"], "left")
+    incoming = incoming.join(known, incoming["_key"] == known["_h"], "left")
+    pair = dim.filter("is_current").select(*cols).join(incoming, F.col(key) == F.col("_key"), "full")
+
+    stored, arrived = F.col(sk).isNotNull(), F.col("_key").isNotNull()
     differs = F.lit(True) if always else reduce(
         lambda a, b: a | b, [~F.col(c).eqNullSafe(F.col(f"_n_{c}")) for c in tracked])
-    changed = F.coalesce(F.col("_key").isNotNull() & differs, F.lit(False))
+    changed = stored & arrived & differs
     today = F.col("valid_from") == day
-    pair = pair.withColumns({"_changed": changed, "_today": today})
-
-    kept = pair.filter(~F.col("_changed")).select(*cols)
-    replaced = pair.filter("_changed AND _today").select(
-        sk, key, *[F.col(f"_n_{c}").alias(c) for c in attrs], "valid_from", "valid_to", "is_current")
-    closed = pair.filter("_changed AND NOT _today").withColumns({
-        "valid_to": F.date_sub(day, 1), "is_current": F.lit(False)}).select(*cols)
-    reopened = pair.filter("_changed AND NOT _today").select(
-        key, *[F.col(f"_n_{c}").alias(c) for c in attrs], day.alias("valid_from"))
-    # A key is new when it has no current version; its first load date applies only without history.
-    fresh = snapshot.join(current.select(key), key, "left_anti")
-    known = history.select(F.col(key).alias("_old_key")).distinct()
-    fresh = fresh.join(known, fresh[key] == known["_old_key"], "left").select(
-        key, *attrs, F.when(F.col("_old_key").isNull(), F.lit(first_load).cast("date")).otherwise(day).alias("valid_from"))
-    opened = reopened.unionByName(fresh).withColumns({"valid_to": end, "is_current": F.lit(True)})
+
+    def version(sk_, new: bool, start, stop, live):
+        k = F.coalesce(F.col(key), F.col("_key"))
+        values = [F.col(f"_n_{c}") if new else F.col(c) for c in attrs]
+        return F.struct(*[v.alias(n) for v, n in zip([sk_, k, *values, start, stop, live], cols)])
+
+    since = F.when(stored | F.col("_h").isNotNull(), day).otherwise(F.lit(first_load).cast("date"))
+    none = F.lit(None).cast(dim.schema[sk].dataType)
+    versions = F.array_compact(F.array(
+        F.when(stored & ~changed, version(F.col(sk), False, F.col("valid_from"), F.col("valid_to"), F.col("is_current"))),
+        F.when(changed & today, version(F.col(sk), True, F.col("valid_from"), end, F.lit(True))),
+        F.when(changed & ~today, version(F.col(sk), False, F.col("valid_from"), F.date_sub(day, 1), F.lit(False))),
+        F.when((changed & ~today) | ~stored, version(none, True, since, end, F.lit(True))),
+    ))
+    rows = pair.select(F.explode(versions).alias("v")).select("v.*")
     top = dim.agg(F.coalesce(F.max(sk), F.lit(0)).cast("long").alias("m")).scalar()
-    opened = number_rows(opened, [key], top + 1, sk).select(*cols)
-    return reduce(lambda a, b: a.unionByName(b), [history.select(*cols), kept, replaced, closed, opened])
+    opened = number_rows(rows.filter(F.col(sk).isNull()).drop(sk), [key], top + 1, sk).select(*cols)
+    return history.unionByName(rows.filter(F.col(sk).isNotNull())).unionByName(opened)
 
 
 def scd2_reopen(dim: DataFrame, snapshot: DataFrame, key: str, as_of: str, sk: str = "sk") -> DataFrame:

@@ -37,6 +37,7 @@ def kmeans_select(df: DataFrame, cols: list[str], k_min: int = 2, k_max: int = 8
 
     Returns (rows with ``cluster_id``, list of (k, silhouette), fitted model).
     """
+    df = df.drop("cluster_id")
     vectors = VectorAssembler(inputCols=cols, outputCol="_x").transform(df).persist()
     measure = ClusteringEvaluator(featuresCol="_x", predictionCol="cluster_id", metricName="silhouette")
     tried = []
@@ -58,10 +59,10 @@ def centroids(df: DataFrame, cols: list[str], cluster: str = "cluster_id") -> Da
 def assign(df: DataFrame, cols: list[str], centres: DataFrame, cluster: str = "cluster_id") -> DataFrame:
     """Nearest centre and distance for each row. The k centres travel as one scalar array."""
     packed = centres.agg(F.collect_list(F.struct(cluster, *cols)).alias("c")).scalar()
-    near = F.array_min(F.transform(packed, lambda c: F.struct(
+    near = F.array_min(F.transform("_centres", lambda c: F.struct(
         reduce(lambda a, b: a + b, [F.pow(F.col(x) - c[x], 2) for x in cols]).alias("d2"), c[cluster].alias("id"))))
-    placed = df.withColumn("_near", near)
-    return placed.withColumns({cluster: F.col("_near.id"), "distance": F.sqrt("_near.d2")}).drop("_near")
+    placed = df.withColumn("_centres", packed).withColumn("_near", near)
+    return placed.withColumns({cluster: F.col("_near.id"), "distance": F.sqrt("_near.d2")}).drop("_near", "_centres")
 
 
 def silhouette_squared(df: DataFrame, cols: list[str], cluster: str) -> DataFrame:
@@ -78,10 +79,10 @@ def silhouette_squared(df: DataFrame, cols: list[str], cluster: str) -> DataFram
         cross = reduce(lambda a, b: a + b, [F.col(x) * c[x] for x in cols])
         return F.greatest(F.lit(0.0), sq - 2 * cross + c["q"])
 
-    own = F.get(F.filter(packed, lambda c: c["id"] == F.col(cluster)), F.lit(0))
-    others = F.filter(packed, lambda c: c["id"] != F.col(cluster))
+    own = F.get(F.filter("_stats", lambda c: c["id"] == F.col(cluster)), F.lit(0))
+    others = F.filter("_stats", lambda c: c["id"] != F.col(cluster))
     a = F.when(own["n"] > 1, mean_d2(own) * own["n"] / (own["n"] - 1))
-    out = df.withColumns({"a": a, "b": F.array_min(F.transform(others, mean_d2))})
+    out = df.withColumn("_stats", packed).withColumns({"a": a, "b": F.array_min(F.transform(others, mean_d2))}).drop("_stats")
     value = F.when(F.col("a").isNull() | F.col("b").isNull(), F.lit(0.0)).otherwise(
         F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
     return out.withColumn("silhouette", value)
@@ -100,23 +101,24 @@ def silhouette(df: DataFrame, entity: str, cols: list[str], cluster: str, block_
     every = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
     # Each row goes to its own block's pairings: once as the point measured, once as the target.
     left = base.withColumn("other", every).select("id", "cl", "x", F.col("blk").alias("i"), F.col("other").alias("j"))
-    right = base.withColumn("other", every).select("id", "cl", "x", F.col("other").alias("i"), F.col("blk").alias("j"))
+    right = base.withColumn("other", every).select(
+        F.col("cl").alias("cl2"), F.col("x").alias("x2"), F.col("other").alias("i2"), F.col("blk").alias("j2"))
     id_type = df.schema[entity].dataType.simpleString()
 
     def measure(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"id": [], "cl": [], "other": [], "d": [], "n": []})
-        x, y = np.stack(a["x"]), np.stack(b["x"])
+        x, y = np.stack(a["x"]), np.stack(b["x2"])
         out = []
-        for k in np.unique(b["cl"]):
-            z = y[b["cl"].to_numpy() == k]
+        for k in np.unique(b["cl2"]):
+            z = y[b["cl2"].to_numpy() == k]
             d = np.zeros(len(x))
             for start in range(0, len(z), 256):
                 d += np.sqrt(((x[:, None, :] - z[None, start:start + 256, :]) ** 2).sum(-1)).sum(1)
             out.append(pd.DataFrame({"id": a["id"], "cl": a["cl"], "other": k, "d": d, "n": len(z)}))
         return pd.concat(out)
 
-    parts = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(
+    parts = left.groupBy("i", "j").cogroup(right.groupBy("i2", "j2")).applyInPandas(
         measure, f"id {id_type}, cl long, other long, d double, n long")
     sums = parts.groupBy("id", "cl", "other").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
     own, far = F.col("cl") == F.col("other"), F.col("cl") != F.col("other")

@@ -40,7 +40,7 @@ def value_positions(df: DataFrame, keys: list[str], value: Column | str, descend
     cuts = (
         counted.groupBy(*g)
         .agg(F.sort_array(F.collect_list(drawn)).alias("_cuts"), F.sum("_n").alias("_rows"))
-        .filter((F.size("_cuts") > 0) & (F.col("_rows") >= stride))
+        .filter((F.size("_cuts") > 0) & (F.col("_rows") >= floor))
         .drop("_rows")
     )
     # At most about MAX_CUTS cut values exist over all groups, whatever the data size.
@@ -75,18 +75,23 @@ def value_positions(df: DataFrame, keys: list[str], value: Column | str, descend
     )
 
 
-def with_positions(df: DataFrame, keys: list[str], value: str, descending: bool = False) -> DataFrame:
-    """Rows with ``_n`` and ``_before`` of their own value; NULL for a NULL value."""
-    pos = value_positions(df, keys, value, descending)
+def with_positions(df: DataFrame, keys: list[str], value: str, descending: bool = False,
+                   source: DataFrame | None = None) -> DataFrame:
+    """Rows with ``_n`` and ``_before`` of their own value; NULL for a NULL value.
+
+    ``source`` may hold the same keys and values in a table that is cheaper to read than ``df``.
+    """
+    pos = value_positions(df if source is None else source, keys, value, descending)
     base = df if keys else df.withColumn("_all", F.lit(0))
     pairs = [(k, f"_g{i}") for i, k in enumerate(keys or ["_all"])] + [(value, "_v")]
     drop = [y for _, y in pairs] + ([] if keys else ["_all"])
     return base.join(pos, same(base, pos, pairs), "left").drop(*drop)
 
 
-def rank_in(df: DataFrame, partition: list[str], measure: str, out: str = "rank") -> DataFrame:
+def rank_in(df: DataFrame, partition: list[str], measure: str, out: str = "rank",
+            source: DataFrame | None = None) -> DataFrame:
     """Rank with gaps, best value first."""
-    placed = with_positions(df, partition, measure, descending=True)
+    placed = with_positions(df, partition, measure, True, source)
     return placed.withColumn(out, (F.col("_before") + 1).cast("int")).drop("_n", "_before")
 
 

@@ -132,9 +132,12 @@ def gold_fact(env: DataFrame, city: DataFrame, eco: DataFrame | None = None, pol
 
 
 def ranking(fact: DataFrame, entity: str = "city_sk", group: str = "country_code", measure: str = "investment_score") -> DataFrame:
-    """Rank per month and per month and country, movement, first listed ticker."""
+    """Rank per month and per month and country, movement, first listed ticker.
+
+    ``fact`` is read several times: pass the stored gold table, not the plan that builds it.
+    """
     df = rank_in(fact, ["year", "month"], measure, "rank_position")
-    df = rank_in(df, ["year", "month", group], measure, "rank_within_country")
+    df = rank_in(df, ["year", "month", group], measure, "rank_within_country", source=fact)
     df = change(df, entity, ["year", "month"], "rank_position", measure)
     return df.withColumn("top_ticker", first_token("fin_tickers", 20)) if "fin_tickers" in df.columns else df
 

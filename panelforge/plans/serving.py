@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed_values as fv
+from ..functions.scalars import stable_round
 from ..operators.joins import history_view
 from ..operators.ordered_sets import last_period, order_nulls_last, top_k
 
@@ -59,7 +60,7 @@ def summary(fact: DataFrame) -> DataFrame:
         F.count("investment_score").alias("_sn"), *[F.count_if(F.col(c) == v).alias(n) for n, (c, v) in counts.items()])
     return per.groupBy("year").agg(
         F.countDistinct("city_code").alias("total_cities"), F.countDistinct("country_code").alias("total_countries"),
-        F.round(F.sum("_g") / F.sum("_gn"), 4).alias("avg_green_index"), F.round(F.sum("_s") / F.sum("_sn"), 2).alias("avg_investment_score"),
+        stable_round(F.sum("_g") / F.sum("_gn"), 4).alias("avg_green_index"), stable_round(F.sum("_s") / F.sum("_sn"), 2).alias("avg_investment_score"),
         *[F.sum(n).alias(n) for n in counts])
 
 
@@ -76,8 +77,8 @@ def phase_distribution(fact: DataFrame) -> DataFrame:
     keys = ["year", "month", "country_code", "country_name", "turning_point_phase"]
     known = fact.filter(F.col("turning_point_phase").isNotNull())
     return known.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_cities"), F.round(F.avg("investment_score"), 2).alias("avg_score"),
-        F.round(F.avg("green_index"), 4).alias("avg_green_index"))
+        F.count(F.lit(1)).alias("n_cities"), stable_round(F.avg("investment_score"), 2).alias("avg_score"),
+        stable_round(F.avg("green_index"), 4).alias("avg_green_index"))
 
 
 def cluster_history(fact: DataFrame, city: DataFrame, cluster: DataFrame) -> DataFrame:

@@ -77,8 +77,9 @@ def _(t):
 
 @query("slowly_changing_merge_rerun", "D3", SCD_COLS, "WITH " + SCD.format(first="DATE '2006-01-01'", changed="size > 40"))
 def _(t):
-    once = op.scd2_merge(dimension(t), snapshot(t), "ticker", ["sector", "industry"], "2024-05-01")
-    return op.scd2_merge(once, snapshot(t), "ticker", ["sector", "industry"], "2024-05-01")
+    path = t.scratch("dim")  # a run reads the stored table and writes a new one
+    op.scd2_merge(dimension(t), snapshot(t), "ticker", ["sector", "industry"], "2024-05-01").write.parquet(path)
+    return op.scd2_merge(t.spark.read.parquet(path), snapshot(t), "ticker", ["sector", "industry"], "2024-05-01")
 
 
 @query("slowly_changing_reopen", "D4", SCD_COLS, "WITH " + SCD.format(first="DATE '2024-05-01'", changed="true"))

@@ -1 +1,286 @@
+"""Clustering, panel regression, phase classification, forecast."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.models import clustering, forecast, panel, phase
+from ..functions.scalars import phase_label
+from .registry import ctes, query
+
+X = ["veg", "pol", "seal"]
+Z = [f"{c}_z" for c in X]
+
+# One row per supplier: historical means, scaled, with its region as a given cluster.
+FEATURES = {
+    "feat": "SELECT entity, avg(veg) AS veg, avg(pol) AS pol, avg(seal) AS seal FROM holed GROUP BY 1",
+    "scaled": """SELECT entity, n_regionkey AS cluster_id, (veg - avg(veg) OVER ()) / stddev_pop(veg) OVER () AS veg_z, (pol - avg(pol) OVER ()) / stddev_pop(pol) OVER () AS pol_z,
+        (seal - avg(seal) OVER ()) / stddev_pop(seal) OVER () AS seal_z FROM feat JOIN supplier ON s_suppkey = entity JOIN nation ON s_nationkey = n_nationkey""",
+}
+
+
+def zones(t):
+    s = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return s.select(F.col("s_suppkey").alias("entity"), F.col("n_regionkey").alias("cluster_id"))
+
+
+def scaled(t):
+    f = t.holed().groupBy("entity").agg(*[F.avg(c).alias(c) for c in X]).join(zones(t), "entity")
+    return clustering.standardise(f, X)
+
+
+@query("feature_matrix", "M1 A9 I6", "entity:l veg:d8 recent:d8 gdp:d4", ctes("holed cities annual", """
+    SELECT entity, veg, coalesce(recent, (SELECT median(recent) FROM f)) AS recent, coalesce(gdp, (SELECT median(gdp) FROM f)) AS gdp FROM f""",
+    f="""SELECT city_sk AS entity, avg(veg) AS veg, avg(CASE WHEN year >= 1998 AND city_sk % 3 <> 0 THEN seal END) AS recent, max(g) AS gdp FROM cities JOIN holed ON entity = city_sk
+        LEFT JOIN (SELECT country, avg(gdp) AS g FROM annual GROUP BY 1) a ON a.country = country_code AND country_code <> 'N8' GROUP BY 1"""))
+def _(t):
+    eco = t.annual().filter("country <> 'N8'").withColumnRenamed("country", "country_code").join(t.cities().select(F.col("city_sk").alias("entity"), "country_code"), "country_code")
+    recent = F.when((F.col("year") >= 1998) & (F.col("entity") % 3 != 0), F.col("seal"))
+    return clustering.features(t.holed(), eco, t.cities().select(F.col("city_sk").alias("entity")), "entity", {"veg": F.col("veg"), "recent": recent}, {"gdp": F.col("gdp")})
+
+
+@query("standard_scaling", "M2", "entity:l veg_z:d6 pol_z:d6 seal_z:d6", ctes("holed", "SELECT * FROM scaled", **FEATURES))
+def _(t):
+    return scaled(t)
+
+
+@query("kmeans_by_silhouette", "M3", "entity:l cluster_id:i")
+def _(t):
+    from ..streaming.storage import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(t.spark)
+    return clustering.kmeans_select(scaled(t).checkpoint(), Z)[0]
+
+
+@query("nearest_centre", "M3a", "entity:l cluster_id:i distance:d6", ctes("holed", """
+    SELECT entity, arg_min(c, d) AS cluster_id, sqrt(min(d)) AS distance FROM (SELECT s.entity, k.cluster_id AS c, (s.veg_z - k.x) ** 2 + (s.pol_z - k.y) ** 2 + (s.seal_z - k.z) ** 2 AS d
+        FROM scaled s, (SELECT cluster_id, avg(veg_z) AS x, avg(pol_z) AS y, avg(seal_z) AS z FROM scaled GROUP BY 1) k) GROUP BY 1""", **FEATURES))
+def _(t):
+    s = scaled(t)
+    return clustering.assign(s.drop("cluster_id"), Z, clustering.centroids(s, Z).drop("n_members"))
+
+
+@query("centre_update", "M3a", "cluster_id:i veg_z:d6 pol_z:d6 seal_z:d6 n_members:l", ctes("holed", """
+    SELECT cluster_id, avg(veg_z) AS veg_z, avg(pol_z) AS pol_z, avg(seal_z) AS seal_z, count(*) AS n_members FROM scaled GROUP BY 1""", **FEATURES))
+def _(t):
+    return clustering.centroids(scaled(t), Z)
+
+
+def _silhouette(dist):
+    return ctes("holed", f"""SELECT entity, cluster_id, CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END AS silhouette FROM (
+        SELECT entity, cluster_id, max(CASE WHEN o = cluster_id AND n > 1 THEN d / (n - 1) END) AS a, min(CASE WHEN o <> cluster_id THEN d / n END) AS b FROM (
+            SELECT p.entity, p.cluster_id, q.cluster_id AS o, count(*) AS n, sum({dist}) AS d FROM scaled p, scaled q GROUP BY 1, 2, 3) GROUP BY 1, 2)""", **FEATURES)
+
+
+D2 = "(p.veg_z - q.veg_z) ** 2 + (p.pol_z - q.pol_z) ** 2 + (p.seal_z - q.seal_z) ** 2"
+
+
+@query("silhouette_euclidean", "M3b", "entity:l cluster_id:i silhouette:d6", _silhouette(f"sqrt({D2})"))
+def _(t):
+    return clustering.silhouette(scaled(t), "entity", Z, "cluster_id")
+
+
+@query("silhouette_squared", "M3b", "entity:l cluster_id:i silhouette:d6", _silhouette(D2))
+def _(t):
+    return clustering.silhouette_squared(scaled(t), Z, "cluster_id")
+
+
+@query("cluster_labels", "M4 X5", "cluster_id:i cluster_label:s n_members:l", ctes("holed", """
+    SELECT cluster_id, CASE WHEN i > 0 AND g > 0 THEN 'High-Income-Greening' WHEN i > 0 AND d > 0 THEN 'High-Income-Stagnant' WHEN i > 0 THEN 'High-Income-Stable'
+        WHEN d > 0 THEN 'Industrializing-Polluted' WHEN g > 0 THEN 'Emerging-Improving' ELSE 'Developing-Mixed' END AS cluster_label, n AS n_members
+    FROM (SELECT cluster_id, avg(seal_z) AS i, avg(veg_z) AS g, avg(pol_z) AS d, count(*) AS n FROM scaled GROUP BY 1)""", **FEATURES))
+def _(t):
+    return clustering.label_clusters(scaled(t), "cluster_id", "seal_z", "veg_z", "pol_z")
+
+
+# ---- panel regression ---------------------------------------------------------
+
+def fe_input(t):
+    p = t.panel().join(zones(t), "entity")
+    return p.select("cluster_id", "entity", (F.col("year") * 100 + F.col("month")).alias("period"), panel.log_floor("veg").alias("y"), F.log("price").alias("x"))
+
+
+def fe_sql(body: str) -> str:
+    rounds = {"r0": """SELECT n_regionkey AS g, entity AS e, year * 100 + month AS p, ln(greatest(veg, 1e-6)) AS y0, ln(price) AS x0, ln(price) ** 2 AS q0,
+        ln(greatest(veg, 1e-6)) AS y, ln(price) AS x, ln(price) ** 2 AS q FROM panel JOIN supplier ON s_suppkey = entity JOIN nation ON s_nationkey = n_nationkey"""}
+    for i in range(1, panel.ROUNDS + 1):
+        cols = lambda keys: ", ".join(f"{c} - avg({c}) OVER (PARTITION BY {keys}) AS {c}" for c in "yxq")
+        rounds[f"h{i}"] = f"SELECT g, e, p, y0, x0, q0, {cols('g, e')} FROM r{i - 1}"
+        rounds[f"r{i}"] = f"SELECT g, e, p, y0, x0, q0, {cols('g, p')} FROM h{i}"
+    last = f"r{panel.ROUNDS}"
+    rounds["w"] = f"SELECT * FROM {last}"
+    rounds["sums"] = """SELECT g, sum(x * x) AS xx, sum(x * q) AS xq, sum(q * q) AS qq, sum(x * y) AS xy, sum(q * y) AS qy, sum(y * y) AS sst, count(*) AS n_obs, avg(y0) AS my, avg(x0) AS mx, avg(q0) AS mq,
+        count(DISTINCT e) AS n_entities, count(DISTINCT p) AS n_periods FROM w GROUP BY 1"""
+    rounds["fit"] = "SELECT *, (xy * qq - qy * xq) / (xx * qq - xq * xq) AS beta1, (qy * xx - xy * xq) / (xx * qq - xq * xq) AS beta2 FROM sums"
+    rounds["res"] = "SELECT w.*, y - beta1 * x - beta2 * q AS u FROM w JOIN fit USING (g)"
+    rounds["se"] = """SELECT fit.*, sqrt(s * (a * a * uu + 2 * a * b * uv + b * b * vv)) AS beta1_se, sqrt(s * (b * b * uu + 2 * b * c * uv + c * c * vv)) AS beta2_se FROM (
+        SELECT g, qq / (xx * qq - xq * xq) AS a, -xq / (xx * qq - xq * xq) AS b, xx / (xx * qq - xq * xq) AS c, n_obs / (n_obs - (n_entities + n_periods - 1) - 2.0) AS s FROM fit) k
+        JOIN (SELECT g, sum(su * su) AS uu, sum(su * sv) AS uv, sum(sv * sv) AS vv FROM (SELECT g, e, sum(x * u) AS su, sum(q * u) AS sv FROM res GROUP BY 1, 2) GROUP BY 1) m USING (g) JOIN fit USING (g)"""
+    return ctes("panel", body, **rounds)
+
+
+def fitted(t):
+    return panel.panel_fe(fe_input(t), "entity", "period", "y", "x", "cluster_id")
+
+
+@query("panel_fixed_effects", "M5", "cluster_id:i beta1:d3 beta2:d4 alpha:d2 n_obs:l n_entities:l n_periods:l", fe_sql(
+    "SELECT g AS cluster_id, beta1, beta2, my - beta1 * mx - beta2 * mq AS alpha, n_obs, n_entities, n_periods FROM fit"))
+def _(t):
+    return fitted(t)[0]
+
+
+@query("panel_standard_errors", "M5a", "cluster_id:i beta1_se:d3 beta2_se:d4 beta1_t:d3 beta2_t:d3", fe_sql(
+    "SELECT g AS cluster_id, beta1_se, beta2_se, beta1 / beta1_se AS beta1_t, beta2 / beta2_se AS beta2_t FROM se"))
+def _(t):
+    fit, res = fitted(t)
+    return panel.panel_fe_se(fit, res, "cluster_id", "entity")
+
+
+@query("panel_fit_quality", "M5b", "cluster_id:i r_squared:d6 r_squared_within:d6 f_stat:d4 aic:d3 bic:d3", fe_sql("""
+    SELECT g AS cluster_id, 1 - ssr / sst AS r_squared, 1 - wssr / wsst AS r_squared_within, ((sst - ssr) / 2) / (ssr / (n_obs - (n_entities + n_periods - 1) - 2)) AS f_stat,
+        n_obs * (ln(2 * pi()) + ln(ssr / n_obs) + 1) + 6 AS aic, n_obs * (ln(2 * pi()) + ln(ssr / n_obs) + 1) + 3 * ln(n_obs) AS bic FROM fit
+    JOIN (SELECT g, sum(u * u) AS ssr FROM res GROUP BY 1) a USING (g)
+    JOIN (SELECT g, sum((y - beta1 * x - beta2 * q) ** 2) AS wssr, sum(y * y) AS wsst FROM h1 JOIN fit USING (g) GROUP BY 1) b USING (g)"""))
+def _(t):
+    fit, res = fitted(t)
+    return panel.panel_fe_quality(fit, res, "cluster_id", "entity")
+
+
+@query("turning_points", "M6", "cluster_id:i turning_point_ln:d3 shape:s hypothesis_supported:b reason:s", fe_sql("""
+    SELECT g AS cluster_id, CASE WHEN n_obs >= 30 THEN -beta1 / (2 * beta2) END AS turning_point_ln, CASE WHEN n_obs < 30 THEN 'UNCLEAR' WHEN beta1 > 0 AND beta2 < 0 THEN 'INVERTED_U' WHEN beta1 > 0 AND beta2 > 0 THEN 'MONOTONIC_UP'
+        WHEN beta1 < 0 THEN 'MONOTONIC_DOWN' ELSE 'UNCLEAR' END AS shape, n_obs >= 30 AND beta1 > 0 AND beta2 < 0 AND abs(beta1 / beta1_se) > 1.959964 AND abs(beta2 / beta2_se) > 1.959964 AS hypothesis_supported,
+        CASE WHEN n_obs < 30 THEN 'TOO_FEW_OBSERVATIONS' END AS reason FROM se"""))
+def _(t):
+    fit, res = fitted(t)
+    return panel.turning_point(panel.panel_fe_se(fit, res, "cluster_id", "entity"))
+
+
+@query("gap_to_turning_point", "M7 D7", "entity:l year:i month:i gap_to_turning:d4 shape:s", ctes("panel parameters", """
+    SELECT entity, year, month, price - turning_point AS gap_to_turning, CASE WHEN beta1 > 0 THEN 'UP' ELSE 'DOWN' END AS shape FROM panel JOIN supplier ON s_suppkey = entity JOIN nation ON s_nationkey = n_nationkey
+    JOIN (SELECT * FROM parameters WHERE estimation_year = 2000) k ON k.cluster_id = n_regionkey"""))
+def _(t):
+    fit = t.parameters().filter("estimation_year = 2000").withColumn("shape", F.when(F.col("beta1") > 0, "UP").otherwise("DOWN"))
+    return panel.gap_to_turning(t.panel().join(zones(t), "entity"), fit, "cluster_id", "price")
+
+
+# ---- phase classification --------------------------------------------------------
+
+# Entity-years with a rule label: the year's mean change against a level of 25.
+LABELLED = {"labelled": """SELECT *, CASE WHEN abs(seal - 25.5) <= 0.3 THEN 'TURNING' WHEN seal > 25.5 AND coalesce(d, 0) > 0.003 THEN 'RECUPERANDO' ELSE 'DEGRADANDO' END AS phase FROM (
+    SELECT entity, year, veg, pol, seal, price, veg - lag(veg) OVER (PARTITION BY entity ORDER BY year) AS d FROM entity_year)"""}
+
+
+def labelled(t):
+    from ..operators.windows import yoy_diff
+
+    ey = t.holed().groupBy("entity", "year").agg(*[F.avg(c).alias(c) for c in ("veg", "pol", "seal", "price")])
+    df = yoy_diff(ey, "entity", "year", None, "veg", "d").withColumns({"tp": F.lit(25.5), "gap": F.col("seal") - 25.5})
+    return df.withColumn("phase", phase_label("d", "gap", "tp", 0.3 / 25.5))
+
+
+@query("phase_rule_labels", "B8", "entity:l year:i phase:s", ctes("entity_year", "SELECT entity, year, phase FROM labelled", **LABELLED))
+def _(t):
+    return labelled(t)
+
+
+@query("temporal_split", "M8", "entity:l year:i is_train:b", ctes("entity_year", "SELECT entity, year, year <= (SELECT max(year) FROM entity_year) - 2 AS is_train FROM entity_year"))
+def _(t):
+    return phase.temporal_split(labelled(t), "year")
+
+
+@query("class_weights", "M9", "entity:l year:i phase:s weight:d8", ctes("entity_year", """
+    SELECT entity, year, phase, (SELECT count(*) FROM labelled) / (3.0 * count(*) OVER (PARTITION BY phase)) AS weight FROM labelled""", **LABELLED))
+def _(t):
+    return phase.class_weights(labelled(t), "phase")
+
+
+FEATURE_COLS = ["veg", "pol", "seal", "price", "d", "year"]
+
+
+def classified(t):
+    from ..streaming.storage import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(t.spark)
+    rows = labelled(t).checkpoint()
+    train = phase.class_weights(phase.temporal_split(rows, "year").filter("is_train"), "phase")
+    return phase.phase_classifier(train, rows, FEATURE_COLS, "phase", carry=("entity", "year", "gap"))
+
+
+@query("phase_classifier", "M10", "entity:l year:i predicted_phase:s confidence:d6 prob_degradando:d6 prob_turning:d6 prob_recuperando:d6")
+def _(t):
+    return classified(t)[0]
+
+
+@query("feature_importance_json", "M18 M10", "top_json:s")
+def _(t):
+    frame = phase.importance_frame(t.spark, classified(t)[1])
+    return phase.top_importance(frame, "feature", "importance")
+
+
+@query("class_report", "M11", "class:s precision:d6 recall:d6 f1:d6 support:l f1_macro:d6 f1_weighted:d6", ctes("entity_year", """
+    SELECT *, avg(f1) OVER () AS f1_macro, sum(f1 * support) OVER () / sum(support) OVER () AS f1_weighted FROM (
+        SELECT c AS "class", CASE WHEN pred > 0 THEN tp / pred ELSE 0 END AS precision, CASE WHEN support > 0 THEN tp / support ELSE 0 END AS recall, 2 * tp / (pred + support) AS f1, support FROM (
+            SELECT c, CAST(count(*) FILTER (phase = c AND guess = c) AS DOUBLE) AS tp, count(*) FILTER (phase = c) AS support, count(*) FILTER (guess = c) AS pred FROM g, (VALUES ('DEGRADANDO'), ('TURNING'), ('RECUPERANDO')) AS v(c) GROUP BY 1))""",
+    **LABELLED, g="SELECT phase, CASE WHEN seal > 25.8 THEN 'RECUPERANDO' WHEN seal > 25.3 THEN 'TURNING' ELSE 'DEGRADANDO' END AS guess FROM labelled"))
+def _(t):
+    guess = F.when(F.col("seal") > 25.8, "RECUPERANDO").when(F.col("seal") > 25.3, "TURNING").otherwise("DEGRADANDO")
+    return phase.class_report(labelled(t).withColumn("guess", guess), "phase", "guess")
+
+
+@query("top_values_json", "M18", "country:s top_json:s", ctes("priorities", """
+    SELECT country, '{' || string_agg('"' || priority || '":' || n, ',' ORDER BY n DESC, priority) || '}' AS top_json FROM (
+        SELECT country, priority, sum(n) AS n, row_number() OVER (PARTITION BY country ORDER BY sum(n) DESC, priority) AS r FROM priorities GROUP BY 1, 2) WHERE r <= 3 GROUP BY 1"""))
+def _(t):
+    p = t.priorities().groupBy("country", "priority").agg(F.sum("n").alias("n"))
+    return phase.top_importance(p, "priority", "n", ["country"], 3)
+
+
+# ---- forecast ---------------------------------------------------------------------
+
+FORECAST = {
+    "s": """SELECT entity, make_date(year, month, 1) AS ds, CAST(year * 12 + month - 1 AS DOUBLE) AS t, month, seal AS y FROM holed WHERE seal IS NOT NULL
+        AND entity IN (SELECT entity FROM holed WHERE seal IS NOT NULL GROUP BY 1 HAVING count(*) >= 24)""",
+    "l": "SELECT entity, regr_slope(y, t) AS slope, regr_intercept(y, t) AS intercept, max(ds) AS last_ds FROM s GROUP BY 1",
+    "i": "SELECT entity, month, avg(y / (intercept + slope * t)) AS r FROM s JOIN l USING (entity) GROUP BY 1, 2",
+    "z": "SELECT entity, month, r / avg(r) OVER (PARTITION BY entity) AS season FROM i",
+    "f": "SELECT s.*, slope, intercept, last_ds, season, intercept + slope * t AS trend, (intercept + slope * t) * season AS fitted FROM s JOIN l USING (entity) JOIN z ON z.entity = s.entity AND z.month = s.month",
+    "fut": """SELECT entity, ahead, CAST(last_ds + to_months(CAST(ahead AS INTEGER)) AS DATE) AS ds, slope, intercept, sigma FROM l JOIN (SELECT entity, stddev_samp(y - fitted) AS sigma FROM f GROUP BY 1) USING (entity), range(1, 121) AS r(ahead)""",
+    "fc": """SELECT fut.entity, ahead, ds, intercept + slope * (year(ds) * 12 + month(ds) - 1) AS trend, (intercept + slope * (year(ds) * 12 + month(ds) - 1)) * coalesce(season, 1) AS forecast, sigma
+        FROM fut LEFT JOIN z ON z.entity = fut.entity AND z.month = month(ds)""",
+}
+
+
+def seasonal(t):
+    return forecast.fit_seasonal(forecast.series(t.holed(), "entity", "year", "month", "seal"), "entity")
+
+
+@query("monthly_series", "M12", "entity:l ds:date y:d8", ctes("holed", "SELECT entity, ds, y FROM s", s=FORECAST["s"]))
+def _(t):
+    return forecast.series(t.holed(), "entity", "year", "month", "seal")
+
+
+@query("trend_and_season", "M13 M17", "entity:l ds:date trend:d6 seasonality:d6 fitted:d6", ctes("holed", "SELECT entity, ds, trend, season - 1 AS seasonality, fitted FROM f", **FORECAST))
+def _(t):
+    return forecast.components(seasonal(t), "entity")
+
+
+@query("forecast_horizons", "M14", "entity:l horizon_years:i ds:date forecast:d5 lower:d5 upper:d5", ctes("holed", """
+    SELECT entity, ahead / 12 AS horizon_years, ds, forecast, forecast - 1.96 * sigma AS lower, forecast + 1.96 * sigma AS upper FROM fc WHERE ahead IN (12, 36, 60, 120)""", **FORECAST))
+def _(t):
+    return forecast.forecast(seasonal(t), "entity")
+
+
+@query("forecast_mape", "M15", "entity:l mape:d6", ctes("holed", "SELECT entity, avg(abs(y - fitted) / greatest(y, 0.05)) * 100 AS mape FROM f GROUP BY 1", **FORECAST))
+def _(t):
+    return forecast.mape(seasonal(t), "entity")
+
+
+@query("turning_year", "M16 W11", "entity:l turning_year:i", ctes("holed", """
+    SELECT entity, min(y) FILTER (m > p) AS turning_year FROM (SELECT *, lag(m) OVER (PARTITION BY entity ORDER BY y) AS p FROM (SELECT entity, year(ds) AS y, avg(trend) AS m FROM fc GROUP BY 1, 2)) GROUP BY 1""", **FORECAST))
+def _(t):
+    return forecast.turning_year(forecast.future(seasonal(t), "entity"), "entity")
+
+
+@query("ridge_forecast_fit", "M13", "entity:l ds:date y:d6 fitted:d4")
+def _(t):
+    return forecast.fit_ridge(forecast.series(t.holed(), "entity", "year", "month", "seal"), "entity")

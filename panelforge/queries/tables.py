@@ -9,6 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.scalars import phase_label
+from ..operators.aggregates import concat_distinct
+from ..operators.metrics import green_index
+from ..operators.windows import yoy_diff
+from ..plans.facts import economic_fact, gold_fact, ranking
 from ..streaming.storage import fresh_path
 
 
@@ -81,6 +86,58 @@ class Tables:
         number = F.regexp_extract("ticker", r"(\d+)", 1).cast("int")
         return m.withColumn("country_code", F.concat(F.lit("N"), (number % 25).cast("string")))
 
+    # ---- star and gold ----------------------------------------------------
+    def env(self) -> DataFrame:
+        h = self.holed().select(
+            F.col("entity").alias("city_sk"), "year", "month", F.col("veg").alias("ndvi_mean"), F.col("pol").alias("no2_mean"),
+            F.col("seal").alias("imperviousness_mean"), F.col("seal").alias("pm25_mean"))
+        return green_index(yoy_diff(h, "city_sk", "year", "month", "ndvi_mean", "ndvi_yoy_change"), "ndvi_mean", "no2_mean", "imperviousness_mean")
+
+    def renewables(self) -> DataFrame:
+        m = self.orders_by("year", "month", "priority")
+        urgent = F.sum(F.when(F.col("priority") == "1-URGENT", F.col("n")).otherwise(0))
+        return m.groupBy(F.col("country").alias("country_code"), "year", "month").agg((urgent * 100.0 / F.sum("n")).alias("renewables_pct"))
+
+    def carbon(self) -> DataFrame:
+        return self("lineitem").groupBy(F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month")).agg(
+            (F.avg("l_extendedprice") / 1000).alias("ets_price_eur"))
+
+    def economy(self) -> DataFrame:
+        gdp = self.annual().select(F.col("country").alias("country_code"), "year", "gdp").join(
+            self.cities().select("city_code", "country_code"), "country_code").select("city_code", "year", "gdp")
+        co2 = self.annual().select(F.col("country").alias("country_code"), "year", F.col("amount").alias("co2_kt"))
+        people = self.panel().groupBy(F.col("entity").alias("city_sk"), "year").agg(F.sum("n").alias("population"))
+        people = people.join(self.cities().select("city_sk", "city_code"), "city_sk").select("city_code", "year", "population")
+        return economic_fact(gdp, self.cities(), people, self.renewables(), carbon=self.carbon(), co2=co2, carbon_start=1997)
+
+    def market_months(self) -> DataFrame:
+        keys = ["country_code", "year", "month"]
+        m = self.market()
+        price = m.groupBy(*keys).agg(F.avg("close_price").alias("fin_close_price_avg"))
+        return price.join(concat_distinct(m, keys, "ticker", ",", "fin_tickers"), keys, "left")
+
+    def gold(self) -> DataFrame:
+        eco = self.economy().select("city_sk", "year", "month", "gdp_monthly", "renewables_pct", "ets_price_eur")
+        city = self.cities().select("city_sk", "city_code", "city_name", "country_code", "country_name")
+        df = gold_fact(self.env(), city, eco, market=self.market_months()).drop("turning_point_phase", "gap_to_turning")
+        level = self.annual().groupBy(F.col("country").alias("country_code")).agg(F.avg("gdp").alias("turning_point"))
+        df = df.join(level, "country_code", "left").withColumn("gap_to_turning", F.col("gdp_monthly") - F.col("turning_point"))
+        return df.withColumn("turning_point_phase", phase_label("ndvi_yoy_change", "gap_to_turning", "turning_point", 0.01))
+
+    def ranked(self) -> DataFrame:
+        """The ranking reads the stored gold table, as the pipeline does."""
+        path = self.scratch("gold")
+        self.gold().select("city_sk", "city_code", "country_code", "year", "month", "investment_score", "fin_tickers").write.parquet(path)
+        return ranking(self.spark.read.parquet(path))
+
+    def parameters(self) -> DataFrame:
+        """Yearly fit figures per region, in the layout of the cluster parameters."""
+        zone = self("supplier").join(self("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
+            F.col("s_suppkey").alias("entity"), F.col("n_regionkey").alias("cluster_id"))
+        return self.panel().join(zone, "entity").groupBy("cluster_id", F.col("year").alias("estimation_year")).agg(
+            F.regr_slope("veg", "seal").alias("beta1"), F.regr_slope("pol", "seal").alias("beta2"),
+            F.avg("price").alias("turning_point"), F.regr_r2("veg", "seal").alias("r_squared"), F.countDistinct("entity").alias("n_cities"))
+
 
 # name -> (needed tables, SQL)
 CTES: dict[str, tuple[str, str]] = {
@@ -105,4 +162,32 @@ CTES: dict[str, tuple[str, str]] = {
         FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3, 6"""),
     "entity_year": ("holed", """SELECT entity, year, avg(veg) AS veg, avg(pol) AS pol, avg(seal) AS seal, avg(price) AS price
         FROM holed GROUP BY 1, 2"""),
+    "env": ("holed", """SELECT entity AS city_sk, year, month, veg AS ndvi_mean, pol AS no2_mean, seal AS imperviousness_mean, seal AS pm25_mean,
+        veg - lag(veg) OVER (PARTITION BY entity, month ORDER BY year) AS ndvi_yoy_change,
+        round(0.5 * (veg - v0) / (v1 - v0) + 0.3 * (1 - (coalesce(pol, p0) - p0) / (p1 - p0)) + 0.2 * (1 - (coalesce(seal, s0) - s0) / (s1 - s0)), 6) AS green_index
+        FROM holed, (SELECT min(veg) v0, max(veg) v1, min(pol) p0, max(pol) p1, min(seal) s0, max(seal) s1 FROM holed)"""),
+    "renewables": ("", """SELECT 'N' || c_nationkey AS country_code, year(o_orderdate) AS year, month(o_orderdate) AS month,
+        count(*) FILTER (o_orderpriority = '1-URGENT') * 100.0 / count(*) AS renewables_pct FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3"""),
+    "carbon": ("", """SELECT year(l_shipdate) AS year, month(l_shipdate) AS month, avg(l_extendedprice) / 1000 AS ets_price_eur FROM lineitem GROUP BY 1, 2"""),
+    "economy": ("annual cities renewables carbon panel", """SELECT b.*, round((gdp_monthly / nullif(lag(gdp_monthly) OVER (PARTITION BY city_sk, month ORDER BY year), 0) - 1) * 100, 4) AS gdp_growth_rate FROM (
+        SELECT c.city_sk, c.city_code, c.country_code, a.year, CAST(m AS INTEGER) AS month, a.year * 100 + m AS date_sk, gdp + (coalesce(nxt, gdp) - gdp) * (m - 1) / 12.0 AS gdp_monthly,
+            ln(gdp + (coalesce(nxt, gdp) - gdp) * (m - 1) / 12.0) AS ln_gdp, p.population, r.renewables_pct, CASE WHEN a.year >= 1997 THEN k.ets_price_eur END AS ets_price_eur, a.amount AS co2_kt
+        FROM (SELECT *, lead(gdp) OVER (PARTITION BY country ORDER BY year) AS nxt FROM annual) a CROSS JOIN range(1, 13) AS x(m) JOIN cities c ON c.country_code = a.country
+        LEFT JOIN (SELECT entity, year, sum(n) AS population FROM panel GROUP BY 1, 2) p ON p.entity = c.city_sk AND p.year = a.year
+        LEFT JOIN renewables r ON r.country_code = c.country_code AND r.year = a.year AND r.month = m LEFT JOIN carbon k ON k.year = a.year AND k.month = m) b"""),
+    "market_months": ("market", """SELECT country_code, year, month, avg(close_price) AS fin_close_price_avg, string_agg(DISTINCT ticker, ',' ORDER BY ticker) AS fin_tickers FROM market GROUP BY 1, 2, 3"""),
+    "gold": ("env economy cities market_months annual", """SELECT *, CASE WHEN investment_score >= 75 THEN 'STRONG_BUY' WHEN investment_score >= 55 THEN 'BUY' WHEN investment_score >= 35 THEN 'HOLD' ELSE 'AVOID' END AS investment_recommendation,
+        CASE WHEN turning_point > 0 AND abs(gap_to_turning) <= turning_point * 0.01 THEN 'TURNING' WHEN coalesce(ndvi_yoy_change, 0) > 0.003 AND gap_to_turning > 0 THEN 'RECUPERANDO' ELSE 'DEGRADANDO' END AS turning_point_phase
+        FROM (SELECT e.*, city_code, city_name, c.country_code, country_name, gdp_monthly, renewables_pct, ets_price_eur, fin_tickers, fin_close_price_avg, ndvi_trend_slope, turning_point, gdp_monthly - turning_point AS gap_to_turning,
+            round(least(greatest(coalesce(green_index, 0) * 60 + coalesce(renewables_pct, 0) / 100 * 20 + least(greatest(10 - greatest(coalesce(pm25_mean, 15), 0) / 35 * 10, 0), 10)
+                + least(greatest(greatest(coalesce(ets_price_eur, 0), 0) / 100 * 10, 0), 10), 0), 100), 2) AS investment_score
+        FROM env e LEFT JOIN (SELECT city_sk, CASE WHEN regr_count(ndvi_mean, year) >= 2 THEN regr_slope(ndvi_mean, year) END AS ndvi_trend_slope FROM env GROUP BY 1) s ON s.city_sk = e.city_sk
+        LEFT JOIN cities c ON c.city_sk = e.city_sk LEFT JOIN (SELECT city_sk, year, month, gdp_monthly, renewables_pct, ets_price_eur FROM economy) o ON o.city_sk = e.city_sk AND o.year = e.year AND o.month = e.month
+        LEFT JOIN market_months f ON f.country_code = c.country_code AND f.year = e.year AND f.month = e.month
+        LEFT JOIN (SELECT country, avg(gdp) AS turning_point FROM annual GROUP BY 1) t ON t.country = c.country_code)"""),
+    "ranked": ("gold", """SELECT *, lag(rank_position) OVER w - rank_position AS rank_change, investment_score - lag(investment_score) OVER w AS score_change, substr(split_part(fin_tickers, ',', 1), 1, 20) AS top_ticker FROM (
+        SELECT *, rank() OVER (PARTITION BY year, month ORDER BY investment_score DESC) AS rank_position, rank() OVER (PARTITION BY year, month, country_code ORDER BY investment_score DESC) AS rank_within_country FROM gold)
+        WINDOW w AS (PARTITION BY city_sk ORDER BY year, month)"""),
+    "parameters": ("panel", """SELECT n_regionkey AS cluster_id, year AS estimation_year, regr_slope(veg, seal) AS beta1, regr_slope(pol, seal) AS beta2, avg(price) AS turning_point, regr_r2(veg, seal) AS r_squared, count(DISTINCT entity) AS n_cities
+        FROM panel JOIN supplier ON entity = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2"""),
 }

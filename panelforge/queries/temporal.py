@@ -105,7 +105,7 @@ def _(t):
 INDEX_VALUES = ", ".join(f"({m}, {w})" for m, w in fv.CARBON_MONTH_INDEX.items())
 
 
-@query("seasonal_disaggregation", "I10", "country:s year:i month:i gdp:d2", ctes("annual", f"SELECT country, year, m AS month, gdp * w AS gdp FROM annual, (VALUES {INDEX_VALUES}) AS i(m, w)"))
+@query("seasonal_disaggregation", "I10", "country:s year:i month:i gdp:d2", ctes("annual", f"SELECT country, year, m AS month, round(gdp * w, 4) AS gdp FROM annual, (VALUES {INDEX_VALUES}) AS i(m, w)"))
 def _(t):
     return op.disaggregate(t.annual(), "gdp")
 
