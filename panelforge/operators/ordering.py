@@ -37,18 +37,21 @@ def value_positions(df: DataFrame, keys: list[str], value: Column | str, descend
     floor = F.lit(bucket_rows or BUCKET_ROWS).cast("long")
     stride = counted.agg(F.greatest(floor, F.floor(F.sum("_n") / MAX_CUTS)).alias("s")).scalar()
     drawn = F.when(F.pmod(F.xxhash64(*g, "_v"), stride) == 0, F.col("_v"))
-    cuts = (
-        counted.groupBy(*g)
-        .agg(F.sort_array(F.collect_list(drawn)).alias("_cuts"), F.sum("_n").alias("_rows"))
-        .filter((F.size("_cuts") > 0) & (F.col("_rows") >= floor))
-        .drop("_rows")
-    )
     # At most about MAX_CUTS cut values exist over all groups, whatever the data size.
-    cut_key = [F.col(k).alias(f"_c{i}") for i, k in enumerate(g)]
-    cuts = F.broadcast(cuts.select(*cut_key, "_cuts"))
-    on = [(k, f"_c{i}") for i, k in enumerate(g)]
+    listed = F.sort_array(F.collect_list(drawn)).alias("_cuts")
+    if keys:
+        cuts = (
+            counted.groupBy(*g).agg(listed, F.sum("_n").alias("_rows"))
+            .filter((F.size("_cuts") > 0) & (F.col("_rows") >= floor))
+        )
+        cuts = F.broadcast(cuts.select(*[F.col(k).alias(f"_c{i}") for i, k in enumerate(g)], "_cuts"))
+        joined = counted.join(cuts, same(counted, cuts, [(k, f"_c{i}") for i, k in enumerate(g)]), "left")
+    else:
+        packed = counted.agg(listed, F.sum("_n").alias("_rows")).select(
+            F.when((F.size("_cuts") > 0) & (F.col("_rows") >= floor), F.col("_cuts")))
+        joined = counted.withColumn("_cuts", packed.scalar())
+    joined = joined.withColumn("_cut", F.col("_cuts").isNotNull())
     smaller = lambda c: c < F.col("_v")
-    joined = counted.join(cuts, same(counted, cuts, on), "left").withColumn("_cut", F.col("_cuts").isNotNull())
     every = F.transform(
         F.sequence(F.lit(STEP - 1), F.size("_cuts") - 1, F.lit(STEP)), lambda i: F.get("_cuts", i)
     )

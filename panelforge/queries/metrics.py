@@ -107,6 +107,7 @@ def _(t):
         LEFT JOIN (SELECT entity, year, avg(seal) AS seal, avg(price) AS tree FROM holed GROUP BY 1, 2) w ON w.entity = h.entity AND w.year = h.year
         LEFT JOIN old ON old.entity = h.entity AND old.year = h.year LEFT JOIN ratio ON ratio.entity = h.entity"""))
 def _(t):
+    t.stage("panel")
     code = t.cities().select(F.col("city_sk").alias("entity"), "city_code")
     h, p = t.holed().join(code, "entity"), t.panel().join(code, "entity")
     key = ["city_code", "year", "month"]

@@ -20,6 +20,7 @@ from ..streaming.storage import fresh_path
 class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._stored: dict[str, str] = {}
 
     def __call__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -27,11 +28,27 @@ class Tables:
     def scratch(self, name: str) -> str:
         return fresh_path(self.spark, name)
 
+    def stage(self, *names: str) -> None:
+        """Store roles that a query reads several times, as the pipeline stores its silver tables.
+
+        Each is one pass over its raw table; later uses read the far smaller result, and plans stay short.
+        """
+        for name in names:
+            if name not in self._stored:
+                path = self.scratch(name)
+                getattr(self, name)().write.parquet(path)
+                self._stored[name] = path
+
+    def _kept(self, name: str) -> DataFrame | None:
+        return self.spark.read.parquet(self._stored[name]) if name in self._stored else None
+
     def lookup(self, rows: list[tuple], schema: str) -> DataFrame:
         return self.spark.createDataFrame(rows, schema)
 
     # ---- roles ------------------------------------------------------------
     def panel(self) -> DataFrame:
+        if "panel" in self._stored:
+            return self._kept("panel")
         return self("lineitem").groupBy(
             F.col("l_suppkey").alias("entity"), F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"),
         ).agg(
@@ -65,6 +82,8 @@ class Tables:
         return per.join(c, "o_custkey").groupBy("country", *parts).agg(F.sum("amount").alias("amount"), F.sum("n").alias("n"))
 
     def annual(self) -> DataFrame:
+        if "annual" in self._stored:
+            return self._kept("annual")
         return self.orders_by("year").select("country", "year", (F.col("amount") / F.col("n")).alias("gdp"), "amount", "n")
 
     def priorities(self) -> DataFrame:
@@ -88,6 +107,8 @@ class Tables:
 
     # ---- star and gold ----------------------------------------------------
     def env(self) -> DataFrame:
+        if "env" in self._stored:
+            return self._kept("env")
         h = self.holed().select(
             F.col("entity").alias("city_sk"), "year", "month", F.col("veg").alias("ndvi_mean"), F.col("pol").alias("no2_mean"),
             F.col("seal").alias("imperviousness_mean"), F.col("seal").alias("pm25_mean"))
@@ -103,6 +124,7 @@ class Tables:
             (F.avg("l_extendedprice") / 1000).alias("ets_price_eur"))
 
     def economy(self) -> DataFrame:
+        self.stage("annual", "panel")
         gdp = self.annual().select(F.col("country").alias("country_code"), "year", "gdp").join(
             self.cities().select("city_code", "country_code"), "country_code").select("city_code", "year", "gdp")
         co2 = self.annual().select(F.col("country").alias("country_code"), "year", F.col("amount").alias("co2_kt"))
@@ -117,6 +139,7 @@ class Tables:
         return price.join(concat_distinct(m, keys, "ticker", ",", "fin_tickers"), keys, "left")
 
     def gold(self) -> DataFrame:
+        self.stage("panel", "annual", "env")
         eco = self.economy().select("city_sk", "year", "month", "gdp_monthly", "renewables_pct", "ets_price_eur")
         city = self.cities().select("city_sk", "city_code", "city_name", "country_code", "country_name")
         df = gold_fact(self.env(), city, eco, market=self.market_months()).drop("turning_point_phase", "gap_to_turning")
