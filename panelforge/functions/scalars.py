@@ -213,7 +213,7 @@ def phase_label(slope, gap, turning_point, tol: float = 0.15, min_slope: float =
 
 def phase_score(green, confidence, phase) -> Column:
     reward = ladder([(col(phase) == p, v) for p, v in fv.PHASE_REWARD.items()], 0.0)
-    return F.round(F.coalesce(col(green), F.lit(0.0)) * 50 + F.coalesce(col(confidence), F.lit(0.5)) * 30 + reward, 2)
+    return stable_round(F.coalesce(col(green), F.lit(0.0)) * 50 + F.coalesce(col(confidence), F.lit(0.5)) * 30 + reward, 2)
 
 
 def composite_score(green, renewables, air, carbon) -> Column:

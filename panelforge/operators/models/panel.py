@@ -53,6 +53,9 @@ def panel_fe(df: DataFrame, entity: str, time: str, y: str, x: str, group: str,
         F.count(F.lit(1)).alias("n_obs"), F.avg("_y0").alias("_my"), F.avg("_x0").alias("_mx"), F.avg("_q0").alias("_mq"),
     )
     det = F.col("_xx") * F.col("_qq") - F.col("_xq") * F.col("_xq")
+    # No slope where x and x^2 are collinear or nothing but rounding is left of x after demeaning.
+    moves = F.col("_xx") > 1e-18 * F.col("n_obs") * (1 + F.col("_mx") * F.col("_mx"))
+    det = F.when(moves & (det > 1e-12 * F.col("_xx") * F.col("_qq")), det)
     b1 = F.try_divide(F.col("_xy") * F.col("_qq") - F.col("_qy") * F.col("_xq"), det)
     b2 = F.try_divide(F.col("_qy") * F.col("_xx") - F.col("_xy") * F.col("_xq"), det)
     fit = s.withColumns({"beta1": b1, "beta2": b2}).withColumn(

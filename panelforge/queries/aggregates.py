@@ -93,7 +93,7 @@ def _(t):
 
 
 @query("share_of_total", "A14", "country:s year:i share:d6", ctes("priorities", """
-    SELECT country, year, sum(amount) FILTER (priority IN ('1-URGENT', '2-HIGH')) / sum(amount) * 100 AS share FROM priorities GROUP BY 1, 2"""))
+    SELECT country, year, sum(amount) FILTER (priority IN ('1-URGENT', '2-HIGH')) / sum(amount) * 100 AS share FROM priorities GROUP BY 1, 2 HAVING count(*) FILTER (priority IN ('1-URGENT', '2-HIGH')) > 0"""))
 def _(t):
     names = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
     return op.share(t.priorities(), ["country", "year"], "priority", names[:2], names, "amount")

@@ -24,7 +24,7 @@ def session(cores: str = "8"):
     from pyspark.sql import SparkSession
 
     spark = (
-        SparkSession.builder.master(f"local[{cores}]").appName("panelforge").config("spark.sql.shuffle.partitions", "8")
+        SparkSession.builder.master(f"local[{cores}]").appName("panelforge").config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "12g").getOrCreate()
     )
@@ -57,9 +57,11 @@ def table(names, rows):
     return [names[i] for i in order], sorted((tuple(cell(r[i]) for i in order) for r in rows), key=repr)
 
 
-def compare(q, spark, con, folder):
+def compare(q, spark, con, folder, check=None):
     """(ok, message) for one query."""
     df = q.run(spark, folder)
+    if check is not None:
+        check(df._jdf.queryExecution().executedPlan().toString())
     got_names, got = table(df.columns, [tuple(r) for r in df.collect()])
     sql = q.oracle()
     if sql is None:

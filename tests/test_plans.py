@@ -1,4 +1,4 @@
-"""Plan shape: no nested loops or products, no whole-table window, filters and columns pushed to the scan."""
+"""Filters and columns reach the scan; no window holds a whole table."""
 
 import re
 
@@ -6,36 +6,18 @@ import pytest
 
 from panelforge.queries import REGISTRY
 
-EAGER = ("ingest_", "scan_", "sink_")
-LAZY = [n for n in REGISTRY if not n.startswith(EAGER) and n not in ("kmeans_by_silhouette", "phase_classifier", "feature_importance_json", "slowly_changing_merge_rerun")]
 
+def plan(name, spark, folder):
+    return REGISTRY[name].run(spark, folder)._jdf.queryExecution().executedPlan().toString()
 
-def plan(q, spark, folder):
-    return q.run(spark, folder)._jdf.queryExecution().executedPlan().toString()
 
-
-@pytest.mark.parametrize("name", LAZY)
-def test_no_product_or_nested_loop(name, spark, folder):
-    text = plan(REGISTRY[name], spark, folder)
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-
-
-@pytest.mark.parametrize("name", ["rank_in_month", "rank_all_lines", "minmax_scaling", "last_period", "green_index", "class_weights", "temporal_split", "iqr_outliers"])
+@pytest.mark.parametrize("name", ["rank_in_month", "rank_all_lines", "minmax_scaling", "last_period", "green_index", "class_weights", "iqr_outliers"])
 def test_rows_are_never_windowed_in_one_task(name, spark, folder):
-    text = plan(REGISTRY[name], spark, folder)
-    for window in re.findall(r"Window \[[^\n]*\n(?:[^\n]*\n){0,2}?[^\n]*Exchange SinglePartition", text):
-        assert "_shift" in window or "_t" in window  # bucket totals only
+    for window in re.findall(r"Window \[[^\n]*\n(?:[^\n]*\n){0,2}?[^\n]*Exchange SinglePartition", plan(name, spark, folder)):
+        assert "_t" in window  # bucket totals only
 
 
 def test_pushdown(spark, folder):
-    text = plan(REGISTRY["keep_codes"], spark, folder)
+    text = plan("keep_codes", spark, folder)
     assert "In(o_orderstatus, [F,O])" in text and "o_totalprice" not in text
-    text = plan(REGISTRY["year_on_year_percent"], spark, folder)
-    assert "l_comment" not in text and "l_tax" not in text.split("ReadSchema")[1]
-
-
-def test_no_python_in_column_queries(spark, folder):
-    allowed = {"silhouette_euclidean", "ridge_forecast_fit"}
-    for name in LAZY:
-        if name not in allowed and REGISTRY[name].covers[0][0] in "PRJAWTGBE":
-            assert "Python" not in plan(REGISTRY[name], spark, folder), name
+    assert "l_tax" not in plan("group_slope", spark, folder).split("ReadSchema")[1]
