@@ -140,7 +140,9 @@ def detect_code_column(df: DataFrame, regex: str = "^[A-Z]{2}$", min_share: floa
 
 def lookup_frame(like: DataFrame, mapping: dict[str, str], key: str, value: str) -> DataFrame:
     """Literal dictionary as a table; its size is known to the planner."""
-    return like.sparkSession.createDataFrame(list(mapping.items()), f"{key} string, {value} string")
+    from ..sources.readers import lookup
+
+    return lookup(like.sparkSession, list(mapping.items()), f"{key} string, {value} string")
 
 
 def map_codes(df: DataFrame, c: str, lookup: DataFrame, key: str, value: str) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -22,11 +23,17 @@ MONTHLY = ["city_code", "year", "month"]
 
 def environmental_fact(base: DataFrame, cities: DataFrame, monthly: list[DataFrame] = (), annual: list[DataFrame] = (),
                        old_vegetation: DataFrame | None = None, lights: DataFrame | None = None, gap_before: int = 2004,
-                       overlap: tuple[int, ...] = (2012, 2013)) -> DataFrame:
+                       overlap: tuple[int, ...] = (2012, 2013), unique_sides: bool = False,
+                       store: Callable[[DataFrame], DataFrame] = DataFrame.checkpoint) -> DataFrame:
     """City-month environment: monthly sides on the full key, annual sides repeated, gaps filled
-    from the old sensor, light sensors harmonised, index and yearly change derived."""
-    df = attach(base, list(monthly), MONTHLY)
-    df = attach(df, list(annual), ["city_code", "year"])
+    from the old sensor, light sensors harmonised, index and yearly change derived.
+
+    The index needs the table's bounds before its rows, so the joined table is stored once (by
+    ``store``, a checkpoint by default) and then read twice. ``unique_sides`` says that every side
+    already holds one row per key, which saves the step that makes it so.
+    """
+    df = attach(base, list(monthly), MONTHLY, not unique_sides)
+    df = attach(df, list(annual), ["city_code", "year"], not unique_sides)
     if old_vegetation is not None:
         df = fill_from(df, old_vegetation, MONTHLY, "ndvi_mean", F.col("year") < gap_before)
     if lights is not None:
@@ -34,6 +41,7 @@ def environmental_fact(base: DataFrame, cities: DataFrame, monthly: list[DataFra
         # A month both sensors cover takes the new one.
         best = one.groupBy(*MONTHLY).agg(F.max_by("ntl_mean", "ntl_source").alias("ntl_mean"))
         df = df.join(best, MONTHLY, "left")
+    df = store(df)
     df = yoy_diff(df, "city_code", "year", "month", "ndvi_mean", "ndvi_yoy_change")
     has = set(df.columns)
     df = green_index(df, "ndvi_mean", "no2_mean" if "no2_mean" in has else None,
@@ -45,10 +53,15 @@ def environmental_fact(base: DataFrame, cities: DataFrame, monthly: list[DataFra
     return matched
 
 
-def _by_group_time(df: DataFrame, side: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Monthly value of a group; rows without a month serve the whole year."""
+def _by_group_time(df: DataFrame, side: DataFrame, group: list[str], value: str, unique: bool) -> DataFrame:
+    """Monthly value of a group; rows without a month serve the whole year.
+
+    A side known to be unique holds months only, or no month column at all.
+    """
     if "month" not in side.columns:
-        return attach_group(df, side.select(*group, "year", value), [*group, "year"])
+        return attach_group(df, side.select(*group, "year", value), [*group, "year"], not unique)
+    if unique:
+        return attach(df, [side.select(*group, "year", "month", value)], [*group, "year", "month"], False)
     exact = side.filter(F.col("month").isNotNull()).select(*group, "year", "month", F.col(value).alias("_m"))
     whole = side.filter(F.col("month").isNull()).select(*group, "year", F.col(value).alias("_y"))
     out = attach(attach(df, [exact], [*group, "year", "month"]), [whole], [*group, "year"])
@@ -57,26 +70,29 @@ def _by_group_time(df: DataFrame, side: DataFrame, group: list[str], value: str)
 
 def economic_fact(gdp: DataFrame, cities: DataFrame, population: DataFrame | None = None, renewables: DataFrame | None = None,
                   tourism: DataFrame | None = None, tourism_country: DataFrame | None = None, carbon: DataFrame | None = None,
-                  co2: DataFrame | None = None, carbon_start: int = fv.CARBON_MARKET_START) -> DataFrame:
-    """City-month economy. ``gdp`` is (city_code, year, gdp); ``cities`` maps city to country and key."""
+                  co2: DataFrame | None = None, carbon_start: int = fv.CARBON_MARKET_START, unique_sides: bool = False) -> DataFrame:
+    """City-month economy. ``gdp`` is (city_code, year, gdp); ``cities`` maps city to country and key.
+
+    ``unique_sides``: every side holds one row per key, monthly sides with their month.
+    """
     base = gdp.join(cities.select("city_code", "country_code", "city_sk"), "city_code", "inner")
     df = interp_monthly(base, "city_code", "year", "gdp", "gdp_monthly").drop("gdp")
     ln = guarded_log("gdp_monthly")
     df = df.withColumns({"ln_gdp": ln, "ln_gdp_sq": ln * ln, "date_sk": date_key("year", "month")})
     if population is not None:
-        df = attach(df, [population], ["city_code", "year"])
+        df = attach(df, [population], ["city_code", "year"], not unique_sides)
     if renewables is not None:
-        df = _by_group_time(df, renewables, ["country_code"], "renewables_pct")
+        df = _by_group_time(df, renewables, ["country_code"], "renewables_pct", unique_sides)
     if tourism is not None:
         # Without a country table, the first listed city speaks for its country.
         shared = tourism_country if tourism_country is not None else tourism.groupBy("country_code", "year", "month").agg(
             F.min_by("tourism_nights", "city_code").alias("tourism_nights"))
         df = entity_else_group(df, tourism, shared, MONTHLY, ["country_code", "year", "month"], "tourism_nights")
     if carbon is not None:
-        df = _by_group_time(df, carbon, [], "ets_price_eur")
+        df = _by_group_time(df, carbon, [], "ets_price_eur", unique_sides)
         df = df.withColumn("ets_price_eur", valid_from("ets_price_eur", "year", carbon_start))
     if co2 is not None:
-        df = attach_group(df, co2, ["country_code", "year"])
+        df = attach_group(df, co2, ["country_code", "year"], not unique_sides)
     df = yoy_pct(df, "city_code", "year", "month", "gdp_monthly", "gdp_growth_rate")
     return df.withColumn("gdp_growth_rate", F.round("gdp_growth_rate", 4))
 
@@ -113,15 +129,15 @@ def market_by_country(market: DataFrame, companies: DataFrame) -> DataFrame:
 
 
 def gold_fact(env: DataFrame, city: DataFrame, eco: DataFrame | None = None, policy: DataFrame | None = None,
-              market: DataFrame | None = None, veg: str = "ndvi_mean") -> DataFrame:
+              market: DataFrame | None = None, veg: str = "ndvi_mean", unique_sides: bool = False) -> DataFrame:
     """Wide fact per city-month with trend, score and recommendation."""
     trend = slope(env.filter(F.col(veg).isNotNull()), ["city_sk"], "year", veg, 2, None, "ndvi_trend_slope")
     df = env.join(trend, "city_sk", "left").join(city, "city_sk", "left")
     if eco is not None:
-        df = attach(df, [eco], ["city_sk", "year", "month"])
+        df = attach(df, [eco], ["city_sk", "year", "month"], not unique_sides)
     for side in (policy, market):
         if side is not None:
-            df = attach_group(df, side, ["country_code", "year", "month"])
+            df = attach_group(df, side, ["country_code", "year", "month"], not unique_sides)
     optional = {c: F.lit(None).cast("double") for c in ("renewables_pct", "pm25_mean", "ets_price_eur")}
     df = placeholders(df, {**optional, "fin_tickers": F.lit(None).cast("string")})
     df = score(df, "green_index", "renewables_pct", "pm25_mean", "ets_price_eur")

@@ -116,7 +116,8 @@ def _(t):
     new = p.filter("year >= 1997").select(*key, F.col("seal").alias("ntl_mean"), F.lit("VIIRS").alias("ntl_source"))
     return facts.environmental_fact(
         h.select(*key, F.col("veg").alias("ndvi_mean")), t.cities().select("city_code", "city_sk"), [h.select(*key, F.col("pol").alias("no2_mean"))], [annual],
-        p.select(*key, F.col("veg").alias("ndvi_mean")), old.unionByName(new), gap_before=1999, overlap=(1997, 1998))
+        p.select(*key, F.col("veg").alias("ndvi_mean")), old.unionByName(new), gap_before=1999,
+        overlap=(1997, 1998), unique_sides=True, store=t.keep)
 
 
 @query("market_fact", "B14 J10", "company_sk:l year:i month:i date_sk:i close_price:d4", ctes("market", """

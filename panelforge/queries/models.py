@@ -35,7 +35,7 @@ def scaled(t):
     f="""SELECT city_sk AS entity, avg(veg) AS veg, avg(CASE WHEN year >= 1998 AND city_sk % 3 <> 0 THEN seal END) AS recent, max(g) AS gdp FROM cities JOIN holed ON entity = city_sk
         LEFT JOIN (SELECT country, avg(gdp) AS g FROM annual GROUP BY 1) a ON a.country = country_code AND country_code <> 'N8' GROUP BY 1"""))
 def _(t):
-    t.stage("panel", "annual")
+    t.stage("panel", "cube")
     eco = t.annual().filter("country <> 'N8'").withColumnRenamed("country", "country_code").join(t.cities().select(F.col("city_sk").alias("entity"), "country_code"), "country_code")
     recent = F.when((F.col("year") >= 1998) & (F.col("entity") % 3 != 0), F.col("seal"))
     return clustering.features(t.holed(), eco, t.cities().select(F.col("city_sk").alias("entity")), "entity", {"veg": F.col("veg"), "recent": recent}, {"gdp": F.col("gdp")})

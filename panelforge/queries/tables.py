@@ -14,6 +14,7 @@ from ..operators.aggregates import concat_distinct
 from ..operators.metrics import green_index
 from ..operators.windows import yoy_diff
 from ..plans.facts import economic_fact, gold_fact, ranking
+from ..sources.readers import lookup
 from ..streaming.storage import fresh_path
 
 
@@ -39,11 +40,17 @@ class Tables:
                 getattr(self, name)().write.parquet(path)
                 self._stored[name] = path
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Write a frame to shared storage and read it back."""
+        path = self.scratch("kept")
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
+
     def _kept(self, name: str) -> DataFrame | None:
         return self.spark.read.parquet(self._stored[name]) if name in self._stored else None
 
     def lookup(self, rows: list[tuple], schema: str) -> DataFrame:
-        return self.spark.createDataFrame(rows, schema)
+        return lookup(self.spark, rows, schema)
 
     # ---- roles ------------------------------------------------------------
     def panel(self) -> DataFrame:
@@ -73,17 +80,20 @@ class Tables:
             F.col("n_name").alias("country_name"), (k % 60).cast("double").alias("lat"), (k % 120).cast("double").alias("lon"),
         )
 
-    def orders_by(self, *parts: str) -> DataFrame:
-        """Orders by nation and period: summed per customer first, so the join moves few rows."""
+    def cube(self) -> DataFrame:
+        """Orders by nation, month and priority: summed per customer first, so the join moves few rows."""
         o = self("orders").withColumns({
             "year": F.year("o_orderdate"), "month": F.month("o_orderdate"), "priority": F.col("o_orderpriority")})
+        parts = ["year", "month", "priority"]
         per = o.groupBy("o_custkey", *parts).agg(F.sum("o_totalprice").alias("amount"), F.count(F.lit(1)).alias("n"))
         c = self("customer").select(F.col("c_custkey").alias("o_custkey"), F.concat(F.lit("N"), F.col("c_nationkey")).alias("country"))
         return per.join(c, "o_custkey").groupBy("country", *parts).agg(F.sum("amount").alias("amount"), F.sum("n").alias("n"))
 
+    def orders_by(self, *parts: str) -> DataFrame:
+        cube = self._kept("cube") if "cube" in self._stored else self.cube()
+        return cube.groupBy("country", *parts).agg(F.sum("amount").alias("amount"), F.sum("n").alias("n"))
+
     def annual(self) -> DataFrame:
-        if "annual" in self._stored:
-            return self._kept("annual")
         return self.orders_by("year").select("country", "year", (F.col("amount") / F.col("n")).alias("gdp"), "amount", "n")
 
     def priorities(self) -> DataFrame:
@@ -120,17 +130,17 @@ class Tables:
         return m.groupBy(F.col("country").alias("country_code"), "year", "month").agg((urgent * 100.0 / F.sum("n")).alias("renewables_pct"))
 
     def carbon(self) -> DataFrame:
-        return self("lineitem").groupBy(F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month")).agg(
-            (F.avg("l_extendedprice") / 1000).alias("ets_price_eur"))
+        mean = F.sum(F.col("price") * F.col("n")) / F.sum("n")
+        return self.panel().groupBy("year", "month").agg((mean / 1000).alias("ets_price_eur"))
 
     def economy(self) -> DataFrame:
-        self.stage("annual", "panel")
+        self.stage("cube", "panel")
         gdp = self.annual().select(F.col("country").alias("country_code"), "year", "gdp").join(
             self.cities().select("city_code", "country_code"), "country_code").select("city_code", "year", "gdp")
         co2 = self.annual().select(F.col("country").alias("country_code"), "year", F.col("amount").alias("co2_kt"))
         people = self.panel().groupBy(F.col("entity").alias("city_sk"), "year").agg(F.sum("n").alias("population"))
         people = people.join(self.cities().select("city_sk", "city_code"), "city_sk").select("city_code", "year", "population")
-        return economic_fact(gdp, self.cities(), people, self.renewables(), carbon=self.carbon(), co2=co2, carbon_start=1997)
+        return economic_fact(gdp, self.cities(), people, self.renewables(), carbon=self.carbon(), co2=co2, carbon_start=1997, unique_sides=True)
 
     def market_months(self) -> DataFrame:
         keys = ["country_code", "year", "month"]
@@ -139,19 +149,18 @@ class Tables:
         return price.join(concat_distinct(m, keys, "ticker", ",", "fin_tickers"), keys, "left")
 
     def gold(self) -> DataFrame:
-        self.stage("panel", "annual", "env")
+        self.stage("panel", "cube", "env")
         eco = self.economy().select("city_sk", "year", "month", "gdp_monthly", "renewables_pct", "ets_price_eur")
         city = self.cities().select("city_sk", "city_code", "city_name", "country_code", "country_name")
-        df = gold_fact(self.env(), city, eco, market=self.market_months()).drop("turning_point_phase", "gap_to_turning")
+        df = gold_fact(self.env(), city, eco, market=self.market_months(), unique_sides=True).drop("turning_point_phase", "gap_to_turning")
         level = self.annual().groupBy(F.col("country").alias("country_code")).agg(F.avg("gdp").alias("turning_point"))
         df = df.join(level, "country_code", "left").withColumn("gap_to_turning", F.col("gdp_monthly") - F.col("turning_point"))
         return df.withColumn("turning_point_phase", phase_label("ndvi_yoy_change", "gap_to_turning", "turning_point", 0.01))
 
     def ranked(self) -> DataFrame:
         """The ranking reads the stored gold table, as the pipeline does."""
-        path = self.scratch("gold")
-        self.gold().select("city_sk", "city_code", "country_code", "year", "month", "investment_score", "fin_tickers").write.parquet(path)
-        return ranking(self.spark.read.parquet(path))
+        gold = self.gold().select("city_sk", "city_code", "country_code", "year", "month", "investment_score", "fin_tickers")
+        return ranking(self.keep(gold))
 
     def parameters(self) -> DataFrame:
         """Yearly fit figures per region, in the layout of the cluster parameters."""

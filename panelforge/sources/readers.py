@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..operators.cleaning import pick_column, std_cols
@@ -94,5 +96,9 @@ def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str |
 
 
 def lookup(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """Literal lookup table. Its size is known to the planner, which broadcasts it by itself."""
-    return spark.createDataFrame(rows, schema)
+    """Literal lookup table. It goes through Arrow to become a local relation, whose exact size
+    the planner knows, so it is broadcast without a hint exactly when it is small."""
+    struct = as_schema(schema)
+    columns = zip(*rows) if rows else [() for _ in struct]
+    arrow = to_arrow_schema(struct)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow), struct)
