@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ...functions import fixed_values as fv
 from ..windows import fill
@@ -74,12 +74,18 @@ def phase_classifier(train: DataFrame, full: DataFrame, features: list[str], lab
     return out, dict(zip(used, [float(v) for v in model.featureImportances.toArray()]))
 
 
-def top_importance(df: DataFrame, name: str, value: str, keys: list[str] = (), k: int = 5, out: str = "top_json") -> DataFrame:
-    """The k largest entries as a JSON object, largest first. Combines to k entries before the shuffle's end."""
+def top_importance(df: DataFrame, name: str, value: str, keys: list[str] = (), k: int = 5, out: str = "top_json",
+                   salts: int = 64) -> DataFrame:
+    """The k largest entries as a JSON object, largest first; equal values by name.
+
+    Each hashed slice of a group keeps its k best, so at most ``salts * k`` entries of a group meet.
+    """
+    slice_ = F.pmod(F.xxhash64(name), F.lit(salts))
+    best = Window.partitionBy(*keys, slice_).orderBy(F.col(value).desc(), F.col(name))
+    kept = df.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k)
     pairs = F.array_sort(F.collect_list(F.struct((-F.col(value)).alias("v"), F.col(name).alias("n"))))
-    top = F.slice(pairs, 1, k)
-    entries = F.transform(top, lambda e: F.struct(e["n"].alias("key"), (-e["v"]).alias("value")))
-    return df.groupBy(*keys).agg(F.to_json(F.map_from_entries(entries)).alias(out))
+    entries = F.transform(F.slice(pairs, 1, k), lambda e: F.struct(e["n"].alias("key"), (-e["v"]).alias("value")))
+    return kept.groupBy(*keys).agg(F.to_json(F.map_from_entries(entries)).alias(out))
 
 
 def importance_frame(spark, importances: dict[str, float]) -> DataFrame:
