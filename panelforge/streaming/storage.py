@@ -5,15 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is configured (tests)."""
+    """The folder named in ``spark.checkpoint.dir``.
+
+    Where none is named, one machine that holds driver and executors (``local[n]``) gets one temporary folder for the
+    session; a cluster is refused, as its executors would each write to their own disk.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="spark-")
+        if known.isDefined():
+            folder = known.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+            spark.sparkContext.setCheckpointDir(folder)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return folder.rstrip("/")
 
 
@@ -24,5 +34,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path nobody else writes to, on shared storage."""
-    ensure_checkpoint_dir(spark)
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df`` written as Parquet to shared storage and read again: lost executors cost no recomputation."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
