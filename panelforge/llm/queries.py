@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate, near_dedup, quality
+from ..streaming.storage import fresh_path
+from . import decontaminate, near_dedup, pieces, quality, token_records
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -23,6 +24,13 @@ def digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def piece_model() -> bytes:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        return f.read()
+
+
 @query
 def op3_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = near_dedup.classes(table(spark, folder, "documents"))
@@ -44,3 +52,25 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.assess(table(spark, folder, "documents").select("doc_id", "text", "lang", "source"))
     q = F.col("quality")
     return judged.select("doc_id", *[q[c].alias(c) for c in (*quality.COUNTS, "base_failed", "kept", "distance")])
+
+
+@query
+def op6_token_records(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    place = fresh_path(spark, "records")
+    written = token_records.write(table(spark, folder, "documents"), place, spec)
+    back = token_records.read(written, place)
+    return back.select(F.col("key").alias("doc_id"), "start", F.size("ids").cast("long").alias("n_tokens"),
+                       token_records.ids_crc32(F.col("ids")).alias("ids_crc32"))
+
+
+@query
+def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    found = pieces.pieces(table(spark, folder, "documents").select("doc_id", "text"), piece_model())
+    p = F.col("pieces")
+    return found.select("doc_id", F.size(p["ids"]).cast("long").alias("n_tokens"),
+                        digest(F.array_join(p["ids"].cast("array<string>"), ",")).alias("ids_sha256"),
+                        digest(p["decoded"]).alias("decoded_sha256"))
