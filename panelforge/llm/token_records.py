@@ -20,7 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 MAGIC = b"TOKREC\x01"
 MASK = 0xA282EAD8
@@ -202,7 +203,7 @@ def read(rows: DataFrame, folder: str, most: int = 8 << 20) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, values], [*names, "ids"])
                 i = j
 
-    return rows.mapInArrow(run, rows.schema.add("ids", "array<int>"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def ids_crc32(ids):
@@ -212,7 +213,7 @@ def ids_crc32(ids):
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
             flat = b.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-            ends = np.cumsum([0, *[x or 0 for x in pa.compute.list_value_length(b).to_pylist()]])
+            ends = np.cumsum([0, *[x or 0 for x in pc.list_value_length(b).to_pylist()]])
             yield pa.array([zlib.crc32(flat[s:e].tobytes()) for s, e in zip(ends[:-1], ends[1:])], pa.int64())
 
     return made(ids)
