@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-#: A worker forgets its parts beyond so many.
-REMEMBERED = 1 << 19
+#: A worker keeps the parts of its last texts: so many, and as many before them.
+REMEMBERED = 1 << 18
 
 
 class Model:
@@ -56,6 +57,7 @@ class Model:
             alone = "" if "\n" in longer else "\n"
             self.parts = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + f"|{alone}" * bool(alone))
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def agenda(self, part: str) -> list[int]:
         """Ids of one part."""
@@ -103,11 +105,11 @@ class Model:
         marked = MARK + text.replace(" ", MARK)
         parts = [marked] if self.parts is None else self.parts.findall(marked)
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         for p in parts:
             if p not in known:
-                known[p] = np.array(self.agenda(p), np.int32).tobytes()
+                known[p] = older[p] if p in older else np.array(self.agenda(p), np.int32).tobytes()
         return np.frombuffer(b"".join(map(known.__getitem__, parts)), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
@@ -132,6 +134,12 @@ class Model:
         return "".join(out)[skip:]
 
 
+@lru_cache(1)
+def model_of(proto: bytes) -> Model:
+    """One model for all tasks of a worker."""
+    return Model(proto)
+
+
 def _utf8(run: bytes) -> str:
     """Characters of a run of bytes; each byte that belongs to none is a replacement character."""
     try:
@@ -158,7 +166,7 @@ def encoded(text: Column, proto: bytes, decode: bool = True) -> Column:
 
     @F.arrow_udf("struct<ids:array<int>,decoded:string>")
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = Model(proto)
+        model = model_of(proto)
         for batch in batches:
             ids = [model.encode(t or "") for t in batch.to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)

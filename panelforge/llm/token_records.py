@@ -17,6 +17,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,11 @@ NULL_ID = -(1 << 63)
 INDEX = "part int, file string, offset long, length long, key long, n_tokens long, at long"
 #: A single blank or line break between two other characters always starts a token of its own or the next word's token.
 APART = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=\S\n)(?=\S)")
-PLAIN, UNITS = re.compile(r"[ \n]\s|\s[ \n]"), re.compile(r"\n| ?[^ \n]+")
-#: A worker forgets its units beyond so many.
-REMEMBERED = 1 << 19
+#: So does a mark after a letter; letters here are those of Latin-1.
+PLAIN = re.compile(r"[ \n]\s|\s[ \n]")
+UNITS = re.compile(r"\n| ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,;:!?*#%$&| \n]|\Z)|[.,;:!?*#%$&|]+(?=[ \n]|\Z)| ?[^ \n]+")
+#: A worker keeps the units of its last texts: so many, and as many before them.
+REMEMBERED = 1 << 18
 
 
 def masked(data: bytes) -> int:
@@ -78,12 +81,19 @@ class Encoder:
         self.library.encode_special_tokens = True
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [cut(t) for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = [u for u in set().union(*parts) if u not in self.known]
+            self.known, self.older = {}, self.known
+        new = []
+        for u in set().union(*parts):
+            if u not in self.known:
+                if u in self.older:
+                    self.known[u] = self.older[u]
+                else:
+                    new.append(u)
         for i in range(0, len(new), 1024):
             some = new[i:i + 1024]
             for unit, e in zip(some, self.library.encode_batch(some, add_special_tokens=False)):
@@ -91,6 +101,12 @@ class Encoder:
         return [b"".join(map(self.known.__getitem__, p)) for p in parts]
 
 
+@lru_cache(1)
+def encoder(spec: str) -> Encoder:
+    """One encoder for all tasks of a worker."""
+    return Encoder(spec)
+
+
 def groups(values: list, most: int) -> Iterator[list]:
     """Runs of texts of about ``most`` characters, so that memory follows the texts, not the batch."""
     run, size = [], 0
@@ -118,25 +134,25 @@ def write(docs: DataFrame, folder: str, spec: str, key: str = "doc_id", text: st
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(spec)
+        tokens = encoder(spec)
         store, root = fs.FileSystem.from_uri(folder)
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}.rec"
-        stop, out, place, at = np.array([end], f"<u{encoder.width}").tobytes(), None, 8, 0
+        stop, out, place, at = np.array([end], f"<u{tokens.width}").tobytes(), None, 8, 0
         try:
             for batch in batches:
                 rows = []
                 keys = iter(batch.column(0).to_pylist())
-                for some in groups([t or "" for t in batch.column(1).to_pylist()], 1 << 22):
+                for some in groups([t or "" for t in batch.column(1).to_pylist()], 1 << 20):
                     if out is None:
                         store.create_dir(root, recursive=True)
                         out = store.open_output_stream(f"{root}/{name}")
-                        out.write(MAGIC + bytes([encoder.width]))
-                    for ids in encoder.encode(some):
+                        out.write(MAGIC + bytes([tokens.width]))
+                    for ids in tokens.encode(some):
                         k = next(keys)
                         record = frame(struct.pack("<q", NULL_ID if k is None else k) + ids + stop)
                         out.write(record)
-                        n = len(ids) // encoder.width + 1
+                        n = len(ids) // tokens.width + 1
                         rows.append((part, name, place, len(record), k, n, at))
                         place, at = place + len(record), at + n
                 yield pa.RecordBatch.from_arrays(
