@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..streaming.storage import fresh_path
-from . import decontaminate, near_dedup, pieces, quality, token_records
+from . import decontaminate, near_dedup, pieces, quality, substring_dedup, token_records
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -74,3 +74,8 @@ def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.size(p["ids"]).cast("long").alias("n_tokens"),
                         digest(F.array_join(p["ids"].cast("array<string>"), ",")).alias("ids_sha256"),
                         digest(p["decoded"]).alias("decoded_sha256"))
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, folder, "documents")).withColumnRenamed("key", "doc_id")
