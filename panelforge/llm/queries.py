@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..streaming.storage import fresh_path
-from . import decontaminate, near_dedup, pieces, quality, substring_dedup, token_records
+from . import decontaminate, near_dedup, pieces, pii, quality, substring_dedup, token_records
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -31,6 +31,13 @@ def piece_model() -> bytes:
         return f.read()
 
 
+@query
+def op1_weak_supervision_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "pii.*")
+    counts = [F.size(pii.only(F.col("base"), k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, digest(pii.listed(F.col("base"))).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 @query
 def op3_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = near_dedup.classes(table(spark, folder, "documents"))
