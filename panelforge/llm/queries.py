@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..streaming.storage import fresh_path
-from . import decontaminate, near_dedup, pieces, pii, quality, substring_dedup, token_records
+from . import decontaminate, near_dedup, pieces, pii, quality, sharding, substring_dedup, token_records, token_rollup, url_lists
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -86,3 +86,108 @@ def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, folder, "documents")).withColumnRenamed("key", "doc_id")
+
+
+SHARD_BYTES = 1 << 20
+
+
+@query
+def op2_extendible_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    dealt = sharding.assign(table(spark, folder, "documents").select("doc_id", "text"), SHARD_BYTES)
+    return dealt.select("doc_id", F.col("shard.name").alias("shard"), F.col("shard.rows").alias("shard_rows"), F.col("shard.bytes").alias("shard_bytes"))
+
+
+SQL["op2_extendible_sharding"] = f"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h, coalesce(strlen(text), 0) AS n FROM documents
+), walk AS (
+    SELECT doc_id, h, n, 0 AS depth, sum(n) OVER () AS bytes, count(*) OVER () AS num FROM d
+    UNION ALL
+    SELECT doc_id, h, n, depth + 1, sum(n) OVER (PARTITION BY h >> (59 - depth)), count(*) OVER (PARTITION BY h >> (59 - depth))
+    FROM walk WHERE bytes > {SHARD_BYTES} AND num > 1 AND depth < 60
+), leaf AS (SELECT * FROM walk WHERE bytes <= {SHARD_BYTES} OR num = 1)
+SELECT doc_id, CASE WHEN depth = 0 THEN '*' ELSE lpad(bin(h >> (60 - depth)), depth, '0') END AS shard,
+    CAST(num AS BIGINT) AS shard_rows, CAST(bytes AS BIGINT) AS shard_bytes
+FROM leaf"""
+
+#: The tables hold no fetch times and no lists. Both follow from ``pages``: a page is fetched on a day of 2024 that its id fixes, and
+#: two lists add and remove hosts, and the sites above them, on days that the host's name fixes.
+DAYS = 365
+
+
+def day_of(value: Column, salt: str) -> Column:
+    n = F.conv(F.substring(F.md5(F.concat(F.lit(salt), value.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % DAYS
+    return F.timestamp_seconds(F.lit(1704067200) + n * 86400)
+
+
+@query
+def op5_temporal_url_lists(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_at", day_of(F.col("page_id"), "fetch:"))
+    hosts = pages.select(url_lists.host_of(F.col("url")).alias("host")).filter("host is not null").distinct()
+    sites = hosts.select(F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1).alias("host")).filter("host != ''").distinct()
+    entries = None
+    for name, of in (("hosts", hosts), ("sites", sites)):
+        for salt, added in (("add:", True), ("remove:", False), ("again:", True)):
+            part = of.select(F.lit(name).alias("list"), "host", day_of(F.col("host"), salt + name).alias("at"), F.lit(added).alias("added"))
+            entries = part if entries is None else entries.unionByName(part)
+    v = F.col("verdict")
+    return url_lists.evaluate(captures, entries).select(
+        "page_id", v["blocked"].alias("blocked"), v["entries"].alias("n_entries"), v["lists"].alias("lists"), v["host"].alias("listed_host"))
+
+
+def _day(value: str, salt: str) -> str:
+    return f"(('0x' || substr(md5('{salt}' || CAST({value} AS VARCHAR)), 1, 8))::BIGINT % {DAYS})"
+
+
+_HOST = r"nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)', 1), '\.$', ''), '')"
+SQL["op5_temporal_url_lists"] = f"""
+WITH p AS (SELECT page_id, {_HOST} AS host, {_day('page_id', 'fetch:')} AS d FROM pages),
+s AS (SELECT 'hosts' AS list, host FROM (SELECT DISTINCT host FROM p WHERE host IS NOT NULL) UNION ALL
+      SELECT 'sites', site FROM (SELECT DISTINCT regexp_extract(host, '([^.]+\\.[^.]+)$', 1) AS site FROM p) WHERE site <> ''),
+e AS (SELECT list, host, {_day('host', "add:' || list || '")} AS a, {_day('host', "remove:' || list || '")} AS r, {_day('host', "again:' || list || '")} AS g FROM s),
+hit AS (
+    SELECT p.page_id, e.list, e.host FROM p JOIN e ON p.host = e.host OR ends_with(p.host, '.' || e.host)
+    WHERE (a <> r AND a <= d AND NOT (a < r AND r <= d) OR g <> r AND g <= d AND NOT (g < r AND r <= d)))
+SELECT p.page_id, count(hit.host) > 0 AS blocked, CAST(count(hit.host) AS BIGINT) AS n_entries,
+    coalesce(string_agg(DISTINCT hit.list, ',' ORDER BY hit.list), '') AS lists, arg_max(hit.host, length(hit.host)) AS listed_host
+FROM p LEFT JOIN hit ON p.page_id = hit.page_id GROUP BY p.page_id"""
+
+
+@query
+def op7_token_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document is inserted with its whole text's counts; a tenth is then deleted, and a fifth recounted under another source."""
+    docs = table(spark, folder, "documents")
+    counted = docs.select("doc_id", "source", "lang", F.explode(F.array(
+        F.struct(F.lit("words-1").alias("tokenizer"), token_rollup.count_words(F.col("text")).alias("n")),
+        F.struct(F.lit("marks-1").alias("tokenizer"), token_rollup.count_marks(F.col("text")).alias("n")))).alias("c"))
+    fate = F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 10
+    image = lambda source, n: F.struct(source.alias("source"), "lang", F.col("c.tokenizer").alias("tokenizer"), n.alias("n_tokens"))
+    first = image(F.col("source"), F.col("c.n"))
+    moved = image(F.concat(F.lit("moved-"), "source"), F.col("c.n") + 1)
+    step = lambda batch, old, new: F.struct(F.lit(batch).cast("long").alias("batch"), old.alias("old"), new.alias("new"))
+    steps = F.array(step(1, F.when(F.lit(False), first), first), F.when(fate == 0, step(2, first, F.when(F.lit(False), first))),
+                    F.when(fate.isin(1, 2), step(3, first, moved)))
+    changes = counted.select(F.explode(F.filter(steps, lambda s: s.isNotNull())).alias("s")).select("s.*")
+    path = fresh_path(spark, "rollup")
+    token_rollup.apply(path, changes)
+    token_rollup.apply(path, changes.filter("batch = 3"))  # delivered twice, counted once
+    return token_rollup.totals(spark, path)
+
+
+SQL["op7_token_rollup"] = r"""
+WITH d AS (
+    SELECT source, lang, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 10 AS fate,
+        len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words,
+        length(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', 'a', 'g'), '[\x00-\x20\x7F]+', '', 'g')) AS marks
+    FROM documents
+), t AS (
+    SELECT source, lang, fate, 'words-1' AS tokenizer, words AS n FROM d UNION ALL SELECT source, lang, fate, 'marks-1', marks FROM d
+), c AS (
+    SELECT 1 AS batch, source, lang, tokenizer, 1 AS docs, n FROM t
+    UNION ALL SELECT 2, source, lang, tokenizer, -1, -n FROM t WHERE fate = 0
+    UNION ALL SELECT 3, source, lang, tokenizer, -1, -n FROM t WHERE fate IN (1, 2)
+    UNION ALL SELECT 3, 'moved-' || source, lang, tokenizer, 1, n + 1 FROM t WHERE fate IN (1, 2)
+)
+SELECT source, lang, tokenizer, CAST(sum(docs) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(count(DISTINCT batch) AS BIGINT) AS n_batches
+FROM c GROUP BY ALL"""
