@@ -21,7 +21,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 MAGIC = b"TOKREC\x01"
@@ -31,10 +30,11 @@ INDEX = "part int, file string, offset long, length long, key long, n_tokens lon
 #: A single blank or line break between two other characters always starts a token of its own or the next word's token.
 APART = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=\S\n)(?=\S)")
 #: So does a mark after a letter; letters here are those of Latin-1.
+SPACED = re.compile(r"\s")
 PLAIN = re.compile(r"[ \n]\s|\s[ \n]")
 UNITS = re.compile(r"\n| ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,;:!?*#%$&| \n]|\Z)|[.,;:!?*#%$&|]+(?=[ \n]|\Z)| ?[^ \n]+")
 #: A worker keeps the units of its last texts: so many, and as many before them.
-REMEMBERED = 1 << 18
+REMEMBERED = 3 << 16
 
 
 def masked(data: bytes) -> int:
@@ -80,9 +80,13 @@ class Encoder:
         self.library = Tokenizer.from_str(spec)
         self.library.encode_special_tokens = True
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+        (self.line,) = self._ids(["\n"])[0]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [cut(t) for t in texts]
         if len(self.known) > REMEMBERED:
@@ -94,10 +98,21 @@ class Encoder:
                     self.known[u] = self.older[u]
                 else:
                     new.append(u)
-        for i in range(0, len(new), 1024):
-            some = new[i:i + 1024]
-            for unit, e in zip(some, self.library.encode_batch(some, add_special_tokens=False)):
-                self.known[unit] = np.array(e.ids, f"<u{self.width}").tobytes()
+        # Parts without white space inside are encoded many at a time: a line break between two of them is a token of its own.
+        plain = [u for u in new if not SPACED.search(u, 1) and u[0] != "\n"]
+        for i in range(0, len(plain), 256):
+            some = plain[i:i + 256]
+            ids = np.array(self._ids(["\n".join(some)])[0], f"<u{self.width}")
+            cuts = [*(np.flatnonzero(ids == self.line) * self.width).tolist(), ids.nbytes]
+            if len(cuts) != len(some):
+                raise ValueError("this vocabulary joins line breaks with other characters")
+            raw, at = ids.tobytes(), 0
+            for unit, cut_at in zip(some, cuts):
+                self.known[unit] = raw[at:cut_at]
+                at = cut_at + self.width
+        rest = [u for u in new if u not in self.known]
+        for unit, ids in zip(rest, self._ids(rest) if rest else ()):
+            self.known[unit] = np.array(ids, f"<u{self.width}").tobytes()
         return [b"".join(map(self.known.__getitem__, p)) for p in parts]
 
 
@@ -177,9 +192,10 @@ def index(spark: SparkSession, folder: str) -> DataFrame:
     return rows.join(before, "part").withColumn("start", F.col("base") + F.col("at")).drop("base")
 
 
-def read(rows: DataFrame, folder: str, most: int = 8 << 20) -> DataFrame:
+def read(rows: DataFrame, folder: str, raw: bool = False, most: int = 8 << 20) -> DataFrame:
     """Index rows in any order, with ``ids`` read from the files; every checksum is verified.
 
+    ``ids`` is an array, or with ``raw`` the ids as little-endian unsigned 32-bit numbers.
     Neighbouring records come in one read of up to ``most`` bytes; after a shuffle each record is one ranged read.
     """
     names = rows.columns
@@ -212,24 +228,12 @@ def read(rows: DataFrame, folder: str, most: int = 8 << 20) -> DataFrame:
                     payload = unframe(data[place:place + lengths[r]])
                     if struct.unpack("<q", payload[:8])[0] != (NULL_ID if keys[r] is None else keys[r]):
                         raise ValueError("the record is another document's")
-                    ids.append(np.frombuffer(payload, f"<u{width}", offset=8).astype(np.int32))
+                    ids.append(np.frombuffer(payload, f"<u{width}", offset=8).astype("<u4"))
                     ends.append(ends[-1] + len(ids[-1]))
                     place += lengths[r]
-                values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
+                values = pa.array([x.tobytes() for x in ids], pa.binary()) if raw else pa.ListArray.from_arrays(
+                    pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).view(np.int32)))
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, values], [*names, "ids"])
                 i = j
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
-
-
-def ids_crc32(ids):
-    """CRC-32 of ids as little-endian unsigned 32-bit numbers."""
-
-    @F.arrow_udf("long")
-    def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for b in batches:
-            flat = b.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-            ends = np.cumsum([0, *[x or 0 for x in pc.list_value_length(b).to_pylist()]])
-            yield pa.array([zlib.crc32(flat[s:e].tobytes()) for s, e in zip(ends[:-1], ends[1:])], pa.int64())
-
-    return made(ids)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("ids", T.BinaryType() if raw else T.ArrayType(T.IntegerType()))]))
