@@ -70,8 +70,8 @@ def base_failed(c: Column) -> Column:
 
 
 def statistics(c: Column) -> dict[str, Column]:
-    """The transformed statistics of a row of counts (with at least one word), each on a grid of 1/256."""
-    n, chars = c["n_words"].cast("double"), c["word_chars"].cast("double")
+    """The transformed statistics of a row of counts, each on a grid of 1/256; null without words."""
+    n, chars = (F.nullif(c[k], F.lit(0)).cast("double") for k in ("n_words", "word_chars"))
     raw = {
         "length": F.log(n), "word_size": F.log(chars / n), "symbols": F.log1p(100 * c["n_symbols"] / chars),
         "dup_lines": F.log1p(c["n_dup_lines"]), "repeats": F.sqrt(c["n_repeat_words"] / n),
