@@ -47,6 +47,8 @@ def kmeans_select(df: DataFrame, cols: list[str], k_min: int = 2, k_max: int = 8
             continue  # fewer distinct points than k
         tried.append((k, measure.evaluate(model.transform(vectors)), model))
     vectors.unpersist()
+    if not tried:
+        raise ValueError(f"fewer than {k_min} distinct points")
     best = max(tried, key=lambda t: (t[1], -t[0]))
     fresh = VectorAssembler(inputCols=cols, outputCol="_x").transform(df)
     return best[2].transform(fresh).drop("_x"), [(k, s) for k, s, _ in tried], best[2]

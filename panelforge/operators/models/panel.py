@@ -8,30 +8,38 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ...functions.scalars import col
 
-ROUNDS = 4  # rounds of entity/time demeaning; enough for an unbalanced panel to settle
-
-
 def log_floor(c, floor: float = 1e-6) -> Column:
     return F.log(F.greatest(col(c), F.lit(floor)))
 
 
-def within(df: DataFrame, group: str, entity: str, time: str, cols: list[str], rounds: int = ROUNDS) -> DataFrame:
-    """Remove entity and time means in turn. Each round is cut by a checkpoint, so the plan stays flat.
+def within(df: DataFrame, group: str, entity: str, time: str, cols: list[str], tolerance: float = 1e-9) -> tuple[DataFrame, int]:
+    """Remove entity and time means in turn until no entity mean is left; returns the rows and the rounds taken.
 
     Entity means use a window (one entity holds one row per period); time means, whose groups
-    hold every entity, are combined partially and joined back.
+    hold every entity, are combined partially and joined back. Each round is cut by a checkpoint, so the plan stays flat. A
+    round ends when every entity mean is at most ``tolerance`` of the largest absolute value of its column; a round that brings
+    the means no nearer raises.
     """
-    out = df
+    out, rounds, before = df, 0, math.inf
     by_entity = Window.partitionBy(group, entity)
-    for _ in range(rounds):
+    while True:
         centred = out.withColumns({c: F.col(c) - F.avg(c).over(by_entity) for c in cols})
         means = centred.groupBy(group, time).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols])
         out = centred.join(means, [group, time]).withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in cols})
         out = out.drop(*[f"_m_{c}" for c in cols]).checkpoint()
-    return out
-
-
-def panel_fe(df: DataFrame, entity: str, time: str, y: str, x: str, group: str, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+        rounds += 1
+        sums = out.groupBy(group, entity).agg(*[F.abs(F.avg(c)).alias(f"_e_{c}") for c in cols], *[F.max(F.abs(c)).alias(f"_a_{c}") for c in cols])
+        largest = sums.agg(*[F.max(f"_{k}_{c}").alias(f"{k}{c}") for k in "ea" for c in cols]).first()
+        # A column that demeaning takes to nothing but rounding counts as settled.
+        left = max([(largest[f"e{c}"] or 0) / (largest[f"a{c}"] or 1) for c in cols if (largest[f"a{c}"] or 0) > 1e-12], default=0)
+        if left <= tolerance:
+            return out, rounds
+        if left >= before:
+            raise ValueError(f"the panel does not settle: {left:.3g} left after {rounds} rounds")
+        before = left
+
+
+def panel_fe(df: DataFrame, entity: str, time: str, y: str, x: str, group: str, tolerance: float = 1e-9) -> tuple[DataFrame, DataFrame]:
     """Fit ``y ~ x + x^2`` with entity and time effects in each group.
 
     Returns (one row per group: beta1, beta2, alpha, counts; rows with within-residuals).
@@ -43,7 +51,7 @@ def panel_fe(df: DataFrame, entity: str, time: str, y: str, x: str, group: str,
         F.col(group), F.col(entity), F.col(time), F.col(y).alias("_y0"), F.col(x).alias("_x0"),
         (F.col(x) * F.col(x)).alias("_q0"),
     ).dropna().withColumns({"_y": F.col("_y0"), "_x": F.col("_x0"), "_q": F.col("_q0")})
-    w = within(base, group, entity, time, ["_y", "_x", "_q"], rounds)
+    w, _ = within(base, group, entity, time, ["_y", "_x", "_q"], tolerance)
     sizes = w.groupBy(group, entity).agg(F.count(F.lit(1)).alias("_n")).groupBy(group).agg(F.count(F.lit(1)).alias("n_entities"))
     times = w.groupBy(group, time).agg(F.count(F.lit(1)).alias("_n")).groupBy(group).agg(F.count(F.lit(1)).alias("n_periods"))
     s = w.groupBy(group).agg(

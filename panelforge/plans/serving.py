@@ -14,11 +14,11 @@ def _year(df: DataFrame, year: int | None) -> DataFrame:
     return df.filter(F.col("year") == year) if year is not None else last_period(df, "year")
 
 
-def ranking_page(rank: DataFrame, year: int | None = None, country: str | None = None, limit: int = 50, most: int = 237) -> DataFrame:
+def ranking_page(rank: DataFrame, year: int | None = None, country: str | None = None, limit: int = 50) -> DataFrame:
     """Ranking of a year (the latest by default), best first."""
     df = _year(rank, year)
     df = df.filter(F.col("country_code") == country.upper()) if country else df
-    return top_k(df, ["rank_position", "month", "city_code"], min(limit, most))
+    return top_k(df, ["rank_position", "month", "city_code"], limit)
 
 
 def entity_detail(fact: DataFrame, results: DataFrame, code: str, year: int | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ def _(t):
     return op.ranking_page(t.ranked())
 
 
-@query("ranking_page_country", "V1", RANK, ctes("ranked", "SELECT * FROM ranked WHERE year = 1999 AND country_code = 'N8' ORDER BY rank_position, month, city_code LIMIT 237"))
+@query("ranking_page_country", "V1", RANK, ctes("ranked", "SELECT * FROM ranked WHERE year = 1999 AND country_code = 'N8' ORDER BY rank_position, month, city_code LIMIT 1000"))
 def _(t):
     return op.ranking_page(t.ranked(), 1999, "n8", 1000)
 

@@ -95,7 +95,7 @@ def _(t):
 @query("sink_single_csv", "S11", "country:s year:i gdp:d4", ctes("annual", "SELECT country, year, gdp FROM annual"))
 def _(t):
     path = t.scratch("export")
-    writers.write_csv_single(t.annual().select("country", "year", "gdp"), path)
+    writers.write_csv(t.annual().select("country", "year", "gdp"), path, single=True)
     return readers.read_csv(t.spark, path, "country string, year int, gdp double")
 
 

@@ -25,15 +25,13 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", connec
         url=url, dbtable=table, batchsize=batch, numPartitions=connections, **(properties or {})).mode(mode).save()
 
 
-def write_csv_single(df: DataFrame, folder: str, max_rows: int = 5_000_000) -> int:
-    """CSV with header as one file for a desk tool; above ``max_rows`` as parallel part files.
+def write_csv(df: DataFrame, folder: str, single: bool = False) -> None:
+    """CSV with header, as parallel part files or, where the caller asks for it, as one file for a desk tool.
 
-    The shuffle before the write keeps the upstream work parallel. Returns the number of files asked for.
+    The shuffle before a single file keeps the upstream work parallel.
     """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    out = df.repartition(1) if small else df
+    out = df.repartition(1) if single else df
     out.write.mode("overwrite").option("header", True).csv(folder)
-    return 1 if small else 0
 
 
 def register(spark: SparkSession, table: str, path: str) -> None:

@@ -342,7 +342,7 @@ def test_panel_recovers_a_known_curve_and_flags_small_groups(spark):
                 x = 8 + 0.1 * e + 0.05 * (y - 2000) * (e % 3 + 1) + rng.random() * 0.3
                 rows.append((1, e, y, 3.0 * x - 0.15 * x * x + 0.2 * e - 0.01 * y, x))
     rows += [(2, e, 2000 + e % 3, 1.0 + e, 2.0 + e) for e in range(5)]
-    fit, res = panel.panel_fe(spark.createDataFrame(rows, "g int, e int, t int, y double, x double"), "e", "t", "y", "x", "g", rounds=8)
+    fit, res = panel.panel_fe(spark.createDataFrame(rows, "g int, e int, t int, y double, x double"), "e", "t", "y", "x", "g")
     full = panel.turning_point(panel.panel_fe_se(fit, res, "g", "e"))
     out = {r["g"]: r for r in full.collect()}
     assert out[1]["beta1"] == pytest.approx(3.0, abs=1e-2) and out[1]["beta2"] == pytest.approx(-0.15, abs=1e-3)
@@ -381,3 +381,17 @@ def test_short_series_are_left_out_and_bounds_bracket(spark):
     assert one(forecast.turning_year(forecast.future(fit, "e"), "e"))["turning_year"] == 2006
     ridge = forecast.fit_ridge(s, "e").select(F.avg(F.abs(F.col("y") - F.col("fitted")))).first()[0]
     assert ridge < 0.5
+
+
+def test_panel_with_staggered_entry_settles(spark):
+    import random
+
+    r, rows = random.Random(6), []
+    for e in range(40):
+        effect = r.gauss(0, 3)
+        for t in range(e, 60 if e % 2 else e + 12):
+            x = r.gauss(0, 1) + 0.3 * t + effect
+            rows.append((1, e, t, 2.0 * x + 0.5 * x * x + effect + 0.1 * t, x))
+    fit, _ = panel.panel_fe(spark.createDataFrame(rows, "g int, e int, t int, y double, x double"), "e", "t", "y", "x", "g")
+    got = fit.first()
+    assert abs(got["beta1"] - 2.0) < 1e-4 and abs(got["beta2"] - 0.5) < 1e-5

@@ -51,11 +51,11 @@ def test_overwrite_replaces_only_its_partitions_and_registers(spark, tmp_path):
     spark.sql("DROP TABLE panel_t")
 
 
-def test_single_csv_is_one_file_until_the_limit(spark, tmp_path):
+def test_csv_is_one_file_where_asked(spark, tmp_path):
     df = spark.range(1000, numPartitions=4)
-    assert writers.write_csv_single(df, f"{tmp_path}/a") == 1
+    writers.write_csv(df, f"{tmp_path}/a", single=True)
     assert len([f for f in os.listdir(f"{tmp_path}/a") if f.endswith(".csv")]) == 1
-    assert writers.write_csv_single(df, f"{tmp_path}/b", max_rows=10) == 0
+    writers.write_csv(df, f"{tmp_path}/b")
     assert spark.read.option("header", True).csv(f"{tmp_path}/b").count() == 1000
 
 
