@@ -1,21 +1,24 @@
 """These must equal the published definitions, so they are stated as they are."""
 
-# ISO3 -> two-letter country codes of the covered countries.
+# ISO3 -> two-letter codes of the European countries.
 ISO3_TO_ISO2 = {
-    "AUT": "AT", "BEL": "BE", "CHE": "CH", "CZE": "CZ", "DEU": "DE",
-    "DNK": "DK", "ESP": "ES", "FIN": "FI", "FRA": "FR", "GBR": "UK",
-    "GRC": "GR", "HUN": "HU", "IRL": "IE", "ITA": "IT", "NLD": "NL",
-    "NOR": "NO", "POL": "PL", "PRT": "PT", "ROU": "RO", "SWE": "SE",
+    "ALB": "AL", "AUT": "AT", "BEL": "BE", "BGR": "BG", "BIH": "BA",
+    "BLR": "BY", "CHE": "CH", "CYP": "CY", "CZE": "CZ", "DEU": "DE",
+    "DNK": "DK", "ESP": "ES", "EST": "EE", "FIN": "FI", "FRA": "FR",
+    "GBR": "GB", "GRC": "GR", "HRV": "HR", "HUN": "HU", "IRL": "IE",
+    "ISL": "IS", "ITA": "IT", "LIE": "LI", "LTU": "LT", "LUX": "LU",
+    "LVA": "LV", "MDA": "MD", "MKD": "MK", "MLT": "MT", "MNE": "ME",
+    "NLD": "NL", "NOR": "NO", "POL": "PL", "PRT": "PT", "ROU": "RO",
+    "SRB": "RS", "SVK": "SK", "SVN": "SI", "SWE": "SE", "TUR": "TR",
+    "UKR": "UA", "XKX": "XK",
 }
 
 # English country names -> two-letter codes of the statistical office.
 COUNTRY_NAME_TO_CODE = {
-    "AUSTRIA": "AT", "BELGIUM": "BE", "BULGARIA": "BG", "CYPRUS": "CY",
-    "CZECH REPUBLIC": "CZ", "DENMARK": "DK", "ESTONIA": "EE", "FINLAND": "FI",
-    "FRANCE": "FR", "GERMANY": "DE", "GREECE": "EL", "HUNGARY": "HU",
-    "IRELAND": "IE", "ITALY": "IT", "LATVIA": "LV", "LITHUANIA": "LT",
-    "LUXEMBOURG": "LU", "NETHERLANDS": "NL", "POLAND": "PL", "PORTUGAL": "PT",
-    "ROMANIA": "RO", "SLOVAKIA": "SK", "SLOVENIA": "SI", "SPAIN": "ES", "SWEDEN": "SE",
+    "SPAIN": "ES", "FRANCE": "FR", "GERMANY": "DE", "ITALY": "IT", "PORTUGAL": "PT", "BELGIUM": "BE", "NETHERLANDS": "NL",
+    "SWEDEN": "SE", "DENMARK": "DK", "FINLAND": "FI", "IRELAND": "IE", "POLAND": "PL", "AUSTRIA": "AT", "CZECH REPUBLIC": "CZ",
+    "GREECE": "EL", "ROMANIA": "RO", "BULGARIA": "BG", "HUNGARY": "HU", "SLOVAKIA": "SK", "SLOVENIA": "SI", "LUXEMBOURG": "LU",
+    "CYPRUS": "CY", "ESTONIA": "EE", "LATVIA": "LV", "LITHUANIA": "LT",
 }
 
 # Month -> multiplier that spreads an annual carbon price over the year.
@@ -49,16 +52,17 @@ AIR_DEFAULT, AIR_WORST, CARBON_FULL = 15.0, 35.0, 100.0
 SENSOR_FALLBACK_RATIO = 3.5
 
 # Column candidates by which wide and long statistical files are recognised.
-GEO_COLUMNS = ["geo", "geo_std", "country", "country_code", "ref_area", "region"]
-TIME_COLUMNS = ["time", "time_period", "year", "period", "date"]
-VALUE_COLUMNS = ["value", "obs_value", "valor"]
+GEO_COLUMNS = ["geo_std", "geo", "location", "country", "loc", "ref_area", "cou"]
+TIME_COLUMNS = ["time", "year", "time_period"]
+VALUE_COLUMNS = ["value", "obs_value", "indicator_value", "val", "data"]
 
-# Value rules of the statistical datasets, as (inclusive) allowed ranges.
+# Value rules of the statistical datasets, as allowed ranges, ends included, and those that must be above zero.
 DATASET_RANGES = {
     "poverty_rate": (0.0, 100.0),
     "renewable_energy": (0.0, 100.0),
     "population_density": (0.0, None),
 }
+DATASETS_ABOVE_ZERO = ["household_size"]
 
 # Surface reflectance scale and offset, and cloud bits of the quality band.
 REFLECTANCE_SCALE, REFLECTANCE_OFFSET = 0.0000275, -0.2

@@ -49,7 +49,7 @@ def keep_matching_if_any(df: DataFrame, c: str, pattern: str) -> DataFrame:
     return df.filter(hit | ~F.coalesce(some, F.lit(False)))
 
 
-def value_flags(df: DataFrame, value: str, dataset: str, rules=fv.DATASET_RANGES) -> DataFrame:
+def value_flags(df: DataFrame, value: str, dataset: str, rules=fv.DATASET_RANGES, above_zero=fv.DATASETS_ABOVE_ZERO) -> DataFrame:
     """Missing and out-of-range flags by the dataset each row belongs to."""
     lows = {k: lo for k, (lo, _) in rules.items() if lo is not None}
     highs = {k: hi for k, (_, hi) in rules.items() if hi is not None}
@@ -58,7 +58,7 @@ def value_flags(df: DataFrame, value: str, dataset: str, rules=fv.DATASET_RANGES
         pairs = [x for k, v in limits.items() for x in (F.lit(k), F.lit(float(v)))]
         return F.try_element_at(F.create_map(*pairs), F.col(dataset))
 
-    outside = (F.col(value) < bound(lows)) | (F.col(value) > bound(highs))
+    outside = (F.col(value) < bound(lows)) | (F.col(value) > bound(highs)) | (F.col(dataset).isin(list(above_zero)) & (F.col(value) <= 0))
     return df.withColumns({
         "value_is_na": F.col(value).isNull(),
         "value_out_of_range": F.coalesce(outside, F.lit(False)),
@@ -75,8 +75,8 @@ def range_flags(df: DataFrame, limits: dict[str, tuple[float, float]]) -> DataFr
 def dedupe(df: DataFrame, keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
     """Distinct rows, or the first row per key in ``order``.
 
-    The first row is an aggregate over structs, combined before the shuffle, so a hot key
-    sends one row per task and is never sorted as a group.
+    The first row is an aggregate over structs, combined before the shuffle, so a hot key sends one row per task
+    (Spark sorts each task's rows by key to aggregate structs).
     """
     if not keys:
         return df.dropDuplicates()

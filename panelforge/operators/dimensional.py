@@ -7,16 +7,31 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fv
+from .cleaning import dedupe, latest
 from .ordering import number_rows, same
 
 
-def insert_absent(target: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Existing rows stay as they are; new keys are added."""
-    return target.unionByName(new.join(target.select(*key), key, "left_anti"), allowMissingColumns=True)
+def _one_per_key(new: DataFrame, key: list[str], order: list[str] | None, pick) -> DataFrame:
+    """One row per key by ``order``; without one, by the other columns' values, so that the choice is repeatable."""
+    order = order or [c for c in new.columns if c not in key]
+    return pick(new, key, order) if order else new.dropDuplicates(key)
 
 
-def upsert(target: DataFrame, new: DataFrame, key: list[str], update_cols: list[str]) -> DataFrame:
-    """Insert new keys, overwrite the listed columns of known keys, keep all others."""
+def insert_absent(target: DataFrame, new: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
+    """Existing rows stay as they are; new keys are added, each once: of several new rows the first in ``order``.
+
+    Columns of ``order`` that the target lacks only order.
+    """
+    one = _one_per_key(new, key, order, dedupe).drop(*[c for c in order or [] if c not in target.columns])
+    return target.unionByName(one.join(target.select(*key), key, "left_anti"), allowMissingColumns=True)
+
+
+def upsert(target: DataFrame, new: DataFrame, key: list[str], update_cols: list[str], order: list[str] | None = None) -> DataFrame:
+    """Insert new keys, overwrite the listed columns of known keys, keep all others.
+
+    Of several new rows of a key the last in ``order`` counts, for inserted and for overwritten columns.
+    """
+    new = _one_per_key(new, key, order, latest)
     side = new.withColumn("_new", F.lit(True)).select(
         *[F.col(k).alias(f"_k_{k}") for k in key], "_new", *[F.col(c).alias(f"_n_{c}") for c in new.columns if c not in key])
     old = target.withColumn("_old", F.lit(True))
@@ -35,13 +50,15 @@ def upsert(target: DataFrame, new: DataFrame, key: list[str], update_cols: list[
 
 
 def scd2_merge(dim: DataFrame, snapshot: DataFrame, key: str, tracked: list[str], as_of: str, sk: str = "sk",
-               first_load: str = fv.FIRST_LOAD, always: bool = False) -> DataFrame:
+               first_load: str = fv.FIRST_LOAD, always: bool = False, order: list[str] | None = None) -> DataFrame:
     """Close changed versions the day before ``as_of`` and open new ones.
 
     A key without history opens at ``first_load``. Keys absent from the snapshot are left
     alone. A version opened on ``as_of`` itself is replaced in place, so a rerun on the same day
-    gives the same table.
+    gives the same table. Of several snapshot rows of a key the last in ``order`` counts; columns of ``order``
+    that the dimension lacks only order.
     """
+    snapshot = _one_per_key(snapshot, [key], order, latest).drop(*[c for c in order or [] if c not in dim.columns])
     attrs = [c for c in snapshot.columns if c != key]
     cols = [sk, key, *attrs, "valid_from", "valid_to", "is_current"]
     day, end = F.lit(as_of).cast("date"), F.lit(fv.OPEN_END).cast("date")
@@ -76,9 +93,9 @@ def scd2_merge(dim: DataFrame, snapshot: DataFrame, key: str, tracked: list[str]
     return history.unionByName(rows.filter(F.col(sk).isNotNull())).unionByName(opened)
 
 
-def scd2_reopen(dim: DataFrame, snapshot: DataFrame, key: str, as_of: str, sk: str = "sk") -> DataFrame:
+def scd2_reopen(dim: DataFrame, snapshot: DataFrame, key: str, as_of: str, sk: str = "sk", order: list[str] | None = None) -> DataFrame:
     """A new version for every key of the snapshot, whether or not anything changed."""
-    return scd2_merge(dim, snapshot, key, [], as_of, sk, first_load=as_of, always=True)
+    return scd2_merge(dim, snapshot, key, [], as_of, sk, first_load=as_of, always=True, order=order)
 
 
 def current(dim: DataFrame) -> DataFrame:
@@ -92,9 +109,12 @@ def to_surrogate(df: DataFrame, dim: DataFrame, key: str, sk: str) -> tuple[Data
     return df.join(side, key, "inner"), dropped
 
 
-def update_from(fact: DataFrame, patch: DataFrame, on: list[str], exprs: dict[str, Column]) -> DataFrame:
-    """Recompute fact columns from a patch table where it has the row's key."""
-    side = patch.withColumn("_hit", F.lit(True))
+def update_from(fact: DataFrame, patch: DataFrame, on: list[str], exprs: dict[str, Column], order: list[str] | None = None) -> DataFrame:
+    """Recompute fact columns from a patch table where it has the row's key.
+
+    Fact rows stay as many as they are: of several patch rows of a key the last in ``order`` counts.
+    """
+    side = _one_per_key(patch, on, order, latest).withColumn("_hit", F.lit(True))
     joined = fact.join(side, on, "left")
     new = [F.when(F.col("_hit"), e).otherwise(fact[c] if c in fact.columns else F.lit(None)).alias(c) for c, e in exprs.items()]
     return joined.select(*[fact[c] for c in fact.columns if c not in exprs and c not in on], *on, *new)

@@ -87,9 +87,9 @@ def impute_nearest_year(df: DataFrame, grid: DataFrame, entity: str, year: str,
     return joined.withColumn(c, F.when(earlier, prev["v"]).otherwise(nxt["v"]))
 
 
-def fill_from(df: DataFrame, secondary: DataFrame, on: list[str], c: str, when: Column) -> DataFrame:
-    """Take a second sensor's value only where the own one is NULL and ``when`` holds."""
-    side = secondary.groupBy(*on).agg(F.first(c, ignorenulls=True).alias("_second"))
+def fill_from(df: DataFrame, secondary: DataFrame, on: list[str], c: str, when: Column, order: list[str] | None = None) -> DataFrame:
+    """Take a second sensor's value only where the own one is NULL and ``when`` holds; of several the first in ``order``, or the smallest."""
+    side = secondary.groupBy(*on).agg(F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*(order or []), c))).alias("_second"))
     out = df.join(side, on, "left")
     return out.withColumn(c, F.when(F.col(c).isNull() & when, F.col("_second")).otherwise(F.col(c))).drop("_second")
 

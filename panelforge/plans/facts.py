@@ -39,7 +39,7 @@ def environmental_fact(base: DataFrame, cities: DataFrame, monthly: list[DataFra
     if lights is not None:
         one = harmonise_sensors(lights, "city_code", "year", "month", "ntl_mean", "ntl_source", "DMSP", "VIIRS", list(overlap))
         # A month both sensors cover takes the new one.
-        best = one.groupBy(*MONTHLY).agg(F.max_by("ntl_mean", "ntl_source").alias("ntl_mean"))
+        best = one.groupBy(*MONTHLY).agg(F.max_by("ntl_mean", F.struct(F.col("ntl_source") == "VIIRS", "ntl_mean")).alias("ntl_mean"))
         df = df.join(best, MONTHLY, "left")
     df = store(df)
     df = yoy_diff(df, "city_code", "year", "month", "ndvi_mean", "ndvi_yoy_change")

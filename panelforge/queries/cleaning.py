@@ -99,14 +99,14 @@ def _(t):
 
 @query("value_flags", "P13", "k:l value_is_na:b value_out_of_range:b", """
     SELECT p_partkey AS k, value IS NULL AS value_is_na, coalesce(CASE ds WHEN 'poverty_rate' THEN value < 0 OR value > 100
-        WHEN 'population_density' THEN value < 0 END, false) AS value_out_of_range
-    FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'poverty_rate' WHEN 1 THEN 'population_density' ELSE 'other' END AS ds,
-        CASE WHEN p_size % 10 <> 0 THEN p_retailprice / 10 - p_size END AS value FROM part)""")
+        WHEN 'population_density' THEN value < 0 WHEN 'household_size' THEN value <= 0 END, false) AS value_out_of_range
+    FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'poverty_rate' WHEN 1 THEN 'population_density' WHEN 2 THEN 'household_size' ELSE 'other' END AS ds,
+        CASE WHEN p_size % 10 <> 0 THEN CASE WHEN p_size > 45 THEN 0 ELSE p_retailprice / 10 - p_size END END AS value FROM part)""")
 def _(t):
     k = F.col("p_partkey")
     df = t("part").select(
-        k.alias("k"), F.when(k % 3 == 0, "poverty_rate").when(k % 3 == 1, "population_density").otherwise("other").alias("ds"),
-        F.when(F.col("p_size") % 10 != 0, F.col("p_retailprice") / 10 - F.col("p_size")).alias("value"))
+        k.alias("k"), F.when(k % 4 == 0, "poverty_rate").when(k % 4 == 1, "population_density").when(k % 4 == 2, "household_size").otherwise("other").alias("ds"),
+        F.when(F.col("p_size") % 10 != 0, F.when(F.col("p_size") > 45, 0.0).otherwise(F.col("p_retailprice") / 10 - F.col("p_size"))).alias("value"))
     return op.value_flags(df, "value", "ds")
 
 
@@ -185,6 +185,16 @@ def _(t):
     return t("customer").select(F.col("c_custkey").alias("k"), op.map_code("c_mktsegment", _SEGMENTS).alias("code"))
 
 
+@query("map_country_codes", "P20", "k:l by_code:s by_name:s", """
+    SELECT c_custkey AS k, CASE c_nationkey % 4 WHEN 0 THEN 'DE' WHEN 1 THEN 'GB' WHEN 2 THEN 'XK' END AS by_code,
+        CASE c_nationkey % 4 WHEN 0 THEN 'EL' WHEN 1 THEN 'CZ' WHEN 2 THEN 'LT' END AS by_name FROM customer""")
+def _(t):
+    n = F.col("c_nationkey") % 4
+    code = F.when(n == 0, "DEU").when(n == 1, "GBR").when(n == 2, "XKX").otherwise("USA")
+    name = F.when(n == 0, "GREECE").when(n == 1, "CZECH REPUBLIC").when(n == 2, "LITHUANIA").otherwise("NARNIA")
+    return t("customer").select(F.col("c_custkey").alias("k"), op.map_code(code, fv.ISO3_TO_ISO2).alias("by_code"), op.map_code(name, fv.COUNTRY_NAME_TO_CODE).alias("by_name"))
+
+
 @query("resolve_year", "P21", "k:l year:i", """
     SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 2021 + o_orderkey % 10 WHEN 1 THEN 2000 + o_orderkey % 20 ELSE 2024 END AS year FROM orders""")
 def _(t):
@@ -286,6 +296,3 @@ def _(t):
     return t("orders").select(
         F.col("o_orderkey").alias("k"), d.alias("d"), F.last_day(d).alias("month_end"), F.add_months(d, 12).alias("ahead"),
         fn.date_key(F.year(d), F.month(d)).alias("key"), F.weekofyear(d).alias("week"), (F.weekday(d) + 1).alias("weekday"))
-
-
-assert fv.ISO3_TO_ISO2  # the lookup tables are part of this family

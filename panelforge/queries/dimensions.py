@@ -20,6 +20,40 @@ def _(t):
     return op.insert_absent(target, parts(t).select("ticker", "sector"), ["ticker"])
 
 
+@query("insert_if_absent_repeated_keys", "D1", "custkey:l day:date price:d2", """
+    SELECT o_custkey AS custkey, CASE WHEN o_custkey % 3 = 0 THEN DATE '2030-01-01' ELSE arg_min(o_orderdate, (o_orderdate, o_orderkey)) END AS day,
+        CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE arg_min(o_totalprice, (o_orderdate, o_orderkey)) END AS price FROM orders GROUP BY o_custkey""")
+def _(t):
+    new, key = customer_orders(t)
+    target = new.filter("custkey % 3 = 0").select("custkey", F.lit("2030-01-01").cast("date").alias("day"), F.lit(0.0).alias("price")).distinct()
+    return op.insert_absent(target, new, key, ["day", "orderkey"])
+
+
+@query("upsert_repeated_keys", "D2", "custkey:l day:date price:d2", """
+    SELECT o_custkey AS custkey, CASE WHEN o_custkey % 3 = 0 THEN DATE '2030-01-01' ELSE arg_max(o_orderdate, (o_orderdate, o_orderkey)) END AS day,
+        arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS price FROM orders GROUP BY o_custkey""")
+def _(t):
+    new, key = customer_orders(t)
+    target = new.filter("custkey % 3 = 0").select("custkey", F.lit("2030-01-01").cast("date").alias("day"), F.lit(0.0).alias("price")).distinct()
+    return op.upsert(target, new, key, ["price"], ["day", "orderkey"])
+
+
+@query("bulk_update_repeated_keys", "D7", "custkey:l price:d2", """
+    SELECT c_custkey AS custkey, coalesce(o.price, c_acctbal) AS price
+    FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS price FROM orders GROUP BY 1) AS o ON c_custkey = o_custkey""")
+def _(t):
+    new, key = customer_orders(t)
+    fact = t("customer").select(F.col("c_custkey").alias("custkey"), F.col("c_acctbal").alias("balance"))
+    patch = new.withColumnRenamed("price", "last")
+    return op.update_from(fact.withColumn("price", F.col("balance")), patch, key, {"price": F.col("last")}, ["day", "orderkey"])
+
+
+def customer_orders(t):
+    """Many rows of a key, told apart by day and order."""
+    return t("orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("orderkey"), F.col("o_orderdate").cast("date").alias("day"),
+                              F.col("o_totalprice").alias("price")), ["custkey"]
+
+
 def upserted(t):
     p = t.panel()
     key = ["entity", "year", "month"]

@@ -34,7 +34,7 @@ def _(t):
 
 
 @query("phase_aware_score", "B5", f"{CITY_MONTH} score:d2", ctes("gold", """
-    SELECT city_sk, year, month, round((coalesce(green_index, 0) * 50 + coalesce(CASE WHEN month <= 6 THEN 0.8 END, 0.5) * 30 + CASE turning_point_phase WHEN 'TURNING' THEN 20 WHEN 'RECUPERANDO' THEN 15 ELSE 0 END) * 1.00000000001, 2) AS score FROM gold"""))
+    SELECT city_sk, year, month, round((coalesce(green_index, 0) * 50 + coalesce(CASE WHEN month <= 6 THEN 0.8 END, 0.5) * 30 + CASE turning_point_phase WHEN 'TURNING' THEN 20 WHEN 'RECUPERANDO' THEN 15 ELSE 0 END), 8) AS score FROM gold"""))
 def _(t):
     df = t.gold().withColumn("conf", F.when(F.col("month") <= 6, F.lit(0.8)))
     return df.withColumn("score", fn.phase_score("green_index", "conf", "turning_point_phase"))

@@ -20,14 +20,14 @@ def pixels(t):
         (F.col("l_partkey") % 32).cast("int").alias("qa"))
 
 
-@query("masked_zonal_mean", "G1", "zone:l zonal_mean:d6 n_valid:l", """
+@query("masked_zonal_mean", "G1", "zone:l zonal_mean:d10 n_valid:l", """
     SELECT l_suppkey AS zone, avg(l_quantity) FILTER (l_quantity >= 3 AND l_quantity <= 45 AND l_quantity <> 7) AS zonal_mean,
         count(*) FILTER (l_quantity >= 3 AND l_quantity <= 45 AND l_quantity <> 7) AS n_valid FROM lineitem GROUP BY 1""")
 def _(t):
     return op.zonal_mean(pixels(t), ["zone"], "value", 3, 45, 7)
 
 
-@query("zonal_mean_and_std", "G2", "zone:l year:i zonal_mean:d6 zonal_std:d6", """
+@query("zonal_mean_and_std", "G2", "zone:l year:i zonal_mean:d10 zonal_std:d6", """
     SELECT l_suppkey AS zone, year(l_shipdate) AS year, avg(l_discount) FILTER (l_discount BETWEEN 0.01 AND 0.09) AS zonal_mean,
         stddev_pop(l_discount) FILTER (l_discount BETWEEN 0.01 AND 0.09) AS zonal_std FROM lineitem GROUP BY 1, 2""")
 def _(t):

@@ -14,9 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .tables import CTES, Tables
 
-# A mean that lies exactly between two rounded values differs in its last bit between engines;
-# this factor, on both sides, makes such a tie fall the same way.
-NUDGE = 1.00000000001
 SPARK_TYPES = {"l": "bigint", "i": "int", "s": "string", "b": "boolean", "date": "date", "ts": "timestamp_ntz"}
 SQL_TYPES = {"l": "BIGINT", "i": "INTEGER", "s": "VARCHAR", "b": "BOOLEAN", "date": "DATE", "ts": "TIMESTAMP"}
 
@@ -41,13 +38,15 @@ class Query:
 def _spark(name: str, kind: str) -> Column:
     c = F.col(name)
     if kind[0] == "d" and kind[1:].isdigit():
-        return F.round(c.cast("double") * NUDGE, int(kind[1:])).alias(name)
+        return F.round(c.cast("double"), int(kind[1:])).alias(name)
     return c.cast(SPARK_TYPES[kind]).alias(name)
 
 
 def _sql(name: str, kind: str) -> str:
     if kind[0] == "d" and kind[1:].isdigit():
-        return f'round(CAST("{name}" AS DOUBLE) * {NUDGE!r}, {kind[1:]}) AS "{name}"'
+        # As Spark does: the shortest decimal that names the double, rounded half up.
+        x = f'CAST("{name}" AS DOUBLE)'
+        return f'CASE WHEN abs({x}) < 1e20 THEN CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 16)), {kind[1:]}) AS DOUBLE) ELSE {x} END AS "{name}"'
     return f'CAST("{name}" AS {SQL_TYPES[kind]}) AS "{name}"'
 
 

@@ -55,7 +55,7 @@ def _(t):
 
 
 @query("executive_summary", "V7 A6", "year:i total_cities:l total_countries:l avg_green_index:d4 avg_investment_score:d2 cities_turning:l cities_recovering:l cities_degrading:l strong_buy:l buy:l hold:l avoid:l", ctes("gold", """
-    SELECT year, count(DISTINCT city_code) AS total_cities, count(DISTINCT country_code) AS total_countries, round(avg(green_index) * 1.00000000001, 4) AS avg_green_index, round(avg(investment_score) * 1.00000000001, 2) AS avg_investment_score,
+    SELECT year, count(DISTINCT city_code) AS total_cities, count(DISTINCT country_code) AS total_countries, round(avg(green_index), 10) AS avg_green_index, round(avg(investment_score), 8) AS avg_investment_score,
         count(*) FILTER (turning_point_phase = 'TURNING') AS cities_turning, count(*) FILTER (turning_point_phase = 'RECUPERANDO') AS cities_recovering, count(*) FILTER (turning_point_phase = 'DEGRADANDO') AS cities_degrading,
         count(*) FILTER (investment_recommendation = 'STRONG_BUY') AS strong_buy, count(*) FILTER (investment_recommendation = 'BUY') AS buy, count(*) FILTER (investment_recommendation = 'HOLD') AS hold,
         count(*) FILTER (investment_recommendation = 'AVOID') AS avoid FROM gold WHERE year = (SELECT max(year) FROM gold) GROUP BY 1"""))
@@ -75,7 +75,7 @@ def _(t):
 
 
 @query("phase_distribution", "V10", "year:i month:i country_code:s turning_point_phase:s n_cities:l avg_score:d2 avg_green_index:d4", ctes("gold", """
-    SELECT year, month, country_code, country_name, turning_point_phase, count(*) AS n_cities, round(avg(investment_score) * 1.00000000001, 2) AS avg_score, round(avg(green_index) * 1.00000000001, 4) AS avg_green_index FROM gold GROUP BY 1, 2, 3, 4, 5"""))
+    SELECT year, month, country_code, country_name, turning_point_phase, count(*) AS n_cities, round(avg(investment_score), 8) AS avg_score, round(avg(green_index), 10) AS avg_green_index FROM gold GROUP BY 1, 2, 3, 4, 5"""))
 def _(t):
     return op.phase_distribution(t.gold())
 

@@ -140,7 +140,7 @@ def _raw(t, columns):
 
 def _annual_raw(t, columns):
     p = _raw(t, {c: c for c in set(columns.values())})
-    return p.groupBy("City", "Country", "Year").agg(*[F.avg(c).alias(n) for n, c in columns.items()])
+    return p.groupBy("City", "Country", "Year").agg(*[F.round(F.avg(c), 9).alias(n) for n, c in columns.items()])
 
 
 # Which panel measure plays each measure of an ingest job: (raw column, stored column, measure).
@@ -171,7 +171,7 @@ def _register_ingest(name):
     time = ["year"] + (["month"] if grain == "month" else [])
     whole = name == "population"
     kinds = " ".join(f"{stored}:{'l' if whole else 'd6'}" for _, stored, _ in measures)
-    value = (lambda m: f"CAST(floor(avg({m})) AS BIGINT)") if whole else (lambda m: f"avg({m})")
+    value = (lambda m: f"CAST(floor(round(avg({m}), 9)) AS BIGINT)") if whole else (lambda m: f"round(avg({m}), 9)")
     picks = ", ".join(f"{value(m)} AS {stored}" for _, stored, m in measures)
     country = "country_code" if "country_code" in source.parts else "country"
     keys = ", ".join(time)

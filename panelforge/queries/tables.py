@@ -7,7 +7,9 @@ rule, the same on both sides.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import phase_label
 from ..operators.aggregates import concat_distinct
@@ -18,6 +20,15 @@ from ..sources.readers import lookup
 from ..streaming.storage import fresh_path
 
 
+def total(c: str) -> Column:
+    """Exact sum of values with two decimals: it does not depend on the order of summation."""
+    return F.sum(F.col(c).cast("decimal(18,2)"))
+
+
+def mean(c: str) -> Column:
+    return total(c).cast("double") / F.count(c)
+
+
 class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -59,8 +70,8 @@ class Tables:
         return self("lineitem").groupBy(
             F.col("l_suppkey").alias("entity"), F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"),
         ).agg(
-            F.avg("l_discount").alias("veg"), F.avg("l_tax").alias("pol"), F.avg("l_quantity").alias("seal"),
-            F.avg("l_extendedprice").alias("price"), F.count(F.lit(1)).alias("n"),
+            mean("l_discount").alias("veg"), mean("l_tax").alias("pol"), mean("l_quantity").alias("seal"),
+            mean("l_extendedprice").alias("price"), total("l_extendedprice").alias("price_sum"), F.count(F.lit(1)).alias("n"),
         )
 
     def holed(self) -> DataFrame:
@@ -81,17 +92,16 @@ class Tables:
         )
 
     def cube(self) -> DataFrame:
-        """Orders by nation, month and priority: summed per customer first, so the join moves few rows."""
-        o = self("orders").withColumns({
-            "year": F.year("o_orderdate"), "month": F.month("o_orderdate"), "priority": F.col("o_orderpriority")})
-        parts = ["year", "month", "priority"]
-        per = o.groupBy("o_custkey", *parts).agg(F.sum("o_totalprice").alias("amount"), F.count(F.lit(1)).alias("n"))
+        """Orders by nation, month and priority; ``amount`` is an exact decimal."""
+        o = self("orders").select("o_custkey", F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"),
+                                  F.col("o_orderpriority").alias("priority"), "o_totalprice")
         c = self("customer").select(F.col("c_custkey").alias("o_custkey"), F.concat(F.lit("N"), F.col("c_nationkey")).alias("country"))
-        return per.join(c, "o_custkey").groupBy("country", *parts).agg(F.sum("amount").alias("amount"), F.sum("n").alias("n"))
+        return o.join(c, "o_custkey").groupBy("country", "year", "month", "priority").agg(
+            total("o_totalprice").alias("amount"), F.count(F.lit(1)).alias("n"))
 
     def orders_by(self, *parts: str) -> DataFrame:
         cube = self._kept("cube") if "cube" in self._stored else self.cube()
-        return cube.groupBy("country", *parts).agg(F.sum("amount").alias("amount"), F.sum("n").alias("n"))
+        return cube.groupBy("country", *parts).agg(F.sum("amount").cast("double").alias("amount"), F.sum("n").alias("n"))
 
     def annual(self) -> DataFrame:
         return self.orders_by("year").select("country", "year", (F.col("amount") / F.col("n")).alias("gdp"), "amount", "n")
@@ -106,12 +116,11 @@ class Tables:
 
     def market(self) -> DataFrame:
         """Brand x month market: brand is the ticker, its number gives the country."""
-        l = self("lineitem").groupBy("l_partkey", F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month")).agg(
-            F.sum("l_extendedprice").alias("s"), F.count(F.lit(1)).alias("n"),
-            F.sum(F.col("l_discount") * F.col("l_discount")).alias("v"))
+        l = self("lineitem").select("l_partkey", F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"), "l_extendedprice", "l_discount")
         p = self("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("ticker"))
+        square = F.sum(F.col("l_discount").cast("decimal(9,2)") * F.col("l_discount").cast("decimal(9,2)")).cast("double")
         m = l.join(p, "l_partkey").groupBy("ticker", "year", "month").agg(
-            (F.sum("s") / F.sum("n")).alias("close_price"), (F.sum("v") / F.sum("n")).alias("monthly_volatility"))
+            mean("l_extendedprice").alias("close_price"), (square / F.count("l_discount")).alias("monthly_volatility"))
         number = F.regexp_extract("ticker", r"(\d+)", 1).cast("int")
         return m.withColumn("country_code", F.concat(F.lit("N"), (number % 25).cast("string")))
 
@@ -130,8 +139,7 @@ class Tables:
         return m.groupBy(F.col("country").alias("country_code"), "year", "month").agg((urgent * 100.0 / F.sum("n")).alias("renewables_pct"))
 
     def carbon(self) -> DataFrame:
-        mean = F.sum(F.col("price") * F.col("n")) / F.sum("n")
-        return self.panel().groupBy("year", "month").agg((mean / 1000).alias("ets_price_eur"))
+        return self.panel().groupBy("year", "month").agg((F.sum("price_sum").cast("double") / F.sum("n") / 1000).alias("ets_price_eur"))
 
     def economy(self) -> DataFrame:
         self.stage("cube", "panel")
@@ -172,9 +180,9 @@ class Tables:
 
 
 # name -> (needed tables, SQL)
-CTES: dict[str, tuple[str, str]] = {
+_CTES: dict[str, tuple[str, str]] = {
     "panel": ("", """SELECT l_suppkey AS entity, CAST(year(l_shipdate) AS INTEGER) AS year, CAST(month(l_shipdate) AS INTEGER) AS month,
-        avg(l_discount) AS veg, avg(l_tax) AS pol, avg(l_quantity) AS seal, avg(l_extendedprice) AS price, count(*) AS n
+        {mean(l_discount)} AS veg, {mean(l_tax)} AS pol, {mean(l_quantity)} AS seal, {mean(l_extendedprice)} AS price, count(*) AS n
         FROM lineitem GROUP BY 1, 2, 3"""),
     "holed": ("panel", """SELECT entity, year, month, CASE WHEN (entity + month) % 7 <> 0 THEN veg END AS veg,
         CASE WHEN (entity + year) % 5 <> 0 THEN pol END AS pol, CASE WHEN (entity * month + year) % 6 <> 0 THEN seal END AS seal, price, n
@@ -182,14 +190,15 @@ CTES: dict[str, tuple[str, str]] = {
     "cities": ("", """SELECT s_suppkey AS city_sk, replace(s_name, '#', '') || '_N' || s_nationkey AS city_code, s_name AS city_name,
         'N' || s_nationkey AS country_code, n_name AS country_name, CAST(s_suppkey % 60 AS DOUBLE) AS lat,
         CAST(s_suppkey % 120 AS DOUBLE) AS lon FROM supplier JOIN nation ON s_nationkey = n_nationkey"""),
-    "annual": ("", """SELECT 'N' || c_nationkey AS country, CAST(year(o_orderdate) AS INTEGER) AS year, avg(o_totalprice) AS gdp,
-        sum(o_totalprice) AS amount, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2"""),
+    "annual": ("", """SELECT 'N' || c_nationkey AS country, CAST(year(o_orderdate) AS INTEGER) AS year, {mean(o_totalprice)} AS gdp,
+        {total(o_totalprice)} AS amount, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2"""),
     "priorities": ("", """SELECT 'N' || c_nationkey AS country, CAST(year(o_orderdate) AS INTEGER) AS year, o_orderpriority AS priority,
-        avg(o_totalprice) AS value, sum(o_totalprice) AS amount, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3"""),
+        {mean(o_totalprice)} AS value, {total(o_totalprice)} AS amount, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3"""),
     "prices": ("", """SELECT user_id AS ticker, CAST(ts AS DATE) AS date, arg_max(value, (ts, event_id)) AS close,
         CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 1, 2"""),
     "market": ("", """SELECT p_brand AS ticker, CAST(year(l_shipdate) AS INTEGER) AS year, CAST(month(l_shipdate) AS INTEGER) AS month,
-        avg(l_extendedprice) AS close_price, avg(l_discount * l_discount) AS monthly_volatility,
+        {mean(l_extendedprice)} AS close_price,
+        CAST(sum(CAST(l_discount AS DECIMAL(9, 2)) * CAST(l_discount AS DECIMAL(9, 2))) AS DOUBLE) / count(l_discount) AS monthly_volatility,
         'N' || (CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INTEGER) % 25) AS country_code
         FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3, 6"""),
     "entity_year": ("holed", """SELECT entity, year, avg(veg) AS veg, avg(pol) AS pol, avg(seal) AS seal, avg(price) AS price
@@ -200,7 +209,7 @@ CTES: dict[str, tuple[str, str]] = {
         FROM holed, (SELECT min(veg) v0, max(veg) v1, min(pol) p0, max(pol) p1, min(seal) s0, max(seal) s1 FROM holed)"""),
     "renewables": ("", """SELECT 'N' || c_nationkey AS country_code, year(o_orderdate) AS year, month(o_orderdate) AS month,
         count(*) FILTER (o_orderpriority = '1-URGENT') * 100.0 / count(*) AS renewables_pct FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3"""),
-    "carbon": ("", """SELECT year(l_shipdate) AS year, month(l_shipdate) AS month, avg(l_extendedprice) / 1000 AS ets_price_eur FROM lineitem GROUP BY 1, 2"""),
+    "carbon": ("", """SELECT year(l_shipdate) AS year, month(l_shipdate) AS month, {mean(l_extendedprice)} / 1000 AS ets_price_eur FROM lineitem GROUP BY 1, 2"""),
     "economy": ("annual cities renewables carbon panel", """SELECT b.*, round((gdp_monthly / nullif(lag(gdp_monthly) OVER (PARTITION BY city_sk, month ORDER BY year), 0) - 1) * 100, 4) AS gdp_growth_rate FROM (
         SELECT c.city_sk, c.city_code, c.country_code, a.year, CAST(m AS INTEGER) AS month, a.year * 100 + m AS date_sk, gdp + (coalesce(nxt, gdp) - gdp) * (m - 1) / 12.0 AS gdp_monthly,
             ln(gdp + (coalesce(nxt, gdp) - gdp) * (m - 1) / 12.0) AS ln_gdp, p.population, r.renewables_pct, CASE WHEN a.year >= 1997 THEN k.ets_price_eur END AS ets_price_eur, a.amount AS co2_kt
@@ -223,3 +232,6 @@ CTES: dict[str, tuple[str, str]] = {
     "parameters": ("panel", """SELECT n_regionkey AS cluster_id, year AS estimation_year, regr_slope(veg, seal) AS beta1, regr_slope(pol, seal) AS beta2, avg(price) AS turning_point, regr_r2(veg, seal) AS r_squared, count(DISTINCT entity) AS n_cities
         FROM panel JOIN supplier ON entity = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2"""),
 }
+#: ``{total(x)}`` and ``{mean(x)}`` stand for exact decimal sums.
+CTES = {name: (needs, re.sub(r"\{mean\((\w+)\)\}", r"CAST(sum(CAST(\1 AS DECIMAL(18, 2))) AS DOUBLE) / count(\1)", re.sub(
+    r"\{total\((\w+)\)\}", r"CAST(sum(CAST(\1 AS DECIMAL(18, 2))) AS DOUBLE)", sql))) for name, (needs, sql) in _CTES.items()}

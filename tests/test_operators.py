@@ -271,6 +271,44 @@ def test_upsert_twice_is_once_and_keeps_other_columns(spark):
     assert values(dimensional.upsert(once, new, ["k"], ["v"]), "k") == values(once, "k")
 
 
+def test_repeated_new_keys_give_one_row(spark):
+    target = spark.createDataFrame([(1, "a")], "k int, v string")
+    new = spark.createDataFrame([(1, "x", 1), (2, "late", 2), (2, "early", 1), (2, "early", 1), (None, "n", 1), (None, "n", 1)], "k int, v string, at int")
+    assert values(dimensional.insert_absent(target, new, ["k"], ["at"]).filter("k is not null"), "k") == [(1, "a"), (2, "early")]
+    assert dimensional.insert_absent(target, new, ["k"], ["at"]).count() == 3
+    assert values(dimensional.upsert(target, new, ["k"], ["v"], ["at"]).filter("k is not null"), "k") == [(1, "x"), (2, "late")]
+    assert values(dimensional.insert_absent(target, new.drop("at"), ["k"]).filter("k = 2"), "k") == [(2, "early")]
+    fact = spark.createDataFrame([(2, 0), (2, 1), (3, 2)], "k int, n int").withColumn("v", F.lit("old"))
+    patched = dimensional.update_from(fact, new.withColumnRenamed("v", "w"), ["k"], {"v": F.col("w")}, ["at"])
+    assert values(patched.select("n", "v"), "n") == [(0, "late"), (1, "late"), (2, "old")]
+
+
+def test_repeated_snapshot_keys_open_one_version(spark):
+    dim = spark.createDataFrame([(1, "a", "x", "2010-01-01", "9999-12-31", True)], "sk long, key string, attr string, f string, t string, is_current boolean")
+    dim = dim.select("sk", "key", "attr", F.to_date("f").alias("valid_from"), F.to_date("t").alias("valid_to"), "is_current")
+    snap = spark.createDataFrame([("a", "y", 1), ("a", "z", 2), ("b", "p", 2), ("b", "q", 1)], "key string, attr string, at int")
+    got = dimensional.scd2_merge(dim, snap, "key", ["attr"], "2024-05-01", order=["at"])
+    assert values(got.filter("is_current").select("key", "attr"), "key") == [("a", "z"), ("b", "p")] and got.count() == 3
+
+
+def test_household_size_must_be_above_zero(spark):
+    df = spark.createDataFrame([("household_size", 0.0), ("household_size", 0.1), ("household_size", None), (None, 0.0), ("population_density", 0.0)], "d string, v double")
+    got = cleaning.value_flags(df, "v", "d").select("value_out_of_range").collect()
+    assert [r[0] for r in got] == [True, False, False, False, False]
+
+
+def test_layout_knows_the_published_headers(spark):
+    df = spark.createDataFrame([("es", "2020", "1.5")], "COU string, TIME string, Value string")
+    assert [tuple(r) for r in reshape.normalise_layout(df).collect()] == [("ES", 2020, 1.5)]
+
+
+def test_second_sensor_value_is_repeatable(spark):
+    df = spark.createDataFrame([(1, None)], "k int, v double")
+    second = spark.createDataFrame([(1, 3.0, 2), (1, None, 0), (1, 5.0, 1)], "k int, v double, at int")
+    assert imputation.fill_from(df, second, ["k"], "v", F.lit(True)).first()["v"] == 3.0
+    assert imputation.fill_from(df, second, ["k"], "v", F.lit(True), ["at"]).first()["v"] == 5.0
+
+
 # ---- metrics, geo, pages ---------------------------------------------------------------
 
 def test_green_index_null_rules(spark):
