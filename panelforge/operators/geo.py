@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fv
-from .ordering import quantile_columns
 
 
 def _valid(value: str, lo: float | None, hi: float | None, nodata: float | None = None) -> Column:
@@ -38,8 +37,11 @@ def qa_mask(pixels: DataFrame, qa: str, bits: list[int] = fv.CLOUD_BITS) -> Data
 
 
 def median_composite(pixels: DataFrame, zone: list[str], period: list[str], pixel: str, value: str) -> DataFrame:
-    """Median over time for each pixel, then mean and population std over a zone's pixels."""
-    per = quantile_columns(pixels, value, {"_median": 0.5}, [*zone, *period, pixel])
+    """Median over time for each pixel, then mean and population std over a zone's pixels.
+
+    A pixel's values in a period are as many as its scenes, so each median is one bounded aggregate.
+    """
+    per = pixels.groupBy(*zone, *period, pixel).agg(F.median(value).alias("_median"))
     return per.groupBy(*zone, *period).agg(
         F.avg("_median").alias("zonal_mean"), F.stddev_pop("_median").alias("zonal_std"), F.count("_median").alias("n_pixels"))
 

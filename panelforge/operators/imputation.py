@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fv
-from .ordering import column_quantiles, quantile_columns
+from .ordering import column_quantiles, quantiles
 from .reshape import fan_months, fan_out
 from .windows import fill, next_value  # noqa: F401  (I19 uses the fill)
 from .joins import fill_uncovered
@@ -69,10 +69,9 @@ def impute_median(df: DataFrame, cols: list[str], keys: list[str] | None = None,
     if not keys:
         med = column_quantiles(df, cols, {"m": 0.5})
         return df.withColumns({c: F.coalesce(F.col(c), med[c]["m"], F.lit(default)) for c in cols})
-    out = df
-    for c in cols:
-        side = quantile_columns(df, c, {"_median": 0.5}, keys)
-        out = out.join(side, keys, "left").withColumn(c, F.coalesce(F.col(c), F.col("_median"), F.lit(default))).drop("_median")
+    found = quantiles(df, cols, [0.5], keys)
+    medians = found.groupBy(*keys).agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(f"_m_{c}") for c in cols])
+    out = df.join(medians, keys, "left").withColumns({c: F.coalesce(F.col(c), F.col(f"_m_{c}"), F.lit(default)) for c in cols})
     return out.select(*df.columns)
 
 

@@ -52,5 +52,6 @@ def distinct(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def hash_sample(df: DataFrame, key: list[str], n: int, seed: int = 42) -> DataFrame:
-    """Repeatable sample: the ``n`` rows with the smallest seeded key hash."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+    """Repeatable sample: the ``n`` rows with the smallest MD5 of seed and key, written out with colons between them."""
+    named = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key])
+    return df.orderBy(F.md5(named.cast("binary")), *key).limit(n)

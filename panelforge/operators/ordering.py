@@ -4,18 +4,18 @@ A plain window ranks a group inside one task, so a month holding every entity, o
 entity, ends up on one core. Here a group is cut at hash-sampled split values: each
 (group, bucket) is ranked on its own and shifted by the size of the buckets before it.
 Equal values are counted before the shuffle, so ties cost one row. The sample only
-chooses cut points; every row is ranked, and the result is exact for any cut points.
+chooses cut points; every row is ranked, and the result is exact for any cut points. Groups of
+every size are cut alike; the number of cuts follows the shuffle partitions of the session.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-MAX_CUTS = 1024  # cut values over all groups together
-BUCKET_ROWS = 500_000  # fewer rows than this are not worth a cut
-STEP = 32  # cuts are searched coarsely, then within one step
+CUTS_PER_PARTITION = 4  # cut values over all groups together, per shuffle partition
 
 
 def same(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
@@ -23,8 +23,14 @@ def same(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Col
 
 
 def value_positions(df: DataFrame, keys: list[str], value: Column | str, descending: bool = False,
-                    bucket_rows: int | None = None) -> DataFrame:
-    """Distinct values ``_v`` per group with their count ``_n`` and the rows ``_before`` them."""
+                    cuts_wanted: int | None = None) -> DataFrame:
+    """Distinct values ``_v`` per group with their count ``_n`` and the rows ``_before`` them.
+
+    ``cuts_wanted`` is the expected number of cut values at most, ``CUTS_PER_PARTITION`` per shuffle partition by default. Cuts are
+    searched coarsely, then within one step of about the square root of their number.
+    """
+    wanted = cuts_wanted or CUTS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    step = max(2, math.isqrt(wanted))
     x = F.col(value) if isinstance(value, str) else value
     groups = [F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)] or [F.lit(0).alias("_g0")]
     g = [f"_g{i}" for i in range(len(groups))]
@@ -32,37 +38,36 @@ def value_positions(df: DataFrame, keys: list[str], value: Column | str, descend
         df.select(*groups, x.alias("_v")).filter(F.col("_v").isNotNull())
         .groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_n"))
     )
-    # One cut per `stride` rows on average. Reading `_n` in every branch keeps the branches
-    # on one and the same shuffle of `counted`, which Spark then runs once.
-    floor = F.lit(bucket_rows or BUCKET_ROWS).cast("long")
-    stride = counted.agg(F.greatest(floor, F.floor(F.sum("_n") / MAX_CUTS)).alias("s")).scalar()
+    # One cut per `stride` distinct values on average, so a hot value takes no cuts from the others. Reading `_n` in every
+    # branch keeps the branches on one and the same shuffle of `counted`, which Spark then runs once.
+    stride = counted.agg(F.greatest(F.lit(1), F.ceil(F.sum(F.least("_n", F.lit(1))) / wanted)).alias("s")).scalar()
     drawn = F.when(F.pmod(F.xxhash64(*g, "_v"), stride) == 0, F.col("_v"))
-    # At most about MAX_CUTS cut values exist over all groups, whatever the data size.
+    # About ``wanted`` cut values exist over all groups, whatever the data size.
     listed = F.sort_array(F.collect_list(drawn)).alias("_cuts")
     if keys:
         cuts = (
             counted.groupBy(*g).agg(listed, F.sum("_n").alias("_rows"))
-            .filter((F.size("_cuts") > 0) & (F.col("_rows") >= floor))
+            .filter((F.size("_cuts") > 0) & (F.col("_rows") > 0))
         )
         cuts = F.broadcast(cuts.select(*[F.col(k).alias(f"_c{i}") for i, k in enumerate(g)], "_cuts"))
         joined = counted.join(cuts, same(counted, cuts, [(k, f"_c{i}") for i, k in enumerate(g)]), "left")
     else:
         packed = counted.agg(listed, F.sum("_n").alias("_rows")).select(
-            F.when((F.size("_cuts") > 0) & (F.col("_rows") >= floor), F.col("_cuts")))
+            F.when((F.size("_cuts") > 0) & (F.col("_rows") > 0), F.col("_cuts")))
         joined = counted.withColumn("_cuts", packed.scalar())
     joined = joined.withColumn("_cut", F.col("_cuts").isNotNull())
     smaller = lambda c: c < F.col("_v")
     every = F.transform(
-        F.sequence(F.lit(STEP - 1), F.size("_cuts") - 1, F.lit(STEP)), lambda i: F.get("_cuts", i)
+        F.sequence(F.lit(step - 1), F.size("_cuts") - 1, F.lit(step)), lambda i: F.get("_cuts", i)
     )
-    coarse = F.when(F.size("_cuts") >= STEP, F.size(F.filter(every, smaller))).otherwise(0)
+    coarse = F.when(F.size("_cuts") >= step, F.size(F.filter(every, smaller))).otherwise(0)
     joined = joined.withColumn("_k", F.when(F.col("_cut"), coarse).otherwise(0))
-    fine = F.size(F.filter(F.slice("_cuts", F.col("_k") * STEP + 1, F.lit(STEP)), smaller))
+    fine = F.size(F.filter(F.slice("_cuts", F.col("_k") * step + 1, F.lit(step)), smaller))
     bucketed = joined.select(
-        *g, "_v", "_n", "_cut", F.when(F.col("_cut"), F.col("_k") * STEP + fine).otherwise(0).alias("_b")
+        *g, "_v", "_n", "_cut", F.when(F.col("_cut"), F.col("_k") * step + fine).otherwise(0).alias("_b")
     )
-    step = F.col("_b").desc() if descending else F.col("_b")
-    earlier = Window.partitionBy(*g).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    bucket = F.col("_b").desc() if descending else F.col("_b")
+    earlier = Window.partitionBy(*g).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     shift = (
         bucketed.groupBy(*g, "_b", "_cut").agg(F.sum("_n").alias("_t")).filter("_cut")
         .withColumn("_shift", F.coalesce(F.sum("_t").over(earlier), F.lit(0)))
@@ -98,9 +103,9 @@ def rank_in(df: DataFrame, partition: list[str], measure: str, out: str = "rank"
     return placed.withColumn(out, (F.col("_before") + 1).cast("int")).drop("_n", "_before")
 
 
-def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Ascending rank in which ties share the mean of their places."""
-    placed = with_positions(df, [], value)
+def average_rank(df: DataFrame, value: str, out: str, source: DataFrame | None = None) -> DataFrame:
+    """Ascending rank in which ties share the mean of their places; ``source`` as in ``with_positions``."""
+    placed = with_positions(df, [], value, source=source)
     return placed.withColumn(out, F.col("_before") + (F.col("_n") + 1) / 2).drop("_n", "_before")
 
 

@@ -76,7 +76,7 @@ def correlations(df: DataFrame, cols: list[str], min_abs: float = 0.1) -> DataFr
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Pearson correlation of average ranks over rows where both are known."""
     both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
-    ranked = average_rank(average_rank(both, a, "_ra"), b, "_rb")
+    ranked = average_rank(average_rank(both, a, "_ra"), b, "_rb", source=both)
     return ranked.agg(F.corr("_ra", "_rb").alias("spearman"))
 
 

@@ -67,26 +67,9 @@ def _(t):
     return op.flat_flag(op.flat_opportunities(t.gold(), "ndvi_trend_slope", "fin_tickers", 0.0002), "ndvi_trend_slope", 0.0002, "flag")
 
 
-def policy_sources(t):
-    p = t.priorities().select(F.col("country").alias("country_code"), "year", "priority", "amount")
-    a = p.filter("priority = '1-URGENT' AND year < 1999").select("country_code", "year", F.col("amount").alias("eps_index"))
-    b = p.filter("priority = '2-HIGH' AND year IN (1995, 1998, 2000)").select("country_code", "year", F.col("amount").alias("co2_kt"))
-    c = p.filter("priority = '5-LOW' AND year > 1996").select("country_code", "year", F.col("amount").alias("investeu_total_eur"))
-    return a, b, c
-
-
-@query("policy_fact", "B11 R9 I3", "country_code:s year:i month:i date_sk:i eps_index:d2 co2_kt:d2 investeu_total_eur:d2", ctes("priorities", """
-    SELECT g.country_code, g.year, CAST(m AS INTEGER) AS month, g.year * 100 + m AS date_sk, a.amount AS eps_index,
-        CASE WHEN y0 = y1 THEN v0 ELSE v0 + (v1 - v0) * (g.year - y0) / (y1 - y0) END AS co2_kt, c.amount AS investeu_total_eur
-    FROM (SELECT *, last_value(CASE WHEN co2 IS NOT NULL THEN year END IGNORE NULLS) OVER f AS y0, last_value(co2 IGNORE NULLS) OVER f AS v0,
-        first_value(CASE WHEN co2 IS NOT NULL THEN year END IGNORE NULLS) OVER b AS y1, first_value(co2 IGNORE NULLS) OVER b AS v1
-        FROM (SELECT k.country_code, y.year, p.amount AS co2 FROM (SELECT DISTINCT country AS country_code FROM priorities) k CROSS JOIN (SELECT DISTINCT year FROM priorities) y
-            LEFT JOIN priorities p ON p.country = k.country_code AND p.year = y.year AND p.priority = '2-HIGH' AND p.year IN (1995, 1998, 2000))
-        WINDOW f AS (PARTITION BY country_code ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY country_code ORDER BY year ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) g
-    LEFT JOIN priorities a ON a.country = g.country_code AND a.year = g.year AND a.priority = '1-URGENT' AND a.year < 1999
-    LEFT JOIN priorities c ON c.country = g.country_code AND c.year = g.year AND c.priority = '5-LOW' AND c.year > 1996 CROSS JOIN range(1, 13) AS r(m)"""))
+@query("policy_fact", "B11 R9 I3", "country_code:s year:i month:i date_sk:i eps_index:d2 co2_kt:d2 investeu_total_eur:d2", ctes("policy", "SELECT * FROM policy"))
 def _(t):
-    return facts.policy_fact(*policy_sources(t))
+    return t.policy()
 
 
 @query("economic_fact", "B12 I1 W6", "city_sk:l city_code:s year:i month:i date_sk:i gdp_monthly:d4 ln_gdp:d8 population:l renewables_pct:d6 ets_price_eur:d6 co2_kt:d2 gdp_growth_rate:d3",
@@ -95,6 +78,23 @@ def _(t):
     return t.economy()
 
 
+@query("economic_fact_tourism", "B12 J13", "city_sk:l year:i month:i tourism_nights:d4", ctes("economy panel cities", """
+    SELECT e.city_sk, e.year, e.month, coalesce(o.price, s.price) AS tourism_nights FROM economy e LEFT JOIN own o ON o.entity = e.city_sk AND o.year = e.year AND o.month = e.month
+    LEFT JOIN (SELECT country_code, year, month, arg_min(price, city_code) AS price FROM own GROUP BY 1, 2, 3) s ON s.country_code = e.country_code AND s.year = e.year AND s.month = e.month""",
+    own="SELECT panel.*, city_code, country_code FROM panel JOIN cities ON entity = city_sk WHERE entity % 4 <> 0"))
+def _(t):
+    """Cities that report no nights take those of their country."""
+    t.stage("panel")
+    own = t.panel().filter("entity % 4 <> 0").join(t.cities().withColumnRenamed("city_sk", "entity"), "entity")
+    return t.economy(tourism=own.select("city_code", "country_code", "year", "month", F.col("price").alias("tourism_nights")))
+
+
+@query("gold_fact_policy", "B6 B11", "city_sk:l year:i month:i investment_score:d2 eps_index:d2 co2_kt:d2 investeu_total_eur:d2", ctes("gold policy", """
+    SELECT city_sk, g.year, g.month, investment_score, eps_index, co2_kt, investeu_total_eur FROM gold g LEFT JOIN policy p ON p.country_code = g.country_code AND p.year = g.year AND p.month = g.month"""))
+def _(t):
+    return t.gold(policy=t.policy().drop("date_sk"))
+
+
 @query("environmental_fact", "B13 J1 J2 I8 I9 D6", "city_sk:l year:i month:i date_sk:i ndvi_mean:d8 no2_mean:d8 imperviousness_mean:d6 ntl_mean:d6 ndvi_yoy_change:d8 green_index:d5 wc_natural_pct:d6", ctes("holed panel cities", """
     SELECT city_sk, year, month, year * 100 + month AS date_sk, veg AS ndvi_mean, pol AS no2_mean, seal AS imperviousness_mean, ntl_mean, veg - lag(veg) OVER (PARTITION BY city_sk, month ORDER BY year) AS ndvi_yoy_change,
         round(0.5 * (veg - v0) / (v1 - v0) + 0.3 * (1 - (coalesce(pol, p0) - p0) / (p1 - p0)) + 0.2 * (1 - (coalesce(seal, s0) - s0) / (s1 - s0)), 6) AS green_index, coalesce(tree, 0) AS wc_natural_pct
@@ -141,16 +141,22 @@ def _(t):
     return facts.market_by_country(m.drop("country_code", "ticker"), companies)
 
 
-@query("master_panel", "B15 A3 A8 A12 A18", "city_code:s year:i ndvi_mean:d8 no2_mean:d8 temp_mean_c:d6 precip_total_m:d6 ndvi_slope:d8 co2_kt:d2 close_price:d4 annual_volatility:d8 n_tickers:i", ctes("holed cities annual market", """
-    SELECT c.city_code, y.year, y.veg AS ndvi_mean, y.pol AS no2_mean, y.temp AS temp_mean_c, y.rain AS precip_total_m, s.slope AS ndvi_slope, a.amount AS co2_kt, f.close_price, f.vol AS annual_volatility, f.k AS n_tickers
+@query("master_panel", "B15 A3 A8 A12 A18", "city_code:s year:i ndvi_mean:d8 no2_mean:d8 temp_mean_c:d6 precip_total_m:d6 ndvi_slope:d8 co2_kt:d2 close_price:d4 annual_volatility:d8 n_tickers:i imperviousness:d6 eps_index:d6 investeu_total_eur:d4", ctes("holed cities annual market", """
+    SELECT c.city_code, y.year, y.veg AS ndvi_mean, y.pol AS no2_mean, y.temp AS temp_mean_c, y.rain AS precip_total_m, s.slope AS ndvi_slope, a.amount AS co2_kt, f.close_price, f.vol AS annual_volatility, f.k AS n_tickers, x.imperviousness, x.eps_index, x.investeu_total_eur
     FROM (SELECT entity, year, avg(veg) AS veg, avg(pol) AS pol, avg(seal) AS temp, sum(seal) AS rain FROM holed GROUP BY 1, 2) y JOIN cities c ON c.city_sk = y.entity
     LEFT JOIN (SELECT entity, coalesce(CASE WHEN regr_count(v, year) >= 3 THEN regr_slope(v, year) END, 0) AS slope FROM (SELECT entity, year, avg(veg) AS v FROM holed GROUP BY 1, 2) GROUP BY 1) s ON s.entity = y.entity
     LEFT JOIN annual a ON a.country = c.country_code AND a.year = y.year
-    LEFT JOIN (SELECT country_code, year, avg(close_price) AS close_price, avg(monthly_volatility) * sqrt(12.0) AS vol, count(DISTINCT ticker) AS k FROM market GROUP BY 1, 2) f ON f.country_code = c.country_code AND f.year = y.year"""))
+    LEFT JOIN (SELECT country_code, year, avg(close_price) AS close_price, avg(monthly_volatility) * sqrt(12.0) AS vol, count(DISTINCT ticker) AS k FROM market GROUP BY 1, 2) f ON f.country_code = c.country_code AND f.year = y.year
+    LEFT JOIN (SELECT entity, year, max(seal) FILTER (year >= 1994) AS imperviousness, max(pol) FILTER (year < 1998) AS eps_index, max(price) FILTER (entity % 3 = 0) AS investeu_total_eur
+        FROM holed GROUP BY 1, 2) x ON x.entity = y.entity AND x.year = y.year"""))
 def _(t):
+    t.stage("panel")
     h = t.holed().join(t.cities().select(F.col("city_sk").alias("entity"), "city_code"), "entity")
     pick = lambda *cols: h.select("city_code", "year", *[F.col(c).alias(n) for c, n in cols])
+    top = lambda c, name, kept: h.filter(kept).groupBy("city_code", "year").agg(F.max(c).alias(name))
     co2 = t.annual().select(F.col("country").alias("country_code"), "year", F.col("amount").alias("co2_kt"))
     df = facts.master_panel(pick(("veg", "ndvi_mean")), t.market(), no2=pick(("pol", "no2_mean")),
-                            climate=pick(("seal", "temp_mean_c"), ("seal", "precip_total_m")), emissions=co2)
+                            climate=pick(("seal", "temp_mean_c"), ("seal", "precip_total_m")), emissions=co2,
+                            sealing=top("seal", "imperviousness", "year >= 1994"), policy=top("pol", "eps_index", "year < 1998"),
+                            investment=top("price", "investeu_total_eur", "entity % 3 = 0"))
     return df.withColumn("n_tickers", F.size("tickers"))

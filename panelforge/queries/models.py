@@ -77,12 +77,12 @@ def _silhouette(dist):
 D2 = "(p.veg_z - q.veg_z) ** 2 + (p.pol_z - q.pol_z) ** 2 + (p.seal_z - q.seal_z) ** 2"
 
 
-@query("silhouette_euclidean", "M3b", "entity:l cluster_id:i silhouette:d6", _silhouette(f"sqrt({D2})"))
+@query("silhouette_euclidean", "", "entity:l cluster_id:i silhouette:d6", _silhouette(f"sqrt({D2})"))
 def _(t):
     return clustering.silhouette(scaled(t), "entity", Z, "cluster_id")
 
 
-@query("silhouette_squared", "M3b", "entity:l cluster_id:i silhouette:d6", _silhouette(D2))
+@query("silhouette_squared", "M3b M3", "entity:l cluster_id:i silhouette:d6", _silhouette(D2))
 def _(t):
     return clustering.silhouette_squared(scaled(t), Z, "cluster_id")
 
@@ -158,12 +158,17 @@ def _(t):
     return panel.turning_point(panel.panel_fe_se(fit, res, "cluster_id", "entity"))
 
 
-@query("gap_to_turning_point", "M7 D7", "entity:l year:i month:i gap_to_turning:d4 shape:s", ctes("panel parameters", """
-    SELECT entity, year, month, price - turning_point AS gap_to_turning, CASE WHEN beta1 > 0 THEN 'UP' ELSE 'DOWN' END AS shape FROM panel JOIN supplier ON s_suppkey = entity JOIN nation ON s_nationkey = n_nationkey
-    JOIN (SELECT * FROM parameters WHERE estimation_year = 2000) k ON k.cluster_id = n_regionkey"""))
+@query("gap_to_turning_point", "M7 D7", "entity:l year:i month:i gap_to_turning:d2 shape:s", fe_sql("""
+    SELECT e AS entity, p // 100 AS year, p % 100 AS month, CASE WHEN n_obs >= 30 THEN x0 + beta1 / (2 * beta2) END AS gap_to_turning,
+        CASE WHEN n_obs < 30 THEN 'UNCLEAR' WHEN beta1 > 0 AND beta2 < 0 THEN 'INVERTED_U' WHEN beta1 > 0 AND beta2 > 0 THEN 'MONOTONIC_UP' WHEN beta1 < 0 THEN 'MONOTONIC_DOWN' ELSE 'UNCLEAR' END AS shape
+    FROM r0 JOIN fit USING (g)"""))
 def _(t):
-    fit = t.parameters().filter("estimation_year = 2000").withColumn("shape", F.when(F.col("beta1") > 0, "UP").otherwise("DOWN"))
-    return panel.gap_to_turning(t.panel().join(zones(t), "entity"), fit, "cluster_id", "price")
+    """Distance in logs of every city-month to the turning point that was fitted for its cluster."""
+    t.stage("panel")
+    fit, res = fitted(t)
+    turn = panel.turning_point(panel.panel_fe_se(fit, res, "cluster_id", "entity")).withColumn("turning_point", F.col("turning_point_ln"))
+    rows = t.panel().join(zones(t), "entity").withColumn("ln_price", F.log("price"))
+    return panel.gap_to_turning(rows, turn, "cluster_id", "ln_price")
 
 
 # ---- phase classification --------------------------------------------------------

@@ -99,7 +99,17 @@ def _(t):
     return crawl.extract_links(t("pages"), "page_id", "url", "html", "^/")
 
 
+# The pages hold links from the root only. Their ids give each page one of six forms of the same targets.
+FORMS = """CASE page_id % 6 WHEN 1 THEN substr(href, 2) WHEN 2 THEN '//cdn.example.org' || href WHEN 3 THEN 'https://other.example.org' || href
+    WHEN 4 THEN '?q=' || substr(href, 2) WHEN 5 THEN '#' || substr(href, 2) ELSE href END"""
+
+
 @query("absolute_links", "C2", "link_url:s", f"""
-    SELECT DISTINCT regexp_extract(url, '^([a-zA-Z]+://[^/]*)', 1) || trim(href) AS link_url FROM ({LINKS}) WHERE regexp_matches(href, '^/')""")
+    SELECT DISTINCT CASE page_id % 6 WHEN 1 THEN folder || h WHEN 2 THEN scheme || h WHEN 3 THEN h WHEN 4 THEN page || h
+        WHEN 5 THEN regexp_replace(url, '#.*$', '') || h ELSE site || h END AS link_url
+    FROM (SELECT *, regexp_extract(page, '^([a-zA-Z][a-zA-Z0-9+.-]*:)', 1) AS scheme, regexp_extract(page, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/]*)', 1) AS site,
+            CASE WHEN regexp_matches(page, '^[^:]+://[^/]+$') THEN page || '/' ELSE regexp_replace(page, '[^/]*$', '') END AS folder
+        FROM (SELECT page_id, url, regexp_replace(url, '[?#].*$', '') AS page, {FORMS} AS h FROM (SELECT page_id, url, trim(href) AS href FROM ({LINKS}) WHERE starts_with(trim(href), '/'))))""")
 def _(t):
-    return crawl.absolute_urls(crawl.extract_links(t("pages"), "page_id", "url", "html", "^/"), "url")
+    links = crawl.extract_links(t("pages"), "page_id", "url", "html", r"^\s*/")
+    return crawl.absolute_urls(links.withColumn("href", F.expr(FORMS)), "url")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.models import forecast
 from ..plans import serving as op
+from .models import FORECAST, seasonal
 from .registry import ctes, query
 
 RANK = "city_code:s country_code:s year:i month:i rank_position:i investment_score:d2"
@@ -89,10 +91,11 @@ def _(t):
     return op.cluster_history(fact, t.cities(), cluster)
 
 
-@query("kpi_checks", "V12", "positive_share:d8 cities_scored:l cities_forecast:l clusters_in_range:l clusters_explained:l turning_point_ok:b phases_ok:b fit_ok:b score_ok:b forecast_ok:b", ctes("gold parameters", """
+@query("kpi_checks", "V12", "positive_share:d8 cities_scored:l cities_forecast:l clusters_in_range:l clusters_explained:l turning_point_ok:b phases_ok:b fit_ok:b score_ok:b forecast_ok:b", ctes("gold parameters holed", """
     SELECT *, clusters_in_range >= 1 AS turning_point_ok, positive_share > 0.1 AS phases_ok, clusters_explained >= 1 AS fit_ok, cities_scored >= 200 AS score_ok, cities_forecast >= 100 AS forecast_ok FROM (
         SELECT avg(CAST(turning_point_phase IN ('TURNING', 'RECUPERANDO') AS INTEGER)) AS positive_share, count(DISTINCT city_sk) FILTER (investment_score IS NOT NULL) AS cities_scored,
-            count(DISTINCT city_sk) FILTER (ndvi_mean IS NOT NULL) AS cities_forecast FROM gold),
-        (SELECT count(*) FILTER (beta2 < 0 AND turning_point BETWEEN 15000 AND 80000) AS clusters_in_range, count(*) FILTER (r_squared > 0.10) AS clusters_explained FROM parameters)"""))
+            (SELECT count(DISTINCT entity) FROM fc WHERE ahead = 12 AND forecast IS NOT NULL) AS cities_forecast FROM gold),
+        (SELECT count(*) FILTER (beta2 < 0 AND turning_point BETWEEN 15000 AND 80000) AS clusters_in_range, count(*) FILTER (r_squared > 0.10) AS clusters_explained FROM parameters)""", **FORECAST))
 def _(t):
-    return op.kpi_checks(t.gold().withColumn("forecast_1y", F.col("ndvi_mean")), t.parameters())
+    year = forecast.forecast(seasonal(t), "entity", [1]).select(F.col("entity").alias("city_sk"), F.col("forecast").alias("forecast_1y"))
+    return op.kpi_checks(t.gold().join(year, "city_sk", "left"), t.parameters())

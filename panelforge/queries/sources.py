@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import ingest as jobs
+from ..operators.ordered_sets import stack
 from ..sources import readers, writers
 from ..streaming.incremental import append_new, pending
 from .registry import ctes, query
@@ -59,12 +60,13 @@ def _(t):
 
 @query("scan_many_files", "S5", "key:l name:s balance:d4", """
     SELECT s_suppkey AS key, s_name AS name, s_acctbal AS balance FROM supplier
-    UNION ALL SELECT c_custkey, c_name, NULL FROM customer""")
+    UNION ALL SELECT c_custkey, c_name, NULL FROM customer UNION ALL SELECT p_partkey, p_name, NULL FROM part""")
 def _(t):
-    a, b = t.scratch("csv"), t.scratch("csv")
+    a, b, c = (t.scratch("csv") for _ in range(3))
     t("supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance")).write.option("header", True).csv(a)
     t("customer").select(F.col("c_name").alias("Name"), F.col("c_custkey").alias("Key")).write.option("header", True).csv(b)
-    return readers.read_many(t.spark, [a, b])
+    t("part").select(F.col("p_name").alias("Name"), F.col("p_partkey").alias("Key")).write.option("header", True).csv(c)
+    return readers.read_many(t.spark, [a, b, c])
 
 
 @query("scan_parquet_with_key", "S6", "station:s n_rows:l total:d4", """
@@ -77,14 +79,14 @@ def _(t):
 
 
 @query("scan_optional_table", "S7", "source:s n_rows:l", """
-    SELECT 'orders' AS source, count(*) AS n_rows FROM orders""")
+    SELECT 'orders' AS source, count(*) AS n_rows FROM orders UNION ALL SELECT 'customer', count(*) FROM customer""")
 def _(t):
-    found = {n: readers.read_table(t.spark, f"{t.folder}/{n}.parquet") for n in ("orders", "no_such_table")}
+    found = {n: readers.read_table(t.spark, f"{t.folder}/{n}.parquet") for n in ("orders", "no_such_table", "customer")}
     present = [df.agg(F.lit(n).alias("source"), F.count(F.lit(1)).alias("n_rows")) for n, df in found.items() if df is not None]
-    return present[0]
+    return stack(present)
 
 
-@query("sink_partitioned_parquet", "S9 S12", "o_orderkey:l year:i o_totalprice:d4", """
+@query("sink_partitioned_parquet", "S9", "o_orderkey:l year:i o_totalprice:d4", """
     SELECT o_orderkey, year(o_orderdate) AS year, o_totalprice FROM orders""")
 def _(t):
     path = t.scratch("orders")
@@ -92,6 +94,15 @@ def _(t):
     return t.spark.read.parquet(path)
 
 
+@query("register_partitions", "S12", "year:i n_rows:l", "SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n_rows FROM orders GROUP BY 1")
+def _(t):
+    path = t.scratch("orders")
+    writers.write_parquet(t("orders").select("o_orderkey", F.year("o_orderdate").alias("year")), path, ["year"])
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    writers.register(t.spark, name, path)
+    return t.spark.table(name).groupBy("year").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @query("sink_single_csv", "S11", "country:s year:i gdp:d4", ctes("annual", "SELECT country, year, gdp FROM annual"))
 def _(t):
     path = t.scratch("export")

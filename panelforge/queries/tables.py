@@ -15,7 +15,7 @@ from ..functions.scalars import phase_label
 from ..operators.aggregates import concat_distinct
 from ..operators.metrics import green_index
 from ..operators.windows import yoy_diff
-from ..plans.facts import economic_fact, gold_fact, ranking
+from ..plans.facts import economic_fact, gold_fact, policy_fact, ranking
 from ..sources.readers import lookup
 from ..streaming.storage import fresh_path
 
@@ -141,14 +141,14 @@ class Tables:
     def carbon(self) -> DataFrame:
         return self.panel().groupBy("year", "month").agg((F.sum("price_sum").cast("double") / F.sum("n") / 1000).alias("ets_price_eur"))
 
-    def economy(self) -> DataFrame:
+    def economy(self, **sides: DataFrame) -> DataFrame:
         self.stage("cube", "panel")
         gdp = self.annual().select(F.col("country").alias("country_code"), "year", "gdp").join(
             self.cities().select("city_code", "country_code"), "country_code").select("city_code", "year", "gdp")
         co2 = self.annual().select(F.col("country").alias("country_code"), "year", F.col("amount").alias("co2_kt"))
         people = self.panel().groupBy(F.col("entity").alias("city_sk"), "year").agg(F.sum("n").alias("population"))
         people = people.join(self.cities().select("city_sk", "city_code"), "city_sk").select("city_code", "year", "population")
-        return economic_fact(gdp, self.cities(), people, self.renewables(), carbon=self.carbon(), co2=co2, carbon_start=1997, unique_sides=True)
+        return economic_fact(gdp, self.cities(), people, self.renewables(), carbon=self.carbon(), co2=co2, carbon_start=1997, unique_sides=True, **sides)
 
     def market_months(self) -> DataFrame:
         keys = ["country_code", "year", "month"]
@@ -156,11 +156,18 @@ class Tables:
         price = m.groupBy(*keys).agg(F.avg("close_price").alias("fin_close_price_avg"))
         return price.join(concat_distinct(m, keys, "ticker", ",", "fin_tickers"), keys, "left")
 
-    def gold(self) -> DataFrame:
+    def policy(self) -> DataFrame:
+        p = self.priorities().select(F.col("country").alias("country_code"), "year", "priority", "amount")
+        a = p.filter("priority = '1-URGENT' AND year < 1999").select("country_code", "year", F.col("amount").alias("eps_index"))
+        b = p.filter("priority = '2-HIGH' AND year IN (1995, 1998, 2000)").select("country_code", "year", F.col("amount").alias("co2_kt"))
+        c = p.filter("priority = '5-LOW' AND year > 1996").select("country_code", "year", F.col("amount").alias("investeu_total_eur"))
+        return policy_fact(a, b, c)
+
+    def gold(self, **sides: DataFrame) -> DataFrame:
         self.stage("panel", "cube", "env")
         eco = self.economy().select("city_sk", "year", "month", "gdp_monthly", "renewables_pct", "ets_price_eur")
         city = self.cities().select("city_sk", "city_code", "city_name", "country_code", "country_name")
-        df = gold_fact(self.env(), city, eco, market=self.market_months(), unique_sides=True).drop("turning_point_phase", "gap_to_turning")
+        df = gold_fact(self.env(), city, eco, market=self.market_months(), unique_sides=True, **sides).drop("turning_point_phase", "gap_to_turning")
         level = self.annual().groupBy(F.col("country").alias("country_code")).agg(F.avg("gdp").alias("turning_point"))
         df = df.join(level, "country_code", "left").withColumn("gap_to_turning", F.col("gdp_monthly") - F.col("turning_point"))
         return df.withColumn("turning_point_phase", phase_label("ndvi_yoy_change", "gap_to_turning", "turning_point", 0.01))
@@ -226,6 +233,15 @@ _CTES: dict[str, tuple[str, str]] = {
         LEFT JOIN cities c ON c.city_sk = e.city_sk LEFT JOIN (SELECT city_sk, year, month, gdp_monthly, renewables_pct, ets_price_eur FROM economy) o ON o.city_sk = e.city_sk AND o.year = e.year AND o.month = e.month
         LEFT JOIN market_months f ON f.country_code = c.country_code AND f.year = e.year AND f.month = e.month
         LEFT JOIN (SELECT country, avg(gdp) AS turning_point FROM annual GROUP BY 1) t ON t.country = c.country_code)"""),
+    "policy": ("priorities", """SELECT g.country_code, g.year, CAST(m AS INTEGER) AS month, g.year * 100 + m AS date_sk, a.amount AS eps_index,
+        CASE WHEN y0 = y1 THEN v0 ELSE v0 + (v1 - v0) * (g.year - y0) / (y1 - y0) END AS co2_kt, c.amount AS investeu_total_eur
+    FROM (SELECT *, last_value(CASE WHEN co2 IS NOT NULL THEN year END IGNORE NULLS) OVER f AS y0, last_value(co2 IGNORE NULLS) OVER f AS v0,
+        first_value(CASE WHEN co2 IS NOT NULL THEN year END IGNORE NULLS) OVER b AS y1, first_value(co2 IGNORE NULLS) OVER b AS v1
+        FROM (SELECT k.country_code, y.year, p.amount AS co2 FROM (SELECT DISTINCT country AS country_code FROM priorities) k CROSS JOIN (SELECT DISTINCT year FROM priorities) y
+            LEFT JOIN priorities p ON p.country = k.country_code AND p.year = y.year AND p.priority = '2-HIGH' AND p.year IN (1995, 1998, 2000))
+        WINDOW f AS (PARTITION BY country_code ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY country_code ORDER BY year ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) g
+    LEFT JOIN priorities a ON a.country = g.country_code AND a.year = g.year AND a.priority = '1-URGENT' AND a.year < 1999
+    LEFT JOIN priorities c ON c.country = g.country_code AND c.year = g.year AND c.priority = '5-LOW' AND c.year > 1996 CROSS JOIN range(1, 13) AS r(m)"""),
     "ranked": ("gold", """SELECT *, lag(rank_position) OVER w - rank_position AS rank_change, investment_score - lag(investment_score) OVER w AS score_change, substr(split_part(fin_tickers, ',', 1), 1, 20) AS top_ticker FROM (
         SELECT *, rank() OVER (PARTITION BY year, month ORDER BY investment_score DESC) AS rank_position, rank() OVER (PARTITION BY year, month, country_code ORDER BY investment_score DESC) AS rank_within_country FROM gold)
         WINDOW w AS (PARTITION BY city_sk ORDER BY year, month)"""),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions import scalars as fn
 from ..operators import imputation as op
-from ..operators.ordered_sets import stack
 from .registry import ctes, query
 
 KEY = "entity:l year:i month:i"
@@ -179,5 +178,3 @@ def _(t):
     df = t.holed().select("entity", "year", "seal").join(t.cities().select(F.col("city_sk").alias("entity"), "country_code"), "entity")
     return op.impute_median(df, ["seal"], ["country_code"]).groupBy("entity", "year").agg(F.avg("seal").alias("seal"))
 
-
-assert stack

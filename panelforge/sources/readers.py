@@ -66,8 +66,14 @@ def read_sdmx_csv(spark: SparkSession, path, value_col: str = "value") -> DataFr
 
 
 def read_many(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Several CSV files as one table; columns are matched by name, missing ones are NULL."""
-    return stack([read_raw(spark, p) for p in paths])
+    """Several CSV files as one table; columns are matched by name, missing ones are NULL.
+
+    Files with one header are one scan, so the plan grows with the number of layouts, not of files.
+    """
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for p in paths:
+        layouts.setdefault(tuple(spark.read.option("header", True).csv(p).columns), []).append(p)
+    return stack([read_raw(spark, same) for same in layouts.values()])
 
 
 def read_parquet_with_key(spark: SparkSession, folder: str, key: str = "key", pattern: str = r"([^/]+?)\.parquet$") -> DataFrame:

@@ -79,11 +79,11 @@ def skewed(spark, n=4000, seed=1):
 
 
 @pytest.mark.parametrize("descending", [False, True])
-@pytest.mark.parametrize("bucket_rows", [1, 50, 10**6])
-def test_positions_equal_brute_force(spark, descending, bucket_rows):
+@pytest.mark.parametrize("cuts", [1, 16, 10**6])
+def test_positions_equal_brute_force(spark, descending, cuts):
     rows = skewed(spark)
     df = spark.createDataFrame(rows, "g string, v double").repartition(5)
-    got = {(r["_g0"], r["_v"]): (r["_n"], r["_before"]) for r in ordering.value_positions(df, ["g"], "v", descending, bucket_rows).collect()}
+    got = {(r["_g0"], r["_v"]): (r["_n"], r["_before"]) for r in ordering.value_positions(df, ["g"], "v", descending, cuts).collect()}
     want = {}
     for g in {r[0] for r in rows}:
         vs = [v for k, v in rows if k == g and v is not None]
@@ -92,9 +92,9 @@ def test_positions_equal_brute_force(spark, descending, bucket_rows):
     assert got == want
 
 
-@pytest.mark.parametrize("bucket_rows", [1, 10**6])
-def test_quantiles_and_rows_numbers_with_cuts(spark, monkeypatch, bucket_rows):
-    monkeypatch.setattr(ordering, "BUCKET_ROWS", bucket_rows)
+@pytest.mark.parametrize("cuts", [1, 10**4])
+def test_quantiles_and_rows_numbers_with_cuts(spark, monkeypatch, cuts):
+    monkeypatch.setattr(ordering, "CUTS_PER_PARTITION", cuts)
     rows = skewed(spark)
     df = spark.createDataFrame(rows, "g string, v double")
     got = {(r["g"], r["prob"]): r["value"] for r in ordering.quantiles(df, ["v"], [0.25, 0.5, 0.9], ["g"]).collect()}
