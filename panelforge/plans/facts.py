@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.scalars import annualise, date_key, first_token, guarded_log, valid_from
@@ -24,13 +24,14 @@ MONTHLY = ["city_code", "year", "month"]
 def environmental_fact(base: DataFrame, cities: DataFrame, monthly: list[DataFrame] = (), annual: list[DataFrame] = (),
                        old_vegetation: DataFrame | None = None, lights: DataFrame | None = None, gap_before: int = 2004,
                        overlap: tuple[int, ...] = (2012, 2013), unique_sides: bool = False,
-                       store: Callable[[DataFrame], DataFrame] = DataFrame.checkpoint) -> DataFrame:
+                       store: Callable[[DataFrame], DataFrame] = DataFrame.checkpoint, unmatched: Observation | None = None) -> DataFrame:
     """City-month environment: monthly sides on the full key, annual sides repeated, gaps filled
     from the old sensor, light sensors harmonised, index and yearly change derived.
 
     The index needs the table's bounds before its rows, so the joined table is stored once (by
     ``store``, a checkpoint by default) and then read twice. ``unique_sides`` says that every side
-    already holds one row per key, which saves the step that makes it so.
+    already holds one row per key, which saves the step that makes it so. ``unmatched`` receives, once the result has been
+    computed, ``n_dropped``: the rows whose city is unknown.
     """
     df = attach(base, list(monthly), MONTHLY, not unique_sides)
     df = attach(df, list(annual), ["city_code", "year"], not unique_sides)
@@ -49,8 +50,11 @@ def environmental_fact(base: DataFrame, cities: DataFrame, monthly: list[DataFra
     cover = [c for c in ("wc_tree_pct", "wc_shrub_pct", "wc_grass_pct", "wc_water_pct") if c in has]
     if cover:
         df = natural_cover(df, cover, "wc_natural_pct")
-    matched, _ = to_surrogate(df.withColumn("date_sk", date_key("year", "month")), cities, "city_code", "city_sk")
-    return matched
+    df = df.withColumn("date_sk", date_key("year", "month"))
+    if unmatched is None:
+        return to_surrogate(df, cities, "city_code", "city_sk")[0]
+    placed = df.join(cities.select("city_code", "city_sk"), "city_code", "left")
+    return placed.observe(unmatched, F.count_if(F.col("city_sk").isNull()).alias("n_dropped")).filter(F.col("city_sk").isNotNull())
 
 
 def _by_group_time(df: DataFrame, side: DataFrame, group: list[str], value: str, unique: bool) -> DataFrame:

@@ -433,3 +433,28 @@ def test_panel_with_staggered_entry_settles(spark):
     fit, _ = panel.panel_fe(spark.createDataFrame(rows, "g int, e int, t int, y double, x double"), "e", "t", "y", "x", "g")
     got = fit.first()
     assert abs(got["beta1"] - 2.0) < 1e-4 and abs(got["beta2"] - 0.5) < 1e-5
+
+
+def test_environmental_fact_reports_unknown_cities(spark):
+    from pyspark.sql import Observation
+
+    from panelforge.plans.facts import environmental_fact
+
+    base = spark.createDataFrame([("a", 2000, 1, 0.5), ("b", 2000, 1, 0.7), ("zz", 2000, 1, 0.6)], "city_code string, year int, month int, ndvi_mean double")
+    cities = spark.createDataFrame([("a", 1), ("b", 2)], "city_code string, city_sk int")
+    seen = Observation("unknown")
+    plain = environmental_fact(base, cities, store=lambda d: d)
+    told = environmental_fact(base, cities, store=lambda d: d, unmatched=seen)
+    assert sorted(told.select(*plain.columns).collect()) == sorted(plain.collect())
+    assert seen.get == {"n_dropped": 1}
+
+
+def test_median_composite_and_keyed_median_fill(spark):
+    from panelforge.operators import geo
+
+    px = spark.createDataFrame([("z", 1, 1, 1.0), ("z", 1, 1, 2.0), ("z", 1, 2, 5.0), ("z", 1, 2, None), ("z", 1, 3, None)], "zone string, year int, pixel int, v double")
+    row = geo.median_composite(px, ["zone"], ["year"], "pixel", "v").first()
+    assert (row.zonal_mean, row.n_pixels) == (3.25, 2)
+    df = spark.createDataFrame([("a", 1.0, None), ("a", 3.0, None), ("a", None, 4.0), ("b", None, None)], "g string, x double, y double")
+    got = sorted(map(tuple, imputation.impute_median(df, ["x", "y"], ["g"]).collect()))
+    assert got == [("a", 1.0, 4.0), ("a", 2.0, 4.0), ("a", 3.0, 4.0), ("b", 0.0, 0.0)]
