@@ -34,7 +34,7 @@ def _(t):
     return op.group_profile(t("orders"), ["o_orderpriority"], "o_custkey", "o_totalprice")
 
 
-@query("market_panel", "A5", "country_code:s year:i n_tickers:l avg_price:d4 avg_volatility:d8", ctes("market", """
+@query("market_panel", "A5", "country_code:s year:i n_tickers:l avg_price:d6 avg_volatility:d8", ctes("market", """
     SELECT country_code, year, count(DISTINCT ticker) AS n_tickers, avg(close_price) AS avg_price, avg(monthly_volatility) AS avg_volatility FROM market GROUP BY 1, 2"""))
 def _(t):
     return op.market_panel(t.market(), "country_code", "year", "ticker", {"close_price": "avg_price", "monthly_volatility": "avg_volatility"},

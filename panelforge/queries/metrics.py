@@ -141,7 +141,7 @@ def _(t):
     return facts.market_by_country(m.drop("country_code", "ticker"), companies)
 
 
-@query("master_panel", "B15 A3 A8 A12 A18", "city_code:s year:i ndvi_mean:d8 no2_mean:d8 temp_mean_c:d6 precip_total_m:d6 ndvi_slope:d8 co2_kt:d2 close_price:d4 annual_volatility:d8 n_tickers:i imperviousness:d6 eps_index:d6 investeu_total_eur:d4", ctes("holed cities annual market", """
+@query("master_panel", "B15 A3 A8 A12 A18", "city_code:s year:i ndvi_mean:d8 no2_mean:d8 temp_mean_c:d6 precip_total_m:d6 ndvi_slope:d8 co2_kt:d2 close_price:d6 annual_volatility:d8 n_tickers:i imperviousness:d6 eps_index:d6 investeu_total_eur:d4", ctes("holed cities annual market", """
     SELECT c.city_code, y.year, y.veg AS ndvi_mean, y.pol AS no2_mean, y.temp AS temp_mean_c, y.rain AS precip_total_m, s.slope AS ndvi_slope, a.amount AS co2_kt, f.close_price, f.vol AS annual_volatility, f.k AS n_tickers, x.imperviousness, x.eps_index, x.investeu_total_eur
     FROM (SELECT entity, year, avg(veg) AS veg, avg(pol) AS pol, avg(seal) AS temp, sum(seal) AS rain FROM holed GROUP BY 1, 2) y JOIN cities c ON c.city_sk = y.entity
     LEFT JOIN (SELECT entity, coalesce(CASE WHEN regr_count(v, year) >= 3 THEN regr_slope(v, year) END, 0) AS slope FROM (SELECT entity, year, avg(veg) AS v FROM holed GROUP BY 1, 2) GROUP BY 1) s ON s.entity = y.entity

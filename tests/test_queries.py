@@ -11,7 +11,7 @@ from panelforge.queries import REGISTRY
 SAMPLE = {"ingest_vegetation", "ingest_population", "ingest_carbon_price"}
 NAMES = [n for n in REGISTRY if not n.startswith("ingest_") or n in SAMPLE]
 # The smallest data hold two entities per group, too few for standard errors.
-LARGER = {"panel_standard_errors", "turning_points", "panel_fixed_effects", "panel_fit_quality"}
+LARGER = {"panel_standard_errors", "gap_to_turning_point", "turning_points", "panel_fixed_effects", "panel_fit_quality"}
 PYTHON = {"silhouette_euclidean", "ridge_forecast_fit"}
 
 
