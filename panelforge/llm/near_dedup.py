@@ -5,6 +5,8 @@ least ``BLOCKS - distance`` blocks, so each fingerprint is dealt out once for ev
 fingerprints are one node before any of this. Rows that share blocks arrive sorted and next to each other; each such
 bucket gives a spanning forest of its verified links, never all pairs. A bucket beyond ``bucket`` fingerprints is not held: its
 members are linked exactly through all fingerprints at half the distance (two are linked if and only if they share one).
+
+``similar`` links texts by the Jaccard similarity of their shingle sets instead: MinHash bands, then the whole sets.
 """
 
 from __future__ import annotations
@@ -205,8 +207,128 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", distance:
     return marked.join(named, "fp").select("key", "fp", "component")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The document with the smallest key of every component; rows that repeat a key count as one document."""
-    found = classes(docs, key, text, **options)
+def set_marks(bands: int, rows: int, size: int):
+    """Of each text, the 128-bit name of its set of shingles and one key for each band of ``rows`` MinHashes (none without words)."""
+    r = np.random.default_rng(SEED)
+    flip, times, mix = (r.integers(0, 1 << 63, n, np.uint64) << np.uint64(1) | np.uint64(1) for n in (bands * rows, bands * rows, bands * rows))
+    flip, times, mix = flip[:, None], times[:, None], mix.reshape(bands, rows)
+
+    @F.arrow_udf("struct<node: binary, bands: array<long>>")
+    def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        from xxhash import xxh3_128_digest
+
+        for batch in batches:
+            nodes, keys = [], []
+            for raw in batch:
+                h = np.unique(shingle_hashes(raw.as_py(), size))
+                nodes.append(xxh3_128_digest(h.tobytes()))
+                least = np.full(bands * rows, ~np.uint64(0))
+                for at in range(0, len(h), 512):
+                    np.minimum(least, ((h[at:at + 512] ^ flip) * times).min(axis=1), out=least)
+                key = (least.reshape(bands, rows) * mix).sum(axis=1, dtype=np.uint64)
+                keys.append((key ^ key >> np.uint64(32)).view(np.int64) if len(h) else np.zeros(0, np.int64))
+            yield pa.StructArray.from_arrays([pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["node", "bands"])
+
+    return made
+
+
+def shingle_sets(text: Column, size: int) -> Column:
+    """Struct of a text's set name and its distinct shingle hashes in ascending order."""
+
+    @F.arrow_udf("struct<node: binary, set: array<long>>")
+    def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        from xxhash import xxh3_128_digest
+
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(raw.as_py(), size)) for raw in batch]
+            nodes = pa.array([xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())
+            yield pa.StructArray.from_arrays([nodes, pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["node", "set"])
+
+    return made(text.cast("binary"))
+
+
+def _numbers(column) -> list[np.ndarray]:
+    """The lists of a column of arrays of hashes."""
+    return [x.values.to_numpy().view(np.uint64) for x in column]
+
+
+def set_forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links that connect what is connected by a Jaccard similarity of at least ``least``."""
+    sizes = np.array([len(x) for x in sets])
+    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    left, out = np.ones(len(sets), bool), []
+    while left.any():
+        queue = [int(np.flatnonzero(left)[0])]
+        left[queue[0]] = False
+        while queue and left.any():
+            i = queue.pop()
+            at = np.minimum(np.searchsorted(sets[i], every), sizes[i] - 1)
+            both = np.bincount(owner[sets[i][at] == every], minlength=len(sets))
+            hit = np.flatnonzero(left & (both / (sizes + sizes[i] - both) >= least)).tolist()
+            left[hit] = False
+            out.extend((i, j) for j in hit)
+            queue.extend(hit)
+    return out
+
+
+def set_links(marks: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (u, v) between nodes of ``marks`` (node, key of a band) that connect every pair of one bucket with Jaccard of at least ``least``.
+
+    Each member of a bucket is first compared with the bucket's smallest. That decides buckets of two, and those whose
+    members are linked by then; the others are searched whole, each distinct list of members once, by one task a bucket.
+    """
+
+    def verified(batches):
+        for batch in batches:
+            near = [len(a) and (n := len(np.intersect1d(a, b, assume_unique=True))) / (len(a) + len(b) - n) >= least
+                    for a, b in zip(_numbers(batch.column(2)), _numbers(batch.column(3)))]
+            yield batch.select(["u", "v"]).filter(pa.array([bool(x) for x in near], pa.bool_()))
+
+    def searched(bucket: pa.Table) -> pa.Table:
+        nodes = bucket.column("node").to_pylist()
+        found = set_forest(_numbers(bucket.column("set").combine_chunks()), least)
+        return pa.table([pa.array([nodes[i] for i, _ in found], pa.binary()), pa.array([nodes[j] for _, j in found], pa.binary())], ["u", "v"])
+
+    least_of = marks.groupBy("k").agg(F.min("node").alias("v"))
+    pairs = marks.join(least_of, "k").filter("node != v").select(F.col("node").alias("u"), "v").distinct()
+    a, b = (sets.select(F.col("node").alias(n), F.col("set").alias(f"set_{n}")) for n in "uv")
+    first = stored(pairs.join(a, "u").join(b, "v").select("u", "v", "set_u", "set_v").mapInArrow(verified, "u binary, v binary"), "near")
+    tied = components(first)
+    h = F.xxhash64("node")
+    opened = marks.join(tied, "node", "left").groupBy("k").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.coalesce("root", "node")).alias("low"), F.max(F.coalesce("root", "node")).alias("high"),
+        F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(20,0)")).alias("s")).filter("n > 2 and low != high")
+    buckets = stored(opened.groupBy("n", "x", "s").agg(F.min("k").alias("k")).select("k"), "open")
+    if buckets.isEmpty():
+        return first
+    rest = marks.join(buckets, "k", "left_semi").join(sets, "node")
+    return first.unionByName(stored(rest.groupBy("k").applyInArrow(searched, "u binary, v binary"), "near"))
+
+
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, size: int = 5, bands: int = 40, rows: int = 5) -> DataFrame:
+    """(key, node, component): each row's set of ``size``-word shingles by name and the smallest key of its component.
+
+    Two documents are linked if the Jaccard similarity of their sets is at least ``least``; every link is verified on the whole
+    sets. Candidates agree in one of ``bands`` bands of ``rows`` MinHashes: at a similarity of 0.8 a pair is missed once in eight
+    million, above it less often. Texts of equal sets are one node, those without words among them. Null keys are as in ``classes``.
+    """
+    found = set_marks(bands, rows, size)(docs[text].cast("binary"))
+    marked = stored(docs.select(docs[key].alias("key"), found.alias("m")).select("key", "m.node", "m.bands"), "marks")
+    nodes = stored(marked.groupBy("node").agg(F.min("key").alias("least"), F.first("bands").alias("bands")), "nodes")
+    dealt = nodes.select("node", F.explode("bands").alias("k"))
+    shared = dealt.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k")
+    marks = stored(dealt.join(stored(shared, "buckets"), "k", "left_semi"), "marks")
+    asked = stored(marks.select("node").distinct(), "asked")
+    sets = docs.select(shingle_sets(docs[text], size).alias("m")).select("m.*").join(asked, "node", "left_semi")
+    sets = stored(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
+    tied = components(set_links(marks, sets, least))
+    rooted = stored(nodes.join(tied, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "rooted")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
+    return marked.join(named, "node").select("key", "node", "component")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", find=classes, **options) -> DataFrame:
+    """The document with the smallest key of every component that ``find`` tells; rows that repeat a key count as one document."""
+    found = find(docs, key, text, **options)
     stay = found.filter(F.col("key").eqNullSafe(F.col("component"))).select(F.col("key").alias("_key")).distinct()
     return docs.join(stay, docs[key].eqNullSafe(stay["_key"]), "left_semi").dropDuplicates([key])
