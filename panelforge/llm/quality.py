@@ -204,31 +204,32 @@ def assess(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     """``docs`` with one struct column ``quality``: the five counts, ``base_failed``, ``distance`` and ``kept``.
 
     A row is kept if it passes the base rules and its squared robust distance is at most the chi-square ``quantile``. A
-    (language, source) of fewer than ``least_rows`` passing rows is judged with the other small sources of its language,
-    and a pool that is still smaller rejects nothing. Null texts are empty and fail; null languages and sources are groups
-    of their own; repeated rows count each time; an empty table gives an empty table. All columns stay; only the name
-    ``quality`` is replaced.
+    (language, source) of fewer than ``least_rows`` passing rows is judged by an estimate over all rows of its language,
+    and a language of fewer by one over all rows, so each passing row has a distance. Null texts are empty and fail; null
+    languages and sources are groups of their own; repeated rows count each time; an empty table gives an empty table. All
+    columns stay; only the name ``quality`` is replaced.
     """
     c = F.col("_row.counts")
     wide = docs.select(F.struct(*[docs[k] for k in docs.columns]).alias("_doc"), F.struct(
-        text_counts(docs[text]).alias("counts"), F.to_json(F.struct(docs[lang].alias("l"), docs[source].alias("s"))).alias("own"),
-        F.to_json(F.struct(docs[lang].alias("l"))).alias("pool")).alias("_row"))
+        text_counts(docs[text]).alias("counts"), F.concat(F.lit("source "), F.to_json(F.struct(docs[lang].alias("l"), docs[source].alias("s")))).alias("own"),
+        F.concat(F.lit("language "), F.to_json(F.struct(docs[lang].alias("l")))).alias("pool")).alias("_row"))
     wide = stored(wide.withColumn("_failed", base_failed(c)).withColumn("_salt", F.floor(F.rand(7) * SALTS).cast("int")), "quality")
     names = list(FLOORS)
     x = statistics(c)
     good = wide.filter(~F.col("_failed")).select(F.col("_row.own").alias("_own"), F.col("_row.pool").alias("_pool"), "_salt", *[
         v.alias(k) for k, v in x.items()])
     sizes = good.groupBy("_own", "_pool").count()
-    named = stored(sizes.select("_own", F.when(F.col("count") >= least_rows, F.col("_own")).otherwise(F.col("_pool")).alias("_g"),
-                                "count"), "groups")
-    big = named.groupBy("_g").agg(F.sum("count").alias("_n")).filter(F.col("_n") >= least_rows).select("_g")
-    named = named.join(big, "_g", "left_semi").select("_own", "_g")
-    salted = named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    languages = sizes.groupBy("_pool").agg(F.sum("count").alias("_n"))
+    judge = F.when(F.col("count") >= least_rows, F.col("_own")).when(F.col("_n") >= least_rows, F.col("_pool")).otherwise(F.lit("all"))
+    named = stored(sizes.join(languages, "_pool").select("_own", "_pool", judge.alias("_g")), "groups")
+    # A row takes part in each estimate over rows like it that some group is judged by.
+    part = named.select("_own", F.explode(F.array("_own", "_pool", F.lit("all"))).alias("_g")).join(named.select("_g").distinct(), "_g", "left_semi")
+    salted = part.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = stored(good.join(salted, ["_own", "_salt"]).select("_g", "_salt", *names), "statistics")
     estimates = robust_estimates(rows, names, support).drop("log_det")
     limit = chi_square_quantile(quantile, len(names))
     judged = wide.withColumns(x | {"_own": F.col("_row.own")}).join(
-        named.join(estimates, "_g").drop("_g").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))),
+        named.join(estimates, "_g").drop("_g", "_pool").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))),
         ["_own", "_salt"], "left")
     far = F.when(~F.col("_failed"), _distance(names))
     kept = ~F.col("_failed") & F.coalesce(far <= limit, F.lit(True))

@@ -5,7 +5,7 @@ import random
 import pytest
 
 pytest.importorskip("panelforge.llm")
-from panelforge.llm import near_dedup  # noqa: E402
+from panelforge.llm import near_dedup, quality  # noqa: E402
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -59,3 +59,18 @@ def test_set_forest_links_through_others():
     sets = [np.arange(i, i + 40, dtype=np.uint64) for i in (0, 4, 8, 100, 102, 12)]
     links = near_dedup.set_forest(sets, 0.8)
     assert {frozenset(x) for x in links} == {frozenset(x) for x in ((0, 1), (1, 2), (2, 5), (3, 4))}
+
+
+def test_small_groups_are_judged(spark):
+    r = random.Random(4)
+    prose = lambda end="": " ".join(r.choice(WORDS) + end for _ in range(r.randint(60, 300)))
+    data = [(i, prose(), "en", "large") for i in range(300)]
+    small = [("en", f"s{i % 3}") for i in range(30)] + [("en", None)] * 5 + [("fr", "s")] * 8 + [(None, "s")] * 3
+    data += [(1000 + i, prose(), *g) for i, g in enumerate(small)]
+    data += [(2000 + i, prose("###"), *g) for i, g in enumerate([("en", "s0"), ("en", None), ("fr", "s"), (None, "s"), ("de", "t")])]
+    frame = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    judged = {x.doc_id: x.quality for x in quality.assess(frame).collect()}
+    assert len(judged) == len(data) and all(q.distance is not None for q in judged.values())
+    assert {k for k, q in judged.items() if not q.kept} == {2000, 2001, 2002, 2003, 2004}
+    few = quality.assess(frame.filter("lang = 'fr'")).collect()
+    assert len(few) == 9 and all(x.quality.distance is not None for x in few)
