@@ -71,14 +71,20 @@ def cut(text: str) -> list[str]:
 class Encoder:
     """The tokenizers library on the distinct parts of texts; ids as little-endian bytes of ``width``.
 
-    For byte-level pieces split by the usual pattern (words with the blank before them, runs of white space).
+    For byte-level pieces split by the usual pattern (words with the blank before them, runs of white space). A text that
+    holds an added token (``<|endoftext|>``) goes to the library whole, as a cut may fall inside or beside the token; with
+    ``literal`` special tokens in texts are ordinary characters.
     """
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, literal: bool = True):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(spec)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = literal
+        added = [t for t in self.library.get_added_tokens_decoder().values() if t.content and not (literal and t.special)]
+        # What is sought in the normalized text, or holds the line break that joins parts, cannot be told from parts.
+        every = any("\n" in t.content or t.normalized and self.library.normalizer is not None for t in added)
+        self.whole = re.compile("" if every else "|".join(re.escape(t.content) for t in added) or r"(?!)")
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         (self.line,) = self._ids(["\n"])[0]
         self.known: dict[str, bytes] = {}
@@ -88,6 +94,14 @@ class Encoder:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        whole = [i for i, t in enumerate(texts) if self.whole.search(t)]
+        if whole:
+            held = dict(zip(whole, self._ids([texts[i] for i in whole])))
+            rest = iter(self._parted([t for i, t in enumerate(texts) if i not in held]))
+            return [np.array(held[i], f"<u{self.width}").tobytes() if i in held else next(rest) for i in range(len(texts))]
+        return self._parted(texts)
+
+    def _parted(self, texts: list[str]) -> list[bytes]:
         parts = [cut(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
@@ -119,7 +133,7 @@ class Encoder:
 @lru_cache(1)
 def encoder(spec: str) -> Encoder:
     """One encoder for all tasks of a worker."""
-    return Encoder(spec)
+    return Encoder(spec, literal=False)
 
 
 def groups(values: list, most: int) -> Iterator[list]:
@@ -138,7 +152,7 @@ def groups(values: list, most: int) -> Iterator[list]:
 def write(docs: DataFrame, folder: str, spec: str, key: str = "doc_id", text: str = "text", end: int = 0) -> DataFrame:
     """Encode every text, append ``end``, write the records in ascending key order under ``folder``, return the index.
 
-    Null texts are empty: one id. Null keys come first; rows of equal keys are ordered by text, all of them stay.
+    Ids are the library's own without added special tokens: one that stands in a text is that token. Null texts are empty: one id. Null keys come first; rows of equal keys are ordered by text, all of them stay.
     ``spec`` is the tokenizer's JSON; ``folder`` is any place that Arrow's file systems open and all executors share.
     """
 

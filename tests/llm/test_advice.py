@@ -5,7 +5,8 @@ import random
 import pytest
 
 pytest.importorskip("panelforge.llm")
-from panelforge.llm import near_dedup, quality  # noqa: E402
+from panelforge.streaming.storage import fresh_path  # noqa: E402
+from panelforge.llm import near_dedup, quality, token_records  # noqa: E402
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -74,3 +75,22 @@ def test_small_groups_are_judged(spark):
     assert {k for k, q in judged.items() if not q.kept} == {2000, 2001, 2002, 2003, 2004}
     few = quality.assess(frame.filter("lang = 'fr'")).collect()
     assert len(few) == 9 and all(x.quality.distance is not None for x in few)
+
+
+def test_added_tokens_in_texts_are_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    spec = open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    library, r = Tokenizer.from_str(spec), random.Random(6)
+    pick = ["<|endoftext|>", "<|endof", "text|>", " ", "\n", "  ", "the", " a", "é", "!", "\t", "<|", "|>"]
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "plain text"] + ["".join(r.choice(pick) for _ in range(r.randint(1, 12))) for _ in range(500)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [31373, 220, 50256, 995]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    place = fresh_path(spark, "records")
+    back = {x.key: (x.start, x.ids) for x in token_records.read(token_records.write(frame, place, spec), place).collect()}
+    at = 0
+    for i, ids in enumerate(want):
+        assert back[i] == (at, ids + [0])
+        at += len(ids) + 1
