@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..streaming.storage import fresh_path
-from . import decontaminate, near_dedup, pieces, pii, quality, sharding, substring_dedup, token_records, token_rollup, url_lists
+from . import centroids, decontaminate, divergence, near_dedup, pieces, pii, quality, sharding, substring_dedup, token_records, token_rollup, url_lists
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -191,3 +191,76 @@ WITH d AS (
 )
 SELECT source, lang, tokenizer, CAST(sum(docs) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(count(DISTINCT batch) AS BIGINT) AS n_batches
 FROM c GROUP BY ALL"""
+
+
+@query
+def op12_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster(table(spark, folder, "embeddings")).withColumnRenamed("key", "vec_id")
+
+
+def _centroid_sql(rounds: int) -> str:
+    near = """a{i} AS MATERIALIZED (
+    SELECT vec_id, cluster, distance FROM (
+        SELECT v.vec_id, c.cluster, sum((v.x - c.x) * (v.x - c.x)) AS distance,
+            row_number() OVER (PARTITION BY v.vec_id ORDER BY sum((v.x - c.x) * (v.x - c.x)), c.cluster) AS place
+        FROM v JOIN c{i} AS c USING (d) GROUP BY v.vec_id, c.cluster) WHERE place = 1)"""
+    move = """c{j} AS MATERIALIZED (
+    SELECT c.cluster, c.d, CASE WHEN n.n IS NULL THEN c.x ELSE (n.s - ((n.s % n.n) + n.n) % n.n) // n.n END AS x
+    FROM c{i} AS c LEFT JOIN (
+        SELECT a.cluster, v.d, CAST(sum(v.x) AS BIGINT) AS s, count(*) AS n FROM a{i} AS a JOIN v USING (vec_id) GROUP BY ALL) AS n USING (cluster, d))"""
+    steps = [x.format(i=i, j=i + 1) for i in range(rounds) for x in (near, move)] + [near.format(i=rounds)]
+    return f"""
+WITH kept AS (
+    SELECT vec_id, embedding FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), v AS MATERIALIZED (
+    SELECT vec_id, unnest(range(64)) AS d, CAST(floor(1024 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x FROM kept
+), s AS (
+    SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS cluster FROM kept ORDER BY cluster LIMIT 8
+), c0 AS MATERIALIZED (SELECT s.cluster, v.d, v.x FROM s JOIN v USING (vec_id)),
+{", ".join(steps)},
+h AS (SELECT cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster)
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance,
+    CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN h USING (cluster)"""
+
+
+SQL["op12_centroid_clustering"] = _centroid_sql(10)
+
+
+@query
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SQL["op13_source_divergence"] = rf"""
+WITH d AS (
+    SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+), g AS (SELECT DISTINCT lang, source FROM d),
+t AS (
+    SELECT lang, source, term, sum(n) AS n, count(*) AS docs FROM (
+        SELECT lang, source, term, count(*) AS n FROM (SELECT row_number() OVER () AS r, lang, source, unnest(terms) AS term FROM d) GROUP BY r, lang, source, term)
+    GROUP BY ALL
+), k AS (SELECT lang, term, sum(n) AS n FROM t GROUP BY ALL HAVING sum(docs) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+c AS (
+    SELECT g.lang, g.source, k.term, coalesce(t.n, 0) AS n, k.n AS n_lang, v.v, v.n AS t_lang
+    FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN t ON t.lang = g.lang AND t.source = g.source AND t.term = k.term
+), p AS (
+    SELECT lang, source, term, n, CAST(1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS HUGEINT) AS p,
+        CAST(1 + (1000000000::HUGEINT * (n_lang + 2)) // (t_lang + 2 * v) AS HUGEINT) AS q
+    FROM c
+), pairs AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+    FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), parts AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+    FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts) WHERE part = 'pair' OR rank <= 10"""
