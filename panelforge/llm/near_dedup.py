@@ -192,42 +192,45 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 4, size: int = 4, bucket: int = 4096) -> DataFrame:
-    """(key, fp, component): each row's fingerprint and the smallest key of its component.
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 4, size: int = 4, bucket: int = 4096,
+            carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, fp, root, component): each row's fingerprint, the smallest one of its component and the component's smallest key.
 
     Documents without words, null texts among them, have fingerprint zero and are linked like any other. A repeated row
-    comes out again; a null key is no smallest key unless all of a component's are null. Other columns are not read.
+    comes out again; a null key is no smallest key unless all of a component's are null; texts may be of any length. Columns named in
+    ``carry`` come along, others are not read.
     """
-    marked = stored(docs.select(docs[key].alias("key"), fingerprint(docs[text], size).alias("fp")), "fingerprints")
+    marked = stored(docs.select(docs[key].alias("key"), *carry, fingerprint(docs[text], size).alias("fp")), "fingerprints")
     nodes = stored(marked.groupBy("fp").agg(F.min("key").alias("least")), "nodes")
     tied = components(links(nodes.select("fp"), distance, bucket)).withColumnRenamed("node", "fp")
     rooted = stored(nodes.join(tied, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "rooted")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    named = rooted.join(smallest, "root").select("fp", "component")
-    return marked.join(named, "fp").select("key", "fp", "component")
+    named = rooted.join(smallest, "root").select("fp", "root", "component")
+    return marked.join(named, "fp").select("key", *carry, "fp", "root", "component")
 
 
 def set_marks(bands: int, rows: int, size: int):
-    """Of each text, the 128-bit name of its set of shingles and one key for each band of ``rows`` MinHashes (none without words)."""
+    """Of each text, the 128-bit name of its set of shingles, the set's size and one key for each band of ``rows`` MinHashes (none without words)."""
     r = np.random.default_rng(SEED)
     flip, times, mix = (r.integers(0, 1 << 63, n, np.uint64) << np.uint64(1) | np.uint64(1) for n in (bands * rows, bands * rows, bands * rows))
     flip, times, mix = flip[:, None], times[:, None], mix.reshape(bands, rows)
 
-    @F.arrow_udf("struct<node: binary, bands: array<long>>")
+    @F.arrow_udf("struct<node: binary, size: long, bands: array<long>>")
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from xxhash import xxh3_128_digest
 
         for batch in batches:
-            nodes, keys = [], []
+            nodes, sizes, keys = [], [], []
             for raw in batch:
                 h = np.unique(shingle_hashes(raw.as_py(), size))
                 nodes.append(xxh3_128_digest(h.tobytes()))
+                sizes.append(len(h))
                 least = np.full(bands * rows, ~np.uint64(0))
                 for at in range(0, len(h), 512):
                     np.minimum(least, ((h[at:at + 512] ^ flip) * times).min(axis=1), out=least)
                 key = (least.reshape(bands, rows) * mix).sum(axis=1, dtype=np.uint64)
                 keys.append((key ^ key >> np.uint64(32)).view(np.int64) if len(h) else np.zeros(0, np.int64))
-            yield pa.StructArray.from_arrays([pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["node", "bands"])
+            yield pa.StructArray.from_arrays([pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["node", "size", "bands"])
 
     return made
 
@@ -247,88 +250,143 @@ def shingle_sets(text: Column, size: int) -> Column:
     return made(text.cast("binary"))
 
 
-def _numbers(column) -> list[np.ndarray]:
-    """The lists of a column of arrays of hashes."""
-    return [x.values.to_numpy().view(np.uint64) for x in column]
+def set_forest(sets: list[np.ndarray], roots: list[bytes], least: float) -> list[tuple[int, int]]:
+    """Links between sets with a Jaccard similarity of at least ``least`` that connect what they can connect; ``roots`` tell what is connected already.
 
-
-def set_forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Links that connect what is connected by a Jaccard similarity of at least ``least``."""
+    Each set outside the largest component is compared with every set that is not yet in its own, if their sizes allow the similarity.
+    """
+    by_size = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    sets = [sets[i] for i in by_size]
+    own = np.unique([roots[i] for i in by_size], return_inverse=True)[1]
     sizes = np.array([len(x) for x in sets])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
     every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    left, out = np.ones(len(sets), bool), []
-    while left.any():
-        queue = [int(np.flatnonzero(left)[0])]
-        left[queue[0]] = False
-        while queue and left.any():
-            i = queue.pop()
-            at = np.minimum(np.searchsorted(sets[i], every), sizes[i] - 1)
-            both = np.bincount(owner[sets[i][at] == every], minlength=len(sets))
-            hit = np.flatnonzero(left & (both / (sizes + sizes[i] - both) >= least)).tolist()
-            left[hit] = False
-            out.extend((i, j) for j in hit)
-            queue.extend(hit)
+    largest = np.bincount(own).argmax()
+    out = []
+    for i in np.flatnonzero(own != largest):
+        low, high = np.searchsorted(sizes, least * sizes[i]), np.searchsorted(sizes, sizes[i] / least, "right")
+        if not sizes[i] or (own[low:high] == own[i]).all():
+            continue
+        part = slice(starts[low], starts[high])
+        at = np.minimum(np.searchsorted(sets[i], every[part]), sizes[i] - 1)
+        both = np.bincount(owner[part][sets[i][at] == every[part]] - low, minlength=high - low)
+        near = both / (sizes[low:high] + sizes[i] - both) >= least
+        for j in low + np.flatnonzero(near & (own[low:high] != own[i])):
+            if own[j] != own[i]:
+                out.append((by_size[i], by_size[j]))
+                own[own == own[j]] = own[i]
     return out
 
 
-def set_links(marks: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links (u, v) between nodes of ``marks`` (node, key of a band) that connect every pair of one bucket with Jaccard of at least ``least``.
+def _verified(least: float):
+    """Sorted (hub, part, u, set) rows, a hub's own set first (without u), to its links (u, v): one hub is held at a time."""
 
-    Each member of a bucket is first compared with the bucket's smallest. That decides buckets of two, and those whose
-    members are linked by then; the others are searched whole, each distinct list of members once, by one task a bucket.
-    """
+    def run(batches):
+        hub, held = None, None
+        for batch in batches:
+            us, vs = [], []
+            for v, u, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                own = x.values.to_numpy().view(np.uint64)
+                if u is None:
+                    hub, held = v, own.copy()
+                elif v == hub and len(own) and min(len(own), len(held)) >= least * max(len(own), len(held)):
+                    both = len(np.intersect1d(held, own, assume_unique=True))
+                    if both / (len(held) + len(own) - both) >= least:
+                        us.append(u)
+                        vs.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], ["u", "v"])
+
+    return run
+
+
+def _searched(least: float):
+    """Sorted (k, i, j, node, root, set) rows to links (u, v) within each (k, i, j), held one at a time."""
 
-    def verified(batches):
+    def emit(nodes, roots, sets):
+        found = set_forest(sets, roots, least)
+        return pa.RecordBatch.from_arrays([pa.array([nodes[x[s]] for x in found], pa.binary()) for s in (0, 1)], ["u", "v"])
+
+    def run(batches):
+        key, rows = None, ([], [], [])
         for batch in batches:
-            near = [len(a) and (n := len(np.intersect1d(a, b, assume_unique=True))) / (len(a) + len(b) - n) >= least
-                    for a, b in zip(_numbers(batch.column(2)), _numbers(batch.column(3)))]
-            yield batch.select(["u", "v"]).filter(pa.array([bool(x) for x in near], pa.bool_()))
+            for k, i, j, node, root, x in zip(*(batch.column(c).to_pylist() for c in range(5)), batch.column(5)):
+                if (k, i, j) != key:
+                    if rows[0]:
+                        yield emit(*rows)
+                    key, rows = (k, i, j), ([], [], [])
+                for held, value in zip(rows, (node, root, x.values.to_numpy().view(np.uint64).copy())):
+                    held.append(value)
+        if rows[0]:
+            yield emit(*rows)
+
+    return run
 
-    def searched(bucket: pa.Table) -> pa.Table:
-        nodes = bucket.column("node").to_pylist()
-        found = set_forest(_numbers(bucket.column("set").combine_chunks()), least)
-        return pa.table([pa.array([nodes[i] for i, _ in found], pa.binary()), pa.array([nodes[j] for _, j in found], pa.binary())], ["u", "v"])
 
+def set_links(marks: DataFrame, sets: DataFrame, least: float, held: int = 1 << 21, parts: int = 64) -> DataFrame:
+    """Links (u, v) between nodes of ``marks`` (node, key of a band, size of its set) that connect every pair of one bucket with Jaccard of at least ``least``.
+
+    Each member of a bucket is first compared with the bucket's smallest: candidate pairs are names alone, a smallest's set is sent once for
+    each ``parts`` its members are dealt over, theirs once a pair. That decides buckets of two, and those whose members are linked by then.
+    The others are searched, each distinct list of members once: dealt in blocks of about ``held`` hashes, every two blocks
+    together, so a task holds two blocks of one bucket whatever its size.
+    """
     least_of = marks.groupBy("k").agg(F.min("node").alias("v"))
-    pairs = marks.join(least_of, "k").filter("node != v").select(F.col("node").alias("u"), "v").distinct()
-    a, b = (sets.select(F.col("node").alias(n), F.col("set").alias(f"set_{n}")) for n in "uv")
-    first = stored(pairs.join(a, "u").join(b, "v").select("u", "v", "set_u", "set_v").mapInArrow(verified, "u binary, v binary"), "near")
+    pairs = stored(marks.join(least_of, "k").filter("node != v").select(F.col("node").alias("u"), "v").distinct().withColumn(
+        "part", F.pmod(F.xxhash64("u"), F.lit(parts))), "candidates")
+    hubs = pairs.select(F.col("v").alias("node"), "part").distinct().join(sets, "node").select(F.col("node").alias("v"), "part", F.lit(None).cast("binary").alias("u"), "set")
+    members = pairs.join(sets.withColumnRenamed("node", "u"), "u").select("v", "part", "u", "set")
+    dealt = hubs.unionByName(members).repartition("v", "part").sortWithinPartitions("v", "part", F.asc_nulls_first("u"))
+    first = stored(dealt.mapInArrow(_verified(least), "u binary, v binary"), "near")
     tied = components(first)
     h = F.xxhash64("node")
-    opened = marks.join(tied, "node", "left").groupBy("k").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.coalesce("root", "node")).alias("low"), F.max(F.coalesce("root", "node")).alias("high"),
+    rooted = marks.join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    opened = rooted.groupBy("k").agg(
+        F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.sum("size").alias("hashes"),
         F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(20,0)")).alias("s")).filter("n > 2 and low != high")
-    buckets = stored(opened.groupBy("n", "x", "s").agg(F.min("k").alias("k")).select("k"), "open")
+    buckets = opened.groupBy("n", "x", "s", "hashes").agg(F.min("k").alias("k")).select("k", F.ceil(F.col("hashes") / held).cast("int").alias("blocks"))
+    buckets = stored(buckets, "open")
     if buckets.isEmpty():
         return first
-    rest = marks.join(buckets, "k", "left_semi").join(sets, "node")
-    return first.unionByName(stored(rest.groupBy("k").applyInArrow(searched, "u binary, v binary"), "near"))
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
+    rest = rooted.join(buckets, "k").withColumn("b", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("k", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "node", "root").join(sets, "node").select("k", "i", "j", "node", "root", "set")
+    found = rest.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(_searched(least), "u binary, v binary")
+    return first.unionByName(stored(found, "near"))
 
 
-def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, size: int = 5, bands: int = 40, rows: int = 5) -> DataFrame:
-    """(key, node, component): each row's set of ``size``-word shingles by name and the smallest key of its component.
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, size: int = 5, bands: int = 40, rows: int = 5,
+            held: int = 1 << 21, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, node, root, component): each row's set of ``size``-word shingles by name, the smallest of its component and that component's smallest key.
 
     Two documents are linked if the Jaccard similarity of their sets is at least ``least``; every link is verified on the whole
     sets. Candidates agree in one of ``bands`` bands of ``rows`` MinHashes: at a similarity of 0.8 a pair is missed once in eight
-    million, above it less often. Texts of equal sets are one node, those without words among them. Null keys are as in ``classes``.
+    million, above it less often. Texts of equal sets are one node, those without words among them. Null keys are as in ``classes``;
+    texts may be of any length.
     """
     found = set_marks(bands, rows, size)(docs[text].cast("binary"))
-    marked = stored(docs.select(docs[key].alias("key"), found.alias("m")).select("key", "m.node", "m.bands"), "marks")
-    nodes = stored(marked.groupBy("node").agg(F.min("key").alias("least"), F.first("bands").alias("bands")), "nodes")
-    dealt = nodes.select("node", F.explode("bands").alias("k"))
+    marked = stored(docs.select(docs[key].alias("key"), *carry, found.alias("m")).select("key", *carry, "m.node", "m.size", "m.bands"), "marks")
+    nodes = stored(marked.groupBy("node").agg(F.min("key").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
+    dealt = nodes.select("node", "size", F.explode("bands").alias("k"))
     shared = dealt.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k")
     marks = stored(dealt.join(stored(shared, "buckets"), "k", "left_semi"), "marks")
     asked = stored(marks.select("node").distinct(), "asked")
     sets = docs.select(shingle_sets(docs[text], size).alias("m")).select("m.*").join(asked, "node", "left_semi")
     sets = stored(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
-    tied = components(set_links(marks, sets, least))
+    tied = components(set_links(marks, sets, least, held))
     rooted = stored(nodes.join(tied, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "rooted")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
-    return marked.join(named, "node").select("key", "node", "component")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "root", "component")
+    return marked.join(named, "node").select("key", *carry, "node", "root", "component")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", find=classes, **options) -> DataFrame:
-    """The document with the smallest key of every component that ``find`` tells; rows that repeat a key count as one document."""
-    found = find(docs, key, text, **options)
-    stay = found.filter(F.col("key").eqNullSafe(F.col("component"))).select(F.col("key").alias("_key")).distinct()
-    return docs.join(stay, docs[key].eqNullSafe(stay["_key"]), "left_semi").dropDuplicates([key])
+    """One document of every component that ``find`` tells, with the columns of ``docs``: the one with the smallest key.
+
+    Rows of equal key and text are one document. Of a component's rows with the smallest key but different texts the one of the smallest
+    digest stays; a component without keys keeps its row of the smallest digest, and a null key beside others goes.
+    """
+    name = F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("="), docs[key].cast("string")), F.lit("-")), F.lit("\n"), F.coalesce(docs[text], F.lit(""))).cast("binary")))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), name.alias("name"))
+    found = find(rows.select(F.col("doc")[key].alias("key"), F.col("doc")[text].alias("text"), "name"), "key", "text", carry=("name",), **options)
+    first = F.min(F.struct(F.col("key").isNull(), "key", "name"))
+    stay = stored(found.groupBy("root").agg(first.alias("s")).select("s.name"), "stay")
+    return rows.join(stay, "name", "left_semi").dropDuplicates(["name"]).select(*[F.col("doc")[c].alias(c) for c in docs.columns])

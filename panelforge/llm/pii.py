@@ -1,8 +1,9 @@
 """Personal data: fixed patterns, and further spans found by weak supervision. DataFrame functions only.
 
-Base spans are the matches of four patterns that pass their checks. Further candidates are written-out addresses and numbers
-without a country code. Labelers vote on every span, base or candidate: a pattern labeler (strict shape), a gazetteer labeler
-(endings, prefixes, years), a context labeler (words before it) and a size labeler. Expectation-maximisation on the counts of
+Base spans are the matches of four patterns that pass their checks. Further candidates are written-out addresses, numbers
+without a country code, and values that follow a colon or an equals sign, which may be secrets. Labelers vote on every span, base or
+candidate: a pattern labeler (strict shape), a gazetteer labeler (endings, prefixes, years, names of secrets), a context labeler (words
+before it) and a size labeler. Expectation-maximisation on the counts of
 vote patterns estimates each labeler's reliability per kind without labels; its probabilities train a logistic span
 classifier on shape features, which alone decides on the candidates. What leaves the executors is the count of each distinct vote or feature
 pattern, whose number is bounded by the labelers and the feature ranges, and a few sums per round.
@@ -17,6 +18,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..streaming.storage import stored
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds that only the classifier can accept come after those with base patterns.
+EVERY_KIND = (*KINDS, "secret")
 #: A run of characters that cannot match as a whole cannot match from its middle: a match starts where a run starts, or where
 #: the last match ended. Each text is then read once, however long its runs are.
 BASE = {
@@ -29,6 +32,7 @@ BASE = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 OTHER = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?(?:\(at\)|\[at\]|\{at\}) ?| at )[A-Za-z0-9-]++(?:(?:\.| ?(?:\(dot\)|\[dot\]|\{dot\}) ?| dot )[A-Za-z0-9-]++)++",
+    "secret": r"(?<=[:=]\x20?[\"'])[^\"'\s]{8,512}(?=[\"'])|(?<=[:=]\x20?)[A-Za-z0-9_/+.=-]{8,512}+",
     "phone": r"(?<![0-9A-Za-z+.,/-])(?:\(0?[0-9]{2,4}\) ?|0[0-9]{1,4}[ /.-])?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,4}(?![0-9A-Za-z])",
 }
 #: Fixed lists of the gazetteer and context labelers.
@@ -38,10 +42,13 @@ NEAR = {
     "phone": "tel|phone|call|fax|mobil|anruf|ruf|llam|appel|whatsapp|hotline",
     "ip": r"\bip\b|server|host|address|login",
     "card": "card|karte|carte|tarjeta|visa|master|amex|credit|kredit",
+    "secret": "secret|token|passw|pwd|credential|private|geheim|kennwort|contrase|clave|jeton|mot de passe|login|auth",
 }
+#: Names that a secret is assigned to.
+NAMES = r"(?:token|secret|passw(?:or)?d|passwort|pwd|(?:api|access|private|auth|secret)[_ -]?key|bearer|credentials?|kennwort|contraseña|clave)[_a-z0-9]*[\"']?\x20?[:=]\x20?[\"']?$"
 AWAY = r"isbn|issn|page|seite|version|price|preis|prix|year|jahr|score|\bno\.|\bnr\.|\blines?\b|[$€£]"
 LABELERS = ("pattern", "gazetteer", "context", "size")
-FEATURES = ("digits", "marks", "length", "bracket", "at_sign", "near", "away", "leading")
+FEATURES = ("digits", "marks", "length", "bracket", "at_sign", "near", "away", "leading", "named", "mixed")
 
 
 def spans_of(text: Column, pattern: str) -> Column:
@@ -87,12 +94,17 @@ def _described(s: Column, kind: str, base: bool) -> Column:
         votes = (F.lit(1), sure(~m.rlike("^(?:0|255)\\."), m.rlike("^(?:0|255)\\.")), sure(near, away), sure(F.length(m) >= 9, F.length(m) < 8))
     elif kind == "card":
         votes = (F.lit(1), sure(m.rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6)"), m.rlike("^[0189]")), sure(near, away), sure(digits == 16, digits > 17))
+    elif kind == "secret":
+        mixed = m.rlike("[0-9]") & m.rlike("[A-Za-z]")
+        votes = (sure(m.rlike("^(?:[0-9a-f]{16,}|[0-9A-F]{16,}|[A-Za-z0-9_/+.=-]{20,})$") & mixed, ~mixed), sure(near_text.rlike(NAMES), near_text.rlike(r"https?[:=]|\d[:=]$")),
+                 sure(near, away), sure(F.length(m) >= 20, F.length(m) < 12))
     else:
         years = m.rlike(r"(?:^|[ .-])(?:19|20)[0-9]{2}(?:$|[ .-])")
         votes = (sure(m.rlike(r"^(?:\+|\(|0)"), digits < 7), sure(m.rlike(r"^(?:\+|00|0[1-9])"), years), sure(near, away),
                  sure(digits.between(9, 13), (digits < 8) | (digits > 15)))
     features = (F.least(digits, F.lit(20)), F.least(F.length(F.regexp_replace(m, "[A-Za-z0-9]", "")), F.lit(12)), F.least(F.length(m), F.lit(40)),
-                m.rlike(r"[(\[{]").cast("int"), m.contains("@").cast("int"), near.cast("int"), away.cast("int"), m.rlike("^[+0(]").cast("int"))
+                m.rlike(r"[(\[{]").cast("int"), m.contains("@").cast("int"), near.cast("int"), away.cast("int"), m.rlike("^[+0(]").cast("int"),
+                near_text.rlike(NAMES).cast("int"), (m.rlike("[0-9]") & m.rlike("[A-Za-z]")).cast("int"))
     return F.struct(
         F.lit(kind).alias("kind"), s["at"].alias("at"), s["end"].alias("end"), F.lit(base).alias("base"),
         F.struct(*[v.cast("int").alias(n) for v, n in zip(votes, LABELERS)]).alias("votes"),
@@ -123,12 +135,15 @@ def _marked(docs: DataFrame, text: str) -> DataFrame:
         may = digit if NEEDS[k] is None else F.contains("_t", F.lit(NEEDS[k])) & (digit if k != "email" else F.lit(True))
         columns[f"_b_{k}"] = F.when(may, spans_of(F.col("_t"), BASE[k])).otherwise(none)
     columns["_o_email"] = F.when(F.col("_t").rlike(r"[(\[{]at[)\]}]| at [^ ]+(?:\.| dot | ?[(\[{]dot)[^ \n]"), spans_of(F.col("_t"), OTHER["email"])).otherwise(none)
+    columns["_o_secret"] = F.when(F.col("_t").rlike(r"[:=]\x20?[\"']?[A-Za-z0-9_/+.=-]{8}"), spans_of(F.col("_t"), OTHER["secret"])).otherwise(none)
     columns["_o_phone"] = F.when(F.col("_t").rlike("[0-9][0-9][ .)-]"), spans_of(F.col("_t"), OTHER["phone"])).otherwise(none)
     wide = wide.select("_doc", *[c.alias(n) for n, c in columns.items()])
     base = F.concat(*[_describe(F.filter(f"_b_{k}", _check(k)), k, True) for k in KINDS])
     other = F.concat(*[_describe(F.col(f"_o_{k}"), k, False) for k in OTHER])
     wide = wide.select("_doc", base.alias("_base"), other.alias("_other"))
-    clear = F.filter("_other", lambda o: ~F.exists("_base", lambda b: (b["at"] < o["end"]) & (b["end"] > o["at"])))
+    # A number inside a secret does not hide it.
+    hides = lambda b, o: (b["at"] < o["end"]) & (b["end"] > o["at"]) & ((o["kind"] != "secret") | b["kind"].isin("email", "ip"))
+    clear = F.filter("_other", lambda o: ~F.exists("_base", lambda b: hides(b, o)))
     return stored(wide.withColumn("_other", clear), "spans")
 
 
@@ -176,11 +191,11 @@ def classifier(spans: DataFrame, regularisation: float = 0.01) -> dict[str, floa
     estimates = reliabilities(counted.groupBy("kind", *LABELERS).agg(F.sum("n").alias("n")))
     if not estimates:
         return {}
-    names = [*FEATURES, *[f"is_{k}" for k in KINDS]]
+    names = [*FEATURES, *[f"is_{k}" for k in EVERY_KIND]]
     soft = counted.withColumn("p", probability(estimates)).groupBy("kind", *FEATURES).agg(
         F.sum(F.col("p") * F.col("n")).alias("t"), F.sum((1 - F.col("p")) * F.col("n")).alias("f"))
     total = soft.agg(F.sum(F.col("t") + F.col("f"))).first()[0]
-    rows = soft.withColumns({f"is_{k}": (F.col("kind") == k).cast("double") for k in KINDS}).select(
+    rows = soft.withColumns({f"is_{k}": (F.col("kind") == k).cast("double") for k in EVERY_KIND}).select(
         *names, F.explode(F.array(F.struct(F.lit(1.0).alias("y"), F.col("t").alias("w")), F.struct(F.lit(0.0).alias("y"), F.col("f").alias("w")))).alias("e"))
     rows = VectorAssembler(inputCols=names, outputCol="x").transform(rows).select("x", "e.y", (F.col("e.w") / total).alias("w"))
     model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=regularisation).fit(rows)
@@ -191,7 +206,7 @@ def _score(s: Column, weights: dict[str, float]) -> Column:
     total = F.lit(weights[""])
     for n in FEATURES:
         total = total + weights[n] * s["shape"][n]
-    for k in KINDS:
+    for k in EVERY_KIND:
         total = total + F.when(s["kind"] == k, weights[f"is_{k}"]).otherwise(0.0)
     return total
 
@@ -199,7 +214,7 @@ def _score(s: Column, weights: dict[str, float]) -> Column:
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the struct ``pii``: ``base`` and ``spans``, arrays of (kind, start, end) in code points, by kind, then start.
 
-    All base spans are among ``spans``. Null and empty texts have none; a table without any trains nothing; repeated rows are
+    All base spans are among ``spans``; texts may be of any length. Null and empty texts have none; a table without any trains nothing; repeated rows are
     judged alike. All columns stay; only the name ``pii`` is replaced.
     """
     marked = _marked(docs, text)
@@ -208,7 +223,7 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     plain = lambda a: F.transform(a, lambda s: F.struct(s["kind"].alias("kind"), s["at"].alias("start"), s["end"].alias("end")))
     more = F.filter("_other", lambda s: _score(s, weights) > 0) if weights else F.filter("_other", lambda s: F.lit(False))
     together = F.concat("_base", more)
-    every = F.concat(*[F.array_sort(plain(only(together, k))) for k in KINDS])
+    every = F.concat(*[F.array_sort(plain(only(together, k))) for k in EVERY_KIND])
     return marked.select(*[F.col("_doc")[c].alias(c) for c in docs.columns if c != "pii"], F.struct(plain(F.col("_base")).alias("base"), every.alias("spans")).alias("pii"))
 
 

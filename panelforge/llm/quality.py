@@ -199,13 +199,58 @@ def robust_estimates(rows: DataFrame, names: list[str], support: float = 0.75, t
     return now
 
 
+def _drawn(names: list[str], weight: float):
+    """Rows with a group's, its language's and the whole table's estimate (prefixes o, l, a) and row counts to the group's own, drawn towards them."""
+    import numpy as np
+
+    p = len(names)
+
+    def part(f, prefix):
+        centre = f[[f"{prefix}c{i}" for i in range(p)]].to_numpy(float)
+        inverse = np.zeros((len(f), p, p))
+        for i in range(p):
+            for j in range(i, p):
+                inverse[:, i, j] = inverse[:, j, i] = f[f"{prefix}p{i}_{j}"].to_numpy(float)
+        return centre, np.linalg.inv(inverse)
+
+    def mixed(near, far, n):
+        w = n / (n + weight)
+        return w[:, None] * near[0] + (1 - w)[:, None] * far[0], w[:, None, None] * near[1] + (1 - w)[:, None, None] * far[1]
+
+    def run(frames):
+        for f in frames:
+            language = mixed(part(f, "l"), part(f, "a"), f["n_language"].to_numpy(float))
+            centre, scatter = mixed(part(f, "o"), language, f["n_own"].to_numpy(float))
+            inverse = np.linalg.inv(scatter) if len(f) else scatter
+            out = f[["_own"]].copy()
+            for i in range(p):
+                out[f"c{i}"] = centre[:, i]
+                for j in range(i, p):
+                    out[f"p{i}_{j}"] = inverse[:, i, j]
+            yield out
+
+    return run
+
+
+def group_estimates(good: DataFrame, names: list[str], support: float, weight: float) -> DataFrame:
+    """(_own, centre, inverse scatter) of each group of ``good`` (columns ``_own``, ``_pool``, ``_salt`` and the statistics)."""
+    sizes = good.groupBy("_own", "_pool").agg(F.count(F.lit(1)).alias("n_own"))
+    named = stored(sizes.join(sizes.groupBy("_pool").agg(F.sum("n_own").alias("n_language")), "_pool"), "groups")
+    rows = good.withColumn("_g", F.explode(F.array("_own", "_pool", F.lit("all")))).select("_g", "_salt", *names)
+    found = stored(robust_estimates(stored(rows, "statistics"), names, support).drop("log_det"), "estimates")
+    figures = [c for c in found.columns if c != "_g"]
+    side = lambda prefix, on: found.select(F.col("_g").alias(on), *[F.col(c).alias(f"{prefix}{c}") for c in figures])
+    wide = named.withColumn("_all", F.lit("all")).join(side("o", "_own"), "_own").join(side("l", "_pool"), "_pool").join(side("a", "_all"), "_all")
+    return wide.mapInPandas(_drawn(names, weight), "_own string, " + ", ".join(f"{c} double" for c in figures))
+
+
 def assess(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", support: float = 0.75,
-           quantile: float = 0.9999999, least_rows: int = 50) -> DataFrame:
+           quantile: float = 0.9999999, weight: float = 50.0) -> DataFrame:
     """``docs`` with one struct column ``quality``: the five counts, ``base_failed``, ``distance`` and ``kept``.
 
-    A row is kept if it passes the base rules and its squared robust distance is at most the chi-square ``quantile``. A
-    (language, source) of fewer than ``least_rows`` passing rows is judged by an estimate over all rows of its language,
-    and a language of fewer by one over all rows, so each passing row has a distance. Null texts are empty and fail; null
+    A row is kept if it passes the base rules and its squared robust distance is at most the chi-square ``quantile``. The
+    estimate of a (language, source) of n passing rows counts n to ``weight`` against that of its language, which counts
+    likewise against that of all rows; each passing row has a distance. Null texts are empty and fail; texts may be of any length; null
     languages and sources are groups of their own; repeated rows count each time; an empty table gives an empty table. All
     columns stay; only the name ``quality`` is replaced.
     """
@@ -218,19 +263,10 @@ def assess(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     x = statistics(c)
     good = wide.filter(~F.col("_failed")).select(F.col("_row.own").alias("_own"), F.col("_row.pool").alias("_pool"), "_salt", *[
         v.alias(k) for k, v in x.items()])
-    sizes = good.groupBy("_own", "_pool").count()
-    languages = sizes.groupBy("_pool").agg(F.sum("count").alias("_n"))
-    judge = F.when(F.col("count") >= least_rows, F.col("_own")).when(F.col("_n") >= least_rows, F.col("_pool")).otherwise(F.lit("all"))
-    named = stored(sizes.join(languages, "_pool").select("_own", "_pool", judge.alias("_g")), "groups")
-    # A row takes part in each estimate over rows like it that some group is judged by.
-    part = named.select("_own", F.explode(F.array("_own", "_pool", F.lit("all"))).alias("_g")).join(named.select("_g").distinct(), "_g", "left_semi")
-    salted = part.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = stored(good.join(salted, ["_own", "_salt"]).select("_g", "_salt", *names), "statistics")
-    estimates = robust_estimates(rows, names, support).drop("log_det")
+    estimates = stored(group_estimates(good, names, support, weight), "estimates")
     limit = chi_square_quantile(quantile, len(names))
     judged = wide.withColumns(x | {"_own": F.col("_row.own")}).join(
-        named.join(estimates, "_g").drop("_g", "_pool").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))),
-        ["_own", "_salt"], "left")
+        estimates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["_own", "_salt"], "left")
     far = F.when(~F.col("_failed"), _distance(names))
     kept = ~F.col("_failed") & F.coalesce(far <= limit, F.lit(True))
     return judged.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..streaming.storage import fresh_path
-from . import centroids, decontaminate, divergence, near_dedup, pieces, pii, quality, sharding, substring_dedup, token_records, token_rollup, url_lists
+from . import centroids, decontaminate, divergence, near_dedup, pieces, pii, quality, sharding, substring_dedup, token_records, token_rollup, toxicity, url_lists
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -193,6 +193,12 @@ SELECT source, lang, tokenizer, CAST(sum(docs) AS BIGINT) AS n_docs, CAST(sum(n)
 FROM c GROUP BY ALL"""
 
 
+@query
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    found = toxicity.score(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels"))
+    return found.select("doc_id", "toxicity.*")
+
+
 @query
 def op12_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
     return centroids.cluster(table(spark, folder, "embeddings")).withColumnRenamed("key", "vec_id")

@@ -54,12 +54,64 @@ def test_similar_texts_are_one_component(spark):
     assert near_dedup.similar(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("held", [400])
+def test_buckets_searched_in_blocks_give_the_same_components(spark, held):
+    texts = similar_texts()
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    # One band of one MinHash: large buckets of unlike texts, most of them open after the first comparison.
+    marks = {x.key: x.component for x in near_dedup.similar(frame, bands=12, rows=1, held=held).collect()}
+    assert marks == dict(enumerate(linked(texts)))
+
+
 def test_set_forest_links_through_others():
     import numpy as np
 
-    sets = [np.arange(i, i + 40, dtype=np.uint64) for i in (0, 4, 8, 100, 102, 12)]
-    links = near_dedup.set_forest(sets, 0.8)
-    assert {frozenset(x) for x in links} == {frozenset(x) for x in ((0, 1), (1, 2), (2, 5), (3, 4))}
+    sets = [np.arange(i, i + 40, dtype=np.uint64) for i in (0, 4, 8, 100, 102, 12)] + [np.zeros(0, np.uint64)]
+    names = [bytes([i]) for i in range(7)]
+
+    def components(links, roots):
+        own = list(roots)
+        for a, b in links:
+            own = [own[a] if x == own[b] else x for x in own]
+        return {frozenset(i for i in range(7) if own[i] == x) for x in own}
+
+    want = {frozenset(x) for x in ((0, 1, 2, 5), (3, 4), (6,))}
+    assert components(near_dedup.set_forest(sets, names, 0.8), names) == want
+    known = [names[i] for i in (0, 0, 2, 3, 3, 2, 6)]  # linked before: only the missing link is told
+    links = near_dedup.set_forest(sets, known, 0.8)
+    assert len(links) == 1 and components(links, known) == want
+
+
+@pytest.mark.parametrize("find", [near_dedup.classes, near_dedup.similar])
+def test_one_row_of_each_group_stays(spark, find):
+    r = random.Random(2)
+    prose = lambda: " ".join(r.choice(WORDS) for _ in range(50))
+    a, b, c, d, e, f = (prose() for _ in range(6))
+    rows = [(5, a, 1), (3, a, 2), (None, a, 3), (None, b, 4), (None, c, 5), (None, c, 5), (7, d, 6), (7, d, 7), (9, e, 8), (9, f, 9)]
+    kept = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, name int").repartition(3), find=find).collect()
+    assert sorted((x.doc_id or 0, x.text) for x in kept) == sorted([(3, a), (0, b), (0, c), (7, d), (9, e), (9, f)])
+
+
+def test_secrets_are_accepted_and_rejected_by_the_classifier(spark):
+    from panelforge.llm import pii
+
+    r = random.Random(5)
+    hexed = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    secret = [hexed(40) for _ in range(30)]
+    rows = [(i, f'some prose w{i} token = "{s}" and more') for i, s in enumerate(secret)]
+    rows += [(100 + i, f"note: wonderful things, ratio = completely w{i}: unremarkable-words follow") for i in range(30)]
+    rows += [(200, f"API_KEY={hexed(32)}\npassword: 'Zx9-{hexed(20)}'"), (201, None), (202, ""), (203, "x" * 50_000 + f' token = "{hexed(40)}"'),
+             (204, 'mail = "someone@host.example.com"')]
+    got = {x.doc_id: x.pii for x in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, s in enumerate(secret):
+        assert [rows[i][1][x.start:x.end] for x in got[i].spans if x.kind == "secret"] == [s]
+    assert not any(x.kind == "secret" for i in range(100, 130) for x in got[i].spans)
+    assert len([x for x in got[200].spans if x.kind == "secret"]) == 2
+    assert [(x.kind, x.start) for x in got[203].spans] == [("secret", 50_010)]
+    assert [x.kind for x in got[204].spans] == ["email"] and got[201].spans == got[202].spans == []
+    assert all(x in got[k].spans for k in got for x in got[k].base)
+    masked = {x.doc_id: x.text for x in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert masked[0] == 'some prose w0 token = "<SECRET>" and more'
 
 
 def test_small_groups_are_judged(spark):
