@@ -2,8 +2,8 @@
 
 Texts and items are normalised byte for byte (A-Z lowered, everything that is not a word byte a space), so a place in the
 normalised text is the same place in the original. The automaton holds each distinct window once, between spaces, and finds
-all occurrences in one pass. Its patterns are sent to the executors only up to ``most_bytes``; a larger benchmark is dealt by item
-into as many automata as that takes, each with its own scan, and the findings are merged.
+all occurrences in one pass. Its patterns are sent to the executors only up to ``most_bytes`` of items. A larger benchmark stays a
+table: windows of items and of documents go by their 128-bit names and meet in an equi-join, so neither the driver nor a task holds it.
 """
 
 from __future__ import annotations
@@ -32,14 +32,14 @@ def windows(words: list[bytes], size: int) -> set[bytes]:
     return {b" ".join(words[i:i + size]) for i in range(max(1, len(words) - size + 1))}
 
 
-def build(items: list[tuple[int, bytes | None]], size: int):
-    """Automaton with, for each window, its number of words and its items; None without windows."""
+def build(items: list[tuple[int | None, bytes | None]], size: int):
+    """Automaton with, for each window, its number of words and its items (those with an id); None without windows."""
     from ahocorasick import Automaton
 
     owners: dict[bytes, set[int]] = {}
     for item, raw in items:
         for w in windows(words_of(raw), size):
-            owners.setdefault(w, set()).add(item)
+            owners.setdefault(w, set()).update([] if item is None else [item])
     if not owners:
         return None
     a = Automaton()
@@ -49,32 +49,38 @@ def build(items: list[tuple[int, bytes | None]], size: int):
     return a
 
 
+def described(raw: bytes | None, words: list[bytes], marks: list[tuple[int, int]]) -> tuple[int, list[dict]]:
+    """Number of hit words and hit spans (code points of the original); ``marks`` are (first word, number of words)."""
+    if not marks:
+        return 0, []
+    edges = np.zeros(len(words) + 1, np.int32)
+    at, n = np.array(marks).T
+    np.add.at(edges, at, 1)
+    np.add.at(edges, at + n, -1)
+    hit = np.cumsum(edges)[:-1] > 0
+    folded = np.frombuffer(raw.translate(FOLD), np.uint8)
+    inside = np.concatenate([[False], folded != 0x20, [False]])
+    starts, stops = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(~inside[1:] & inside[:-1])
+    points = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
+    edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
+    return int(hit.sum()), [{"start": int(points[starts[i]]), "end": int(points[stops[j - 1]])}
+                            for i, j in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))]
+
+
 def scan(raw: bytes | None, automaton) -> dict:
     """Words, hit words, items and hit spans (code points of the original) of one text."""
     words = words_of(raw)
     ids: set[int] = set()
-    spans: list[dict] = []
-    n_hit = 0
+    marks: list[tuple[int, int]] = []
     if automaton is not None and words:
         ends = None
-        marks = np.zeros(len(words) + 1, np.int32)
         for last, (n, own) in automaton.iter(f" {b' '.join(words).decode('latin-1')} "):
             if ends is None:
                 ends = np.cumsum([len(w) + 1 for w in words])  # place of the space after each word
             at = int(np.searchsorted(ends, last))
-            marks[at - n + 1] += 1
-            marks[at + 1] -= 1
+            marks.append((at - n + 1, n))
             ids |= own
-        if ends is not None:
-            hit = np.cumsum(marks)[:-1] > 0
-            n_hit = int(hit.sum())
-            folded = np.frombuffer(raw.translate(FOLD), np.uint8)
-            inside = np.concatenate([[False], folded != 0x20, [False]])
-            starts, stops = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(~inside[1:] & inside[:-1])
-            points = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
-            edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-            spans = [{"start": int(points[starts[i]]), "end": int(points[stops[j - 1]])}
-                     for i, j in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))]
+    n_hit, spans = described(raw, words, marks)
     return {"n_words": len(words), "n_hit": n_hit, "items": sorted(ids), "spans": spans}
 
 
@@ -82,7 +88,7 @@ ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.
                    ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
 
-def _finder(items: list[tuple[int, bytes | None]], size: int):
+def _finder(items: list[tuple[int | None, bytes | None]], size: int):
     """Arrow function of a text column; a task builds the automaton once."""
 
     @F.arrow_udf(KIND)
@@ -98,50 +104,59 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                   size: int = 10, most_bytes: int = 32 << 20) -> DataFrame:
     """``docs`` with one struct column ``hits``: words, hit words, items found (ascending), hit spans in code points.
 
-    Null texts and texts without words have no hits; items without words match nothing; a null item id matches but is not
-    listed; repeated rows are judged each by itself. All columns of ``docs`` stay; only the name ``hits`` is replaced.
+    Null texts and texts without words have no hits; texts may be of any length; items without words match nothing; a null item id
+    matches but is not listed; repeated rows are judged each by itself. All columns of ``docs`` stay; only the name ``hits`` is replaced.
     """
     tests = benchmark.select(benchmark[item].cast("long").alias("i"), benchmark[item_text].cast("binary").alias("t"))
-    total = tests.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    parts = max(1, -(-total // most_bytes))
     kept = [c for c in docs.columns if c != "hits"]
-    if parts == 1:
-        rows = [(-1 if r.i is None else r.i, bytes(r.t or b"")) for r in tests.toLocalIterator()]
-        return _tidy(docs.select(*kept, _finder(rows, size)(docs[text].cast("binary")).alias("hits")))
-    dealt = stored(tests.withColumn("p", F.pmod(F.xxhash64("i", "t"), F.lit(parts))), "benchmark")
-    out = docs.select(*kept)
-    names = []
-    for p in range(parts):
-        rows = [(-1 if r.i is None else r.i, bytes(r.t or b"")) for r in dealt.filter(F.col("p") == p).toLocalIterator()]
-        names.append(f"_hits{p}")
-        out = out.withColumn(names[-1], _finder(rows, size)(F.col(text).cast("binary")))
-    return _tidy(out.withColumn("hits", _merger()(*[F.col(n) for n in names], F.col(text).cast("binary"))).drop(*names))
-
-
-def _tidy(df: DataFrame) -> DataFrame:
-    return df.withColumn("hits", F.col("hits").withField("items", F.filter("hits.items", lambda i: i >= 0)))
-
-
-def _merge(found: list[dict], raw: bytes | None) -> dict:
-    """One finding of several of the same text."""
-    spans: list[dict] = []
-    whole = (raw or b"").decode()
-    between = lambda start, end: words_of(whole[start:end].encode())
-    for start, end in sorted((s["start"], s["end"]) for f in found for s in f["spans"]):
-        if spans and (start <= spans[-1]["end"] or not between(spans[-1]["end"], start)):
-            spans[-1]["end"] = max(end, spans[-1]["end"])
-        else:
-            spans.append({"start": start, "end": end})
-    n_hit = sum(len(between(s["start"], s["end"])) for s in spans)
-    return {"n_words": found[0]["n_words"], "n_hit": n_hit, "items": sorted({i for f in found for i in f["items"]}), "spans": spans}
-
-
-def _merger():
-    @F.arrow_udf(KIND)
-    def merged(*columns: pa.Array) -> pa.Array:
-        return pa.array([_merge(found, raw) for *found, raw in zip(*[c.to_pylist() for c in columns])], ARROW)
+    if (tests.agg(F.sum(F.octet_length("t"))).first()[0] or 0) > most_bytes:
+        return _joined(docs.select(*kept), tests, text, size)
+    rows = [(r.i, bytes(r.t or b"")) for r in tests.toLocalIterator()]  # at most ``most_bytes``
+    return docs.select(*kept, _finder(rows, size)(docs[text].cast("binary")).alias("hits"))
+
+
+def _names(lengths: list[int] | None, size: int):
+    """(id, text) rows to (id, at, n, w): the names of a text's windows, of an item's own length or of every one of ``lengths``."""
 
-    return merged
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        for batch in batches:
+            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = words_of(raw.as_py())
+                for n in ([min(size, len(words))] if lengths is None else [x for x in lengths if x <= len(words)]) if words else []:
+                    at = np.arange(len(words) - n + 1)
+                    names = [xxh3_128_digest(b" ".join(words[j:j + n])) for j in at]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([i] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array(np.full(len(at), n), pa.int32()), pa.array(names, pa.binary())],
+                        ["id", "at", "n", "w"])
+
+    return run
+
+
+def _joined(docs: DataFrame, tests: DataFrame, text: str, size: int) -> DataFrame:
+    """``contamination`` by an equi-join on window names."""
+    shape = "id long, at long, n int, w binary"
+    wide = stored(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[text].cast("binary").alias("t"),
+                              F.monotonically_increasing_id().alias("id")), "documents")
+    items = stored(tests.select("i", "t").mapInArrow(_names(None, size), shape).select(F.col("id").alias("i"), "n", "w").distinct(), "windows")
+    lengths = [r.n for r in items.select("n").distinct().collect()]  # at most ``size`` numbers
+    found = wide.select("id", "t").mapInArrow(_names(sorted(lengths), size), shape).join(items.select("n", "w").distinct(), ["n", "w"], "left_semi")
+    found = stored(found, "hits")
+    marks = found.groupBy("id").agg(F.collect_list(F.struct("at", F.col("n").cast("long").alias("n"))).alias("marks"))  # a document's words at most
+    owners = found.select("id", "n", "w").distinct().join(items.filter("i IS NOT NULL"), ["n", "w"]).groupBy("id").agg(F.sort_array(F.collect_set("i")).alias("items"))
+
+    @F.arrow_udf(KIND)
+    def told(raws: pa.Array, placed: pa.Array, ids: pa.Array) -> pa.Array:
+        out = []
+        for raw, m, own in zip(raws.to_pylist(), placed.to_pylist(), ids.to_pylist()):
+            words = words_of(raw)
+            n_hit, spans = described(raw, words, [(x["at"], x["n"]) for x in m or []])
+            out.append({"n_words": len(words), "n_hit": n_hit, "items": own or [], "spans": spans})
+        return pa.array(out, ARROW)
+
+    done = wide.join(marks, "id", "left").join(owners, "id", "left")
+    return done.select(*[F.col("doc")[c].alias(c) for c in docs.columns], told("t", "marks", "items").alias("hits"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:

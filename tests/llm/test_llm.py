@@ -280,18 +280,3 @@ def test_sql(name, spark, folder, con):
     df = queries.QUERIES[name](spark, folder)
     result = con.execute(queries.SQL[name])
     assert table(df.columns, [tuple(r) for r in df.collect()]) == table([d[0] for d in result.description], result.fetchall())
-
-
-def test_pipeline(spark, folder):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    out = corpus_pipeline.run(spark, folder).collect()
-    source = {r.doc_id: r.text for r in docs.collect()}
-    good = {r.doc_id for r in quality.assess(docs).filter("quality.kept").collect()}
-    groups = {r.key: r.component for r in near_dedup.classes(docs.filter(F.col("doc_id").isin(list(good)))).collect()}
-    bench = spark.read.parquet(f"{folder}/benchmark.parquet")
-    clean = {r.doc_id for r in decontaminate.contamination(docs, bench).filter("hits.n_hit = 0").collect()}
-    assert sorted(r.doc_id for r in out) == sorted(k for k, c in groups.items() if k == c and k in clean)
-    untouched = [r for r in out if r.decoded == source[r.doc_id]]
-    assert len(untouched) > len(out) / 2 and all(len(r.ids) == r.n_tokens for r in out)
