@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..streaming.storage import stored
+from .batches import small_batches
 
 SEED = 42
 BLOCKS = 7
@@ -210,17 +211,20 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", distance:
 
 
 def set_marks(bands: int, rows: int, size: int):
-    """Of each text, the 128-bit name of its set of shingles, the set's size and one key for each band of ``rows`` MinHashes (none without words)."""
+    """Of each text, the 128-bit name of its set of shingles, the set's size, one byte of each MinHash, and one key for each band of ``rows`` of them.
+
+    Texts without words have neither bytes nor keys.
+    """
     r = np.random.default_rng(SEED)
     flip, times, mix = (r.integers(0, 1 << 63, n, np.uint64) << np.uint64(1) | np.uint64(1) for n in (bands * rows, bands * rows, bands * rows))
     flip, times, mix = flip[:, None], times[:, None], mix.reshape(bands, rows)
 
-    @F.arrow_udf("struct<node: binary, size: long, bands: array<long>>")
+    @F.arrow_udf("struct<node: binary, size: long, bytes: binary, bands: array<long>>")
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from xxhash import xxh3_128_digest
 
         for batch in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, marks, keys = [], [], [], []
             for raw in batch:
                 h = np.unique(shingle_hashes(raw.as_py(), size))
                 nodes.append(xxh3_128_digest(h.tobytes()))
@@ -228,9 +232,11 @@ def set_marks(bands: int, rows: int, size: int):
                 least = np.full(bands * rows, ~np.uint64(0))
                 for at in range(0, len(h), 512):
                     np.minimum(least, ((h[at:at + 512] ^ flip) * times).min(axis=1), out=least)
+                marks.append((least >> np.uint64(56)).astype(np.uint8).tobytes() if len(h) else b"")
                 key = (least.reshape(bands, rows) * mix).sum(axis=1, dtype=np.uint64)
                 keys.append((key ^ key >> np.uint64(32)).view(np.int64) if len(h) else np.zeros(0, np.int64))
-            yield pa.StructArray.from_arrays([pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["node", "size", "bands"])
+            yield pa.StructArray.from_arrays([pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                                               ["node", "size", "bytes", "bands"])
 
     return made
 
@@ -322,36 +328,114 @@ def _searched(least: float):
     return run
 
 
-def set_links(marks: DataFrame, sets: DataFrame, least: float, held: int = 1 << 21, parts: int = 64) -> DataFrame:
-    """Links (u, v) between nodes of ``marks`` (node, key of a band, size of its set) that connect every pair of one bucket with Jaccard of at least ``least``.
+def _alike(slack: float):
+    """(u, v, bytes of u, bytes of v) rows to the pairs (u, v) whose bytes agree often enough."""
+
+    def run(batches):
+        for batch in batches:
+            if len(batch):
+                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(len(batch), -1) for i in (2, 3))
+                yield batch.select(["u", "v"]).filter(pa.array((a == b).mean(axis=1) >= slack))
+
+    return run
+
+
+def _apart(slack: float):
+    """Sorted (k, i, j, node, root, bytes) rows to the rows (k, node, root) that agree often enough with one of another root, per (k, i, j)."""
 
-    Each member of a bucket is first compared with the bucket's smallest: candidate pairs are names alone, a smallest's set is sent once for
-    each ``parts`` its members are dealt over, theirs once a pair. That decides buckets of two, and those whose members are linked by then.
-    The others are searched, each distinct list of members once: dealt in blocks of about ``held`` hashes, every two blocks
-    together, so a task holds two blocks of one bucket whatever its size.
+    def emit(key, nodes, roots, marks):
+        own = np.unique(roots, return_inverse=True)[1]
+        m = np.frombuffer(b"".join(marks), np.uint8).reshape(len(nodes), -1)
+        largest = np.bincount(own).argmax()
+        hit = np.zeros(len(nodes), bool)
+        for x in np.flatnonzero(own != largest):
+            near = (own != own[x]) & ((m == m[x]).mean(axis=1) >= slack)
+            if near.any():
+                hit |= near
+                hit[x] = True
+        at = np.flatnonzero(hit)
+        return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(at), pa.int64()), *[pa.array([x[i] for i in at], pa.binary()) for x in (nodes, roots)]], ["k", "node", "root"])
+
+    def run(batches):
+        key, rows = None, ([], [], [])
+        for batch in batches:
+            for k, i, j, *values in zip(*(batch.column(c).to_pylist() for c in range(6))):
+                if (k, i, j) != key:
+                    if rows[0]:
+                        yield emit(key, *rows)
+                    key, rows = (k, i, j), ([], [], [])
+                for held, value in zip(rows, values):
+                    held.append(value)
+        if rows[0]:
+            yield emit(key, *rows)
+
+    return run
+
+
+def _in_blocks(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``rows`` (k, node, ...) dealt by node over the ``blocks`` of their bucket, every two blocks (i, j) together."""
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
+    dealt = rows.join(blocks, "k").withColumn("b", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")}).drop("b", "o", "blocks")
+
+
+#: Nodes that are asked for are sent to every task up to this many (eight bytes each), else joined.
+SENT = 1 << 20
+
+
+def _sets_of(texts: DataFrame, nodes: DataFrame, asked: DataFrame, size: int) -> DataFrame:
+    """(node, set) of the nodes ``asked``: only one text of each is cut into shingles."""
+    which = stored(nodes.join(asked, "node", "left_semi").select("hash").distinct(), "asked")
+    which = F.broadcast(which) if which.count() <= SENT else which
+    found = texts.join(which, "hash", "left_semi").select(shingle_sets(F.col("text"), size).alias("m")).select("m.*")
+    with small_batches(texts.sparkSession):
+        return stored(found.groupBy("node").agg(F.first("set").alias("set")).join(asked, "node", "left_semi"), "sets")
+
+
+def set_links(marks: DataFrame, sets_of, least: float, held: int = 1 << 21, parts: int = 64) -> DataFrame:
+    """Links (u, v) between nodes of ``marks`` (k, node, size, bytes) that connect every pair of one bucket k with Jaccard of at least ``least``.
+
+    Each member of a bucket is first compared with the bucket's smallest, and where buckets stay open their members with each other.
+    Either way bytes of the MinHashes come first: pairs that agree in less than ``least`` by five standard errors go. Only for the
+    others ``sets_of`` (a function of nodes) brings whole sets, which decide. A smallest's set is sent once for each of ``parts`` its members are
+    dealt over, theirs once a pair. Open buckets, each distinct list of members once, are dealt in blocks of about ``held`` bytes or
+    hashes, every two blocks together, so a task holds two blocks of one bucket whatever its size.
     """
+    width = marks.agg(F.max(F.octet_length("bytes"))).first()[0] or 1
+    slack = least - 5 * (least * (1 - least) / width) ** 0.5
+    spark = marks.sparkSession
     least_of = marks.groupBy("k").agg(F.min("node").alias("v"))
-    pairs = stored(marks.join(least_of, "k").filter("node != v").select(F.col("node").alias("u"), "v").distinct().withColumn(
-        "part", F.pmod(F.xxhash64("u"), F.lit(parts))), "candidates")
+    one = marks.groupBy("node").agg(F.first("bytes").alias("bytes"))
+    side = lambda n: one.select(F.col("node").alias(n), F.col("bytes").alias(f"b{n}"))
+    pairs = marks.join(least_of, "k").filter("node != v").select(F.col("node").alias("u"), "v").distinct()
+    near = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "bu", "bv").mapInArrow(_alike(slack), "u binary, v binary")
+    pairs = stored(near.withColumn("part", F.pmod(F.xxhash64("u"), F.lit(parts)).cast("int")), "candidates")
+    sets = sets_of(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
     hubs = pairs.select(F.col("v").alias("node"), "part").distinct().join(sets, "node").select(F.col("node").alias("v"), "part", F.lit(None).cast("binary").alias("u"), "set")
     members = pairs.join(sets.withColumnRenamed("node", "u"), "u").select("v", "part", "u", "set")
     dealt = hubs.unionByName(members).repartition("v", "part").sortWithinPartitions("v", "part", F.asc_nulls_first("u"))
-    first = stored(dealt.mapInArrow(_verified(least), "u binary, v binary"), "near")
+    with small_batches(spark):
+        first = stored(dealt.mapInArrow(_verified(least), "u binary, v binary"), "near")
+
     tied = components(first)
     h = F.xxhash64("node")
     rooted = marks.join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
     opened = rooted.groupBy("k").agg(
-        F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.sum("size").alias("hashes"),
+        F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.sum(F.octet_length("bytes")).alias("bytes"),
         F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(20,0)")).alias("s")).filter("n > 2 and low != high")
-    buckets = opened.groupBy("n", "x", "s", "hashes").agg(F.min("k").alias("k")).select("k", F.ceil(F.col("hashes") / held).cast("int").alias("blocks"))
-    buckets = stored(buckets, "open")
-    if buckets.isEmpty():
+    blocks = opened.groupBy("n", "x", "s", "bytes").agg(F.min("k").alias("k")).select("k", F.ceil(F.col("bytes") / held).cast("int").alias("blocks"))
+    rows = _in_blocks(rooted.select("k", "node", "root", "bytes"), stored(blocks, "open")).select("k", "i", "j", "node", "root", "bytes")
+    rows = rows.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
+    hit = stored(rows.mapInArrow(_apart(slack), "k long, node binary, root binary"), "open").distinct()
+    if hit.isEmpty():
         return first
-    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
-    rest = rooted.join(buckets, "k").withColumn("b", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("k", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "node", "root").join(sets, "node").select("k", "i", "j", "node", "root", "set")
+    hit = stored(hit.join(marks.groupBy("node").agg(F.first("size").alias("size")), "node"), "hit")
+    sets = sets_of(hit.select("node").distinct())
+    blocks = hit.groupBy("k").agg(F.ceil(F.sum("size") / held).cast("int").alias("blocks"))
+    rest = _in_blocks(hit.select("k", "node", "root"), blocks).join(sets, "node").select("k", "i", "j", "node", "root", "set")
     found = rest.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(_searched(least), "u binary, v binary")
-    return first.unionByName(stored(found, "near"))
+    with small_batches(spark):
+        return first.unionByName(stored(found, "near"))
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, size: int = 5, bands: int = 40, rows: int = 5,
@@ -363,16 +447,15 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     million, above it less often. Texts of equal sets are one node, those without words among them. Null keys are as in ``classes``;
     texts may be of any length.
     """
-    found = set_marks(bands, rows, size)(docs[text].cast("binary"))
-    marked = stored(docs.select(docs[key].alias("key"), *carry, found.alias("m")).select("key", *carry, "m.node", "m.size", "m.bands"), "marks")
-    nodes = stored(marked.groupBy("node").agg(F.min("key").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
-    dealt = nodes.select("node", "size", F.explode("bands").alias("k"))
-    shared = dealt.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k")
+    texts = docs.select(docs[key].alias("key"), *carry, docs[text].alias("text"), F.xxhash64(docs[text]).alias("hash"))
+    found = set_marks(bands, rows, size)(F.col("text").cast("binary"))
+    with small_batches(docs.sparkSession):
+        marked = stored(texts.select("key", *carry, "hash", found.alias("m")).select("key", *carry, "hash", "m.*"), "marks")
+    nodes = stored(marked.groupBy("node").agg(F.min("key").alias("least"), *[F.first(c).alias(c) for c in ("hash", "size", "bytes", "bands")]), "nodes")
+    dealt = nodes.select("node", "size", "bytes", F.explode("bands").alias("k"))
+    shared = nodes.select(F.explode("bands").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k")
     marks = stored(dealt.join(stored(shared, "buckets"), "k", "left_semi"), "marks")
-    asked = stored(marks.select("node").distinct(), "asked")
-    sets = docs.select(shingle_sets(docs[text], size).alias("m")).select("m.*").join(asked, "node", "left_semi")
-    sets = stored(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
-    tied = components(set_links(marks, sets, least, held))
+    tied = components(set_links(marks, lambda asked: _sets_of(texts, nodes, asked, size), least, held))
     rooted = stored(nodes.join(tied, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "rooted")
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "root", "component")
     return marked.join(named, "node").select("key", *carry, "node", "root", "component")

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..streaming.storage import stored
+from .batches import small_batches
 
 #: Characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -258,7 +259,8 @@ def assess(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     wide = docs.select(F.struct(*[docs[k] for k in docs.columns]).alias("_doc"), F.struct(
         text_counts(docs[text]).alias("counts"), F.concat(F.lit("source "), F.to_json(F.struct(docs[lang].alias("l"), docs[source].alias("s")))).alias("own"),
         F.concat(F.lit("language "), F.to_json(F.struct(docs[lang].alias("l")))).alias("pool")).alias("_row"))
-    wide = stored(wide.withColumn("_failed", base_failed(c)).withColumn("_salt", F.floor(F.rand(7) * SALTS).cast("int")), "quality")
+    with small_batches(docs.sparkSession):
+        wide = stored(wide.withColumn("_failed", base_failed(c)).withColumn("_salt", F.floor(F.rand(7) * SALTS).cast("int")), "quality")
     names = list(FLOORS)
     x = statistics(c)
     good = wide.filter(~F.col("_failed")).select(F.col("_row.own").alias("_own"), F.col("_row.pool").alias("_pool"), "_salt", *[
