@@ -6,11 +6,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ...sources.readers import lookup
+from ...streaming.storage import stored
 from ..imputation import impute_median
 
 
@@ -32,26 +32,132 @@ def standardise(df: DataFrame, cols: list[str], suffix: str = "_z") -> DataFrame
     })
 
 
-def kmeans_select(df: DataFrame, cols: list[str], k_min: int = 2, k_max: int = 8, seed: int = 42):
-    """MLlib k-means for each k; the k with the best silhouette wins.
-
-    Returns (rows with ``cluster_id``, list of (k, silhouette), fitted model).
+def _starts(sample: np.ndarray, k: int, starts: int, seed: int) -> list[np.ndarray]:
+    """Starting centres of ``starts`` runs: far rows of a sample, each drawn with a chance by its squared distance to those before."""
+    out = []
+    for i in range(starts):
+        r = np.random.default_rng([seed, k, i])
+        chosen = [sample[r.integers(len(sample))]]
+        while len(chosen) < k:
+            d = np.min([((sample - c) ** 2).sum(axis=1) for c in chosen], axis=0)
+            if d.sum() <= 0:
+                break  # fewer distinct rows than k
+            chosen.append(sample[r.choice(len(sample), p=d / d.sum())])
+        if len(chosen) == k:
+            out.append(np.array(chosen))
+    return out
+
+
+def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((x[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
+
+
+def _rows_of(batch) -> np.ndarray:
+    return batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+
+
+def _lloyd_step(runs: dict[int, list[list[float]]]):
+    """Rows meet the centres of every run: (run, cluster, n, sums, squares, cost) added up within a task."""
+
+    def step(batches):
+        held: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = _rows_of(batch)
+            for run, centres in runs.items():
+                d = _distances(x, np.array(centres))
+                best = d.argmin(axis=1)
+                for c in np.unique(best).tolist():
+                    mine = x[best == c]
+                    new = [len(mine), mine.sum(axis=0), (mine ** 2).sum(), d[best == c, c].sum()]
+                    old = held.get((run, c))
+                    held[run, c] = [a + b for a, b in zip(old, new)] if old else new
+        keys = list(held)
+        yield pa.RecordBatch.from_arrays([
+            pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([held[k][0] for k in keys], pa.int64()),
+            pa.array([held[k][1].tolist() for k in keys], pa.list_(pa.float64())), *[pa.array([float(held[k][i]) for k in keys], pa.float64()) for i in (2, 3)]],
+            ["run", "c", "n", "s", "q", "cost"])
+
+    return step
+
+
+def _silhouettes(runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
+    """(run, total) of the squared-distance silhouettes, from each cluster's size, mean and mean square."""
+
+    def step(batches):
+        totals = dict.fromkeys(runs, 0.0)
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = _rows_of(batch)
+            for run, (n, mean, square) in runs.items():
+                best = _distances(x, mean).argmin(axis=1)
+                far = (x ** 2).sum(axis=1)[:, None] - 2 * x @ mean.T + square[None, :]
+                own = far[np.arange(len(x)), best] * n[best] / np.maximum(n[best] - 1, 1)
+                far[np.arange(len(x)), best] = np.inf
+                other = far.min(axis=1)
+                s = np.where(n[best] > 1, (other - own) / np.maximum(np.maximum(own, other), 1e-300), 0.0)
+                totals[run] += float(s.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(list(totals.values()), pa.float64())], ["run", "total"])
+
+    return step
+
+
+def lloyd(points: DataFrame, runs: dict[int, np.ndarray], rounds: int) -> dict[int, dict]:
+    """Move the centres of all runs together, one pass a round, until none moves: centres, sizes, squares, cost and rounds of each.
+
+    ``points`` is one array column. A centre without rows stays where it is; ``rounds`` bounds the passes, and a run that reached the bound says
+    ``settled`` false.
+    """
+    state = {r: {"centres": c, "rounds": 0, "settled": False} for r, c in runs.items()}
+    for turn in range(1, rounds + 1):
+        moving = {r: s["centres"].tolist() for r, s in state.items() if not s["settled"]}
+        if not moving:
+            break
+        shape = "run int, c int, n long, s array<double>, q double, cost double"
+        dims = len(next(iter(moving.values()))[0])
+        found = points.mapInArrow(_lloyd_step(moving), shape).groupBy("run", "c").agg(
+            F.sum("n").alias("n"), F.array(*[F.sum(F.col("s")[i]) for i in range(dims)]).alias("s"), F.sum("q").alias("q"), F.sum("cost").alias("cost")).collect()
+        for r in moving:
+            old = state[r]["centres"]
+            new, n, q, cost = old.copy(), np.zeros(len(old)), np.zeros(len(old)), 0.0
+            for row in (x for x in found if x.run == r):
+                new[row.c], n[row.c], q[row.c], cost = np.array(row.s) / row.n, row.n, row.q / row.n, cost + row.cost
+            state[r] |= {"centres": new, "n": n, "q": q, "cost": cost, "rounds": turn, "settled": bool(np.abs(new - old).max() <= 1e-12 * max(1.0, np.abs(old).max()))}
+    return state
+
+
+def kmeans_select(df: DataFrame, cols: list[str], k_min: int = 2, k_max: int = 8, seed: int = 42, starts: int = 10, rounds: int = 300,
+                  sample: int = 2000, given: dict[int, np.ndarray] | None = None):
+    """k-means for each k from several starts, all of them in one pass a round; the k with the best silhouette wins.
+
+    Starts are drawn from at most ``sample`` rows (those of least hash), or ``given`` by k. Of a k's starts the one of least cost counts; a k with an
+    empty cluster is left out. Returns (rows with ``cluster_id``, list of (k, silhouette), the chosen run with its k, centres, cost, rounds and
+    whether it settled).
     """
     df = df.drop("cluster_id")
-    vectors = VectorAssembler(inputCols=cols, outputCol="_x").transform(df).persist()
-    measure = ClusteringEvaluator(featuresCol="_x", predictionCol="cluster_id", metricName="silhouette")
-    tried = []
-    for k in range(k_min, k_max + 1):
-        model = KMeans(k=k, seed=seed, featuresCol="_x", predictionCol="cluster_id", maxIter=50).fit(vectors)
-        if len(model.clusterCenters()) < 2 or min(model.summary.clusterSizes) == 0:
-            continue  # fewer distinct points than k
-        tried.append((k, measure.evaluate(model.transform(vectors)), model))
-    vectors.unpersist()
-    if not tried:
+    points = stored(df.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("x")), "points")
+    if given is None:
+        drawn = np.array([r.x for r in points.orderBy(F.xxhash64("x", F.lit(seed)), "x").limit(sample).collect()]).reshape(-1, len(cols))
+        given = {k: _starts(drawn, k, starts, seed) for k in range(k_min, k_max + 1)} if len(drawn) else {}
+    else:
+        given = {k: [np.array(c, float)] for k, c in given.items()}
+    numbered = [(k, c) for k, many in given.items() for c in many]
+    done = lloyd(points, {i: c for i, (_, c) in enumerate(numbered)}, rounds)
+    best: dict[int, int] = {}
+    for i, (k, _) in enumerate(numbered):
+        if (done[i]["n"] > 0).all() and (k not in best or done[i]["cost"] < done[best[k]]["cost"]):
+            best[k] = i
+    if not best:
         raise ValueError(f"fewer than {k_min} distinct points")
-    best = max(tried, key=lambda t: (t[1], -t[0]))
-    fresh = VectorAssembler(inputCols=cols, outputCol="_x").transform(df)
-    return best[2].transform(fresh).drop("_x"), [(k, s) for k, s, _ in tried], best[2]
+    stats = {i: (done[i]["n"], done[i]["centres"], done[i]["q"]) for i in best.values()}
+    total = {r.run: r.t for r in points.mapInArrow(_silhouettes(stats), "run int, total double").groupBy("run").agg(F.sum("total").alias("t")).collect()}
+    tried = [(k, total[i] / done[i]["n"].sum()) for k, i in sorted(best.items())]
+    k = max(tried, key=lambda t: (t[1], -t[0]))[0]
+    run = done[best[k]] | {"k": k}
+    centres = lookup(df.sparkSession, [(i, *map(float, c)) for i, c in enumerate(run["centres"])], "cluster_id int, " + ", ".join(f"`{c}` double" for c in cols))
+    return assign(df, cols, centres).drop("distance"), tried, run
 
 
 def centroids(df: DataFrame, cols: list[str], cluster: str = "cluster_id") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Phase classification: split, weights, MLlib forest, report."""
+"""Phase classification: split, weights, boosted trees, MLlib forest, report."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ...functions import fixed_values as fv
 from ..windows import fill
+from . import boosting
 
 CLASSES = [fv.DEGRADING, fv.TURNING, fv.RECOVERING]
 
@@ -35,43 +36,62 @@ def class_weights(df: DataFrame, label: str, classes: list[str] = CLASSES, out:
     return df.withColumn(out, weight)
 
 
-def phase_classifier(train: DataFrame, full: DataFrame, features: list[str], label: str, weight: str | None = "weight",
-                     optional: list[str] = (), classes: list[str] = CLASSES, seed: int = 42, trees: int = 60,
-                     depth: int = 5, carry: tuple[str, str, str] | None = None):
-    """Random forest over all rows: probability per class, predicted phase, confidence.
+def _usable(train: DataFrame, features: list[str], optional: list[str]) -> list[str]:
+    """Features at hand; one that is missing is an error unless declared optional."""
+    absent = set(features) - set(train.columns) - set(optional)
+    if absent:
+        raise ValueError(f"missing features: {sorted(absent)}")
+    return [f for f in features if f in train.columns]
 
-    A missing feature is an error unless declared optional. NULL features count as 0. ``carry``
-    = (entity, year, column) fills a column forward per entity before prediction.
-    Returns (predictions, {feature: importance}).
+
+def _class_number(label: str, classes: list[str]) -> Column:
+    return F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)).cast("int") - 1
+
+
+def _phases(scored: DataFrame, probabilities: str, classes: list[str]) -> DataFrame:
+    """Probability per class, the likeliest phase (the first of equals) and its probability."""
+    p, names = F.col(probabilities), F.array(*[F.lit(c) for c in classes])
+    return scored.withColumns({
+        **{f"prob_{c.lower()}": F.coalesce(F.get(p, F.lit(i)), F.lit(0.0)) for i, c in enumerate(classes)},
+        "predicted_phase": F.get(names, F.array_position(p, F.array_max(p)).cast("int") - 1), "confidence": F.array_max(p),
+    }).drop(probabilities)
+
+
+def phase_classifier(train: DataFrame, valid: DataFrame | None, full: DataFrame, features: list[str], label: str, weight: str | None = "weight",
+                     optional: list[str] = (), classes: list[str] = CLASSES, carry: tuple[str, str, str] | None = None, **options):
+    """Boosted trees fitted on ``train``, ended by ``valid``, applied to ``full``: probabilities, predicted phase, confidence, rounds used.
+
+    NULL features count as 0; rows of other labels are left out of the fit. ``carry`` = (entity, year, column) fills a column
+    forward per entity before prediction; ``options`` go to ``boosting.boost``. Returns (predictions, {feature: importance}).
     """
-    absent = [f for f in features if f not in train.columns]
-    if set(absent) - set(optional):
-        raise ValueError(f"missing features: {sorted(set(absent) - set(optional))}")
-    used = [f for f in features if f in train.columns]
+    used = _usable(train, features, optional)
+    columns = [*[F.col(f) for f in used], _class_number(label, classes).alias("_y")]
+    rows = train.select(*columns, (F.col(weight) if weight else F.lit(1.0)).alias("_w"), F.lit(False).alias("_v"))
+    if valid is not None:
+        rows = rows.unionByName(valid.select(*columns, F.lit(1.0).alias("_w"), F.lit(True).alias("_v")))
+    model = boosting.boost(rows.filter("_y >= 0"), used, "_y", len(classes), "_w", "_v", **options)
+    if carry:
+        full = fill(full, [carry[0]], [carry[1]], carry[2])
+    out = _phases(full.withColumn("_p", model.probabilities(full)), "_p", classes)
+    return out.withColumn("n_rounds", F.lit(model.best)), model.importances()
+
+
+def forest_classifier(train: DataFrame, full: DataFrame, features: list[str], label: str, weight: str | None = "weight",
+                      optional: list[str] = (), classes: list[str] = CLASSES, seed: int = 42, trees: int = 60, depth: int = 5):
+    """As ``phase_classifier``, by a random forest without validation rows."""
+    used = _usable(train, features, optional)
 
     def vectors(df):
         inputs = df.withColumns({f"_f_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in used})
         out = VectorAssembler(inputCols=[f"_f_{c}" for c in used], outputCol="_x").transform(inputs)
         return out.drop(*[f"_f_{c}" for c in used])
 
-    index = None
-    for i, c in enumerate(classes):
-        index = F.when(F.col(label) == c, F.lit(float(i))) if index is None else index.when(F.col(label) == c, F.lit(float(i)))
     # MLlib reads the class count from the highest label, so every class must occur or probabilities are padded.
-    labelled = vectors(train.withColumn("_y", index).filter(F.col("_y").isNotNull()))
-    forest = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed,
-                                    weightCol=weight, probabilityCol="_p", predictionCol="_pred", rawPredictionCol="_raw")
-    model = forest.fit(labelled)
-    if carry:
-        full = fill(full, [carry[0]], [carry[1]], carry[2])
-    scored = model.transform(vectors(full)).withColumn("_p", vector_to_array("_p"))
-    probs = [F.coalesce(F.get("_p", F.lit(i)), F.lit(0.0)) for i in range(len(classes))]
-    names = F.array(*[F.lit(c) for c in classes])
-    out = scored.withColumns({
-        **{f"prob_{c.lower()}": p for c, p in zip(classes, probs)},
-        "predicted_phase": F.get(names, F.col("_pred").cast("int")), "confidence": F.array_max("_p"),
-    }).drop("_x", "_raw", "_p", "_pred")
-    return out, dict(zip(used, [float(v) for v in model.featureImportances.toArray()]))
+    labelled = vectors(train.withColumn("_y", _class_number(label, classes).cast("double")).filter("_y >= 0"))
+    model = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed,
+                                   weightCol=weight, probabilityCol="_p", predictionCol="_pred", rawPredictionCol="_raw").fit(labelled)
+    scored = model.transform(vectors(full)).withColumn("_p", vector_to_array("_p")).drop("_x", "_raw", "_pred")
+    return _phases(scored, "_p", classes), dict(zip(used, [float(v) for v in model.featureImportances.toArray()]))
 
 
 def top_importance(df: DataFrame, name: str, value: str, keys: list[str] = (), k: int = 5, out: str = "top_json",

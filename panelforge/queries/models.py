@@ -46,12 +46,27 @@ def _(t):
     return scaled(t)
 
 
-@query("kmeans_by_silhouette", "M3", "entity:l cluster_id:i")
+@query("kmeans_by_silhouette", "M3", "entity:l cluster_id:i k:i n_rounds:i settled:b")
 def _(t):
-    from ..streaming.storage import ensure_checkpoint_dir
+    rows, _, run = clustering.kmeans_select(t.keep(scaled(t)), Z)
+    return rows.withColumns({"k": F.lit(run["k"]), "n_rounds": F.lit(run["rounds"]), "settled": F.lit(run["settled"])})
 
-    ensure_checkpoint_dir(t.spark)
-    return clustering.kmeans_select(scaled(t).checkpoint(), Z)[0]
+
+def _lloyd_sql(rounds: int) -> str:
+    """Lloyd's steps from the three entities of least number; steps after the centres stand still change nothing."""
+    d = " + ".join(f"(s.{c} - k.{c}) ** 2" for c in Z)
+    steps = {"c0": f"SELECT row_number() OVER (ORDER BY entity) - 1 AS c, {', '.join(Z)} FROM (SELECT * FROM scaled ORDER BY entity LIMIT 3)"}
+    for i in range(rounds):
+        steps[f"a{i}"] = f"SELECT entity, arg_min(k.c, ({d}, k.c)) AS c FROM scaled s, c{i} k GROUP BY 1"
+        steps[f"c{i + 1}"] = f"SELECT c, {', '.join(f'avg({c}) AS {c}' for c in Z)} FROM a{i} JOIN scaled USING (entity) GROUP BY 1"
+    return ctes("holed", f"SELECT entity, arg_min(k.c, ({d}, k.c)) AS cluster_id FROM scaled s, c{rounds} k GROUP BY 1", **FEATURES, **steps).replace(" AS (", " AS MATERIALIZED (")
+
+
+@query("kmeans_given_start", "M3", "entity:l cluster_id:i", _lloyd_sql(40))
+def _(t):
+    rows = t.keep(scaled(t))
+    start = [[r[c] for c in Z] for r in rows.orderBy("entity").limit(3).collect()]
+    return clustering.kmeans_select(rows, Z, given={3: start})[0]
 
 
 @query("nearest_centre", "M3a", "entity:l cluster_id:i distance:d6", ctes("holed", """
@@ -97,62 +112,85 @@ def _(t):
 
 # ---- panel regression ---------------------------------------------------------
 
-def fe_input(t):
-    p = t.panel().join(zones(t), "entity")
+# Entities that enter late, leave early and miss months.
+STAGGERED = "(year - 1992) * 12 + month > (entity % 9) * 5 AND (year - 1992) * 12 + month < 84 - (entity % 4) * 7 AND (entity + month) % 11 <> 0"
+
+
+def fe_input(t, rule="true"):
+    p = t.panel().filter(rule).join(zones(t), "entity")
     return p.select("cluster_id", "entity", (F.col("year") * 100 + F.col("month")).alias("period"), panel.log_floor("veg").alias("y"), F.log("price").alias("x"))
 
 
-def fe_sql(body: str) -> str:
-    rounds = {"r0": """SELECT n_regionkey AS g, entity AS e, year * 100 + month AS p, ln(greatest(veg, 1e-6)) AS y0, ln(price) AS x0, ln(price) ** 2 AS q0,
-        ln(greatest(veg, 1e-6)) AS y, ln(price) AS x, ln(price) ** 2 AS q FROM panel JOIN supplier ON s_suppkey = entity JOIN nation ON s_nationkey = n_nationkey"""}
-    steps = 24  # the statement's own number: far beyond where the means vanish
-    for i in range(1, steps + 1):
-        cols = lambda keys: ", ".join(f"{c} - avg({c}) OVER (PARTITION BY {keys}) AS {c}" for c in "yxq")
-        rounds[f"h{i}"] = f"SELECT g, e, p, y0, x0, q0, {cols('g, e')} FROM r{i - 1}"
-        rounds[f"r{i}"] = f"SELECT g, e, p, y0, x0, q0, {cols('g, p')} FROM h{i}"
-    last = f"r{steps}"
-    rounds["w"] = f"SELECT * FROM {last}"
-    rounds["sums"] = """SELECT g, sum(x * x) AS xx, sum(x * q) AS xq, sum(q * q) AS qq, sum(x * y) AS xy, sum(q * y) AS qy, sum(y * y) AS sst, count(*) AS n_obs, avg(y0) AS my, avg(x0) AS mx, avg(q0) AS mq,
+def fe_sql(body: str, rule: str = "true") -> str:
+    """The fit with period effects from plain substitution on the periods alone, many times over."""
+    steps = {"r0": f"""SELECT n_regionkey AS g, entity AS e, year * 100 + month AS p, ln(greatest(veg, 1e-6)) AS y0, ln(price) AS x0, ln(price) ** 2 AS q0
+        FROM panel JOIN supplier ON s_suppkey = entity JOIN nation ON s_nationkey = n_nationkey WHERE {rule}"""}
+    centred = lambda c, by: ", ".join(f"{x} - avg({x}) OVER (PARTITION BY {by}) AS {y}" for x, y in c)
+    steps["h1"] = f"SELECT g, e, p, y0, x0, q0, {centred([('y0', 'y'), ('x0', 'x'), ('q0', 'q')], 'g, e')} FROM r0"
+    steps["share"] = "SELECT g, e, 1.0 / count(*) AS s FROM r0 GROUP BY 1, 2"
+    steps["links"] = "SELECT a.g, a.p, b.p AS o, sum(s) AS s FROM r0 a JOIN r0 b ON a.g = b.g AND a.e = b.e JOIN share ON share.g = a.g AND share.e = a.e GROUP BY ALL"
+    steps["side"] = "SELECT g, p, count(*) AS n, sum(y) AS y, sum(x) AS x, sum(q) AS q FROM h1 GROUP BY ALL"
+    steps["turns"] = """SELECT 0 AS k, g, p, 0.0::DOUBLE AS y, 0.0::DOUBLE AS x, 0.0::DOUBLE AS q FROM side
+        UNION ALL SELECT k + 1, side.g, side.p, (any_value(side.y) + sum(s * turns.y)) / any_value(n), (any_value(side.x) + sum(s * turns.x)) / any_value(n), (any_value(side.q) + sum(s * turns.q)) / any_value(n)
+            FROM turns JOIN links ON links.g = turns.g AND links.o = turns.p JOIN side ON side.g = links.g AND side.p = links.p WHERE k < 300 GROUP BY ALL"""
+    steps["free"] = "SELECT h1.g, e, h1.p, y0, x0, q0, h1.y - t.y AS y, h1.x - t.x AS x, h1.q - t.q AS q FROM h1 JOIN turns t ON t.g = h1.g AND t.p = h1.p AND k = 300"
+    steps["w"] = f"SELECT g, e, p, y0, x0, q0, {centred([(c, c) for c in 'yxq'], 'g, e')} FROM free"
+    steps["sums"] = """SELECT g, sum(x * x) AS xx, sum(x * q) AS xq, sum(q * q) AS qq, sum(x * y) AS xy, sum(q * y) AS qy, sum(y * y) AS sst, count(*) AS n_obs, avg(y0) AS my, avg(x0) AS mx, avg(q0) AS mq,
         count(DISTINCT e) AS n_entities, count(DISTINCT p) AS n_periods FROM w GROUP BY 1"""
-    rounds["fit"] = "SELECT *, (xy * qq - qy * xq) / (xx * qq - xq * xq) AS beta1, (qy * xx - xy * xq) / (xx * qq - xq * xq) AS beta2 FROM sums"
-    rounds["res"] = "SELECT w.*, y - beta1 * x - beta2 * q AS u FROM w JOIN fit USING (g)"
-    rounds["se"] = """SELECT fit.*, sqrt(s * (a * a * uu + 2 * a * b * uv + b * b * vv)) AS beta1_se, sqrt(s * (b * b * uu + 2 * b * c * uv + c * c * vv)) AS beta2_se FROM (
-        SELECT g, qq / (xx * qq - xq * xq) AS a, -xq / (xx * qq - xq * xq) AS b, xx / (xx * qq - xq * xq) AS c, n_obs / (n_obs - (n_entities + n_periods - 1) - 2.0) AS s FROM fit) k
-        JOIN (SELECT g, sum(su * su) AS uu, sum(su * sv) AS uv, sum(sv * sv) AS vv FROM (SELECT g, e, sum(x * u) AS su, sum(q * u) AS sv FROM res GROUP BY 1, 2) GROUP BY 1) m USING (g) JOIN fit USING (g)"""
-    return ctes("panel", body, **rounds)
+    steps["fit"] = """SELECT *, (xy * qq - qy * xq) / det AS beta1, (qy * xx - xy * xq) / det AS beta2 FROM (SELECT *, CASE WHEN xx > 1e-18 * n_obs * (1 + mx * mx)
+        AND xx * qq - xq * xq > 1e-12 * xx * qq THEN xx * qq - xq * xq END AS det FROM sums)"""
+    steps["res"] = "SELECT w.*, y - beta1 * x - beta2 * q AS u FROM w JOIN fit USING (g)"
+    steps["m"] = """SELECT g, sum(su * su) AS uu, sum(su * sv) AS uv, sum(sv * sv) AS vv, sum(ee) AS ee FROM (
+        SELECT g, e, sum(x * u) AS su, sum(q * u) AS sv, sum(u * u) AS ee FROM res GROUP BY 1, 2) GROUP BY 1"""
+    steps["se"] = """SELECT fit.*, v, sqrt(s * (a * a * uu + 2 * a * b * uv + b * b * vv)) AS beta1_se, sqrt(s * (b * b * uu + 2 * b * c * uv + c * c * vv)) AS beta2_se FROM (
+        SELECT g, qq / det AS a, -xq / det AS b, xx / det AS c, n_obs - (n_entities + n_periods - 1) - 2.0 AS v,
+            CASE WHEN uu > 1e-20 * xx * ee AND vv > 1e-20 * qq * ee THEN n_obs / (n_obs - (n_entities + n_periods - 1) - 2.0) END AS s FROM fit JOIN m USING (g)) k
+        JOIN m USING (g) JOIN fit USING (g)"""
+    return ctes("panel", body, **steps).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-def fitted(t):
-    return panel.panel_fe(fe_input(t), "entity", "period", "y", "x", "cluster_id")
+def _p_sql(t: str) -> str:
+    """Two-sided tail of Student's t with v degrees: Simpson's rule over the angle atan(t / sqrt(v)), as far as there is weight."""
+    low, width = f"atan(abs({t}) / sqrt(v))", f"least(pi() / 2 - atan(abs({t}) / sqrt(v)), 14 / sqrt(v))"
+    return f"""(SELECT 2 * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(pi()) * {width} / 6000 * sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+        * greatest(cos({low} + {width} * i / 2000), 0) ** (v - 1)) FROM range(2001) AS r(i))"""
 
 
-@query("panel_fixed_effects", "M5", "cluster_id:i beta1:d3 beta2:d4 alpha:d2 n_obs:l n_entities:l n_periods:l", fe_sql(
-    "SELECT g AS cluster_id, beta1, beta2, my - beta1 * mx - beta2 * mq AS alpha, n_obs, n_entities, n_periods FROM fit"))
-def _(t):
-    return fitted(t)[0]
+def fitted(t, rule="true"):
+    return panel.panel_fe(fe_input(t, rule), "entity", "period", "y", "x", "cluster_id")
 
 
-@query("panel_standard_errors", "M5a", "cluster_id:i beta1_se:d3 beta2_se:d4 beta1_t:d3 beta2_t:d3", fe_sql(
-    "SELECT g AS cluster_id, beta1_se, beta2_se, beta1 / beta1_se AS beta1_t, beta2 / beta2_se AS beta2_t FROM se"))
-def _(t):
-    fit, res = fitted(t)
-    return panel.panel_fe_se(fit, res, "cluster_id", "entity")
+def _panel_queries(suffix: str, rule: str) -> None:
+    @query(f"panel_fixed_effects{suffix}", "M5", "cluster_id:i beta1:d3 beta2:d4 alpha:d2 n_obs:l n_entities:l n_periods:l", fe_sql(
+        "SELECT g AS cluster_id, beta1, beta2, my - beta1 * mx - beta2 * mq AS alpha, n_obs, n_entities, n_periods FROM fit", rule))
+    def _(t):
+        return fitted(t, rule)[0]
 
+    @query(f"panel_standard_errors{suffix}", "M5a", "cluster_id:i beta1_se:d3 beta2_se:d4 beta1_t:d3 beta2_t:d3 beta1_p:d5 beta2_p:d5", fe_sql(f"""
+        SELECT g AS cluster_id, beta1_se, beta2_se, beta1_t, beta2_t, CASE WHEN beta1_t IS NOT NULL THEN {_p_sql('beta1_t')} END AS beta1_p, CASE WHEN beta2_t IS NOT NULL THEN {_p_sql('beta2_t')} END AS beta2_p
+        FROM (SELECT *, beta1 / beta1_se AS beta1_t, beta2 / beta2_se AS beta2_t FROM se)""", rule))
+    def _(t):
+        fit, res = fitted(t, rule)
+        return panel.panel_fe_se(fit, res, "cluster_id", "entity")
+
+    @query(f"panel_fit_quality{suffix}", "M5b", "cluster_id:i r_squared:d6 r_squared_within:d6 f_stat:d4 aic:d3 bic:d3", fe_sql("""
+        SELECT g AS cluster_id, 1 - ssr / sst AS r_squared, 1 - wssr / wsst AS r_squared_within, ((sst - ssr) / 2) / (ssr / (n_obs - (n_entities + n_periods - 1) - 2)) AS f_stat,
+            n_obs * (ln(2 * pi()) + ln(ssr / n_obs) + 1) + 6 AS aic, n_obs * (ln(2 * pi()) + ln(ssr / n_obs) + 1) + 3 * ln(n_obs) AS bic FROM fit
+        JOIN (SELECT g, sum(u * u) AS ssr FROM res GROUP BY 1) a USING (g)
+        JOIN (SELECT g, sum((y - beta1 * x - beta2 * q) ** 2) AS wssr, sum(y * y) AS wsst FROM h1 JOIN fit USING (g) GROUP BY 1) b USING (g)""", rule))
+    def _(t):
+        fit, res = fitted(t, rule)
+        return panel.panel_fe_quality(fit, res, "cluster_id", "entity")
 
-@query("panel_fit_quality", "M5b", "cluster_id:i r_squared:d6 r_squared_within:d6 f_stat:d4 aic:d3 bic:d3", fe_sql("""
-    SELECT g AS cluster_id, 1 - ssr / sst AS r_squared, 1 - wssr / wsst AS r_squared_within, ((sst - ssr) / 2) / (ssr / (n_obs - (n_entities + n_periods - 1) - 2)) AS f_stat,
-        n_obs * (ln(2 * pi()) + ln(ssr / n_obs) + 1) + 6 AS aic, n_obs * (ln(2 * pi()) + ln(ssr / n_obs) + 1) + 3 * ln(n_obs) AS bic FROM fit
-    JOIN (SELECT g, sum(u * u) AS ssr FROM res GROUP BY 1) a USING (g)
-    JOIN (SELECT g, sum((y - beta1 * x - beta2 * q) ** 2) AS wssr, sum(y * y) AS wsst FROM h1 JOIN fit USING (g) GROUP BY 1) b USING (g)"""))
-def _(t):
-    fit, res = fitted(t)
-    return panel.panel_fe_quality(fit, res, "cluster_id", "entity")
+
+_panel_queries("", "true")
+_panel_queries("_staggered", STAGGERED)
 
 
 @query("turning_points", "M6", "cluster_id:i turning_point_ln:d3 shape:s hypothesis_supported:b reason:s", fe_sql("""
     SELECT g AS cluster_id, CASE WHEN n_obs >= 30 THEN -beta1 / (2 * beta2) END AS turning_point_ln, CASE WHEN n_obs < 30 THEN 'UNCLEAR' WHEN beta1 > 0 AND beta2 < 0 THEN 'INVERTED_U' WHEN beta1 > 0 AND beta2 > 0 THEN 'MONOTONIC_UP'
-        WHEN beta1 < 0 THEN 'MONOTONIC_DOWN' ELSE 'UNCLEAR' END AS shape, n_obs >= 30 AND beta1 > 0 AND beta2 < 0 AND abs(beta1 / beta1_se) > 1.959964 AND abs(beta2 / beta2_se) > 1.959964 AS hypothesis_supported,
-        CASE WHEN n_obs < 30 THEN 'TOO_FEW_OBSERVATIONS' END AS reason FROM se"""))
+        WHEN beta1 < 0 THEN 'MONOTONIC_DOWN' ELSE 'UNCLEAR' END AS shape, coalesce(n_obs >= 30 AND beta1 > 0 AND beta2 < 0 AND abs(beta1 / beta1_se) > 1.9604 AND abs(beta2 / beta2_se) > 1.9604, false) AS hypothesis_supported,
+        CASE WHEN n_obs < 30 THEN 'TOO_FEW_OBSERVATIONS' WHEN beta1 IS NULL THEN 'SINGULAR' END AS reason FROM se"""))
 def _(t):
     fit, res = fitted(t)
     return panel.turning_point(panel.panel_fe_se(fit, res, "cluster_id", "entity"))
@@ -206,19 +244,53 @@ FEATURE_COLS = ["veg", "pol", "seal", "price", "d", "year"]
 
 
 def classified(t):
-    from ..streaming.storage import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(t.spark)
-    rows = labelled(t).checkpoint()
-    train = phase.class_weights(phase.temporal_split(rows, "year").filter("is_train"), "phase")
-    return phase.phase_classifier(train, rows, FEATURE_COLS, "phase", carry=("entity", "year", "gap"))
+    """Fitted on all but the last two years; those end the training."""
+    rows = t.keep(phase.temporal_split(labelled(t), "year"))
+    train = phase.class_weights(rows.filter("is_train"), "phase")
+    return phase.phase_classifier(train, rows.filter("NOT is_train"), rows, FEATURE_COLS, "phase", carry=("entity", "year", "gap"), rate=0.3, rounds=60, patience=5)
 
 
-@query("phase_classifier", "M10", "entity:l year:i predicted_phase:s confidence:d6 prob_degradando:d6 prob_turning:d6 prob_recuperando:d6")
+@query("phase_classifier", "M10", "entity:l year:i predicted_phase:s confidence:d6 prob_degradando:d6 prob_turning:d6 prob_recuperando:d6 n_rounds:i")
 def _(t):
     return classified(t)[0]
 
 
+# Three rounds of one-split trees at stated cut points, every step spelled out.
+CUTS = {"veg": [0.0485, 0.05, 0.0515], "seal": [25.2, 25.5, 25.8], "price": [37000.0, 38000.0, 39000.0]}
+STUMPS = {"rounds": 3, "depth": 1, "rate": 0.3, "l1": 0.1, "l2": 1.0, "gain": 0.0, "least": 1.0}
+
+
+def _stumps_sql() -> str:
+    cuts = ", ".join(f"({f}, {b}, {e})" for f, es in enumerate(CUTS.values()) for b, e in enumerate(es))
+    value = "CASE f WHEN 0 THEN coalesce(veg, 0) WHEN 1 THEN coalesce(seal, 0) ELSE coalesce(price, 0) END"
+    shrink = lambda g: f"(sign({g}) * greatest(abs({g}) - {STUMPS['l1']}, 0))"
+    worth = lambda g, h: f"{shrink(g)} ** 2 / ({h} + {STUMPS['l2']})"
+    steps = {
+        "cuts": f"SELECT * FROM (VALUES {cuts}) AS v(f, b, cut)",
+        "base": f"""SELECT entity, year, veg, seal, price, year <= (SELECT max(year) FROM labelled) - 2 AS is_train,
+            CASE phase WHEN '{phase.CLASSES[0]}' THEN 0 WHEN '{phase.CLASSES[1]}' THEN 1 ELSE 2 END AS y FROM labelled""",
+        "m0": "SELECT base.*, c, 0.0::DOUBLE AS m FROM base, (VALUES (0), (1), (2)) AS k(c)"}
+    for r in range(STUMPS["rounds"]):
+        steps[f"p{r}"] = f"SELECT *, exp(m) / sum(exp(m)) OVER (PARTITION BY entity, year) AS p FROM m{r}"
+        steps[f"g{r}"] = f"SELECT *, p - (y = c)::INTEGER AS g, p * (1 - p) AS h FROM p{r} WHERE is_train"
+        steps[f"s{r}"] = f"""SELECT c, f, b, cut, sum(g) FILTER (x <= cut) AS gl, sum(h) FILTER (x <= cut) AS hl, sum(g) FILTER (x > cut) AS gr, sum(h) FILTER (x > cut) AS hr
+            FROM (SELECT g{r}.*, f, b, cut, {value} AS x FROM g{r}, cuts) GROUP BY ALL"""
+        steps[f"b{r}"] = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY round(0.5 * ({worth('gl', 'hl')} + {worth('gr', 'hr')} - {worth('(gl + gr)', '(hl + hr)')}), 9) DESC, f, b) AS k
+            FROM s{r} WHERE least(hl, hr) >= {STUMPS['least']}) WHERE k = 1"""
+        leaf = lambda g, h: f"-{STUMPS['rate']} * {shrink(g)} / ({h} + {STUMPS['l2']})"
+        steps[f"m{r + 1}"] = f"""SELECT entity, year, veg, seal, price, is_train, y, c, m + CASE WHEN {value} <= cut THEN {leaf('gl', 'hl')} ELSE {leaf('gr', 'hr')} END AS m
+            FROM m{r} JOIN b{r} USING (c)"""
+    last = f"m{STUMPS['rounds']}"
+    return ctes("entity_year", f"""SELECT entity, year, max(p) FILTER (c = 0) AS prob_degradando, max(p) FILTER (c = 1) AS prob_turning, max(p) FILTER (c = 2) AS prob_recuperando FROM (
+        SELECT *, exp(m) / sum(exp(m)) OVER (PARTITION BY entity, year) AS p FROM {last}) GROUP BY ALL""", **LABELLED, **steps)
+
+
+@query("boosted_stumps", "M10", "entity:l year:i prob_degradando:d6 prob_turning:d6 prob_recuperando:d6", _stumps_sql())
+def _(t):
+    rows = t.keep(phase.temporal_split(labelled(t), "year"))
+    return phase.phase_classifier(rows.filter("is_train"), None, rows, list(CUTS), "phase", weight=None, edges=list(CUTS.values()), **STUMPS)[0]
+
+
 @query("feature_importance_json", "M18 M10", "top_json:s")
 def _(t):
     frame = phase.importance_frame(t.spark, classified(t)[1])
@@ -248,13 +320,13 @@ def _(t):
 FORECAST = {
     "s": """SELECT entity, make_date(year, month, 1) AS ds, CAST(year * 12 + month - 1 AS DOUBLE) AS t, month, seal AS y FROM holed WHERE seal IS NOT NULL
         AND entity IN (SELECT entity FROM holed WHERE seal IS NOT NULL GROUP BY 1 HAVING count(*) >= 24)""",
-    "l": "SELECT entity, regr_slope(y, t) AS slope, regr_intercept(y, t) AS intercept, max(ds) AS last_ds FROM s GROUP BY 1",
+    "l": "SELECT entity, regr_slope(y, t) AS slope, regr_intercept(y, t) AS intercept, max(ds) AS last_ds, count(*) AS n, avg(t) AS mean_t, regr_sxx(y, t) AS sxx FROM s GROUP BY 1",
     "i": "SELECT entity, month, avg(y / (intercept + slope * t)) AS r FROM s JOIN l USING (entity) GROUP BY 1, 2",
     "z": "SELECT entity, month, r / avg(r) OVER (PARTITION BY entity) AS season FROM i",
     "f": "SELECT s.*, slope, intercept, last_ds, season, intercept + slope * t AS trend, (intercept + slope * t) * season AS fitted FROM s JOIN l USING (entity) JOIN z ON z.entity = s.entity AND z.month = s.month",
-    "fut": """SELECT entity, ahead, CAST(last_ds + to_months(CAST(ahead AS INTEGER)) AS DATE) AS ds, slope, intercept, sigma FROM l JOIN (SELECT entity, stddev_samp(y - fitted) AS sigma FROM f GROUP BY 1) USING (entity), range(1, 121) AS r(ahead)""",
-    "fc": """SELECT fut.entity, ahead, ds, intercept + slope * (year(ds) * 12 + month(ds) - 1) AS trend, (intercept + slope * (year(ds) * 12 + month(ds) - 1)) * coalesce(season, 1) AS forecast, sigma
-        FROM fut LEFT JOIN z ON z.entity = fut.entity AND z.month = month(ds)""",
+    "fut": """SELECT entity, ahead, CAST(last_ds + to_months(CAST(ahead AS INTEGER)) AS DATE) AS ds, slope, intercept, n, mean_t, sxx, sigma FROM l JOIN (SELECT entity, stddev_samp(y - fitted) AS sigma FROM f GROUP BY 1) USING (entity), range(1, 121) AS r(ahead)""",
+    "fc": """SELECT fut.entity, ahead, ds, intercept + slope * (year(ds) * 12 + month(ds) - 1) AS trend, (intercept + slope * (year(ds) * 12 + month(ds) - 1)) * coalesce(season, 1) AS forecast,
+        sigma * sqrt(1 + 1.0 / n + (year(ds) * 12 + month(ds) - 1 - mean_t) ** 2 / sxx) AS sigma FROM fut LEFT JOIN z ON z.entity = fut.entity AND z.month = month(ds)""",
 }
 
 
@@ -292,4 +364,40 @@ def _(t):
 
 @query("ridge_forecast_fit", "M13", "entity:l ds:date y:d6 fitted:d4")
 def _(t):
-    return forecast.fit_ridge(forecast.series(t.holed(), "entity", "year", "month", "seal"), "entity")
+    """Slope changes at few of many months, times yearly waves."""
+    return forecast.components(forecast.fit_changepoints(forecast.series(t.holed(), "entity", "year", "month", "seal"), "entity"), "entity")
+
+
+@query("changepoint_forecast", "M14 M13", "entity:l horizon_years:i ds:date forecast:d4 lower:d4 upper:d4")
+def _(t):
+    fit = forecast.fit_changepoints(forecast.series(t.holed(), "entity", "year", "month", "seal"), "entity")
+    return forecast.forecast(fit, "entity", ahead=forecast.changepoint_future)
+
+
+# One known month at which the slope changes, no waves, no penalty: least squares with three terms, solved by determinants.
+KNOT = 1995 * 12 + 5
+KNOWN = {"s": FORECAST["s"], "b": f"SELECT *, t - {KNOT} AS a, greatest(t - {KNOT}, 0) AS h FROM s",
+    "n": """SELECT entity, count(*) AS n, sum(a) AS a, sum(h) AS h, sum(a * a) AS aa, sum(a * h) AS ah, sum(h * h) AS hh, sum(y) AS y, sum(a * y) AS ay, sum(h * y) AS hy,
+        min(t) AS t0, max(t) AS t1, max(ds) AS last_ds, avg(t) AS mean_t, regr_sxx(y, t) AS sxx FROM b GROUP BY 1""",
+    "d": "SELECT *, n * (aa * hh - ah * ah) - a * (a * hh - ah * h) + h * (a * ah - aa * h) AS det FROM n",
+    "p": """SELECT *, (y * (aa * hh - ah * ah) - a * (ay * hh - ah * hy) + h * (ay * ah - aa * hy)) / det AS c0, (n * (ay * hh - ah * hy) - y * (a * hh - ah * h) + h * (a * hy - ay * h)) / det AS c1,
+        (n * (aa * hy - ay * ah) - a * (a * hy - ay * h) + y * (a * ah - aa * h)) / det AS c2 FROM d""",
+    "r": "SELECT entity, sum((b.y - c0 - c1 * b.a - c2 * b.h) ** 2) / any_value(p.n) AS v FROM b JOIN p USING (entity) GROUP BY 1"}
+
+
+def known_knot(t):
+    s = forecast.series(t.holed(), "entity", "year", "month", "seal")
+    return forecast.fit_changepoints(s, "entity", order=0, tau=None, knots=[float(KNOT)])
+
+
+@query("known_changepoint_fit", "M13", "entity:l ds:date fitted:d6", ctes("holed", "SELECT entity, ds, c0 + c1 * b.a + c2 * b.h AS fitted FROM b JOIN p USING (entity)", **KNOWN))
+def _(t):
+    return forecast.components(known_knot(t), "entity")
+
+
+@query("known_changepoint_forecast", "M14", "entity:l horizon_years:i ds:date forecast:d5 lower:d5 upper:d5", ctes("holed", f"""
+    SELECT entity, ahead / 12 AS horizon_years, ds, f AS forecast, f - 1.96 * e AS lower, f + 1.96 * e AS upper FROM (
+        SELECT entity, ahead, ds, c0 + (c1 + c2) * (m - {KNOT}) AS f, sqrt(v * (1 + 1.0 / n + (m - mean_t) ** 2 / sxx) + 2.0 / 3 * c2 * c2 * (m - t1) ** 3 / (t1 - t0)) AS e FROM (
+            SELECT *, CAST(last_ds + to_months(CAST(ahead AS INTEGER)) AS DATE) AS ds, t1 + ahead AS m FROM p JOIN r USING (entity), (VALUES (12), (36), (60), (120)) AS x(ahead)))""", **KNOWN))
+def _(t):
+    return forecast.forecast(known_knot(t), "entity", ahead=forecast.changepoint_future)
