@@ -50,13 +50,13 @@ def upsert(target: DataFrame, new: DataFrame, key: list[str], update_cols: list[
 
 
 def scd2_merge(dim: DataFrame, snapshot: DataFrame, key: str, tracked: list[str], as_of: str, sk: str = "sk",
-               first_load: str = fv.FIRST_LOAD, always: bool = False, order: list[str] | None = None) -> DataFrame:
+               first_load: str = fv.FIRST_LOAD, always: bool = False, order: list[str] | None = None, top: int | None = None) -> DataFrame:
     """Close changed versions the day before ``as_of`` and open new ones.
 
     A key without history opens at ``first_load``. Keys absent from the snapshot are left
     alone. A version opened on ``as_of`` itself is replaced in place, so a rerun on the same day
     gives the same table. Of several snapshot rows of a key the last in ``order`` counts; columns of ``order``
-    that the dimension lacks only order.
+    that the dimension lacks only order. New surrogates go on from ``top``, by default the largest one of ``dim``.
     """
     snapshot = _one_per_key(snapshot, [key], order, latest).drop(*[c for c in order or [] if c not in dim.columns])
     attrs = [c for c in snapshot.columns if c != key]
@@ -88,7 +88,7 @@ def scd2_merge(dim: DataFrame, snapshot: DataFrame, key: str, tracked: list[str]
         F.when((changed & ~today) | ~stored, version(none, True, since, end, F.lit(True))),
     ))
     rows = pair.select(F.explode(versions).alias("v")).select("v.*")
-    top = dim.agg(F.coalesce(F.max(sk), F.lit(0)).cast("long").alias("m")).scalar()
+    top = F.lit(top) if top is not None else dim.agg(F.coalesce(F.max(sk), F.lit(0)).cast("long").alias("m")).scalar()
     opened = number_rows(rows.filter(F.col(sk).isNull()).drop(sk), [key], top + 1, sk).select(*cols)
     return history.unionByName(rows.filter(F.col(sk).isNotNull())).unionByName(opened)
 

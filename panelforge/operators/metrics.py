@@ -11,14 +11,18 @@ from ..functions.scalars import composite_score, recommend
 
 
 def green_index(df: DataFrame, veg: str, pollutant: str | None, sealing: str | None,
-                weights=fv.GREEN_WEIGHTS, out: str = "green_index") -> DataFrame:
+                weights=fv.GREEN_WEIGHTS, out: str = "green_index", bounds: dict | None = None) -> DataFrame:
     """Weighted, table-wide normalised index.
 
     A missing pollutant counts as the table's lowest value; missing vegetation gives NULL. One
-    aggregate finds all bounds and reaches the rows as a scalar subquery.
+    aggregate finds all bounds and reaches the rows as a scalar subquery; bounds that are known (``lo_`` and ``hi_`` of each
+    column) save it.
     """
     terms = [c for c in (veg, pollutant, sealing) if c]
-    bounds = df.agg(F.struct(*[x for c in terms for x in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))]).alias("b")).scalar()
+    if bounds is None:
+        bounds = df.agg(F.struct(*[x for c in terms for x in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))]).alias("b")).scalar()
+    else:
+        bounds = {k: F.lit(v).cast("double") for k, v in bounds.items()}
 
     def norm(c, fill):
         lo, hi = bounds[f"lo_{c}"], bounds[f"hi_{c}"]

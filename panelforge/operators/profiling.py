@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .ordering import average_rank, column_quantiles, long_values, quantile_columns, quantiles
@@ -63,13 +63,41 @@ def yearly(df: DataFrame, year: str, c: str) -> DataFrame:
     return base.join(quantile_columns(df, c, {"median": 0.5}, [year]), year, "left")
 
 
+def _products(width: int):
+    """Rows of shifted values (NaN where unknown) to (i, j, n, sums, squares, products) of every two columns, added up within a task."""
+
+    def run(batches):
+        total = np.zeros((6, width, width))
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), width)
+            known = (~np.isnan(x)).astype(float)
+            v = np.where(known > 0, x, 0.0)
+            s, q = v.T @ known, (v * v).T @ known
+            total += [known.T @ known, s, s.T, q, q.T, v.T @ v]
+        i, j = np.triu_indices(width, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), *[pa.array(m[i, j]) for m in total]],
+                                         ["i", "j", "n", "sa", "sb", "qa", "qb", "p"])
+
+    return run
+
+
 def correlations(df: DataFrame, cols: list[str], min_abs: float = 0.1) -> DataFrame:
-    """Pearson for every pair of columns in one aggregate, kept from ``min_abs`` on."""
-    pairs = list(combinations(cols, 2))
-    one = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    long = one.unpivot([], [F.col(f"`{a}|{b}`") for a, b in pairs], "pair", "pearson")
-    names = F.split("pair", r"\|")
-    out = long.select(names[0].alias("a"), names[1].alias("b"), "pearson")
+    """Pearson for every pair of columns over the rows that know both, kept from ``min_abs`` on.
+
+    Each task multiplies its rows' matrix with itself and Spark adds the tasks' products, so the number of columns is no number of
+    expressions. Values are shifted by their means first; a pair without spread has no coefficient.
+    """
+    numbers = [F.col(c).cast("double") for c in cols]
+    means = df.agg(F.array(*[F.coalesce(F.avg(F.nanvl(c, F.lit(None).cast("double"))), F.lit(0.0)) for c in numbers]).alias("m")).first()["m"]
+    rows = df.select(F.array(*[F.coalesce(c - F.lit(m), F.lit(float("nan"))) for c, m in zip(numbers, means)]).alias("x"))
+    shape = "i int, j int, n double, sa double, sb double, qa double, qb double, p double"
+    sums = rows.mapInArrow(_products(len(cols)), shape).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "qa", "qb", "p")])
+    spread = (F.col("qa") - F.col("sa") * F.col("sa") / F.col("n")) * (F.col("qb") - F.col("sb") * F.col("sb") / F.col("n"))
+    r = F.when((F.col("n") > 0) & (spread > 0), (F.col("p") - F.col("sa") * F.col("sb") / F.col("n")) / F.sqrt(spread))
+    labels = F.array(*[F.lit(c) for c in cols])
+    out = sums.select(F.get(labels, F.col("i")).alias("a"), F.get(labels, F.col("j")).alias("b"), r.alias("pearson"))
     return out.filter(F.abs("pearson") >= min_abs)
 
 

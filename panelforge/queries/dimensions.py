@@ -77,6 +77,46 @@ def _(t):
     return op.upsert(op.upsert(target, new, key, ["a", "b"]), new, key, ["a", "b"])
 
 
+BUCKETS = 32
+_BUCKET = "('0x' || substr(md5(CAST(entity AS VARCHAR) || '|' || year || '|' || month), 1, 8))::BIGINT % 32"
+
+
+def bucketed(t):
+    """A stored table of the early years, and what a day of late corrections and new months brings to few of its keys."""
+    from ..operators.bucketed import BucketTable
+
+    t.stage("panel")
+    target, new, key = upserted(t)
+    return BucketTable.create(target, t.scratch("bucketed"), key, BUCKETS), new.filter("year IN (1999, 2000) AND month = 7 AND entity % 5 = 0"), key
+
+
+@query("upsert_rewrites_touched_buckets", "D2", "entity:l year:i month:i a:d8 b:d4 c:i", ctes("panel", """
+    SELECT entity, year, month, CASE WHEN hit THEN seal ELSE veg END AS a, CASE WHEN year < 2000 THEN pol ELSE price END AS b, CASE WHEN year < 2000 THEN 1 ELSE 2 END AS c
+    FROM (SELECT *, year IN (1999, 2000) AND month = 7 AND entity % 5 = 0 AS hit FROM panel) WHERE year < 2000 OR hit"""))
+def _(t):
+    table, new, _ = bucketed(t)
+    table.upsert(new, ["a"])
+    return table.read()
+
+
+@query("upsert_bucket_report", "D2", "run:i n_rewritten:l n_buckets:l n_kept:l", ctes("panel", f"""
+    SELECT run, CASE WHEN run = 1 THEN n ELSE 0 END AS n_rewritten, t AS n_buckets, CASE WHEN run = 1 THEN o ELSE t END AS n_kept FROM (
+        SELECT count(DISTINCT b) FILTER (hit) AS n, (SELECT count(DISTINCT {_BUCKET}) FROM panel WHERE year < 2000 OR year = 2000 AND month = 7 AND entity % 5 = 0) AS t,
+            (SELECT count(*) FROM (SELECT {_BUCKET} AS b FROM panel WHERE year < 2000 GROUP BY 1 HAVING NOT bool_or(year = 1999 AND month = 7 AND entity % 5 = 0)
+                AND {_BUCKET} NOT IN (SELECT {_BUCKET} FROM panel WHERE year = 2000 AND month = 7 AND entity % 5 = 0))) AS o
+        FROM (SELECT {_BUCKET} AS b, year IN (1999, 2000) AND month = 7 AND entity % 5 = 0 AS hit FROM panel)), (VALUES (1), (2)) AS r(run)"""))
+def _(t):
+    """Buckets rewritten by a run and by its repeat; kept are those whose folder stays the same."""
+    table, new, _ = bucketed(t)
+    rows = []
+    for run in (1, 2):
+        before = table.folders()
+        rewritten = table.upsert(new, ["a"])
+        after = table.folders()
+        rows.append((run, len(rewritten), len(after), sum(before.get(b) == f for b, f in after.items())))
+    return t.lookup(rows, "run int, n_rewritten long, n_buckets long, n_kept long")
+
+
 def dimension(t):
     """A stored dimension: all but LARGE parts, with one closed version for SMALL ones."""
     p = parts(t).filter("sector <> 'LARGE'")
@@ -116,6 +156,27 @@ def _(t):
     return op.scd2_merge(t.spark.read.parquet(path), snapshot(t), "ticker", ["sector", "industry"], "2024-05-01")
 
 
+@query("slowly_changing_bucketed", "D3", SCD_COLS, "WITH " + SCD.format(first="DATE '2006-01-01'", changed="size > 40"))
+def _(t):
+    """The stored history, merged twice on one day: only buckets with a change are rewritten, the repeat rewrites none."""
+    from ..operators.bucketed import BucketTable
+
+    table = BucketTable.create(dimension(t), t.scratch("history"), ["ticker"], BUCKETS, "sk")
+    table.merge_versions(snapshot(t), ["sector", "industry"], "2024-05-01")
+    if table.merge_versions(snapshot(t), ["sector", "industry"], "2024-05-01"):
+        raise AssertionError("a repeat rewrote buckets")
+    return table.read()
+
+
+@query("slowly_changing_reopen_bucketed", "D4", SCD_COLS, "WITH " + SCD.format(first="DATE '2024-05-01'", changed="true"))
+def _(t):
+    from ..operators.bucketed import BucketTable
+
+    table = BucketTable.create(dimension(t), t.scratch("history"), ["ticker"], BUCKETS, "sk")
+    table.merge_versions(snapshot(t), [], "2024-05-01", first_load="2024-05-01", always=True)
+    return table.read()
+
+
 @query("slowly_changing_reopen", "D4", SCD_COLS, "WITH " + SCD.format(first="DATE '2024-05-01'", changed="true"))
 def _(t):
     return op.scd2_reopen(dimension(t), snapshot(t), "ticker", "2024-05-01")

@@ -104,6 +104,24 @@ def _(t):
     return op.join_valid_at(fact, history(t), ["part"], "d")
 
 
+@query("join_version_hot_key", "J11", "l_orderkey:l l_linenumber:i part:l d:date band:s", """
+    WITH f AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 2 = 0 THEN 0 ELSE l_partkey END AS part, CAST(l_shipdate AS DATE) AS d FROM lineitem),
+    v AS (SELECT 0 AS part, CAST(DATE '1992-03-01' + to_months(CAST(m AS INTEGER)) AS DATE) AS lo, CASE WHEN m % 20 <> 7 THEN CAST(DATE '1992-03-01' + to_months(CAST(m AS INTEGER)) AS DATE) + 44 END AS hi, 'm' || m AS band FROM range(84) AS r(m)
+        UNION ALL SELECT p_partkey, DATE '1995-01-01', NULL, p_brand FROM part)
+    SELECT l_orderkey, l_linenumber, f.part, d, band FROM f LEFT JOIN v ON v.part = f.part AND d >= lo AND (hi IS NULL OR d <= hi)""")
+def _(t):
+    """One key holds half of the rows and has overlapping monthly versions, some without an end."""
+    part = F.when(F.col("l_partkey") % 2 == 0, F.lit(0)).otherwise(F.col("l_partkey")).cast("long")
+    fact = t("lineitem").select("l_orderkey", "l_linenumber", part.alias("part"), F.to_date("l_shipdate").alias("d"))
+    m = t.spark.range(84).select(F.col("id").cast("int").alias("m"))
+    start = F.add_months(F.lit("1992-03-01").cast("date"), F.col("m"))
+    many = m.select(F.lit(0).cast("long").alias("part"), start.alias("valid_from"), F.when(F.col("m") % 20 != 7, F.date_add(start, 44)).alias("valid_to"),
+                    F.concat(F.lit("m"), "m").alias("band"))
+    one = t("part").select(F.col("p_partkey").cast("long").alias("part"), F.lit("1995-01-01").cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"),
+                           F.col("p_brand").alias("band"))
+    return op.join_valid_at(fact, many.unionByName(one), ["part"], "d")
+
+
 def stations(t):
     c = t("customer")
     k = F.col("c_custkey")

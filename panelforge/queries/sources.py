@@ -18,6 +18,33 @@ def _orders(t):
     return t("orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
 
 
+DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+
+
+def database(t, name: str) -> str:
+    """Spark's embedded database in a folder of its own; it is reached from the driver's process alone."""
+    return f"jdbc:derby:{t.scratch(name).removeprefix('file://').removeprefix('file:')};create=true"
+
+
+@query("jdbc_round_trip", "S8 S10", ORDER_COLS, ORDERS)
+def _(t):
+    """Written once though the load runs twice, read back in parts of even size."""
+    url = database(t, "orders")
+    for _ in range(2):
+        writers.load_jdbc(_orders(t), url, "ORDERS_COPY", "first load", properties=DERBY, types="o_orderpriority VARCHAR(40)")
+    return readers.read_jdbc_evenly(t.spark, url, "ORDERS_COPY", "o_orderkey", 8, DERBY).toDF("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+
+
+@query("jdbc_replace", "S10", "o_orderkey:l o_totalprice:d4", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 = 0")
+def _(t):
+    """A second run takes the place of the first in one transaction."""
+    url = database(t, "replaced")
+    rows = _orders(t).select("o_orderkey", "o_totalprice")
+    writers.load_jdbc(rows, url, "ORDERS_COPY", "all", properties=DERBY)
+    writers.load_jdbc(rows.filter("o_orderkey % 3 = 0"), url, "ORDERS_COPY", "thirds", replace=True, properties=DERBY)
+    return readers.read_jdbc(t.spark, url, "ORDERS_COPY", properties=DERBY).toDF("o_orderkey", "o_totalprice")
+
+
 @query("scan_typed_csv", "S1", ORDER_COLS, ORDERS)
 def _(t):
     path = t.scratch("csv")

@@ -7,6 +7,8 @@ rule, the same on both sides.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -16,8 +18,9 @@ from ..operators.aggregates import concat_distinct
 from ..operators.metrics import green_index
 from ..operators.windows import yoy_diff
 from ..plans.facts import economic_fact, gold_fact, policy_fact, ranking
+from ..plans.maintained import MaintainedGold
 from ..sources.readers import lookup
-from ..streaming.storage import fresh_path
+from ..streaming.storage import fresh_path, listing, shared_folder
 
 
 def total(c: str) -> Column:
@@ -177,6 +180,43 @@ class Tables:
         gold = self.gold().select("city_sk", "city_code", "country_code", "year", "month", "investment_score", "fin_tickers")
         return ranking(self.keep(gold))
 
+    # ---- maintained gold ----------------------------------------------------
+    RAW = ("lineitem", "orders", "customer", "part", "supplier", "nation")
+
+    def silver(self) -> dict[str, DataFrame]:
+        """Inputs of the gold table by month, each stored once."""
+        self.stage("panel", "cube")
+        eco = self.economy().select("city_sk", "year", "month", "gdp_monthly", "renewables_pct", "ets_price_eur")
+        return {"panel": self.holed().select("entity", "year", "month", "veg", "pol", "seal"), "economy": self.keep(eco), "market": self.keep(self.market_months())}
+
+    def gold_parts(self, silver: dict[str, DataFrame], months: Column) -> DataFrame:
+        """Figures of the months for which the condition holds; the yearly change reads the same months of earlier years."""
+        h = silver["panel"].select(
+            F.col("entity").alias("city_sk"), "year", "month", F.col("veg").alias("ndvi_mean"), F.col("pol").alias("no2_mean"),
+            F.col("seal").alias("imperviousness_mean"), F.col("seal").alias("pm25_mean"))
+        env = yoy_diff(h, "city_sk", "year", "month", "ndvi_mean", "ndvi_yoy_change").filter(months)
+        city = self.cities().select("city_sk", "city_code", "city_name", "country_code", "country_name")
+        df = env.join(city, "city_sk", "left").join(silver["economy"].filter(months), ["city_sk", "year", "month"], "left")
+        return df.join(silver["market"].filter(months), ["country_code", "year", "month"], "left")
+
+    def levels(self) -> DataFrame:
+        return self.annual().groupBy(F.col("country").alias("country_code")).agg(F.avg("gdp").alias("turning_point"))
+
+    def raw_state(self) -> str:
+        """Names, lengths and times of the raw files: equal as long as no file changed."""
+        files = [x for name in self.RAW for x in listing(self.spark, f"{self.folder}/{name}.parquet")]
+        return hashlib.md5(json.dumps(files).encode()).hexdigest()
+
+    def maintained(self) -> MaintainedGold:
+        """The stored gold table of this folder, refreshed if a raw file changed since."""
+        name = hashlib.md5(self.folder.encode()).hexdigest()
+        table = MaintainedGold(self.spark, f"{shared_folder(self.spark)}/maintained-{name}")
+        state = self.raw_state()
+        if table.manifest["raw"] != state:
+            silver = self.silver()
+            table.refresh(silver, lambda months: self.gold_parts(silver, months), self.levels(), state)
+        return table
+
     def parameters(self) -> DataFrame:
         """Yearly fit figures per region, in the layout of the cluster parameters."""
         zone = self("supplier").join(self("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(

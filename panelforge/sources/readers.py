@@ -101,6 +101,33 @@ def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str |
     return reader.load()
 
 
+def quoter(spark: SparkSession, url: str):
+    """How the database quotes a name."""
+    dialect = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url)
+    return lambda name: dialect.quoteIdentifier(name)
+
+
+def read_jdbc_evenly(spark: SparkSession, url: str, table: str, column: str, partitions: int = 8, properties: dict | None = None) -> DataFrame:
+    """JDBC table in ``partitions`` queries of about as many rows each, however its keys lie.
+
+    The bounds are quantiles of the column, which is read alone first; nulls go with the first query.
+    """
+    options, column = {"url": url, "fetchsize": 10000} | (properties or {}), quoter(spark, url)(column)
+    keys = spark.read.format("jdbc").options(**options, query=f"SELECT {column} AS K FROM {table}").load()
+    shares = [i / partitions for i in range(1, partitions)]
+    cuts = sorted(set(keys.agg(F.percentile_approx("K", shares, 10_000)).first()[0] or [])) if shares else []
+    text = lambda v: str(v) if isinstance(v, (int, float)) else f"'{v}'"
+    edges = [None, *[text(c) for c in cuts], None]
+    where = []
+    for low, high in zip(edges, edges[1:]):
+        parts = [f"{column} > {low}"] if low else []
+        parts += [f"{column} <= {high}"] if high else []
+        where.append(" AND ".join(parts) or "1 = 1")
+    if cuts:
+        where[0] = f"{where[0]} OR {column} IS NULL"
+    return spark.read.jdbc(url, table, predicates=where, properties={"fetchsize": "10000"} | {k: str(v) for k, v in (properties or {}).items()})
+
+
 def lookup(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """Literal lookup table. It goes through Arrow to become a local relation, whose exact size
     the planner knows, so it is broadcast without a hint exactly when it is small."""

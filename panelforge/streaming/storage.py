@@ -42,3 +42,52 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# ---- small files of a table's own, by Hadoop's file systems -------------------------------
+
+def _files(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none where it does not exist."""
+    fs, p = _files(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def listing(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(path, length, time of change) of every file at or below ``path``."""
+    fs, p = _files(spark, path)
+    out = []
+    if fs.exists(p):
+        found = fs.listFiles(p, True)
+        while found.hasNext():
+            s = found.next()
+            out.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    return sorted(out)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _files(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> None:
+    """A new file; one that exists is an error."""
+    fs, p = _files(spark, path)
+    stream = fs.create(p, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _files(spark, path)
+    fs.delete(p, True)

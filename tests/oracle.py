@@ -24,7 +24,7 @@ def session(cores: str = "8"):
     from pyspark.sql import SparkSession
 
     spark = (
-        SparkSession.builder.master(f"local[{cores}]").appName("panelforge").config("spark.sql.shuffle.partitions", "4")
+        SparkSession.builder.master(f"local[{os.environ.get('TEST_CORES', cores)}]").appName("panelforge").config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "12g").getOrCreate()
     )

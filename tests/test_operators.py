@@ -361,13 +361,15 @@ def test_silhouette_blocks_do_not_change_the_result(spark):
 
 
 def test_kmeans_picks_the_best_silhouette(spark):
-    from panelforge.streaming.storage import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
     rng = random.Random(2)
     df = spark.createDataFrame([(i, rng.gauss(10 * (i % 3), 0.1), rng.gauss(0, 0.1)) for i in range(90)], "e int, x double, y double")
-    rows, tried, _ = clustering.kmeans_select(df, ["x", "y"], 2, 5)
-    assert max(tried, key=lambda t: t[1])[0] == 3
+    rows, tried, run = clustering.kmeans_select(df, ["x", "y"], 2, 5)
+    assert max(tried, key=lambda t: t[1])[0] == run["k"] == 3 and run["settled"] and run["rounds"] < 300
+    plain = {k: clustering.silhouette_squared(clustering.kmeans_select(df, ["x", "y"], k, k)[0], ["x", "y"], "cluster_id").agg(F.avg("silhouette")).first()[0] for k in (2, 3)}
+    assert plain[3] == pytest.approx(dict(tried)[3]) and plain[2] == pytest.approx(dict(tried)[2])
+    assert not clustering.kmeans_select(df, ["x", "y"], 4, 4, rounds=1)[2]["settled"]
+    with pytest.raises(ValueError):
+        clustering.kmeans_select(df.limit(1), ["x", "y"])
     assert {r["cluster_id"] for r in rows.collect()} == {0, 1, 2}
 
 
@@ -388,25 +390,81 @@ def test_panel_recovers_a_known_curve_and_flags_small_groups(spark):
     assert out[2]["turning_point"] is None and out[2]["reason"] == "TOO_FEW_OBSERVATIONS" and out[2]["shape"] == "UNCLEAR"
 
 
-def test_normal_p_value(spark):
-    r = one(spark.range(1).select(panel.normal_p(F.lit(1.959964)).alias("a"), panel.normal_p(F.lit(0.0)).alias("b")))
-    assert r["a"] == pytest.approx(0.05, abs=1e-5) and r["b"] == pytest.approx(1.0, abs=1e-6)
+@pytest.mark.parametrize("t, n, want", [(0.0, 5, 1.0), (2.570582, 5, 0.05), (12.7062, 1, 0.05), (-1.0, 1, 0.5), (1.0, 10, 0.3408931), (3.0, 2, 0.0954660),
+                                        (1.959964, 10**7, 0.05), (40.0, 30, 0.0)])
+def test_student_p_value(spark, t, n, want):
+    assert spark.range(1).select(panel.student_p(F.lit(t), F.lit(n)).alias("p")).first()["p"] == pytest.approx(want, abs=1e-6)
+
 
+def test_log_gamma(spark):
+    xs = [0.5, 1.0, 1.5, 2.0, 7.25, 120.0]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select(panel.log_gamma(F.col("x"))).collect()
+    assert [r[0] for r in got] == pytest.approx([math.lgamma(x) for x in xs], abs=1e-10)
 
-def test_classifier_probabilities_and_missing_feature(spark):
+
+def test_two_way_effects_equal_dummies(spark):
+    """Against least squares on all dummies: gaps, repeated cells, parts that share no period, an entity of one row."""
+    import numpy as np
+
+    r, rows = random.Random(3), []
+    for e in range(14):
+        for t in (range(e % 5, 9 - e % 3) if e < 10 else range(20, 24)):
+            if (e + t) % 6:
+                rows.append((1, e, t, r.gauss(0, 1) + e - t, r.gauss(0, 1) * (1 + t)))
+    rows += [rows[4], (1, 99, 3, 1.0, 2.0), (2, 1, 1, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "g int, e int, t int, y double, x double")
+    one_group = [x for x in rows if x[0] == 1]
+    es, ts = (sorted({x[i] for x in one_group}) for i in (1, 2))
+    d = np.array([[x[1] == e for e in es] + [x[2] == t for t in ts] for x in one_group], float)
+    want = {}
+    for i in (3, 4):
+        v = np.array([x[i] for x in one_group])
+        want[i] = v - d @ np.linalg.lstsq(d, v, rcond=None)[0]
+    got = sorted((tuple(x) for x in panel.within(df.select("*", F.col("y").alias("y0"), F.col("x").alias("x0")), "g", "e", "t", ["y", "x"]).filter("g = 1").select(
+        "e", "t", "y0", "y", "x").collect()))
+    plain = sorted((x[1], x[2], x[3], a, b) for x, a, b in zip(one_group, want[3], want[4]))
+    assert np.allclose(np.array(got), np.array(plain), atol=1e-9)
+
+
+def test_boosted_classifier_beats_the_forest_and_stops(spark):
     rng = random.Random(6)
-    rows = [(i, 2000 + i % 10, float(i % 3) + rng.random() * 0.2, ["DEGRADANDO", "TURNING", "RECUPERANDO"][i % 3]) for i in range(300)]
-    df = spark.createDataFrame(rows, "e int, y int, x double, phase string")
-    train = phase.class_weights(phase.temporal_split(df, "y").filter("is_train"), "phase")
-    weights = train.agg(F.sum("weight")).first()[0]
-    assert weights == pytest.approx(train.count())
-    pred, importances = phase.phase_classifier(train, df, ["x", "y"], "phase", trees=30)
+    label = lambda a, b: "TURNING" if abs(a - b) < 0.1 else "RECUPERANDO" if a * b > 0.3 else "DEGRADANDO"
+    rows = []
+    for i in range(2400):
+        a, b = rng.random(), rng.random()
+        rows.append((i, 2000 + i % 10, a if i % 50 else None, b, rng.random(), label(a, b) if rng.random() > 0.05 else "TURNING"))
+    df = spark.createDataFrame(rows, "e int, y int, a double, b double, noise double, phase string").cache()
+    parts = phase.temporal_split(df, "y")
+    train, valid = phase.class_weights(parts.filter("is_train"), "phase"), parts.filter("NOT is_train")
+    pred, importances = phase.phase_classifier(train, valid, df, ["a", "b", "noise"], "phase", rate=0.3, rounds=40, patience=3)
+    forest, _ = phase.forest_classifier(train, df, ["a", "b", "noise"], "phase")
+    f1 = lambda p: phase.class_report(p.join(valid.select("e"), "e"), "phase", "predicted_phase").first()["f1_macro"]
     rows = pred.collect()
     assert all(r["prob_degradando"] + r["prob_turning"] + r["prob_recuperando"] == pytest.approx(1.0) for r in rows)
-    assert sum(r["predicted_phase"] == r["phase"] for r in rows) > 0.9 * len(rows)
-    assert importances["x"] > importances["y"]
+    assert 0 < rows[0]["n_rounds"] < 40
+    assert f1(pred) > f1(forest)
+    assert min(importances["a"], importances["b"]) > importances["noise"] and sum(importances.values()) == pytest.approx(1.0)
+
+
+def test_classifier_missing_feature_and_no_rows(spark):
+    df = spark.createDataFrame([(1, 2000, 0.5, "TURNING"), (2, 2001, None, None)], "e int, y int, x double, phase string")
     with pytest.raises(ValueError):
-        phase.phase_classifier(train, df, ["nope"], "phase")
+        phase.phase_classifier(df, None, df, ["nope"], "phase", weight=None)
+    pred, _ = phase.phase_classifier(df.limit(0), None, df, ["x", "nope"], "phase", weight=None, optional=["nope"])
+    assert [r["confidence"] for r in pred.collect()] == pytest.approx([1 / 3, 1 / 3]) and pred.first()["n_rounds"] == 0
+
+
+def test_stored_margins_do_not_change_the_trees(spark, monkeypatch):
+    from panelforge.operators.models import boosting
+
+    rng = random.Random(1)
+    df = spark.createDataFrame([(float(i % 7), rng.random(), (i * i) % 3) for i in range(400)], "a double, b double, y int")
+    fit = lambda: boosting.boost(df, ["a", "b"], "y", 3, rounds=5, depth=2, gain=0.0)
+    plain = fit()
+    monkeypatch.setattr(boosting, "KEEP", 2)
+    cut = fit()
+    score = lambda m: [x for r in df.select(m.probabilities(df).alias("p")).collect() for x in r.p]
+    assert score(cut) == pytest.approx(score(plain)) and cut.best == plain.best == 5
 
 
 def test_short_series_are_left_out_and_bounds_bracket(spark):
@@ -417,8 +475,45 @@ def test_short_series_are_left_out_and_bounds_bracket(spark):
     assert {r["e"] for r in out} == {1} and sorted(r["horizon_years"] for r in out) == [1, 3, 5, 10]
     assert all(r["lower"] < r["forecast"] < r["upper"] for r in out)
     assert one(forecast.turning_year(forecast.future(fit, "e"), "e"))["turning_year"] == 2006
-    ridge = forecast.fit_ridge(s, "e").select(F.avg(F.abs(F.col("y") - F.col("fitted")))).first()[0]
-    assert ridge < 0.5
+    width = {r["horizon_years"]: r["upper"] - r["lower"] for r in out}
+    assert width[1] < width[3] < width[5] < width[10]
+
+
+def bent_series(spark, noise=0.05):
+    """Slope 0.02 a month for five years, then 0.1, with a yearly wave of a fifth; entity 2 never bends, entity 3 has one month."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(120):
+        wave = 1 + 0.2 * math.sin(2 * math.pi * i / 12)
+        rows.append((1, 2000 + i // 12, i % 12 + 1, (10 + 0.02 * i + 0.08 * max(i - 60, 0)) * wave + rng.gauss(0, noise)))
+        rows.append((2, 2000 + i // 12, i % 12 + 1, (10 + 0.02 * i) * wave + rng.gauss(0, noise)))
+    rows.append((3, 2001, 5, 4.0))
+    df = spark.createDataFrame(rows, "e int, y int, m int, v double")
+    return forecast.series(df, "e", "y", "m", "v", min_len=1)
+
+
+def test_changepoints_are_found_and_sparse(spark):
+    fit = forecast.fit_changepoints(bent_series(spark), "e")
+    model = {r["e"]: r["m"] for r in fit.collect()}
+    turn = sum(s * abs(d) for s, d in zip(model[1]["knots"], model[1]["deltas"])) / sum(map(abs, model[1]["deltas"]))
+    assert turn == pytest.approx(60 / 119, abs=0.06)
+    assert sum(map(abs, model[2]["deltas"])) < 0.2 * sum(map(abs, model[1]["deltas"]))
+    largest = max(map(abs, model[1]["deltas"]))
+    assert sum(abs(d) > 0.05 * largest for d in model[1]["deltas"]) < 8  # the bend is told by a few of the 25 candidates
+    error = forecast.components(fit, "e").groupBy("e").agg(F.avg(F.abs(F.col("y") - F.col("fitted"))).alias("a")).collect()
+    assert all(r["a"] < 0.1 for r in error)
+    ahead = {(r["e"], r["horizon_years"]): r for r in forecast.forecast(fit, "e", ahead=forecast.changepoint_future).collect()}
+    assert ahead[1, 1]["forecast"] == pytest.approx((10 + 0.02 * 131 + 0.08 * 71) * (1 + 0.2 * math.sin(2 * math.pi * 131 / 12)), rel=0.03)
+    width = lambda e, h: ahead[e, h]["upper"] - ahead[e, h]["lower"]
+    assert width(1, 1) < width(1, 3) < width(1, 5) < width(1, 10) and width(2, 1) < width(2, 10)
+    assert width(1, 10) > 2 * width(2, 10)  # a slope that changed more may change more
+    assert ahead[3, 1]["forecast"] == pytest.approx(4.0, rel=0.02)
+
+
+def test_changepoints_do_not_depend_on_who_is_fitted_beside(spark):
+    s = bent_series(spark)
+    alone, beside = ({(r["e"], r["ds"]): r["fitted"] for r in forecast.components(forecast.fit_changepoints(s, "e", together=n), "e").collect()} for n in (1, 256))
+    assert alone.keys() == beside.keys() and all(alone[k] == pytest.approx(beside[k], abs=2e-2) for k in alone)
 
 
 def test_panel_with_staggered_entry_settles(spark):
@@ -458,3 +553,128 @@ def test_median_composite_and_keyed_median_fill(spark):
     df = spark.createDataFrame([("a", 1.0, None), ("a", 3.0, None), ("a", None, 4.0), ("b", None, None)], "g string, x double, y double")
     got = sorted(map(tuple, imputation.impute_median(df, ["x", "y"], ["g"]).collect()))
     assert got == [("a", 1.0, 4.0), ("a", 2.0, 4.0), ("a", 3.0, 4.0), ("b", 0.0, 0.0)]
+
+
+# ---- tables in parts ---------------------------------------------------------------------
+
+def test_bucket_table_rewrites_what_changes(spark, tmp_path):
+    from panelforge.operators.bucketed import BucketTable, bucket_of
+    from panelforge.streaming import storage
+
+    target = spark.createDataFrame([(i, f"v{i}", 0) for i in range(200)] + [(None, "null key", 0)], "k long, v string, n int")
+    table = BucketTable.create(target, f"{tmp_path}/t", ["k"], 16)
+    first = table.folders()
+    assert sorted(map(str, table.read().collect())) == sorted(map(str, target.collect()))
+    new = spark.createDataFrame([(3, "new", 1), (500, "added", 1), (7, "v7", 9)], "k long, v string, n int")
+    want = {r[0]: r[1] for r in new.select("k", bucket_of(["k"], 16)).collect()}
+    changed = table.upsert(new, ["v"])
+    assert set(changed) == {want[3], want[500]}  # 7 brings what is there
+    after = BucketTable(spark, f"{tmp_path}/t")
+    assert after.manifest["version"] == 2 and {b for b, f in after.folders().items() if first.get(b) != f} == set(changed)
+    rows = {r.k: (r.v, r.n) for r in after.read().collect()}
+    assert len(rows) == 202 and rows[3] == ("new", 0) and rows[500] == ("added", 1) and rows[7] == ("v7", 0)
+    assert after.upsert(new, ["v"]) == [] and after.manifest["version"] == 2
+    assert after.upsert(new.limit(0), ["v"]) == []
+    with pytest.raises(Exception):  # a second run from the first manifest
+        table._latest = None
+        BucketTable(spark, f"{tmp_path}/t", table.manifest | {"version": 1})._commit({})
+    with pytest.raises(Exception):
+        BucketTable.create(target, f"{tmp_path}/t", ["k"], 16)
+    storage.create_text(spark, f"{tmp_path}/t/manifest/{9:012d}.json", '{"version": 9')  # cut off
+    assert BucketTable(spark, f"{tmp_path}/t").manifest["version"] == 2
+    assert after.vacuum() >= 0 and after.read().count() == 202
+    empty = BucketTable.create(target.limit(0), f"{tmp_path}/e", ["k"], 4)
+    assert empty.read().count() == 0 and len(empty.upsert(new, ["v"])) > 0 and empty.read().count() == 3
+
+
+def test_bucketed_history_numbers_on(spark, tmp_path):
+    from panelforge.operators import dimensional
+    from panelforge.operators.bucketed import BucketTable
+
+    dim = spark.createDataFrame([(i + 1, f"t{i}", "a") for i in range(30)], "sk long, ticker string, sector string").withColumns({
+        "valid_from": F.lit("2010-01-01").cast("date"), "valid_to": F.lit("9999-12-31").cast("date"), "is_current": F.lit(True)})
+    snap = spark.createDataFrame([(f"t{i}", "b" if i in (3, 8) else "a") for i in range(32)], "ticker string, sector string")
+    table = BucketTable.create(dim, f"{tmp_path}/h", ["ticker"], 8, "sk")
+    n = len(table.merge_versions(snap, ["sector"], "2024-05-01"))
+    assert 0 < n <= 4
+    plain = dimensional.scd2_merge(dim, snap, "ticker", ["sector"], "2024-05-01")
+    assert sorted(map(tuple, table.read().select(*plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+    assert table.merge_versions(snap, ["sector"], "2024-05-01") == []
+    table.merge_versions(snap.withColumn("sector", F.lit("c")).filter("ticker = 't1'"), ["sector"], "2024-06-01")
+    assert table.read().agg(F.max("sk")).first()[0] == 35
+
+
+def test_serving_reads_one_month_of_the_maintained_table(spark, folder):
+    import io
+    from contextlib import redirect_stdout
+
+    from panelforge.queries.serving import last_month
+    from panelforge.queries.tables import Tables
+
+    table = Tables(spark, folder).maintained()
+    for name in ("gold", "ranked"):
+        out = io.StringIO()
+        with redirect_stdout(out):
+            last_month(table, name).explain("formatted")
+        filters = [line for line in out.getvalue().splitlines() if line.startswith("PartitionFilters")]
+        assert any("year" in f and "month" in f for f in filters), filters
+    version = table.manifest["version"]
+    assert Tables(spark, folder).maintained().manifest["version"] == version  # no raw file changed: no refresh
+
+
+def test_refresh_equals_a_fresh_build(spark, folder, tmp_path):
+    from panelforge.plans.maintained import MaintainedGold
+    from panelforge.queries.tables import Tables
+
+    t = Tables(spark, folder)
+    silver = t.silver()
+    month = (F.col("year") == 1996) & (F.col("month") == 5)
+    gone = (F.col("year") == 1997) & (F.col("month") == 2)
+    new = silver | {"panel": silver["panel"].withColumn("veg", F.when(month, F.col("veg") * 3).otherwise(F.col("veg"))).filter(~gone)}
+    kept = MaintainedGold(spark, f"{tmp_path}/a")
+    kept.refresh(silver, lambda m: t.gold_parts(silver, m), t.levels())
+    months = kept.refresh(new, lambda m: t.gold_parts(new, m), t.levels())
+    assert months and all(m == 5 and y >= 1996 or m == 2 and y > 1997 for y, m in months)
+    fresh = MaintainedGold(spark, f"{tmp_path}/b")
+    fresh.refresh(new, lambda m: t.gold_parts(new, m), t.levels())
+    for name in ("gold", "ranked"):
+        a, b = getattr(kept, name)(), getattr(fresh, name)()
+        shown = [F.round(c, 9).alias(c) if k == "double" else F.col(c) for c, k in sorted(b.dtypes)]
+        assert sorted(map(str, a.select(*shown).collect())) == sorted(map(str, b.select(*shown).collect()))
+
+
+def test_nearest_site_in_a_dense_cell_meets_few(spark):
+    from pyspark.sql import Observation
+
+    sites = spark.range(100_000).select(
+        F.lit("g").alias("g"), F.col("id").alias("site"), (40 + (F.col("id") % 317) / 317000).alias("lat"), (2 + (F.col("id") % 331) / 331000).alias("lon"))
+    sites = sites.unionByName(spark.createDataFrame([("g", -1, 41.0, 3.0), ("g", -2, 10.0, 179.99), ("h", -3, 40.0, 2.0)], "g string, site long, lat double, lon double"))
+    points = spark.createDataFrame([(1, "g", 40.0005, 2.0005), (2, "g", 40.3, 2.2), (3, "g", 40.99, 2.99), (4, "g", 10.0, -179.99), (5, "g", -60.0, 0.0), (6, "h", 40.1, 2.0), (7, "x", 40.0, 2.0)],
+                                   "point int, g string, lat double, lon double")
+    seen = Observation("pairs")
+    got = {r["point"]: (r["site"], round(r["distance_km"], 9)) for r in joins.nearest_within(points, sites, "g", 60.0, compared=seen).collect()}
+    from panelforge.functions.scalars import haversine_km
+
+    d = haversine_km(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon"))
+    near = points.join(sites.select("g", "site", F.col("lat").alias("slat"), F.col("lon").alias("slon")), "g").withColumn("d", d).filter("d <= 60")
+    want = {r["point"]: (r["b"]["site"], round(r["b"]["d"], 9)) for r in near.groupBy("point").agg(F.min(F.struct("d", "site")).alias("b")).collect()}
+    assert got == want and set(got) == {1, 2, 3, 4, 6}
+    assert seen.get["n_pairs"] < 400
+
+
+@pytest.mark.parametrize("share", [2, 1000])
+def test_versions_at_a_date(spark, share):
+    import datetime as dt
+
+    day = dt.date
+    fact = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i % 5}", day(2020, 1 + i % 12, 1 + i % 28)) for i in range(200)] + [(900, None, day(2020, 1, 1)), (901, "hot", None)],
+                                 "i int, k string, d date")
+    dim = spark.createDataFrame([("hot", "a", day(2019, 1, 1), day(2020, 3, 15)), ("hot", "b", day(2020, 3, 1), day(2020, 8, 31)), ("hot", "c", day(2020, 6, 1), None), ("hot", "z", None, day(2020, 1, 10)),
+                                 ("hot", "never", day(2031, 1, 1), None), ("k0", "o", None, None), ("k2", "p", day(2020, 2, 1), day(2020, 2, 1))], "k string, v string, valid_from date, valid_to date")
+    got = sorted((r["i"], r["v"] or "") for r in joins.join_valid_at(fact, dim, ["k"], "d", share=share).collect())
+    versions = [tuple(r) for r in dim.collect()]
+    want = []
+    for i, k, d in [tuple(r) for r in fact.collect()]:
+        hits = [v for key, v, lo, hi in versions if key == k and d is not None and (lo is None or d >= lo) and (hi is None or d <= hi)]
+        want += [(i, v) for v in hits or [""]]
+    assert got == sorted(want)

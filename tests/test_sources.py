@@ -74,6 +74,53 @@ def test_jdbc_round_trip(spark, tmp_path):
     assert back.agg(F.count("*"), F.sum("V")).first() == df.agg(F.count("*"), F.sum("V")).first()
 
 
+DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+
+
+def test_a_repeated_task_adds_nothing(spark, tmp_path):
+    """A task of the staging write fails after its rows are in the database; its repeat writes them again."""
+    url = f"jdbc:derby:{tmp_path}/once;create=true"
+    df = spark.range(500, numPartitions=4).select(F.col("id").alias("K"), (F.col("id") % 7).cast("double").alias("V"))
+    plain = writers.stored
+    assert writers.load_jdbc(df, url, "T", "r1", properties=DERBY) == 500
+    # What a repeat leaves behind: the rows of some tasks stand twice in the stage.
+    def twice(frame, name):
+        rows = plain(frame, name)
+        again = rows.withColumns({"LOAD_RUN": F.lit("r2"), "LOAD_ROW": F.monotonically_increasing_id()}).filter("K % 4 = 1")
+        spark.read.format("jdbc").options(url=url, dbtable="T_STAGED", **DERBY).load()
+        twice.rows = again
+        return rows
+
+    number = writers._number
+
+    def late(connection, sql):
+        if sql.startswith("SELECT COUNT(*) FROM (SELECT DISTINCT"):  # after the tasks wrote, before the rows are counted
+            twice.rows.write.format("jdbc").options(url=url, dbtable="T_STAGED", **DERBY).mode("append").save()
+        return number(connection, sql)
+
+    writers.stored, writers._number = twice, late
+    try:
+        assert writers.load_jdbc(df.withColumn("K", F.col("K") + 1000), url, "T", "r2", properties=DERBY) == 500
+    finally:
+        writers.stored, writers._number = plain, number
+    back = readers.read_jdbc(spark, url, "T", properties=DERBY)
+    assert back.count() == back.distinct().count() == 1000
+    assert writers.load_jdbc(df, url, "T", "r2", properties=DERBY) == 0
+    assert readers.read_jdbc(spark, url, "T_STAGED", properties=DERBY).count() == 0
+    assert writers.load_jdbc(df.limit(0), url, "T", "empty", properties=DERBY) == 0
+
+
+def test_even_parts_of_uneven_keys(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/even;create=true"
+    df = spark.range(800).select(F.when(F.col("id") < 790, F.col("id")).otherwise(F.col("id") * 1_000_000).alias("K"), F.col("id").alias("V"))
+    df = df.unionByName(spark.createDataFrame([(None, -1)], "K long, V long"))
+    writers.write_jdbc(df, url, "T", properties=DERBY)
+    back = readers.read_jdbc_evenly(spark, url, "T", "K", 4, DERBY)
+    sizes = [r["n"] for r in back.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 4 and sum(sizes) == 801 and max(sizes) < 230
+    assert back.filter("K IS NULL").count() == 1
+
+
 @pytest.mark.parametrize("name", list(jobs.SOURCES))
 def test_every_ingest_job(spark, tmp_path, name):
     source = jobs.SOURCES[name]
