@@ -11,8 +11,9 @@ from panelforge.queries import REGISTRY
 SAMPLE = {"ingest_vegetation", "ingest_population", "ingest_carbon_price"}
 NAMES = [n for n in REGISTRY if not n.startswith("ingest_") or n in SAMPLE]
 # The smallest data hold two entities per group, too few for standard errors.
-LARGER = {"panel_standard_errors", "gap_to_turning_point", "turning_points", "panel_fixed_effects", "panel_fit_quality"}
-PYTHON = {"silhouette_euclidean", "ridge_forecast_fit"}
+LARGER = {"panel_standard_errors", "gap_to_turning_point", "turning_points", "panel_fixed_effects", "panel_fit_quality", "panel_standard_errors_staggered"}
+# Fits and scores of models that no built-in function states.
+PYTHON = {"silhouette_euclidean", "ridge_forecast_fit", "changepoint_forecast", "known_changepoint_fit", "known_changepoint_forecast", "phase_classifier", "boosted_stumps"}
 
 
 def shape(name):
