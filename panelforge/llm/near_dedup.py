@@ -392,8 +392,8 @@ def _sets_of(texts: DataFrame, nodes: DataFrame, asked: DataFrame, size: int) ->
         return stored(found.groupBy("node").agg(F.first("set").alias("set")).join(asked, "node", "left_semi"), "sets")
 
 
-def set_links(marks: DataFrame, sets_of, least: float, held: int = 1 << 21, parts: int = 64) -> DataFrame:
-    """Links (u, v) between nodes of ``marks`` (k, node, size, bytes) that connect every pair of one bucket k with Jaccard of at least ``least``.
+def set_links(marks: DataFrame, facts: DataFrame, sets_of, least: float, held: int = 1 << 21, parts: int = 64) -> DataFrame:
+    """Links (u, v) between nodes of ``marks`` (k, node), whose ``facts`` are (node, size, bytes), that connect every pair of one bucket k with Jaccard of at least ``least``.
 
     Each member of a bucket is first compared with the bucket's smallest, and where buckets stay open their members with each other.
     Either way bytes of the MinHashes come first: pairs that agree in less than ``least`` by five standard errors go. Only for the
@@ -401,12 +401,11 @@ def set_links(marks: DataFrame, sets_of, least: float, held: int = 1 << 21, part
     dealt over, theirs once a pair. Open buckets, each distinct list of members once, are dealt in blocks of about ``held`` bytes or
     hashes, every two blocks together, so a task holds two blocks of one bucket whatever its size.
     """
-    width = marks.agg(F.max(F.octet_length("bytes"))).first()[0] or 1
+    width = facts.agg(F.max(F.octet_length("bytes"))).first()[0] or 1
     slack = least - 5 * (least * (1 - least) / width) ** 0.5
     spark = marks.sparkSession
     least_of = marks.groupBy("k").agg(F.min("node").alias("v"))
-    one = marks.groupBy("node").agg(F.first("bytes").alias("bytes"))
-    side = lambda n: one.select(F.col("node").alias(n), F.col("bytes").alias(f"b{n}"))
+    side = lambda n: facts.select(F.col("node").alias(n), F.col("bytes").alias(f"b{n}"))
     pairs = marks.join(least_of, "k").filter("node != v").select(F.col("node").alias("u"), "v").distinct()
     near = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "bu", "bv").mapInArrow(_alike(slack), "u binary, v binary")
     pairs = stored(near.withColumn("part", F.pmod(F.xxhash64("u"), F.lit(parts)).cast("int")), "candidates")
@@ -421,15 +420,15 @@ def set_links(marks: DataFrame, sets_of, least: float, held: int = 1 << 21, part
     h = F.xxhash64("node")
     rooted = marks.join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
     opened = rooted.groupBy("k").agg(
-        F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.sum(F.octet_length("bytes")).alias("bytes"),
+        F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"),
         F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(20,0)")).alias("s")).filter("n > 2 and low != high")
-    blocks = opened.groupBy("n", "x", "s", "bytes").agg(F.min("k").alias("k")).select("k", F.ceil(F.col("bytes") / held).cast("int").alias("blocks"))
-    rows = _in_blocks(rooted.select("k", "node", "root", "bytes"), stored(blocks, "open")).select("k", "i", "j", "node", "root", "bytes")
+    blocks = opened.groupBy("n", "x", "s").agg(F.min("k").alias("k")).select("k", F.ceil(F.col("n") * width / held).cast("int").alias("blocks"))
+    rows = _in_blocks(rooted.select("k", "node", "root"), stored(blocks, "open")).join(facts.select("node", "bytes"), "node").select("k", "i", "j", "node", "root", "bytes")
     rows = rows.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
     hit = stored(rows.mapInArrow(_apart(slack), "k long, node binary, root binary"), "open").distinct()
     if hit.isEmpty():
         return first
-    hit = stored(hit.join(marks.groupBy("node").agg(F.first("size").alias("size")), "node"), "hit")
+    hit = stored(hit.join(facts.select("node", "size"), "node"), "hit")
     sets = sets_of(hit.select("node").distinct())
     blocks = hit.groupBy("k").agg(F.ceil(F.sum("size") / held).cast("int").alias("blocks"))
     rest = _in_blocks(hit.select("k", "node", "root"), blocks).join(sets, "node").select("k", "i", "j", "node", "root", "set")
@@ -452,10 +451,10 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     with small_batches(docs.sparkSession):
         marked = stored(texts.select("key", *carry, "hash", found.alias("m")).select("key", *carry, "hash", "m.*"), "marks")
     nodes = stored(marked.groupBy("node").agg(F.min("key").alias("least"), *[F.first(c).alias(c) for c in ("hash", "size", "bytes", "bands")]), "nodes")
-    dealt = nodes.select("node", "size", "bytes", F.explode("bands").alias("k"))
+    dealt = nodes.select("node", F.explode("bands").alias("k"))
     shared = nodes.select(F.explode("bands").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k")
     marks = stored(dealt.join(stored(shared, "buckets"), "k", "left_semi"), "marks")
-    tied = components(set_links(marks, lambda asked: _sets_of(texts, nodes, asked, size), least, held))
+    tied = components(set_links(marks, nodes.select("node", "size", "bytes"), lambda asked: _sets_of(texts, nodes, asked, size), least, held))
     rooted = stored(nodes.join(tied, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "rooted")
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "root", "component")
     return marked.join(named, "node").select("key", *carry, "node", "root", "component")
