@@ -114,6 +114,17 @@ def stable_round(c, digits: int) -> Column:
     return F.round(F.round(col(c), digits + 6), digits)
 
 
+def round_scaled(c, digits: int) -> Column:
+    """Rounding of the double that the scaling gives, as SQL databases round doubles: 0.68875 * 60 counts as 41.325, though it is a little less."""
+    scale = F.lit(10.0 ** digits)
+    return F.round(col(c) * scale) / scale
+
+
+def exact_mean(c) -> Column:
+    """Mean of an aggregate, from a sum of decimals: it does not depend on the order of summation, so a value on a threshold stays on its side."""
+    return F.sum(col(c).cast("decimal(38,20)")).cast("double") / F.count(col(c))
+
+
 def annualise(c, periods: int = 12) -> Column:
     return col(c) * F.sqrt(F.lit(float(periods)))
 
@@ -227,7 +238,7 @@ def composite_score(green, renewables, air, carbon) -> Column:
         + clip(w["air"] - dirty / fv.AIR_WORST * w["air"], 0, w["air"])
         + clip(price / fv.CARBON_FULL * w["carbon"], 0, w["carbon"])
     )
-    return F.round(clip(total, 0, 100), 2)
+    return round_scaled(clip(total, 0, 100), 2)
 
 
 def valid_from(c, year, start: int) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.scalars import composite_score, recommend
+from ..functions.scalars import composite_score, recommend, round_scaled
 
 
 def green_index(df: DataFrame, veg: str, pollutant: str | None, sealing: str | None,
@@ -31,7 +31,7 @@ def green_index(df: DataFrame, veg: str, pollutant: str | None, sealing: str | N
 
     bad = [1.0 - norm(c, True) if c else F.lit(1.0) for c in (pollutant, sealing)]
     value = weights[0] * norm(veg, False) + weights[1] * bad[0] + weights[2] * bad[1]
-    return df.withColumn(out, F.round(value, 6))
+    return df.withColumn(out, round_scaled(value, 6))
 
 
 def natural_cover(df: DataFrame, cols: list[str], out: str = "natural_pct") -> DataFrame:
