@@ -204,8 +204,11 @@ def fit_changepoints(s: DataFrame, entity: str, changepoints: int = 25, order: i
     """
     @F.arrow_udf(_FIT)
     def fitted(points: pa.Array) -> pa.Array:
-        rows = [(np.array([p["t"] for p in x]), np.array([p["y"] for p in x])) for x in points.to_pylist()]
-        out = []
+        # Columns stay Arrow buffers: a Python object for every month of a batch of entities held gigabytes.
+        flat, out = points.flatten(), []
+        t, y = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("t", "y"))
+        ends = np.cumsum(points.value_lengths().to_numpy(zero_copy_only=False))
+        rows = list(zip(np.split(t, ends[:-1]), np.split(y, ends[:-1]))) if len(ends) else []
         for i in range(0, len(rows), together):
             out += fit_many(rows[i:i + together], changepoints, order, tau, season_scale, knots)
         lists = pa.list_(pa.float64())
