@@ -22,13 +22,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more) stays: the one with the smallest id.
+    """One document of each group of near copies stays: the one with the smallest id.
 
-    Blocks of a 64-bit fingerprint cannot find such pairs: at a similarity of 0.8 they differ in 5 to 13 bits, and blocks that reach 13
-    bits are too short to select anything. Candidates agree in bands of MinHashes instead, and each is verified on the whole sets.
+    Documents are linked whose 64-bit fingerprints differ in at most 4 bits (blocks, as in op3). Fingerprints of texts at a Jaccard similarity of
+    0.8 differ in 5 to 13 bits, and blocks that reach 13 bits are too short to select anything: those further copies agree in bands of
+    MinHashes of five-word shingles, and each is verified on the whole sets.
     """
     few_rows(spark)
-    return near_dedup.keep_one(docs, find=near_dedup.similar)
+    return near_dedup.keep_one(docs, find=near_dedup.near_copies)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +47,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The corpus: ids of each document and what they decode to."""
     few_rows(spark)
-    done = pieces.pieces(docs.select("doc_id", "lang", "source", "text"), piece_model())
+    done = pieces.pieces(docs.select("doc_id", "lang", "source", "text"), piece_model(), remembered=1 << 15)
     return done.select("doc_id", "lang", "source", F.size("pieces.ids").cast("long").alias("n_tokens"), "pieces.ids", "pieces.decoded")
 
 

@@ -6,7 +6,7 @@ fingerprints are one node before any of this. Rows that share blocks arrive sort
 bucket gives a spanning forest of its verified links, never all pairs. A bucket beyond ``bucket`` fingerprints is not held: its
 members are linked exactly through all fingerprints at half the distance (two are linked if and only if they share one).
 
-``similar`` links texts by the Jaccard similarity of their shingle sets instead: MinHash bands, then the whole sets.
+``similar`` links texts by the Jaccard similarity of their shingle sets instead: MinHash bands, then the whole sets. ``near_copies`` joins both.
 """
 
 from __future__ import annotations
@@ -460,6 +460,21 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     return marked.join(named, "node").select("key", *carry, "node", "root", "component")
 
 
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ("name",)) -> DataFrame:
+    """(key, name, root): rows linked by their SimHash fingerprints as ``classes`` does, or by the Jaccard similarity of their sets as ``similar``
+    does, directly or through others. ``carry`` names one column that tells the rows apart.
+
+    Only fingerprint components that hold several components of sets link anything more.
+    """
+    name = carry[0]
+    alike = similar(docs, key, text, carry=carry).select("key", name, F.col("root").alias("v"))
+    close = classes(docs, key, text, carry=carry).select(name, F.col("root").alias("fp")).distinct()
+    pairs = stored(alike.select(name, "v").distinct().join(close, name).select("fp", "v").distinct(), "pairs")
+    several = pairs.groupBy("fp").agg(F.min("v").alias("u"), F.max("v").alias("last")).filter("u != last").select("fp", "u")
+    tied = components(pairs.join(several, "fp").filter("u != v").select("u", "v"))
+    return alike.join(tied.select(F.col("node").alias("v"), "root"), "v", "left").select("key", name, F.coalesce("root", "v").alias("root"))
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", find=classes, **options) -> DataFrame:
     """One document of every component that ``find`` tells, with the columns of ``docs``: the one with the smallest key.
 

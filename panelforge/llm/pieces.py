@@ -26,7 +26,8 @@ REMEMBERED = 1 << 18
 class Model:
     """A merge-type vocabulary with byte fallback and no normalisation; others are refused."""
 
-    def __init__(self, proto: bytes):
+    def __init__(self, proto: bytes, remembered: int = REMEMBERED):
+        self.remembered = remembered
         from sentencepiece import sentencepiece_model_pb2
 
         m = sentencepiece_model_pb2.ModelProto()
@@ -104,7 +105,7 @@ class Model:
             return np.zeros(0, np.int32)
         marked = MARK + text.replace(" ", MARK)
         parts = [marked] if self.parts is None else self.parts.findall(marked)
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         for p in parts:
@@ -135,9 +136,9 @@ class Model:
 
 
 @lru_cache(1)
-def model_of(proto: bytes) -> Model:
+def model_of(proto: bytes, remembered: int = REMEMBERED) -> Model:
     """One model for all tasks of a worker."""
-    return Model(proto)
+    return Model(proto, remembered)
 
 
 def _utf8(run: bytes) -> str:
@@ -160,13 +161,13 @@ def _utf8(run: bytes) -> str:
         return "".join(out)
 
 
-def encoded(text: Column, proto: bytes, decode: bool = True) -> Column:
-    """Struct of ``ids`` and, on demand, their ``decoded`` text. A null text is empty."""
+def encoded(text: Column, proto: bytes, decode: bool = True, remembered: int = REMEMBERED) -> Column:
+    """Struct of ``ids`` and, on demand, their ``decoded`` text. A null text is empty. A worker remembers up to twice ``remembered`` distinct parts."""
     kind = pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     @F.arrow_udf("struct<ids:array<int>,decoded:string>")
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = model_of(proto)
+        model = model_of(proto, remembered)
         for batch in batches:
             ids = [model.encode(t or "") for t in batch.to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
@@ -178,12 +179,12 @@ def encoded(text: Column, proto: bytes, decode: bool = True) -> Column:
     return made(text)
 
 
-def pieces(docs: DataFrame, proto: bytes, text: str = "text", decode: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, proto: bytes, text: str = "text", decode: bool = True, remembered: int = REMEMBERED) -> DataFrame:
     """``docs`` with one struct column ``pieces`` (``ids``, ``decoded``); a column of that name is replaced.
 
     Empty and null texts have no ids and decode to the empty text; every row is encoded whole, repeated rows each time.
     """
-    return docs.select(*[c for c in docs.columns if c != "pieces"], encoded(docs[text], proto, decode).alias("pieces"))
+    return docs.select(*[c for c in docs.columns if c != "pieces"], encoded(docs[text], proto, decode, remembered).alias("pieces"))
 
 
 def against_library(docs: DataFrame, proto: bytes, text: str = "text") -> DataFrame:
