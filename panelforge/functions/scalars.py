@@ -87,6 +87,13 @@ def safe_ratio(num, den, default: float = 0.0) -> Column:
     return F.when(col(den) > 0, col(num) / col(den)).otherwise(F.lit(float(default)))
 
 
+def float_ratio(num, den) -> Column:
+    """The quotient as floating point numbers have it: by zero it is infinite, or NaN for 0 / 0."""
+    x, y = col(num), col(den)
+    by_zero = F.when(x > 0, F.lit(float("inf"))).when(x < 0, F.lit(float("-inf"))).when(x.isNotNull(), F.lit(float("nan")))
+    return F.when(y != 0, F.try_divide(x, y)).when(y == 0, by_zero)
+
+
 def guarded_log(c) -> Column:
     return F.when(col(c) > 0, F.log(col(c)))
 

@@ -120,7 +120,7 @@ class Tables:
     def prices(self) -> DataFrame:
         e = self("events")
         return e.groupBy(F.col("user_id").alias("ticker"), F.to_date("ts").alias("date")).agg(
-            F.max_by("value", F.struct("ts", "event_id")).alias("close"), F.count(F.lit(1)).cast("double").alias("volume"))
+            F.max_by("value", F.when(F.col("value").isNotNull(), F.struct("ts", "event_id"))).alias("close"), F.count(F.lit(1)).cast("double").alias("volume"))
 
     def market(self) -> DataFrame:
         """Brand x month market: brand is the ticker, its number gives the country."""
