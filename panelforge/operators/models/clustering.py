@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ...sources.readers import lookup
-from ...streaming.storage import stored
+from ...streaming.storage import stored_evenly
 from ..imputation import impute_median
 
 
@@ -56,28 +56,54 @@ def _rows_of(batch) -> np.ndarray:
     return batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
 
 
-def _lloyd_step(runs: dict[int, list[list[float]]]):
-    """Rows meet the centres of every run: (run, cluster, n, sums, squares, cost) added up within a task."""
+#: Tasks that add up the tasks' sums of a pass, which are few rows however large the table: the session's many partitions cost more than the pass.
+SUMS = 4
+#: Rows whose distances are held at once; their arrays stay within a core's cache.
+BLOCK = 2048
+
+
+def _nearest(x: list[np.ndarray], centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest centre (the first of equals) and squared distance for every run (rows of the result) and row; ``centres`` is run x cluster x column."""
+    best = low = None
+    for c in range(centres.shape[1]):
+        d = sum((x[j][None, :] - centres[:, c, j, None]) ** 2 for j in range(len(x)))
+        if low is None:
+            best, low = np.zeros(d.shape, np.int64), d
+        else:
+            best[d < low] = c
+            low = np.minimum(low, d)
+    return best, low
+
+
+def _lloyd_step(runs: dict[int, np.ndarray]):
+    """Rows meet the centres of every run: (run, cluster, n, sums, squares, cost) added up within a task.
+
+    Runs of as many clusters are measured together, column by column.
+    """
+    alike: dict[int, list[int]] = {}
+    for run, centres in runs.items():
+        alike.setdefault(len(centres), []).append(run)
+    packed = [(k, ids, np.array([runs[i] for i in ids])) for k, ids in alike.items()]
 
     def step(batches):
-        held: dict[tuple[int, int], list] = {}
+        held = [np.zeros((3 + c.shape[2], len(ids) * k)) for k, ids, c in packed]
         for batch in batches:
-            if not len(batch):
-                continue
-            x = _rows_of(batch)
-            for run, centres in runs.items():
-                d = _distances(x, np.array(centres))
-                best = d.argmin(axis=1)
-                for c in np.unique(best).tolist():
-                    mine = x[best == c]
-                    new = [len(mine), mine.sum(axis=0), (mine ** 2).sum(), d[best == c, c].sum()]
-                    old = held.get((run, c))
-                    held[run, c] = [a + b for a, b in zip(old, new)] if old else new
-        keys = list(held)
-        yield pa.RecordBatch.from_arrays([
-            pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([held[k][0] for k in keys], pa.int64()),
-            pa.array([held[k][1].tolist() for k in keys], pa.list_(pa.float64())), *[pa.array([float(held[k][i]) for k in keys], pa.float64()) for i in (2, 3)]],
-            ["run", "c", "n", "s", "q", "cost"])
+            rows = _rows_of(batch) if len(batch) else np.zeros((0, 1))
+            for at in range(0, len(rows), BLOCK):
+                x = [np.ascontiguousarray(v) for v in rows[at:at + BLOCK].T]
+                square = sum(v ** 2 for v in x)
+                for (k, ids, centres), sums in zip(packed, held):
+                    best, low = _nearest(x, centres)
+                    cell = (best + k * np.arange(len(ids))[:, None]).ravel()
+                    sums[0] += np.bincount(cell, minlength=sums.shape[1])
+                    for i, v in enumerate([square, *x], 1):
+                        sums[i] += np.bincount(cell, np.broadcast_to(v, best.shape).ravel(), sums.shape[1])
+                    sums[-1] += np.bincount(cell, low.ravel(), sums.shape[1])
+        for (k, ids, _), sums in zip(packed, held):
+            some = np.flatnonzero(sums[0])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.array(ids)[some // k], pa.int32()), pa.array(some % k, pa.int32()), pa.array(sums[0, some].astype(np.int64)),
+                pa.array(sums[2:-1, some].T.tolist(), pa.list_(pa.float64())), pa.array(sums[1, some]), pa.array(sums[-1, some])], ["run", "c", "n", "s", "q", "cost"])
 
     return step
 
@@ -112,18 +138,22 @@ def lloyd(points: DataFrame, runs: dict[int, np.ndarray], rounds: int) -> dict[i
     """
     state = {r: {"centres": c, "rounds": 0, "settled": False} for r, c in runs.items()}
     for turn in range(1, rounds + 1):
-        moving = {r: s["centres"].tolist() for r, s in state.items() if not s["settled"]}
+        moving = {r: s["centres"] for r, s in state.items() if not s["settled"]}
         if not moving:
             break
         shape = "run int, c int, n long, s array<double>, q double, cost double"
         dims = len(next(iter(moving.values()))[0])
-        found = points.mapInArrow(_lloyd_step(moving), shape).groupBy("run", "c").agg(
-            F.sum("n").alias("n"), F.array(*[F.sum(F.col("s")[i]) for i in range(dims)]).alias("s"), F.sum("q").alias("q"), F.sum("cost").alias("cost")).collect()
+        found = points.mapInArrow(_lloyd_step(moving), shape).repartition(SUMS, "run", "c").groupBy("run", "c").agg(
+            F.sum("n").alias("n"), F.array(*[F.sum(F.col("s")[i]) for i in range(dims)]).alias("s"), F.sum("q").alias("q"), F.sum("cost").alias("cost")).toArrow().to_pylist()
+        of_run: dict[int, list[dict]] = {}
+        for row in found:
+            of_run.setdefault(row["run"], []).append(row)
         for r in moving:
             old = state[r]["centres"]
             new, n, q, cost = old.copy(), np.zeros(len(old)), np.zeros(len(old)), 0.0
-            for row in (x for x in found if x.run == r):
-                new[row.c], n[row.c], q[row.c], cost = np.array(row.s) / row.n, row.n, row.q / row.n, cost + row.cost
+            for row in of_run.get(r, []):
+                c, size = row["c"], row["n"]
+                new[c], n[c], q[c], cost = np.array(row["s"]) / size, size, row["q"] / size, cost + row["cost"]
             state[r] |= {"centres": new, "n": n, "q": q, "cost": cost, "rounds": turn, "settled": bool(np.abs(new - old).max() <= 1e-12 * max(1.0, np.abs(old).max()))}
     return state
 
@@ -137,7 +167,7 @@ def kmeans_select(df: DataFrame, cols: list[str], k_min: int = 2, k_max: int = 8
     whether it settled).
     """
     df = df.drop("cluster_id")
-    points = stored(df.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("x")), "points")
+    points = stored_evenly(df.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("x")), "points")
     if given is None:
         drawn = np.array([r.x for r in points.orderBy(F.xxhash64("x", F.lit(seed)), "x").limit(sample).collect()]).reshape(-1, len(cols))
         given = {k: _starts(drawn, k, starts, seed) for k in range(k_min, k_max + 1)} if len(drawn) else {}
