@@ -112,23 +112,26 @@ def turning_year(future_rows: DataFrame, entity: str) -> DataFrame:
 
 # ---- changepoints ----------------------------------------------------------------------
 
-_FIT = "struct<first:double,span:double,top:double,level:double,rise:double,knots:array<double>,deltas:array<double>,waves:array<double>,sigma:double,rounds:int>"
+_FIT = "struct<first:double,span:double,top:double,level:double,rise:double,knots:array<double>,deltas:array<double>,waves:array<double>,sigma:double,rounds:int,trend:array<double>,season:array<double>>"
 
 
 def _solve(gram, right, theta, shrink, bend, sweeps: int, tolerance: float):
-    """Coordinate descent on normal equations of many entities at once: ``bend`` is the absolute-value penalty of each coefficient."""
-    diagonal = np.einsum("epp->ep", gram) + shrink
+    """Coordinate descent on normal equations of many entities at once: ``bend`` is the absolute-value penalty of each coefficient.
+
+    Entities lie along the last axis here, so that a step is a few operations on long vectors.
+    """
+    gram, right, now, bend = (np.ascontiguousarray(np.moveaxis(x, 0, -1)) for x in (gram, right, theta, bend))
+    own, held = np.einsum("ppe->pe", gram).copy(), np.empty_like(now)
+    diagonal = own + shrink.T
+    free, divisor = diagonal > 1e-12, np.maximum(diagonal, 1e-12)
     for _ in range(sweeps):
-        moved = 0.0
-        for p in range(gram.shape[1]):
-            d = diagonal[:, p]
-            rest = right[:, p] - (gram[:, p] * theta).sum(axis=1) + gram[:, p, p] * theta[:, p]
-            new = np.where(d > 1e-12, np.sign(rest) * np.maximum(np.abs(rest) - bend[:, p], 0) / np.maximum(d, 1e-12), 0.0)
-            moved = max(moved, float(np.abs(new - theta[:, p]).max(initial=0.0)))
-            theta[:, p] = new
-        if moved < tolerance:
+        before = now.copy()
+        for p in range(len(gram)):
+            rest = right[p] - np.multiply(gram[p], now, out=held).sum(axis=0) + own[p] * now[p]
+            now[p] = np.copysign(np.maximum(np.abs(rest) - bend[p], 0), rest) / divisor[p] * free[p]
+        if np.abs(now - before).max(initial=0.0) < tolerance:
             break
-    return theta
+    return np.ascontiguousarray(now.T)
 
 
 def fit_many(series_of: list[tuple], changepoints: int, order: int, tau: float | None, season_scale: float, knots: list[float] | None,
@@ -164,11 +167,12 @@ def fit_many(series_of: list[tuple], changepoints: int, order: int, tau: float |
     wave = np.stack([f(2 * np.pi * k * months / 12) for k in range(1, order + 1) for f in (np.sin, np.cos)], axis=2) if order else np.zeros((e, long, 0))
     n = known.sum(axis=1)
     theta, beta, sigma = np.zeros((e, 2 + most)), np.zeros((e, 2 * order)), np.full(e, 0.1)
+    trend, season = np.zeros((e, long)), np.ones((e, long))
     used = 0
     for used in range(1, rounds + 1):
         before = np.concatenate([theta, beta], axis=1)
         b = base * (1 + (wave * beta[:, None, :]).sum(axis=2))[:, :, None]
-        gram, right = np.einsum("etp,etq->epq", b, b), np.einsum("etp,et->ep", b, y)
+        gram, right = b.transpose(0, 2, 1) @ b, (b * y[:, :, None]).sum(axis=1)
         if tau is None:
             theta = np.stack([np.linalg.lstsq(g, r, rcond=None)[0] for g, r in zip(gram, right)])
         else:
@@ -183,15 +187,18 @@ def fit_many(series_of: list[tuple], changepoints: int, order: int, tau: float |
         if order:
             c = wave * trend[:, :, None]
             ridge = np.maximum(sigma ** 2 / season_scale ** 2, 1e-9)[:, None, None] * np.eye(2 * order)
-            beta = np.linalg.solve(np.einsum("etp,etq->epq", c, c) + ridge, np.einsum("etp,et->ep", c, (y - trend) * known)[:, :, None])[:, :, 0]
-        left = (y - trend * (1 + (wave * beta[:, None, :]).sum(axis=2))) * known
+            off = (c * ((y - trend) * known)[:, :, None]).sum(axis=1)
+            beta = np.linalg.solve(c.transpose(0, 2, 1) @ c + ridge, off[:, :, None])[:, :, 0]
+        season = 1 + (wave * beta[:, None, :]).sum(axis=2)
+        left = (y - trend * season) * known
         sigma = np.sqrt(np.maximum((left ** 2).sum(axis=1) / n, 1e-12))
         if np.abs(np.concatenate([theta, beta], axis=1) - before).max(initial=0.0) < 1e-5:
             break
     return [{
         "first": float(first[i]), "span": float(span[i]), "top": float(top[i]), "level": float(theta[i, 0]), "rise": float(theta[i, 1]),
         "knots": places[i].tolist(), "deltas": theta[i, 2:2 + len(places[i])].tolist(), "waves": beta[i].tolist(), "sigma": float(sigma[i]), "rounds": used,
-    } for i in range(e)]
+        "trend": top[i] * trend[i, :len(t)], "season": season[i, :len(t)],
+    } for i, (t, _) in enumerate(series_of)]
 
 
 def fit_changepoints(s: DataFrame, entity: str, changepoints: int = 25, order: int = 10, tau: float | None = 0.05, season_scale: float = 5.0,
@@ -213,12 +220,14 @@ def fit_changepoints(s: DataFrame, entity: str, changepoints: int = 25, order: i
             out += fit_many(rows[i:i + together], changepoints, order, tau, season_scale, knots)
         lists = pa.list_(pa.float64())
         return pa.array(out, pa.struct([*[(c, pa.float64()) for c in ("first", "span", "top", "level", "rise")], *[
-            (c, lists) for c in ("knots", "deltas", "waves")], ("sigma", pa.float64()), ("rounds", pa.int32())]))
+            (c, lists) for c in ("knots", "deltas", "waves")], ("sigma", pa.float64()), ("rounds", pa.int32()), ("trend", lists), ("season", lists)]))
 
+    # The fit hands over trend and season of its months: summing knots and waves anew for each month took longer than the fit.
     fit = _once(_gathered(s, entity).drop("slope", "intercept"), m=fitted("points"))
-    return fit.withColumn("points", F.transform("points", lambda p: F.struct(
-        p["ds"].alias("ds"), p["y"].alias("y"), _trend(p["t"]).alias("trend"), (1 + _waves(p["t"])).alias("season"),
-        (_trend(p["t"]) * (1 + _waves(p["t"]))).alias("fitted"))))
+    months = F.transform("points", lambda p, i: F.struct(
+        p["ds"].alias("ds"), p["y"].alias("y"), F.get(F.col("m")["trend"], i).alias("trend"), F.get(F.col("m")["season"], i).alias("season"),
+        (F.get(F.col("m")["trend"], i) * F.get(F.col("m")["season"], i)).alias("fitted")))
+    return fit.withColumn("points", months).withColumn("m", F.col("m").dropFields("trend", "season"))
 
 
 def _trend(t: Column) -> Column:
