@@ -149,25 +149,45 @@ def _marked(docs: DataFrame, text: str) -> DataFrame:
 
 def reliabilities(votes: DataFrame, tolerance: float = 1e-4) -> dict[str, tuple[float, list[float], list[float]]]:
     """Expectation-maximisation over counted vote patterns (``kind``, labelers, ``n``): per kind the share of true spans, and each
-    labeler's chance of a yes on true and on false spans. Ends when no estimate moves by more than ``tolerance``."""
-    now = {r.kind: (0.5, [0.8] * len(LABELERS), [0.2] * len(LABELERS)) for r in votes.select("kind").distinct().collect()}
+    labeler's chance of a yes on true and on false spans. Ends when no estimate moves by more than ``tolerance``.
+
+    Spark counts; the rounds then run over at most 3 ** 4 distinct patterns a kind, however many spans there are, and start no jobs.
+    """
+    patterns: dict[str, list[tuple[tuple, int]]] = {}
+    for r in votes.groupBy("kind", *LABELERS).agg(F.sum("n").alias("n")).collect():
+        patterns.setdefault(r.kind, []).append((tuple(r[v] for v in LABELERS), r.n))
+    for counted in patterns.values():  # sums don't depend on the order in which rows arrive
+        counted.sort(key=lambda x: [-1 if v is None else v for v in x[0]])
+    now = {k: (0.5, [0.8] * len(LABELERS), [0.2] * len(LABELERS)) for k in patterns}
     moved = 1.0
     while now and moved > tolerance:
-        p = F.col("p")
-        sums = [F.sum(p * F.col("n")).alias("t"), F.sum(F.col("n")).alias("n")]
-        for v in LABELERS:
-            for share, side in ((p, "t"), (1 - p, "f")):
-                sums += [F.sum(F.when(F.col(v) == 1, share * F.col("n"))).alias(f"{v}_{side}"), F.sum(F.when(F.col(v).isNotNull(), share * F.col("n"))).alias(f"{v}_{side}_n")]
-        rows = votes.withColumn("p", probability(now)).groupBy("kind").agg(*sums).collect()
-        new = {}
-        for r in rows:  # add-one smoothing towards better than chance keeps labelers apart
-            yes, no = ([((r[f"{v}_{s}"] or 0) + w) / ((r[f"{v}_{s}_n"] or 0) + 5) for v in LABELERS] for s, w in (("t", 4), ("f", 1)))
-            new[r.kind] = ((r.t + 1) / (r.n + 2), yes, no)
+        new = {k: _round(counted, *now[k]) for k, counted in patterns.items()}
         moved = max(abs(a - b) for k in new for a, b in zip([new[k][0], *new[k][1], *new[k][2]], [now[k][0], *now[k][1], *now[k][2]]))
         now = new
     return now
 
 
+def _round(counted: list[tuple[tuple, int]], share: float, yes: list[float], no: list[float]) -> tuple[float, list[float], list[float]]:
+    """One round over the patterns of a kind. Add-one smoothing towards better than chance keeps labelers apart."""
+    true = 0.0
+    said = [[0.0, 0.0] for _ in LABELERS]  # weight of a yes, on true and on false spans
+    voted = [[0.0, 0.0] for _ in LABELERS]
+    for votes, n in counted:
+        odds = math.log(share / (1 - share))
+        for v, y, f in zip(votes, yes, no):
+            odds += 0.0 if v is None else math.log(y / f) if v == 1 else math.log((1 - y) / (1 - f))
+        p = 1 / (1 + math.exp(-odds))
+        true += p * n
+        for i, v in enumerate(votes):
+            for side, weight in enumerate((p * n, (1 - p) * n)):
+                if v is not None:
+                    voted[i][side] += weight
+                if v == 1:
+                    said[i][side] += weight
+    yes, no = ([(said[i][side] + w) / (voted[i][side] + 5) for i in range(len(LABELERS))] for side, w in ((0, 4), (1, 1)))
+    return (true + 1) / (sum(n for _, n in counted) + 2), yes, no
+
+
 def probability(estimates: dict) -> Column:
     """Chance that a span is true, from its votes."""
     out = F.lit(0.5)
@@ -188,7 +208,7 @@ def classifier(spans: DataFrame, regularisation: float = 0.01) -> dict[str, floa
     from pyspark.ml.feature import VectorAssembler
 
     counted = stored(spans.groupBy("kind", *LABELERS, *FEATURES).agg(F.count(F.lit(1)).alias("n")), "patterns")
-    estimates = reliabilities(counted.groupBy("kind", *LABELERS).agg(F.sum("n").alias("n")))
+    estimates = reliabilities(counted)
     if not estimates:
         return {}
     names = [*FEATURES, *[f"is_{k}" for k in EVERY_KIND]]

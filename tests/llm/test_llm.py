@@ -79,6 +79,20 @@ def test_reliabilities_tell_labelers_apart(spark):
     assert abs(share - 0.4) < 0.06 and abs(yes[0] - 0.95) < 0.06 and abs(yes[2] - 0.6) < 0.08 and abs(no[1] - 0.1) < 0.06
 
 
+def test_reliabilities_take_one_query_however_many_rounds(spark):
+    votes = spark.createDataFrame([("phone", 1, None, 0, 1, 5), ("phone", 0, 1, None, 0, 9), ("email", 1, 1, 1, 0, 4), ("phone", 1, None, 0, 1, 2)],
+                                  "kind string, pattern int, gazetteer int, context int, size int, n int")
+    spark.sparkContext.setJobGroup("rounds", "")
+    try:
+        few, many = (pii.reliabilities(votes, t) for t in (1.0, 1e-9))
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("rounds")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert set(few) == set(many) == {"email", "phone"} and few != many
+    assert len(jobs) <= 6
+    assert pii.reliabilities(votes.limit(0)) == {}
+
+
 def test_quality(docs, rows, empty):
     judged = {r.doc_id: r.quality for r in quality.assess(docs).collect()}
     assert "quality" in quality.assess(docs).columns and quality.assess(empty).count() == 0
